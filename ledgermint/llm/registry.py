@@ -6,20 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontam import ORACLE_SQL as OP7_SQL
+from .decontam import op7_decontamination
 from .media import op10_media
 from .packing import op2_best_fit_packing
 from .pii import op8_pii
 from .secrets import op1_secret_scan
+from .sharding import op9_sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op7_decontamination": op7_decontamination,
         "op8_pii": op8_pii,
+        "op9_sharding": op9_sharding,
         "op10_media": op10_media,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_decontamination": OP7_SQL}
