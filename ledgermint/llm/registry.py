@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontam import ORACLE_SQL as OP7_SQL
 from .decontam import op7_decontamination
 from .media import op10_media
+from .neardup import ORACLE_SQL as OP4_SQL
+from .neardup import op4_near_dedup
 from .packing import op2_best_fit_packing
 from .pii import op8_pii
 from .secrets import op1_secret_scan
@@ -19,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op4_near_dedup": op4_near_dedup,
         "op7_decontamination": op7_decontamination,
         "op8_pii": op8_pii,
         "op9_sharding": op9_sharding,
@@ -27,4 +30,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": OP7_SQL}
+    return {"op4_near_dedup": OP4_SQL, "op7_decontamination": OP7_SQL}
