@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import ORACLE_SQL as OP7_SQL
 from .decontam import op7_decontamination
+from .langid import op3_language_id
 from .media import op10_media
 from .neardup import ORACLE_SQL as OP4_SQL
 from .neardup import op4_near_dedup
 from .packing import op2_best_fit_packing
 from .pii import op8_pii
+from .quality import op5_quality
 from .secrets import op1_secret_scan
 from .sharding import op9_sharding
 
@@ -21,7 +23,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_language_id": op3_language_id,
         "op4_near_dedup": op4_near_dedup,
+        "op5_quality": op5_quality,
         "op7_decontamination": op7_decontamination,
         "op8_pii": op8_pii,
         "op9_sharding": op9_sharding,
