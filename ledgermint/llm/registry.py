@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import ORACLE_SQL as OP7_SQL
 from .decontam import op7_decontamination
+from .html import op6_html_extraction
 from .langid import op3_language_id
 from .media import op10_media
 from .neardup import ORACLE_SQL as OP4_SQL
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": op3_language_id,
         "op4_near_dedup": op4_near_dedup,
         "op5_quality": op5_quality,
+        "op6_html_extraction": op6_html_extraction,
         "op7_decontamination": op7_decontamination,
         "op8_pii": op8_pii,
         "op9_sharding": op9_sharding,
