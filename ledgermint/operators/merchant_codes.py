@@ -17,8 +17,10 @@ CODES: dict[str, str] = {
     "transport": "4111 4112 4119 4121 4131 4784 4789 7511 7523 7549",
     "travel": "3000 3001 3002 3003 3004 3005 3006 3007 3008 3009 3010 3050 3298 4411 4511 4722 7011 7012 7032 7033",
     "fuel": "5541 5542 5983",
-    "utilities": "4816 4821 4900",
-    "shopping": "5200 5211 5231 5251 5261 5271 5300 5311 5331 5399 5611 5621 5631 5641 5651 5655 5661 5681 5691 5697 5698 5699 5712 5713 5714 5718 5719 5722 5732 5733 5734 5735 5815 5921 5931 5932 5933 5935 5937 5940 5941 5942 5943 5944 5945 5946 5947 5948 5949 5950 5960 5970 5971 5972 5973 5977 5978 5992 5993 5994 5995 5996 5997 5998 5999",
+    "utilities": "4816 4821",
+    "bills": "4814 4899 4900",
+    "rent": "6513",
+    "shopping": "5200 5211 5231 5251 5261 5271 5300 5311 5331 5399 5611 5621 5631 5641 5651 5655 5661 5681 5691 5697 5698 5699 5712 5713 5714 5718 5719 5722 5732 5733 5734 5735 5815 5921 5931 5932 5933 5935 5937 5940 5941 5942 5943 5944 5945 5946 5947 5948 5949 5950 5960 5970 5971 5972 5973 5977 5978 5992 5993 5994 5995 5996 5997 5998 5999 7230 7261 7273 7276 7277 7278 7296 7297 7298 5511 5521 5531 5532 5533 5571 7531 7534 7535 7538 7542",
     "entertainment": "7832 7841 7922 7929 7932 7933 7991 7992 7993 7994 7995 7996 7997 7998 7999 5816",
     "health": "5912 5975 5976 8011 8021 8031 8041 8042 8043 8049 8050 8062 8071 8099",
     "education": "8211 8220 8241 8244 8249 8299 5192",

@@ -28,7 +28,7 @@ def runtime_stats(events: DataFrame, by: list[str], value: str = "value", last:
     w = Window.partitionBy(*by).orderBy(*order)
     rolling = w.rowsBetween(-(last - 1), 0)
     running = w.rowsBetween(Window.unboundedPreceding, 0)
-    return events.select("*", F.round(F.avg(value).over(rolling), 6).alias("rolling_mean"), F.count("*").over(running).alias("running_count"), F.round(F.avg(value).over(running), 6).alias("running_mean"))
+    return events.select("*", F.avg(value).over(rolling).alias("rolling_mean"), F.count("*").over(running).alias("running_count"), F.avg(value).over(running).alias("running_mean"))
 
 
 def rate_limit(events: DataFrame, key: str = "user_id", ts: str = "ts", limit: int = 100, seconds: int = 60) -> DataFrame:
