@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgermint.llm.common import table
+from ledgermint.llm.common import bounded, materialise, small_arrow_batches, table
 from ledgermint.llm.decontam import drop_contaminated
 from ledgermint.llm.neardup import near_duplicates
 from ledgermint.llm.packing import pack_documents
@@ -26,6 +26,7 @@ from ledgermint.llm.secrets import redact, secret_spans
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is below the threshold go."""
+    small_arrow_batches(spark)
     machine = train_quality_model(docs, learned_rows(table(spark, sf_dir, "labels")))
     scored = docs.withColumn("_score", quality_score(F.col("text"), machine))
     return scored.where(F.col("_score") >= THRESHOLD).select(*docs.columns)
@@ -33,9 +34,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest id. Five-word shingles, similarity 0.8."""
+    small_arrow_batches(spark)
     found = near_duplicates(docs, width=5)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    gone = materialise(gone)
+    kept = docs.join(bounded(gone), "doc_id", "left_anti")
     # Rows that repeat an id are one document: one of them stays.
     repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
     if repeated.isEmpty():
@@ -51,6 +54,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark in the text, and `n_chars` follows; every document stays."""
+    small_arrow_batches(spark)
     spans = docs.withColumn("_spans", secret_spans(F.col("text"))).withColumn("_text", redact(F.col("text"), F.col("_spans")))
     changed = F.size("_spans") > 0
     fresh = {"text": F.col("_text")}
@@ -61,7 +65,8 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, tokenised and packed best-fit into sequences of at most 1024 tokens: one row per piece, with its ids."""
-    return pack_documents(docs, keep_ids=True)
+    small_arrow_batches(spark)
+    return pack_documents(docs, keep_ids=True, cache_entries=80_000)  # the stages before leave their workers' memory in use
 
 
 STAGES = [

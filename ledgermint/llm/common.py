@@ -21,14 +21,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; bounds the memory of a Python worker.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+
+
+#: Rows of texts in an Arrow batch: Spark's default of 10,000 may be gigabytes of long documents.
+ARROW_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table `name` below `sf_dir`, read by Spark from any store."""
+    """The table `name` below `sf_dir`, read by Spark from any store.
+
+    Sets the session's Arrow batches to `ARROW_ROWS` rows, so that the memory of Python workers is bounded.
+    """
+    small_arrow_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_arrow_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """`df` written once to the shared checkpoint folder; its lineage ends there.
 
@@ -41,6 +53,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a side of ids and a few numbers that may be broadcast (some tens of bytes each).
+BROADCAST_ROWS = 500_000
+
+
+def bounded(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
+    """`df` marked for broadcast if its counted rows are within the bound; else as it is, to be joined by shuffle."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= most else df
+
+
 def crc_bucket(doc_id, buckets: int):
     """crc32 of the id written as text, modulo `buckets`; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(buckets))

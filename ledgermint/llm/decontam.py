@@ -12,7 +12,7 @@ any occurrence of a window is hit. Three steps:
 3. Merge. Window places become hit words, and items are listed.
 
 The grams and windows of the benchmark are broadcast only while their number is within
-`BROADCAST_ROWS`; beyond that they are joined by shuffle, where Spark splits skewed partitions.
+`common.BROADCAST_ROWS`; beyond that they are joined by shuffle, where Spark splits skewed partitions.
 
 Null texts have no words. Repeated rows get equal results. Items without id make words hit but are
 not listed. With an empty benchmark or empty documents nothing is hit.
@@ -25,11 +25,9 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import bounded, materialise, table
 
 WINDOW = 10
-#: Rows of the benchmark side that may be broadcast (about 100 bytes each).
-BROADCAST_ROWS = 500_000
 #: Words are runs of digits, a-z and characters beyond ASCII, in lower-cased text.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -72,10 +70,6 @@ def places_of(w: Column, k: int) -> Column:
     return F.transform(all_places, lambda i: F.struct(i.alias("at"), F.lit(k).alias("k"), F.array_join(F.slice(w, i + 1, F.lit(k)), " ").alias("key")))
 
 
-def _bounded(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(id, text_hash, n_words, hits, items) of each row: places of its hit words, and ids of the items found.
 
@@ -95,15 +89,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     known = materialise(coarse.select(F.explode(of_size).alias("gram")).distinct())
     split = docs.select(*doc, F.monotonically_increasing_id().alias("row"), words(lower_coarse(text)).alias("w"))
     looked_up = split.select(id_col, "text_hash", "row", F.size("w").cast("long").alias("n_words"), F.explode_outer(F.concat(*[grams(F.col("w"), g, g) for g in sizes])).alias("gram"))
-    scanned = looked_up.join(_bounded(known.withColumn("found", F.lit(True)), known.count()), "gram", "left")
+    scanned = looked_up.join(bounded(known.withColumn("found", F.lit(True)), known.count()), "gram", "left")
     base = materialise(scanned.groupBy("row", id_col, "text_hash", "n_words").agg(F.max("found").alias("found")))
 
     suspects = base.where("found").select(F.col(id_col).alias("sid"), F.col("text_hash").alias("shash")).distinct()
-    whole = docs.select(*doc, text.alias("text")).join(_bounded(suspects, suspects.count()), (F.col(id_col).eqNullSafe(F.col("sid"))) & (F.col("text_hash") == F.col("shash")), "left_semi")
+    whole = docs.select(*doc, text.alias("text")).join(bounded(suspects, suspects.count()), (F.col(id_col).eqNullSafe(F.col("sid"))) & (F.col("text_hash") == F.col("shash")), "left_semi")
     cut = whole.select(id_col, "text_hash", words(lower_ascii(F.col("text"))).alias("w"))
     places = cut.select(id_col, "text_hash", F.explode(F.concat(*[places_of(F.col("w"), k) for k in lengths])).alias("p")).select(id_col, "text_hash", "p.at", "p.k", "p.key")
     wanted = items.select(F.array_join("window", " ").alias("key"), "items")
-    hits = places.join(_bounded(wanted, wanted.count()), "key").groupBy(id_col, "text_hash").agg(
+    hits = places.join(bounded(wanted, wanted.count()), "key").groupBy(id_col, "text_hash").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + F.col("k") - 1))))).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
@@ -117,7 +111,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """`docs` without the rows that hold an item window; the other rows keep all their columns."""
     found = find_contamination(docs, benchmark, id_col, text_col, **options).where(F.size("hits") > 0)
     found = found.select(F.col(id_col).alias("_cid"), F.col("text_hash").alias("_chash")).distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_cid")) & (F.xxhash64(F.col(text_col)) == F.col("_chash")), "left_anti")
+    found = materialise(found)
+    return docs.join(bounded(found), F.col(id_col).eqNullSafe(F.col("_cid")) & (F.xxhash64(F.col(text_col)) == F.col("_chash")), "left_anti")
 
 
 def remove_spans(text: Column, hits: Column) -> Column:

@@ -33,7 +33,7 @@ def _power(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 20) + 1, U64(base), U64)
+        have = np.full(max(n, 1 << 19) + 1, U64(base), U64)
         have[0] = U64(1)
         _powers[base] = have = np.multiply.accumulate(have)
         if len(have) > 1 << 23:  # one very long text must not keep its memory

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialise, table, utf8
+from .common import bounded, chunks, materialise, table, utf8
 from .components import UnionFind, connected_components, forest
 from .kernels import U64, mix64, word_hashes
 
@@ -282,9 +282,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = materialise(groups)
     large = groups.groupBy("component").agg(F.count("*").alias("members"))
     dealt = groups.join(large, "component").withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = materialise(dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(dealt.select("id", "component", "blocks", "block"), "id")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(bounded(dealt.select("id", "component", "blocks", "block")), "id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

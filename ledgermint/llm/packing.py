@@ -1,11 +1,11 @@
 """Best-fit packing of tokenised documents into fixed-length sequences.
 
-1. Tokenise (`tokenize_documents`): ids of a public vocabulary, then an end id. Byte-level BPE
+1. Tokenise and cut (`token_pieces`): ids of a public vocabulary, then an end id. Byte-level BPE
    splits a text into pieces that are merged independently, so each distinct piece is encoded once
    per worker and then looked up; the result equals encoding the whole text.
-2. Cut (`piece_table`): a document longer than a sequence is cut into full pieces; its first piece
-   takes the rest and may be shorter. Full pieces are sequences of their own.
-3. Pack (`best_fit_pack`): shorter pieces are dealt by a hash of the id into groups of bounded size
+   A document longer than a sequence is cut into full pieces; its first piece takes the rest and
+   may be shorter. Full pieces are sequences of their own.
+2. Pack (`best_fit_pack`): shorter pieces are dealt by a hash of the id into groups of bounded size
    and each group is packed best-fit decreasing. A segment tree over remaining capacities finds the
    tightest open bin in log2(capacity) steps. A group's last few bins are all that dealing can cost.
 
@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, table
+from .common import materialise, table
 
 CAPACITY, END_ID = 1024, 2
 #: Rows that one group packs; more rows make more groups.
 GROUP_ROWS = 1 << 17
-#: Entries that a worker's cache of encoded pieces holds before it starts anew; longer pieces are not kept.
-CACHE_ENTRIES, CACHE_CHARS = 500_000, 64
+#: Entries that a worker's cache of encoded pieces holds before it starts anew (memory against time); longer pieces are not kept.
+CACHE_ENTRIES, CACHE_CHARS = 300_000, 64
 
 
 #: The splitting pattern of the vocabulary in terms of Python's `re`, which is faster than `regex`. The two agree on
@@ -44,7 +44,7 @@ _CONTROL = re.compile("[\x1c-\x1f]")
 class PieceEncoder:
     """Token ids of a text as little-endian 32-bit bytes, by encoding each distinct piece once."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         import regex
         from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
@@ -65,7 +65,7 @@ class PieceEncoder:
                 else:
                     out = ids(piece)
                 if len(piece) <= CACHE_CHARS:
-                    if len(self) >= CACHE_ENTRIES:
+                    if len(self) >= entries:
                         self.clear()
                     self[piece] = out
                 return out
@@ -86,32 +86,46 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def tokenize_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.json", capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = True) -> DataFrame:
-    """(id, n_tokens, crcs[, ids]) of each row: its length with the end id, and of each piece the CRC-32 of its ids.
+def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.json", capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = True, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
+    """(id, piece, start, length, ids_crc32[, ids]): the pieces of each row's tokens, of at most `capacity` tokens; the first may be shorter.
 
-    `ids` holds the ids as little-endian 32-bit bytes; `keep_ids=False` leaves them out.
+    `ids` holds little-endian 32-bit ids. Rows leave one piece at a time, so a very long document is no large row.
     """
+    most = 1 << 21  # bytes of ids in a batch that leaves, about
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer_path(vocabulary))
+        encoder = PieceEncoder(tokenizer_path(vocabulary), cache_entries)
         end = np.array([end_id], "<u4").tobytes()
-        for big in batches:
-            for batch in small_batches(big, "text"):
-                blobs = [encoder.encode(t.as_py() or "") + end for t in batch.column(1)]
-                lengths = [len(b) // 4 for b in blobs]
-                crcs = []
-                for blob, n in zip(blobs, lengths, strict=True):
-                    cuts = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
-                    crcs.append([zlib.crc32(blob[4 * a : 4 * b]) for a, b in zip(cuts, cuts[1:], strict=False)])
-                cols = [batch.column(0), pa.array(lengths, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))]
-                names = [id_col, "n_tokens", "crcs"]
-                if keep_ids:
-                    cols.append(pa.array(blobs, pa.binary()))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(cols, names)
+        rows: list[tuple[int, int, int, int, bytes]] = []
+
+        def leave(keys: pa.Array) -> pa.RecordBatch:
+            at, piece, start, crc, ids = zip(*rows, strict=True)
+            cols = [keys.take(pa.array(at)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(crc, pa.int64())]
+            names = [id_col, "piece", "start", "length", "ids_crc32"]
+            if keep_ids:
+                cols.append(pa.array(ids, pa.binary()))
+                names.append("ids")
+            rows.clear()
+            return pa.RecordBatch.from_arrays(cols, names)
+
+        for batch in batches:
+            size = 0
+            for i, text in enumerate(batch.column(1)):
+                blob = encoder.encode(text.as_py() or "") + end
+                n = len(blob) // 4
+                cuts = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
+                for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    ids = blob[4 * x : 4 * y]
+                    rows.append((i, k, x, zlib.crc32(ids), ids))
+                    size += len(ids)
+                    if size >= most:
+                        yield leave(batch.column(0))
+                        size = 0
+            if rows:
+                yield leave(batch.column(0))
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, crcs array<long>" + ", ids binary" * keep_ids)
+    return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
 class BestFit:
@@ -181,33 +195,23 @@ def best_fit_pack(items: DataFrame, group_col: str, length_col: str, capacity: i
     return items.select(*[c for c, _ in kept]).groupBy(group_col).applyInArrow(pack, ", ".join(f"`{c}` {k}" for c, k in kept) + ", bin long, offset long")
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.json", capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = True, group_rows: int = GROUP_ROWS) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.json", capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = True, group_rows: int = GROUP_ROWS, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset, and with `keep_ids` its ids.
 
-    `sequence_id` is unique over the table, not consecutive. The ids are tokenised once and kept in
-    the shared folder; only (id, length) rows are shuffled to be packed.
+    `sequence_id` is unique over the table, not consecutive: packed bins from 0, full pieces below 0.
+    The pieces are kept in the shared folder; only the keys and lengths of short ones are shuffled to
+    be packed, and only short ones meet their places again by a join.
     """
-    tokens = tokenize_documents(docs, id_col, text_col, vocabulary, capacity, end_id, keep_ids)
-    # A row's place within equal ids tells repeated rows apart when the packed rows meet their ids again.
-    tokens = materialise(tokens.withColumn("row", F.monotonically_increasing_id()))
-    groups = max(1, -(-tokens.count() // group_rows))
-    first = ((F.col("n_tokens") - 1) % capacity + 1).cast("long")
-    short = tokens.where(first < capacity).select(id_col, "row", first.alias("length"), F.pmod(F.xxhash64(id_col, "row"), F.lit(groups)).cast("int").alias("pack"))
-    packed = best_fit_pack(short, "pack", "length", capacity).select("row", (F.col("pack").cast("long") * F.lit(1 << 40) + F.col("bin")).alias("first_sequence"), F.col("offset").alias("first_offset"))
-    # Full pieces: sequences of their own, numbered by row and piece below zero so that they meet no packed bin.
-    pieces = tokens.join(packed, "row", "left").select("*", F.posexplode("crcs").alias("piece", "ids_crc32"))
-    piece, head = F.col("piece").cast("long"), F.col("piece") == 0
-    start = F.when(head, F.lit(0).cast("long")).otherwise(first + (piece - 1) * capacity)
-    length = F.when(head, first).otherwise(F.lit(capacity).cast("long"))
-    own = -(F.col("row") * F.lit(1 << 20) + piece) - 1
-    fits = head & F.col("first_sequence").isNotNull()
-    out = pieces.select(
-        id_col, F.col("piece").cast("int"), start.alias("start"), length.alias("length"), "ids_crc32",
-        F.when(fits, F.col("first_sequence")).otherwise(own).alias("sequence_id"),
-        F.when(fits, F.col("first_offset")).otherwise(F.lit(0).cast("long")).alias("offset"),
-        *([F.substring("ids", (start * 4 + 1).cast("int"), (length * 4).cast("int")).alias("ids")] if keep_ids else []),
-    )
-    return out
+    pieces = token_pieces(docs, id_col, text_col, vocabulary, capacity, end_id, keep_ids, cache_entries)
+    pieces = materialise(pieces.withColumn("_key", F.monotonically_increasing_id()))
+    short = pieces.where(F.col("length") < capacity)
+    groups = max(1, -(-short.count() // group_rows))
+    items = short.select("_key", "length", F.pmod(F.xxhash64("_key"), F.lit(groups)).cast("int").alias("_pack"))
+    packed = best_fit_pack(items, "_pack", "length", capacity).select(F.col("_key").alias("_k"), (F.col("_pack").cast("long") * F.lit(1 << 40) + F.col("bin")).alias("sequence_id"), "offset")
+    columns = [id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if keep_ids else [])]
+    placed = short.join(packed, F.col("_key") == F.col("_k")).select(*columns)
+    full = pieces.where(F.col("length") == capacity).withColumn("sequence_id", -F.col("_key") - 1).withColumn("offset", F.lit(0).cast("long"))
+    return placed.unionByName(full.select(*columns))
 
 
 def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:
