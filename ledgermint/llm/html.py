@@ -1,7 +1,8 @@
 """HTML extraction: site template removal by recurring subtrees, then the main text.
 
 1. Each page is parsed (a tolerant stack over tags) and every element outside a main region gets a
-   hash of its subtree: tag, attributes that matter, children and text.
+   hash of its subtree: tag, attributes that matter, children and text. What holds a main region is
+   no candidate for a template, whatever recurs around the region.
 2. Spark counts each hash once per page and host. A subtree on `MIN_PAGES` pages or more and on
    `SHARE` or more of its host's pages is a template. Counts are summed before they are shuffled, so
    a host with a third of all pages is no hot key.
@@ -56,12 +57,12 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class Element:
-    """An open element: whether it or what it stands in is chrome or a main region, the subtrees it stands in, and its own subtree's hash."""
+    """An open element: whether it or what it stands in is chrome or a main region, whether it holds one, the subtrees it stands in, and its own subtree's hash."""
 
-    __slots__ = ("chrome", "hash", "main", "number", "path", "some", "tag")
+    __slots__ = ("chrome", "hash", "holds", "main", "number", "path", "some", "tag")
 
     def __init__(self, tag: str, chrome: bool, region: bool, number: int, names: str, parent: Element | None):
-        self.tag, self.number, self.some = tag, number, False
+        self.tag, self.number, self.some, self.holds = tag, number, False, False
         self.chrome = chrome or parent is not None and parent.chrome
         self.main = not self.chrome and (region or parent is not None and parent.main)
         path = parent.path if parent is not None else ()
@@ -84,8 +85,8 @@ def _named(attributes: str) -> tuple[str, bool]:
 def parse(page: str) -> tuple[list[tuple[str, bool, bool, tuple[int, ...]]], list[int]]:
     """The blocks of a page, each (text, in chrome, in a main region, its subtrees), and the hashes of all subtrees.
 
-    Subtrees are numbered in the order they begin; main regions and what they hold, inline elements, empty
-    ones, and the page's own outer elements have the hash 0.
+    Subtrees are numbered in the order they begin; main regions, what they hold and what holds them, inline
+    elements, empty ones, and the page's own outer elements have the hash 0.
     """
     blocks: list[tuple[str, bool, bool, tuple[int, ...]]] = []
     stack: list[Element] = []
@@ -104,11 +105,13 @@ def parse(page: str) -> tuple[list[tuple[str, bool, bool, tuple[int, ...]]], lis
     def close(to: int) -> None:
         while len(stack) > to:
             e = stack.pop()
+            if stack and (e.main or e.holds):
+                stack[-1].holds = True
             if e.hash is None:
                 continue
             value = e.hash.intdigest() >> 1
             if e.some:
-                if e.tag in BLOCK and e.tag != "html" and e.tag != "body":
+                if e.tag in BLOCK and e.tag != "html" and e.tag != "body" and not e.holds:
                     hashes[e.number] = value
                 if stack and stack[-1].hash is not None:
                     stack[-1].hash.update(value.to_bytes(8, "little"))

@@ -47,3 +47,15 @@ def test_copies_of_an_article_are_no_template(spark):
     page = "<body><div>Top of site</div><article><p>Same story</p></article></body>"
     rows = [(i, "http://a.example/x", page) for i in range(9)]
     assert {r.text for r in html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"Same story"}
+
+
+def site(spark, page, n=8, **options):
+    """The texts of `n` pages of one host, `page` formatted with their numbers."""
+    rows = [(i, f"http://a.example/{i}", page.format(i)) for i in range(n)]
+    return {r.page_id: r.text for r in html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), **options).collect()}
+
+
+def test_a_wrapper_around_articles_is_no_template(spark):
+    page = '<body><div id="page"><div class="top">Top of site</div><div><article><p>Story number {0}</p></article></div></div></body>'
+    assert site(spark, page) == {i: f"Story number {i}" for i in range(8)}
+    assert set(site(spark, page.replace("{0}", "one")).values()) == {"Story number one"}
