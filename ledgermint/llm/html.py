@@ -1,15 +1,16 @@
 """HTML extraction: site template removal by recurring subtrees, then the main text.
 
-1. Each page is parsed (a tolerant stack over tags) and every element outside a main region gets a
-   hash of its subtree: tag, attributes that matter, children and text. What holds a main region is
-   no candidate for a template, whatever recurs around the region.
-2. Spark counts each hash once per page and host. A subtree on `MIN_PAGES` pages or more and on
-   `SHARE` or more of its host's pages is a template. Counts are summed before they are shuffled, so
-   a host with a third of all pages is no hot key.
+1. Each page is parsed (a tolerant stack over tags) and every element gets a hash of its subtree:
+   tag, attributes that matter, children and text. A main region (article, main) and what holds one
+   are no candidates for a template, whatever recurs around the region or inside it.
+2. Spark counts each hash once per page and host; inside a main region it counts once per distinct
+   region, so that copies of an article count once and their paragraphs are no template, while a box
+   that recurs in different articles is one. A subtree that recurs `MIN_PAGES` times or more and on
+   `SHARE` or more of its host's pages (inside regions: of its distinct contents) is a template.
+   Counts are summed before they are shuffled, so a host with a third of all pages is no hot key.
 3. The page is parsed again; template subtrees are deleted along with what markup itself names as
-   no part of the article (navigation, adverts, forms, comments ...). Where the page marks a main
-   region (article, main), the text is taken from there alone, and template counts do not reach
-   into it: copies of an article on one host are not a template.
+   no part of the article (navigation, adverts, forms, comments ...). All other blocks stay, inside
+   and outside main regions.
 
 The templates of a host number at most its mean subtrees per page / `SHARE`; they are broadcast
 while their total is within `BROADCAST_ROWS`, else joined by shuffle.
@@ -57,17 +58,17 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class Element:
-    """An open element: whether it or what it stands in is chrome or a main region, whether it holds one, the subtrees it stands in, and its own subtree's hash."""
+    """An open element: whether it or what it stands in is chrome or a main region, whether it holds one, the innermost region, the subtrees it stands in, and its own subtree's hash."""
 
-    __slots__ = ("chrome", "hash", "holds", "main", "number", "path", "some", "tag")
+    __slots__ = ("chrome", "hash", "holds", "main", "number", "path", "region", "some", "tag")
 
     def __init__(self, tag: str, chrome: bool, region: bool, number: int, names: str, parent: Element | None):
         self.tag, self.number, self.some, self.holds = tag, number, False, False
         self.chrome = chrome or parent is not None and parent.chrome
         self.main = not self.chrome and (region or parent is not None and parent.main)
-        path = parent.path if parent is not None else ()
-        self.path = path if self.main else (*path, number)
-        self.hash = None if self.main else xxhash.xxh64(f"{tag}|{names}")
+        self.region = number if region and self.main else parent.region if parent is not None else -1
+        self.path = (*parent.path, number) if parent is not None else (number,)
+        self.hash = xxhash.xxh64(f"{tag}|{names}")
 
 
 def _named(attributes: str) -> tuple[str, bool]:
@@ -82,13 +83,16 @@ def _named(attributes: str) -> tuple[str, bool]:
     return names, any(w in HINTS for w in _WORD.findall(names))
 
 
-def parse(page: str) -> tuple[list[tuple[str, bool, bool, tuple[int, ...]]], list[int]]:
-    """The blocks of a page, each (text, in chrome, in a main region, its subtrees), and the hashes of all subtrees.
+def parse(page: str) -> tuple[list[tuple[str, bool, tuple[int, ...]]], list[int], list[int], dict[int, int]]:
+    """The blocks of a page, each (text, in chrome, its subtrees), the hashes of all subtrees, the innermost
+    main region of each (-1 outside), and the hash of each region.
 
-    Subtrees are numbered in the order they begin; main regions, what they hold and what holds them, inline
-    elements, empty ones, and the page's own outer elements have the hash 0.
+    Subtrees are numbered in the order they begin; main regions and what holds them, inline elements, empty
+    ones, and the page's own outer elements have the hash 0.
     """
-    blocks: list[tuple[str, bool, bool, tuple[int, ...]]] = []
+    blocks: list[tuple[str, bool, tuple[int, ...]]] = []
+    regions: list[int] = []
+    whole: dict[int, int] = {}
     stack: list[Element] = []
     hashes: list[int] = []
     buffer: list[str] = []
@@ -100,20 +104,21 @@ def parse(page: str) -> tuple[list[tuple[str, bool, bool, tuple[int, ...]]], lis
             buffer.clear()
             if text:
                 top = stack[-1] if stack else None
-                blocks.append((text, top is not None and top.chrome, top is not None and top.main, top.path if top is not None else ()))
+                blocks.append((text, top is not None and top.chrome, top.path if top is not None else ()))
 
     def close(to: int) -> None:
         while len(stack) > to:
             e = stack.pop()
-            if stack and (e.main or e.holds):
+            root = e.region == e.number
+            if stack and (root or e.holds):
                 stack[-1].holds = True
-            if e.hash is None:
-                continue
             value = e.hash.intdigest() >> 1
             if e.some:
-                if e.tag in BLOCK and e.tag != "html" and e.tag != "body" and not e.holds:
+                if root:
+                    whole[e.number] = value
+                elif e.tag in BLOCK and e.tag != "html" and e.tag != "body" and not e.holds:
                     hashes[e.number] = value
-                if stack and stack[-1].hash is not None:
+                if stack:
                     stack[-1].hash.update(value.to_bytes(8, "little"))
                     stack[-1].some = True
 
@@ -122,7 +127,7 @@ def parse(page: str) -> tuple[list[tuple[str, bool, bool, tuple[int, ...]]], lis
             if "&" in piece:
                 piece = entities.unescape(piece)
             buffer.append(piece)
-            if stack and stack[-1].hash is not None and (plain := piece.strip()):
+            if stack and (plain := piece.strip()):
                 stack[-1].hash.update(plain)
                 stack[-1].some = True
 
@@ -165,32 +170,46 @@ def parse(page: str) -> tuple[list[tuple[str, bool, bool, tuple[int, ...]]], lis
             continue
         hashes.append(0)
         stack.append(Element(tag, chrome, tag in _REGION, len(hashes) - 1, names, parent))
+        regions.append(stack[-1].region)
     text(page[position:])
     end_block()
     close(0)
-    return blocks, hashes
+    return blocks, hashes, regions, whole
+
+
+def counted_subtrees(page: str) -> dict[int, int]:
+    """Each subtree hash of a page with what it is counted by: 0 (the page) or the hash of the region it stands in, the least of several.
+
+    The key 0 stands for the page itself: 0 if it has no region, else a hash of its regions.
+    """
+    _, hashes, regions, whole = parse(page)
+    found = {0: xxhash.xxh64_intdigest(repr(sorted(whole.values()))) >> 1 if whole else 0}
+    for h, r in zip(hashes, regions, strict=True):
+        if h:
+            by = whole.get(r, 0)
+            found[h] = min(found.get(h, by), by)
+    return found
 
 
 def main_text(page: str, templates: frozenset[int] | set[int] = frozenset()) -> str:
-    """The blocks that are in no chrome and no template, from main regions where the page has any."""
-    blocks, hashes = parse(page)
-    kept = [b for b in blocks if not b[1] and not any(hashes[i] in templates for i in b[3])]
-    if any(b[2] for b in kept):
-        kept = [b for b in kept if b[2]]
-    return "\n".join(b[0] for b in kept)
+    """The blocks that are in no chrome and no template."""
+    blocks, hashes, *_ = parse(page)
+    return "\n".join(text for text, chrome, path in blocks if not chrome and not any(hashes[i] in templates for i in path))
 
 
 def page_subtrees(pages: DataFrame, html_col: str) -> DataFrame:
-    """(host, hashes): the distinct subtree hashes of each page."""
+    """(host, subtrees): the `counted_subtrees` of each page."""
+    pair = pa.struct([("hash", pa.int64()), ("by", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in small_batches(big, "html"):
-                rows = [np.unique(np.array([h for h in parse(c.as_py() or "")[1] if h], np.int64)) for c in batch.column(1)]
+                rows = [counted_subtrees(c.as_py() or "") for c in batch.column(1)]
                 ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.empty(0, np.int64)])))], ["host", "hashes"])
+                flat = [pa.array(np.fromiter((x for r in rows for x in part(r)), np.int64, ends[-1])) for part in (dict.keys, dict.values)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(flat, fields=list(pair)))], ["host", "subtrees"])
 
-    return pages.select("host", F.col(html_col).alias("html")).mapInArrow(run, "host string, hashes array<long>")
+    return pages.select("host", F.col(html_col).alias("html")).mapInArrow(run, "host string, subtrees array<struct<hash:long,by:long>>")
 
 
 def host_of(url):
@@ -201,10 +220,14 @@ def host_of(url):
 
 def site_templates(pages: DataFrame, html_col: str, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
     """(host, templates): the subtree hashes that recur on each host; `pages` has the column `host`."""
-    hosted = pages.where("host is not null")
-    seen = page_subtrees(hosted, html_col).select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("pages"))
-    sizes = hosted.groupBy("host").agg(F.count("*").alias("all_pages"))
-    recurring = seen.where(F.col("pages") >= min_pages).join(sizes, "host").where(F.col("pages") >= F.col("all_pages") * share)
+    rows = page_subtrees(pages.where("host is not null"), html_col).select("host", F.inline("subtrees"))
+    by = rows.groupBy("host", "hash", "by").agg(F.count("*").alias("pages"))
+    outside = F.col("by") == 0
+    seen = by.groupBy("host", "hash").agg(F.sum("pages").alias("pages"), F.sum(F.when(outside, F.col("pages")).otherwise(0)).alias("outside"), F.sum(F.when(outside, 0).otherwise(1)).alias("inside"))
+    seen = materialise(seen.where((F.col("outside") + F.col("inside") >= min_pages) | (F.col("hash") == 0)))
+    # the rows of hash 0 count the host's pages, and its distinct contents
+    sizes = seen.where("hash = 0").select("host", F.col("pages").alias("all_pages"), (F.col("outside") + F.col("inside")).alias("contents"))
+    recurring = seen.where("hash <> 0").join(sizes, "host").where(F.col("outside") / F.col("all_pages") + F.col("inside") / F.col("contents") >= share)
     return recurring.groupBy("host").agg(F.collect_list("hash").alias("templates"))
 
 

@@ -59,3 +59,18 @@ def test_a_wrapper_around_articles_is_no_template(spark):
     page = '<body><div id="page"><div class="top">Top of site</div><div><article><p>Story number {0}</p></article></div></div></body>'
     assert site(spark, page) == {i: f"Story number {i}" for i in range(8)}
     assert set(site(spark, page.replace("{0}", "one")).values()) == {"Story number one"}
+
+
+def test_boxes_that_recur_inside_articles_go(spark):
+    page = '<body><article><p>Story number {0}</p><div class="by"><p>Written by our staff</p></div></article></body>'
+    assert site(spark, page) == {i: f"Story number {i}" for i in range(8)}
+    same = page.replace("{0}", "one")
+    assert set(site(spark, same).values()) == {"Story number one\nWritten by our staff"}
+    # copies of one article beside different ones: its own paragraph stays, the box of all goes
+    rows = [(i, f"http://a.example/{i}", page.format(i if i < 6 else 6)) for i in range(20)]
+    got = {r.page_id: r.text for r in html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story number {min(i, 6)}" for i in range(20)}
+
+
+def test_text_outside_a_region_stays():
+    assert html.main_text("<body><div class=content><p>The long story</p></div><article><p>Read this too</p></article></body>") == "The long story\nRead this too"
