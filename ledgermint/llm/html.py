@@ -10,7 +10,9 @@
    Counts are summed before they are shuffled, so a host with a third of all pages is no hot key.
 3. The page is parsed again; template subtrees are deleted along with what markup itself names as
    no part of the article (navigation, adverts, forms, comments ...). All other blocks stay, inside
-   and outside main regions.
+   and outside main regions. A class, id or role is a hint only as a whole name (`sidebar`, not
+   `no-sidebar`). Hints say nothing on html, body, main and article, nor on what holds a `main`, or
+   holds an `article` on a page where all main regions stand below hints.
 
 The templates of a host number at most its mean subtrees per page / `SHARE`; they are broadcast
 while their total is within `BROADCAST_ROWS`, else joined by shuffle.
@@ -43,28 +45,35 @@ RAW = frozenset("script style noscript template textarea iframe xmp noembed nofr
 CHROME = frozenset("head nav footer aside form button select option datalist dialog menu svg canvas object audio video map label fieldset".split()) | RAW
 #: Elements that end a block of text where they begin and end.
 BLOCK = frozenset("html body div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th section article main header footer nav aside form blockquote pre figure figcaption address hr details summary fieldset center title".split())
-#: Words in class, id or role that name what is no part of an article.
+#: Whole names in class, id or role, without a number at their end, of what is no part of an article.
 HINTS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side aside ad ads advert adverts advertisement advertisements banner sponsor sponsored promo promotion promoted "
     "cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup share sharing social comment comments disqus reply replies respond "
-    "related recommended recommendations pagination pager widget widgets login search toolbar skip hidden footer masthead contentinfo complementary alert".split()
+    "related recommended recommendations pagination pager widget widgets login search toolbar skip hidden footer masthead contentinfo complementary alert "
+    "nav-bar nav-menu main-nav main-navigation main-menu site-nav site-navigation top-nav sub-nav post-navigation posts-navigation side-bar left-sidebar right-sidebar sidebar-left sidebar-right "
+    "ad-box ad-banner ad-container ad-slot ad-unit ad-wrapper ads-box google-ad advert-box cookie-banner cookie-bar cookie-consent cookie-notice newsletter-signup newsletter-form newsletter-box "
+    "share-buttons share-bar share-links share-this social-share social-links social-media social-icons social-buttons sharing-buttons comment-list comment-form comments-area comments-list comments-section "
+    "related-posts related-articles related-content related-links related-stories recommended-posts page-footer page-header site-footer site-header search-form search-box search-bar login-form skip-link "
+    "widget-area promo-box".split()
 )
 _REGION = frozenset(("article", "main"))
+_UNHINTED = _REGION | {"html", "body"}
 #: An open element that a new one of the same kind closes.
 _CLOSES = {"p": frozenset(BLOCK - {"html", "body", "title"}), "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr",)), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")), "option": frozenset(("option",))}
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
-_WORD = re.compile(r"[a-z]+")
+_NUMBER = re.compile(r"[-_]*[0-9]+$")
 
 
 class Element:
-    """An open element: whether it or what it stands in is chrome or a main region, whether it holds one, the innermost region, the subtrees it stands in, and its own subtree's hash."""
+    """An open element: whether it or what it stands in is chrome by its tag or a main region, the hinted elements among these, whether it holds one, the innermost region, the subtrees it stands in, and its own subtree's hash."""
 
-    __slots__ = ("chrome", "hash", "holds", "main", "number", "path", "region", "some", "tag")
+    __slots__ = ("chrome", "hash", "hints", "holds", "main", "number", "path", "region", "some", "tag")
 
-    def __init__(self, tag: str, chrome: bool, region: bool, number: int, names: str, parent: Element | None):
+    def __init__(self, tag: str, chrome: bool, hinted: bool, region: bool, number: int, names: str, parent: Element | None):
         self.tag, self.number, self.some, self.holds = tag, number, False, False
         self.chrome = chrome or parent is not None and parent.chrome
+        self.hints = (*(parent.hints if parent is not None else ()), *((number,) if hinted else ()))
         self.main = not self.chrome and (region or parent is not None and parent.main)
         self.region = number if region and self.main else parent.region if parent is not None else -1
         self.path = (*parent.path, number) if parent is not None else (number,)
@@ -80,7 +89,7 @@ def _named(attributes: str) -> tuple[str, bool]:
             return "hidden", True
         found.append(value)
     names = " ".join(found)
-    return names, any(w in HINTS for w in _WORD.findall(names))
+    return names, any(_NUMBER.sub("", w).replace("_", "-") in HINTS for w in names.split())
 
 
 def parse(page: str) -> tuple[list[tuple[str, bool, tuple[int, ...]]], list[int], list[int], dict[int, int]]:
@@ -90,7 +99,8 @@ def parse(page: str) -> tuple[list[tuple[str, bool, tuple[int, ...]]], list[int]
     Subtrees are numbered in the order they begin; main regions and what holds them, inline elements, empty
     ones, and the page's own outer elements have the hash 0.
     """
-    blocks: list[tuple[str, bool, tuple[int, ...]]] = []
+    blocks: list[tuple[str, bool, tuple[int, ...], tuple[int, ...]]] = []
+    roots: list[tuple[str, tuple[int, ...]]] = []
     regions: list[int] = []
     whole: dict[int, int] = {}
     stack: list[Element] = []
@@ -104,7 +114,7 @@ def parse(page: str) -> tuple[list[tuple[str, bool, tuple[int, ...]]], list[int]
             buffer.clear()
             if text:
                 top = stack[-1] if stack else None
-                blocks.append((text, top is not None and top.chrome, top.path if top is not None else ()))
+                blocks.append((text, top is not None and top.chrome, top.path if top is not None else (), top.hints if top is not None else ()))
 
     def close(to: int) -> None:
         while len(stack) > to:
@@ -161,7 +171,7 @@ def parse(page: str) -> tuple[list[tuple[str, bool, tuple[int, ...]]], list[int]
             continue
         names, hinted = _named(m[3]) if m[3] else ("", False)
         parent = stack[-1] if stack else None
-        chrome = tag in CHROME or hinted or tag == "header" and not (parent is not None and parent.main)
+        chrome = tag in CHROME or tag == "header" and not (parent is not None and parent.main)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, position)
             position = end.end() if end else len(page)
@@ -169,12 +179,18 @@ def parse(page: str) -> tuple[list[tuple[str, bool, tuple[int, ...]]], list[int]
         if m[3].endswith("/") and tag not in BLOCK:
             continue
         hashes.append(0)
-        stack.append(Element(tag, chrome, tag in _REGION, len(hashes) - 1, names, parent))
+        stack.append(Element(tag, chrome, hinted and tag not in _UNHINTED, tag in _REGION, len(hashes) - 1, names, parent))
         regions.append(stack[-1].region)
+        if regions[-1] == len(hashes) - 1:
+            roots.append((tag, stack[-1].hints))
     text(page[position:])
     end_block()
     close(0)
-    return blocks, hashes, regions, whole
+    # hints on what holds the page's main regions are void
+    void = {n for tag, hints in roots if tag == "main" for n in hints}
+    if not any(void.issuperset(hints) for _, hints in roots):
+        void |= {n for _, hints in roots for n in hints}
+    return [(text, chrome or not void.issuperset(hints), path) for text, chrome, path, hints in blocks], hashes, regions, whole
 
 
 def counted_subtrees(page: str) -> dict[int, int]:

@@ -74,3 +74,14 @@ def test_boxes_that_recur_inside_articles_go(spark):
 
 def test_text_outside_a_region_stays():
     assert html.main_text("<body><div class=content><p>The long story</p></div><article><p>Read this too</p></article></body>") == "The long story\nRead this too"
+
+
+def test_hints_do_not_take_the_article():
+    inner = "<h1>Title</h1><p>Text</p>"
+    for page in (
+        f'<body class="single no-sidebar"><article>{inner}</article></body>', f'<body class="sidebar"><p>{inner}</body>', f'<div id=content class="has-sidebar">{inner}</div>',
+        f'<article class="post comment-open">{inner}</article>', f'<article class="post comment">{inner}</article>', f'<div class="widget"><div class="promo-1"><article>{inner}</article></div></div>',
+        f'<div class="widget"><main>{inner}<div class="related"><article>Teaser</article></div></main></div>', f'<main class="alert">{inner}</main><div id="comments"><article class="comment">c</article></div>',
+    ):
+        assert html.main_text(page) == "Title\nText", page
+    assert html.main_text('<div class="box sidebar">s</div><div class="ad-12">a</div><div class="site_footer">f</div><p>Text</p>') == "Text"
