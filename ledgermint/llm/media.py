@@ -1,8 +1,9 @@
 """Media columns: WAV payloads, short-time Fourier transforms and spectral-peak pair fingerprints.
 
 A payload is stored as a mono WAV of unsigned 8-bit samples and read back by the wave module. The
-short-time Fourier transform of its samples (Hann windows) gives a spectrogram; its peaks are local
-maxima over a neighbourhood of frames and bins; every peak is paired with the next peaks in time,
+short-time Fourier transform of its samples (Hann windows that overlap by half, so that every sample
+has the same weight in all; the ends are mirrored) gives a spectrogram; its peaks are local maxima
+over a neighbourhood of frames and bins; every peak is paired with the next peaks in time,
 and each pair is (time, frequency, later frequency, time between), a time-coded array.
 
 Null and empty texts are stored as one padded block. Features depend on the payload alone, so equal
@@ -27,14 +28,14 @@ from .common import small_batches, table
 #: The payload is padded with spaces to a multiple of this many bytes.
 BLOCK = 192
 RATE = 8000
-FRAME, HOP = 512, 512
-#: A peak is the largest of its frame's neighbourhood, this many bins to either side, and exceeds its frame's mean by so much.
+FRAME, HOP = 512, 256
+#: A peak is the largest of this many bins or more to either side, in its frame and the frames beside it, and exceeds its frame's mean by so much.
 BINS, RISE = 16, 3.0
 #: A peak is paired with this many of the peaks that follow it.
 FAN = 2
 #: Frames that are transformed at once; bounds memory.
 FRAMES_AT_ONCE = 1024
-_WINDOW = np.hanning(FRAME).astype(np.float32)
+_WINDOW = np.hanning(FRAME + 1)[:-1].astype(np.float32)
 
 
 def write_wav(payload: bytes, rate: int = RATE) -> bytes:
@@ -55,26 +56,38 @@ def read_wav(media: bytes) -> bytes:
 
 
 def peaks(samples: np.ndarray) -> np.ndarray:
-    """(time, bin) of the spectral peaks, in order; every sample lies in a frame (the last is padded)."""
-    n = max(1, -(-len(samples) // HOP))
-    padded = np.full((n - 1) * HOP + FRAME, 32, np.float32)
-    padded[: len(samples)] = samples
+    """(time, bin) of the spectral peaks, in order; frame t has its middle at sample t * HOP."""
+    n = -(-len(samples) // HOP) + 1
+    padded = _mirrored(samples.astype(np.float32), FRAME // 2, (n - 1) * HOP + FRAME)
     frames = np.lib.stride_tricks.sliding_window_view(padded, FRAME)[::HOP]
     found = []
     for a in range(0, n, FRAMES_AT_ONCE):
-        part = frames[a : a + FRAMES_AT_ONCE]
+        first, end = max(0, a - 1), min(n, a + FRAMES_AT_ONCE)
+        part = frames[first : end + 1]  # with the frames beside
         power = np.abs(np.fft.rfft((part - part.mean(axis=1, keepdims=True)) * _WINDOW)).astype(np.float32)[:, : FRAME // 2]
         cells = power.reshape(len(power), -1, BINS)
         top = cells.argmax(axis=2)
         high = np.take_along_axis(cells, top[:, :, None], 2)[:, :, 0]
         bins = top + np.arange(cells.shape[1]) * BINS
-        # the largest of its cell, larger than the tops of the cells beside it, and well above its frame
-        left, right = np.pad(high, ((0, 0), (1, 0)))[:, :-1], np.pad(high, ((0, 0), (0, 1)))[:, 1:]
-        t, c = np.nonzero((high > left) & (high >= right) & (high > RISE * power.mean(axis=1, keepdims=True)))
-        found.append(np.stack([t + a, bins[t, c]], axis=1))
+        # the largest of its cell, larger than the tops of the cells around it, and well above its frame
+        around = np.pad(high, 1)
+        near = lambda t, c: around[1 + t : 1 + t + len(high), 1 + c : 1 + c + high.shape[1]]
+        peak = high > RISE * power.mean(axis=1, keepdims=True)
+        for c in (-1, 0, 1):
+            peak &= (high > near(-1, c)) & (high >= near(1, c))
+        peak &= (high > near(0, -1)) & (high >= near(0, 1))
+        t, c = np.nonzero(peak[a - first : end - first])
+        found.append(np.stack([t + a, bins[a - first :][t, c]], axis=1))
     return np.concatenate(found)
 
 
+def _mirrored(samples: np.ndarray, before: int, length: int) -> np.ndarray:
+    """`samples` from `before` on in a row of `length`, mirrored at both ends."""
+    if len(samples) < 2:
+        return np.full(length, samples[0] if len(samples) else 32, np.float32)
+    return np.pad(samples, (before, length - before - len(samples)), "reflect")
+
+
 def fingerprint(samples: np.ndarray) -> np.ndarray:
     """Rows of (time, frequency bin, later bin, frames between) for pairs of following peaks, ordered by time."""
     p = peaks(samples)

@@ -85,3 +85,29 @@ def test_hints_do_not_take_the_article():
     ):
         assert html.main_text(page) == "Title\nText", page
     assert html.main_text('<div class="box sidebar">s</div><div class="ad-12">a</div><div class="site_footer">f</div><p>Text</p>') == "Text"
+
+
+def test_every_sample_counts_alike():
+    rng = np.random.default_rng(3)
+    base = rng.integers(97, 123, 8192, dtype=np.uint8)
+
+    def differ(at):
+        changed = base.copy()
+        changed[at : at + 8] = (32, 126) * 4
+        return media.fingerprint(changed).tolist() != media.fingerprint(base).tolist()
+
+    at_edges, between = (sum(differ(k * 512 + shift) for k in range(1, 15)) for shift in (-4, 252))
+    assert at_edges >= 7 and between >= 7
+
+
+def test_peaks_are_the_largest_of_frames_and_bins(monkeypatch):
+    rng = np.random.default_rng(4)
+    samples = rng.integers(0, 256, 60000, dtype=np.uint8)
+    got = media.peaks(samples)
+    cells = {(t, b // media.BINS) for t, b in got.tolist()}
+    assert len(cells) == len(got) > 20
+    assert not any((t + i, c + j) in cells for t, c in cells for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0))
+    monkeypatch.setattr(media, "FRAMES_AT_ONCE", 7)
+    assert media.peaks(samples).tolist() == got.tolist()
+    for n in (0, 1, 2, 191, 255, 256, 257, 513):
+        assert media.peaks(samples[:n]).shape[1] == 2
