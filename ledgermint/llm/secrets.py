@@ -1,8 +1,10 @@
 """Secret scan: fixed credential patterns, and zstandard novelty against primed dictionaries.
 
 Base spans come from three patterns (`assign`, `access`, `hex`). The method adds spans of kind
-`novel`: a candidate is a token with letters and digits that follows a sensitive word closely. A
-zstandard compressor is primed with a dictionary of code and identifiers; the candidate's
+`novel`: a candidate is a token of `LEAST` characters or more that begins closely after a sensitive
+word and mixes letters with digits, or, in a run of letters, capitals with small letters beyond the
+first one. Words in one case, and numbers, are never measured: a compressor has no more explanation for a rare word than
+for a random one, so that secrets of this form are found by the base patterns alone. A zstandard compressor is primed with a dictionary of code and identifiers; the candidate's
 marginal size, compressed(context + candidate) - compressed(context), tells how much of it the
 dictionary and the surrounding text explain. What they do not explain is reported.
 
@@ -36,8 +38,10 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Words that make a context sensitive.
 SENSITIVE_WORDS = ("password", "passwd", "pwd", "passphrase", "secret", "token", "apikey", "api key", "api_key", "api-key", "access key", "access_key", "private key", "private_key", "credential", "bearer", "authorization", "auth_", "session_id", "signature")
 _SENSITIVE = re.compile("|".join(re.escape(w) for w in sorted(SENSITIVE_WORDS, key=len, reverse=True)), re.ASCII | re.IGNORECASE)
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-_RUNS_APART = re.compile(r"[A-Za-z]+|[0-9]+")
+#: Characters of a token that is measured, as many as the base pattern `assign` asks for.
+LEAST = 8
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+_MIXED = re.compile(r"[A-Za-z].*[0-9]|[0-9].*[A-Za-z]|[a-z][A-Za-z]*[A-Z]|[A-Z][A-Za-z]*[A-Z][A-Za-z]*[a-z]")
 
 #: What code and configuration near a secret usually consist of.
 DICTIONARY = """
@@ -81,18 +85,18 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def novel_spans(text: str, novelty: Novelty, taken: list[tuple[str, int, int]], min_share: float, reach: int, context: int) -> list[tuple[str, int, int]]:
-    """Tokens within `reach` characters after a sensitive word that the compressor cannot explain."""
+    """Tokens that begin within `reach` characters after a sensitive word and that the compressor cannot explain."""
     low = text.lower()
     if not any(w in low for w in SENSITIVE_WORDS):
         return []
     found, last = [], 0
     for word in _SENSITIVE.finditer(text):
-        for m in _CANDIDATE.finditer(text, max(word.end(), last), min(len(text), word.end() + reach)):
+        for m in _CANDIDATE.finditer(text, max(word.end(), last), min(len(text), word.end() + reach + LEAST - 1)):
             whole = _CANDIDATE.match(text, m.start())  # a token may reach beyond the window
             a, b = whole.span()
             last = max(last, b)
             token = whole[0]
-            if not (any(c.isdigit() for c in token) and any(c.isalpha() for c in token)) or len(_RUNS_APART.findall(token)) < 4:
+            if not _MIXED.search(token):
                 continue
             if any(a < e and s < b for _, s, e in taken):
                 continue

@@ -48,6 +48,15 @@ def test_novelty_knows_what_it_has_seen():
     assert n.share("token ", "Zx9Qw3Lk7Pf2Vb8Nt5Rm1Hd4") > 0.8 > n.share("token abcdefghijklmnopqrstuvwxyz ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def test_candidates_up_to_the_reach_and_of_all_mixed_forms():
+    n = secrets.Novelty()
+    found = lambda text: [text[a:b] for _, a, b in secrets.novel_spans(text, n, [], 0.55, 64, 256)]
+    long = "Zx9Qw3Lk7Pf2Vb8Nt5Rm1Hd4"
+    assert [k for k in range(1, 70) if found("token" + " " * k + long) == [long]] == list(range(1, 64))
+    assert [found(f"pwd = {t} and so on") for t in ("k7Qz9xLm2Vt", "kQzxLmVtRwPn", "hunterxyz22q")] == [["k7Qz9xLm2Vt"], ["kQzxLmVtRwPn"], ["hunterxyz22q"]]
+    assert not any(found(f"the token of {t} is") for t in ("Configuration", "CONFIGURATION", "representative", "Content-Type", "1234567890", "2023-01-01"))
+
+
 def brute_pii(text):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
