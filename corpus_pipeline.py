@@ -13,12 +13,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgermint.llm.common import bounded, materialise, small_arrow_batches, table
 from ledgermint.llm.decontam import drop_contaminated
-from ledgermint.llm.neardup import near_duplicates
+from ledgermint.llm.neardup import near_duplicates, set_key
 from ledgermint.llm.packing import pack_documents
 from ledgermint.llm.quality import THRESHOLD, learned_rows, quality_score, train_quality_model
 from ledgermint.llm.secrets import redact, secret_spans
@@ -33,18 +33,25 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest id. Five-word shingles, similarity 0.8."""
+    """One document of each near-duplicate group stays: the one with the smallest id. Five-word shingles, similarity 0.8.
+
+    Rows of one id with different texts are judged by their texts, each in its own group.
+    """
     small_arrow_batches(spark)
-    found = near_duplicates(docs, width=5)
+    found = near_duplicates(docs, width=5, keep_keys=True)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    gone = materialise(gone)
-    kept = docs.join(bounded(gone), "doc_id", "left_anti")
-    # Rows that repeat an id are one document: one of them stays.
     repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
     if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+        return docs.join(bounded(materialise(gone)), "doc_id", "left_anti").select(*docs.columns)
+    repeated = materialise(repeated)
+    gone = materialise(gone.join(repeated, "doc_id", "left_anti"))
+    single = docs.join(repeated, "doc_id", "left_anti").join(bounded(gone), "doc_id", "left_anti")
+    # Of rows that repeat both the id and the set of shingles, one stays: the first by its text, then by the hash of the row.
+    first = found.where((F.col("doc_id") == F.col("component_id")) & (F.col("set_key") == F.col("component_key"))).select("doc_id", F.col("set_key").alias("_key")).distinct()
+    keyed = docs.join(repeated, "doc_id", "left_semi").withColumn("_key", set_key(F.col("text"), 5)).join(first, ["doc_id", "_key"], "left_semi")
+    order = Window.partitionBy("doc_id", "_key").orderBy("text", F.xxhash64(*docs.columns))
+    once = keyed.withColumn("_rank", F.row_number().over(order)).where("_rank = 1")
+    return single.select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,6 +21,8 @@ groups. The steps:
 What banding can lose is set by its parameters: at a similarity of 0.8, 32 bands of 4 rows miss a
 pair with probability 5e-8, and the estimate of 128 slots falls below 0.56 with less than 1e-10.
 
+Sets, not ids, are what is linked, so rows of one id with different texts keep the links of each.
+
 Texts without words, and null texts, have empty sets and are linked with nothing. Repeated rows
 share a component. Rows without id are returned with a null component and kept. An empty table
 gives an empty result.
@@ -33,7 +35,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, chunks, materialise, table, utf8
@@ -130,6 +133,34 @@ def _sets_of(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, int, np.n
         yield a, b, *shingle_sets(data[part[0] : part[-1]], part - part[0], width)
 
 
+def set_keys(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """128 bits of each set, as two numbers."""
+    n = np.diff(at)
+    sums = np.zeros((len(n), 2), U64)  # sums of two mixes of distinct elements
+    some = n > 0
+    if some.any():
+        for c, salt in enumerate((1, 2)):
+            sums[some, c] = np.add.reduceat(mix64(s ^ mix64(np.full(1, salt, U64))[0]), at[:-1][some])
+    size = n.astype(U64)
+    return np.stack([mix64(sums[:, 0] + size), mix64(sums[:, 1] ^ size)], axis=1)
+
+
+def _blobs(x: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1] * x.itemsize), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
+
+
+def set_key(text: Column, width: int) -> Column:
+    """The key of each text's set, as `near_duplicates` gives it."""
+
+    @F.arrow_udf("binary")
+    def keys(column: pa.Array) -> pa.Array:
+        data, offsets = utf8(column)
+        parts = (offsets[a : b + 1] for a, b in chunks(offsets))
+        return pa.concat_arrays([pa.array([], pa.binary()), *[_blobs(set_keys(*shingle_sets(data[p[0] : p[-1]], p - p[0], width))) for p in parts]])
+
+    return keys(text)
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, slots: int = SLOTS, bands: int = BANDS) -> DataFrame:
     """(id, n, key, bands, sig) of each row: set size, 128-bit key of the set, band keys, one byte of each slot."""
     rows_each = slots // bands
@@ -140,18 +171,10 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, slots: i
             for a, b, s, at in _sets_of(batch, width):
                 n = np.diff(at)
                 sig = super_minhash(s, at, slots)
-                sums = np.zeros((b - a, 2), U64)  # sums of two mixes of distinct elements
-                some = n > 0
-                if some.any():
-                    for c, salt in enumerate((1, 2)):
-                        sums[some, c] = np.add.reduceat(mix64(s ^ mix64(np.full(1, salt, U64))[0]), at[:-1][some])
-                keys = np.concatenate([sums, n[:, None].astype(U64)], axis=1)
-                keys = np.stack([mix64(keys[:, 0] + keys[:, 2]), mix64(keys[:, 1] ^ keys[:, 2])], axis=1)
                 band = mix64((mix64(sig ^ salts)).reshape(b - a, bands, rows_each).sum(axis=2, dtype=U64) + np.arange(bands, dtype=U64))
                 small = (mix64(sig) >> U64(56)).astype(np.uint8)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a) * bands + 1, bands, dtype=np.int32)), pa.array(band.view(np.int64).reshape(-1)))
-                blob = lambda x: pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1] * x.itemsize), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), blob(keys), flat, blob(small)], ["id", "n", "key", "bands", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), _blobs(set_keys(s, at)), flat, _blobs(small)], ["id", "n", "key", "bands", "sig"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, key binary, bands array<long>, sig binary")
 
@@ -260,39 +283,43 @@ def similar_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list
     return edges
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80, slots: int = SLOTS, bands: int = BANDS, least_equal: int = LEAST_EQUAL, block: int = BLOCK) -> DataFrame:
-    """(id, n_shingles, component_id) of each row: links at a Jaccard similarity of `percent` / 100 or more.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80, slots: int = SLOTS, bands: int = BANDS, least_equal: int = LEAST_EQUAL, block: int = BLOCK, keep_keys: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id[, set_key, component_key]) of each row: links at a Jaccard similarity of `percent` / 100 or more.
 
-    `component_id` is the smallest id that links reach. `least_equal` belongs to the threshold.
+    `component_id` is the smallest id that links reach. `least_equal` belongs to the threshold. `set_key` is
+    that of the row's set, `component_key` the smallest that stands with `component_id` in the component.
     """
     spark = docs.sparkSession
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     signed = materialise(signatures(docs, id_col, text_col, width, slots, bands))
     copies = signed.where("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("rep"))
-    copies = materialise(copies)
-    # The key makes the row of a repeated id unambiguous.
-    reps = signed.where("n > 0").join(copies, (F.col("id") == F.col("rep")) & (signed["key"] == copies["key"]), "left_semi").dropDuplicates(["key"])
+    # Nodes are sets: an id may stand with several texts.
+    copies = materialise(copies.withColumn("node", F.monotonically_increasing_id()))
+    chosen = signed.where("n > 0").withColumnRenamed("id", "rep").join(copies, ["rep", "key"]).dropDuplicates(["key"])
+    reps = materialise(chosen.select(F.col("node").alias("id"), "bands", "sig"))
     banded = reps.select("id", F.posexplode("bands").alias("band", "slot_key"))
     crowded = banded.groupBy("band", "slot_key").agg(F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    members = banded.join(crowded, ["band", "slot_key"]).join(signed.where("n > 0").select("id", "sig").dropDuplicates(["id"]), "id")
+    members = banded.join(crowded, ["band", "slot_key"]).join(reps.select("id", "sig"), "id")
     buckets = members.select("band", "slot_key", "id", "sig").repartition(parts, "band", "slot_key").sortWithinPartitions("band", "slot_key", "id")
     edges = buckets.mapInArrow(lambda batches: _bucket_edges(batches, slots, least_equal), "a long, b long")
     groups = connected_components(materialise(forest(edges)))
 
     groups = materialise(groups)
     large = groups.groupBy("component").agg(F.count("*").alias("members"))
-    dealt = groups.join(large, "component").withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
+    dealt = groups.join(large, "component").join(copies.withColumnRenamed("node", "id"), "id").withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
     dealt = materialise(dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(bounded(dealt.select("id", "component", "blocks", "block")), "id")
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(bounded(dealt), "rep")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, s, at in _sets_of(batch, width):
                 blobs = pa.array([s[x:y].tobytes() for x, y in zip(at, at[1:], strict=False)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), blobs, *[batch.column(k).slice(a, b - a) for k in (2, 3, 4)]], ["id", "elements", "component", "blocks", "block"])
+                cut = pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), blobs, *[batch.column(k).slice(a, b - a) for k in (2, 3, 4)]], ["id", "elements", "component", "blocks", "block"])
+                # of the texts of an id, those whose set is the node's
+                yield cut.filter(pc.equal(_blobs(set_keys(s, at)), batch.column(5).slice(a, b - a)))
 
-    held = texts.select("id", "text", "component", "blocks", "block").mapInArrow(sets, "id long, elements binary, component long, blocks int, block int").dropDuplicates(["id"])
+    held = texts.select("id", "text", "component", "blocks", "block", "key").mapInArrow(sets, "id long, elements binary, component long, blocks int, block int").dropDuplicates(["id"])
     spread = held.select("id", "elements", "component", F.explode(pairs).alias("p")).select("component", (F.col("p.i") * F.lit(1 << 20) + F.col("p.j")).cast("long").alias("pair"), "id", "elements")
     sorted_ = spread.repartition(parts, "component", "pair").sortWithinPartitions("component", "pair", "id")
 
@@ -303,8 +330,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     linked = connected_components(sorted_.mapInArrow(verify, "a long, b long"))
-    final = copies.join(linked.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
-    return signed.select("id", "n", "key").join(final, "key", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    placed = copies.join(linked.withColumnRenamed("id", "node"), "node", "left").select("key", "rep", F.coalesce("component", "node").alias("component"))
+    placed = materialise(placed)
+    first = placed.groupBy("component").agg(F.min(F.struct("rep", "key")).alias("first"))
+    final = placed.join(first, "component").select("key", F.col("first.rep").alias("component_id"), F.col("first.key").alias("component_key"))
+    own = F.col("n") > 0
+    out = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(own, F.col("component_id")).otherwise(F.col("id")).alias("component_id")]
+    keys = [F.col("key").alias("set_key"), F.when(own, F.col("component_key")).otherwise(F.col("key")).alias("component_key")]
+    return signed.select("id", "n", "key").join(final, "key", "left").select(*out, *(keys if keep_keys else []))
 
 
 def op4_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -41,3 +41,11 @@ def test_clashing_and_odd_rows(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert {r.doc_id for r in cp.run(spark, str(tmp_path)).collect()} == {1, 2, 3}
+
+
+def test_a_near_copy_does_not_take_another_text_of_its_id(spark):
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, one), (2, one + " x"), (2, two), (2, two), (3, two + " y"), (4, "some few other words in a row"), (4, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.text or "") for r in cp.near_duplicate_stage(spark, docs, SF).collect())
+    assert got == [(1, one), (2, two), (4, ""), (4, "some few other words in a row")]
