@@ -1,8 +1,6 @@
 """Best-fit packing of tokenised documents into fixed-length sequences.
 
-1. Tokenise and cut (`token_pieces`): ids of a public vocabulary, then an end id. Byte-level BPE
-   splits a text into pieces that are merged independently, so each distinct piece is encoded once
-   per worker and then looked up; the result equals encoding the whole text.
+1. Tokenise and cut (`token_pieces`): ids of a public vocabulary (`tokens`), then an end id.
    A document longer than a sequence is cut into full pieces; its first piece takes the rest and
    may be shorter. Full pieces are sequences of their own.
 2. Pack (`best_fit_pack`): shorter pieces are dealt by a hash of the id into groups of bounded size
@@ -15,7 +13,6 @@ they occur. A null id is kept. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,59 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, table, utf8
+from .tokens import encoder_of
 
 CAPACITY, END_ID = 1024, 2
 #: Rows that one group packs; more rows make more groups.
 GROUP_ROWS = 1 << 17
-#: Entries that a worker's cache of encoded pieces holds before it starts anew (memory against time); longer pieces are not kept.
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 64
-
-
-#: The splitting pattern of the vocabulary in terms of Python's `re`, which is faster than `regex`. The two agree on
-#: texts without the characters of _ODD: numerals that are not digits, and what lies beyond the Latin letters.
-_LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_ODD = re.compile("[²³¹¼½¾\u0250-\U0010ffff]")
-#: White space to `re` but not to the tokenizer; texts with these are encoded whole.
-_CONTROL = re.compile("[\x1c-\x1f]")
-
-
-class PieceEncoder:
-    """Token ids of a text as little-endian 32-bit bytes, by encoding each distinct piece once."""
-
-    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
-        import regex
-        from public_tokenizers import PATTERN
-        from tokenizers import Tokenizer
-
-        self._split, self._latin = regex.compile(PATTERN).findall, _LATIN.findall
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-
-        def ids(text: str) -> bytes:
-            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-        merge = tokenizer.model.tokenize
-
-        class Known(dict):
-            def __missing__(self, piece: str) -> bytes:
-                if piece.isascii() and piece.isprintable():  # byte-level BPE writes these as themselves, and a space as Ġ
-                    out = np.array([t.id for t in merge(piece.replace(" ", "Ġ"))], "<u4").tobytes()
-                else:
-                    out = ids(piece)
-                if len(piece) <= CACHE_CHARS:
-                    if len(self) >= entries:
-                        self.clear()
-                    self[piece] = out
-                return out
-
-        self._ids, self._known = ids, Known()
-
-    def encode(self, text: str) -> bytes:
-        if _CONTROL.search(text):
-            return self._ids(text)
-        pieces = self._latin(text) if text.isascii() or not _ODD.search(text) else self._split(text)
-        return b"".join(map(self._known.__getitem__, pieces))
+#: Distinct pieces that a worker keeps the ids of before it starts anew (memory against time).
+CACHE_ENTRIES = 1_000_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -94,13 +46,13 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     most = 1 << 21  # bytes of ids in a batch that leaves, about
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer_path(vocabulary), cache_entries)
-        end = np.array([end_id], "<u4").tobytes()
-        rows: list[tuple[int, int, int, int, bytes]] = []
+        encoder = encoder_of(tokenizer_path(vocabulary), cache_entries)
+        end = np.array([end_id], "<u4")
+        rows: list[tuple[int, int, int, int, int, bytes]] = []
 
         def leave(keys: pa.Array) -> pa.RecordBatch:
-            at, piece, start, crc, ids = zip(*rows, strict=True)
-            cols = [keys.take(pa.array(at)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(crc, pa.int64())]
+            at, piece, start, length, crc, ids = zip(*rows, strict=True)
+            cols = [keys.take(pa.array(at)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             names = [id_col, "piece", "start", "length", "ids_crc32"]
             if keep_ids:
                 cols.append(pa.array(ids, pa.binary()))
@@ -110,14 +62,15 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         for batch in batches:
             size = 0
-            for i, text in enumerate(batch.column(1)):
-                blob = encoder.encode(text.as_py() or "") + end
-                n = len(blob) // 4
-                cuts = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
-                for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    ids = blob[4 * x : 4 * y]
-                    rows.append((i, k, x, zlib.crc32(ids), ids))
-                    size += len(ids)
+            for i, found in enumerate(encoder.rows(*utf8(batch.column(1)))):
+                whole = np.concatenate([found.astype("<u4", copy=False), end])
+                n, at = len(whole), 0
+                stop = (n - 1) % capacity + 1
+                for k in range(-(-n // capacity)):
+                    ids = whole[at:stop].tobytes()
+                    rows.append((i, k, at, stop - at, zlib.crc32(ids), ids if keep_ids else b""))
+                    at, stop = stop, stop + capacity
+                    size += len(rows[-1][5]) + 64
                     if size >= most:
                         yield leave(batch.column(0))
                         size = 0

@@ -1,8 +1,12 @@
+import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
-from ledgermint.llm.packing import BestFit, PieceEncoder, pack_documents, tokenizer_path
+import pyarrow as pa
+from ledgermint.llm.common import utf8
+from ledgermint.llm.packing import BestFit, pack_documents, tokenizer_path
+from ledgermint.llm.tokens import BatchEncoder
 
 SCHEMA = "doc_id long, text string, length string"
 ROWS = [(1, "hello world", "x"), (2, None, "x"), (3, "", "x"), (4, "secret é € 漢字 " * 900, "x"), (5, "hello world", "x"), (5, "hello world", "x"), (None, "no id", None)]
@@ -16,10 +20,20 @@ def tokenizer():
     return t
 
 
-def test_pieces_are_encoded_like_whole_texts():
-    encoder, t = PieceEncoder(tokenizer_path()), tokenizer()
-    for text in ["it's  we've\n\n x\t\ty ", "½ ² x3 Ⅷ 一二 三", "a\x1cb \x1f c", "<|endoftext|> x", " “q” — € 12٣", "", " ", "_x_ __ a_b", "😀 ok😀", "Ünïcode ÿ 'S's"]:
-        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+def encoded(texts, **options):
+    return [ids.tolist() for ids in BatchEncoder(tokenizer_path(), **options).rows(*utf8(pa.array(texts, pa.string())))]
+
+
+def test_batches_are_encoded_like_whole_texts(monkeypatch):
+    t, rng = tokenizer(), random.Random(5)
+    texts = ["it's  we've\n\n x\t\ty ", "½ ² x3 Ⅷ 一二 三", "a\x1cb \x1f c", "<|endoftext|> x", " “q” — € 12٣", "", None, " ", "_x_ __ a_b", "😀 ok😀", "Ünïcode ÿ 'S's", "x" * 300 + " y" * 80, "\x85\xa0 ", "''s 'll'd"]
+    marks = [*"abz'srtmdvel  \n\t19_-.,\"’“—…€é×÷ßøŁſƀɐ²ºª\xa0\x85\x1c\x00\x7f漢😀", "'re", "'ve", "'ll", " '", "\n "]
+    texts += ["".join(rng.choice(marks) for _ in range(rng.randrange(40))) for _ in range(4000)]
+    whole = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert encoded(texts) == whole
+    assert encoded(texts, entries=300, longest=3) == whole  # the table starts anew again and again
+    monkeypatch.setattr("ledgermint.llm.tokens.SPLIT_BYTES", 64)  # long texts are cut
+    assert encoded([" ".join(x for x in texts if x), None, "a b"]) == [t.encode(x, add_special_tokens=False).ids for x in (" ".join(x for x in texts if x), "", "a b")]
 
 
 def test_round_trip_and_places(spark):
