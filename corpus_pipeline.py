@@ -73,7 +73,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, tokenised and packed best-fit into sequences of at most 1024 tokens: one row per piece, with its ids."""
     small_arrow_batches(spark)
-    return pack_documents(docs, keep_ids=True, cache_entries=80_000)  # the stages before leave their workers' memory in use
+    return pack_documents(docs, keep_ids=True, cache_entries=500_000)  # the stages before leave their workers' memory in use
 
 
 STAGES = [
