@@ -10,13 +10,20 @@ groups. The steps:
    below the next step. All elements of a batch of texts take a step together.
 2. Fold exact copies. Equal sets share a key; one row of each key goes on, so a text that holds a
    third of all rows costs one row. (`min` is summed before it is shuffled.)
-3. Band. Rows of a band with equal slots meet in a bucket. Inside a bucket, signatures are compared
-   and rows whose estimate is near the threshold or above are joined by union-find. Only forest
-   edges leave a bucket, never its pairs.
+3. Band. Rows of a band with equal slots form a bucket; its leader is the smallest of them (a sum
+   before the shuffle). Each row's signature is compared with those of its buckets' leaders, and an
+   estimate near the threshold or above is a candidate edge. A row far from a leader is open in that
+   bucket: there it is compared with all rows, dealt into blocks, so that no bucket meets in one task
+   and no bucket's pairs are ever listed. Only forest edges leave a block.
 4. Candidate groups are the components of those edges. Every link of step 5 lies inside one.
-5. Verify. The members' whole sets are compared within the group; a group beyond `BLOCK` members is
-   cut into blocks, and each pair of blocks is a task of its own. Pairs already connected are
-   skipped, and again only forest edges leave. Their components are the result.
+5. Verify on whole sets. A group is dealt into blocks of `BLOCK` members, the group's leader stands in
+   each, and the members of a block are compared with one another. Where that leaves a group in several
+   classes, the members outside the largest one are compared with those of all other blocks. Again
+   only forest edges leave; their components are the result.
+
+Rows that leave a task grow with a group's members, and with members x blocks only for those that
+neither a leader nor a block connects. The joins on hot keys (a leader's signature, a bucket's rows)
+are equi-joins, which Spark splits where they are skewed.
 
 What banding can lose is set by its parameters: at a similarity of 0.8, 32 bands of 4 rows miss a
 pair with probability 5e-8, and the estimate of 128 slots falls below 0.56 with less than 1e-10.
@@ -38,6 +45,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded, chunks, materialise, table, utf8
 from .components import UnionFind, connected_components, forest
@@ -46,10 +54,8 @@ from .kernels import U64, mix64, word_hashes
 SLOTS, BANDS = 128, 32
 #: Slots of two signatures that must agree for a pair to be verified, for a similarity of 0.8.
 LEAST_EQUAL = 72
-#: Members of a candidate group that one task verifies against each other.
-BLOCK = 2048
-#: Rows of a bucket that are compared at once.
-_ROWS_AT_ONCE = 1 << 14
+#: Members of a candidate group, or rows of a bucket, that are compared with each other at once.
+BLOCK = 256
 #: Steps whose permutation is followed through the swaps; after them it is written out.
 _FOLLOWED = 6
 _NEVER = U64(0xFFFFFFFFFFFFFFFF)
@@ -202,44 +208,46 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+@F.arrow_udf(T.IntegerType())
+def slots_alike(a: pa.Array, b: pa.Array) -> pa.Array:
+    """The slots in which two signatures of one byte a slot agree."""
+    x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8) for c in (a, b))
+    return pa.array((x == y).reshape(len(a), -1).sum(axis=1) if len(a) else [], pa.int32())
 
 
-def bucket_links(ids: np.ndarray, sig: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Forest edges over rows whose signatures agree in `least` slots or more; each row that is not yet connected meets all others."""
-    n = len(ids)
-    if n == 2:
-        return [(int(ids[0]), int(ids[1]))] if (sig[0] == sig[1]).sum() >= least else []
-    group, edges = np.arange(n), []
-    for i in range(n - 1):
-        others = np.flatnonzero(group != group[i])
-        if not len(others):
-            break
-        others = others[others > i]
-        for a in range(0, len(others), _ROWS_AT_ONCE):
-            part = others[a : a + _ROWS_AT_ONCE]
-            for j in part[(sig[part] == sig[i]).sum(axis=1) >= least]:
-                if group[j] != group[i]:
-                    group[group == group[j]] = group[i]
-                    edges.append((int(ids[i]), int(ids[j])))
-    return edges
-
-
-def _bucket_edges(batches: Iterator[pa.RecordBatch], slots: int, least: int) -> Iterator[pa.RecordBatch]:
-    out: list[tuple[int, int]] = []
-    flush = lambda: pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], ["a", "b"])
-    for group in _groups(batches, 2):
-        if group.num_rows > 1:
-            out += bucket_links(group.column(2).to_numpy(), _matrix(group.column(3), slots), least)
-        if len(out) > 1 << 16:
-            yield flush()
-            out.clear()
-    yield flush()
-
-
-def similar_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Forest edges over sets with 100 * intersection >= percent * union, found by whole sets."""
+class _Forest:
+    """Edges between rows that are not yet connected; rows of one id, or one given class, are connected at first."""
+
+    def __init__(self, ids: np.ndarray, classes: np.ndarray | None = None):
+        self.ids, self.edges = ids, []
+        self.group = np.unique(ids if classes is None else classes, return_inverse=True)[1]
+
+    def link(self, i: int, others: np.ndarray) -> None:
+        group = self.group
+        for j in others:
+            if group[j] != group[i]:
+                group[group == group[j]] = group[i]
+                self.edges.append((int(self.ids[i]), int(self.ids[j])))
+
+
+def bucket_links(ids: np.ndarray, sig: np.ndarray, seeks: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Forest edges between the rows that seek and all rows whose signatures agree with theirs in `least` slots or more."""
+    forest_ = _Forest(ids)
+    for i in np.flatnonzero(seeks):
+        others = np.flatnonzero(forest_.group != forest_.group[i])
+        forest_.link(i, others[(sig[others] == sig[i]).sum(axis=1) >= least])
+    return forest_.edges
+
+
+def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def similar_links(ids: np.ndarray, sets: list[np.ndarray], percent: int, seeks: np.ndarray | None = None, classes: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Forest edges over sets with 100 * intersection >= percent * union, found by whole sets.
+
+    With `seeks`, only pairs with a row that seeks are compared; with `classes`, none within a class.
+    """
     n = len(ids)
     sizes = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
@@ -249,13 +257,6 @@ def similar_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list
     _, token = np.unique(token[shared], return_inverse=True)
     owner = owner[shared]
     width = -(-max(1, int(token.max(initial=-1)) + 1) // 64)
-    group, edges = np.arange(n), []
-
-    def link(i: int, others: np.ndarray, common: np.ndarray) -> None:
-        for j in others[100 * common >= percent * (sizes[i] + sizes[others] - common)]:
-            if group[j] != group[i]:
-                group[group == group[j]] = group[i]
-                edges.append((int(ids[i]), int(ids[j])))
 
     if n * width * 8 <= 1 << 26:
         bits = np.zeros((n, width), U64)
@@ -270,17 +271,114 @@ def similar_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list
             lists = [owners[starts[t] : ends[t]] for t in token[mine[i] : mine[i + 1]]]
             return np.bincount(np.concatenate(lists), minlength=n)[others] if lists else np.zeros(len(others), np.int64)
 
-    for i in range(n - 1):
-        others = np.flatnonzero(group != group[i])
-        others = others[others > i]
+    forest_ = _Forest(ids, classes)
+    for i in range(n - 1) if seeks is None else np.flatnonzero(seeks):
+        others = np.flatnonzero(forest_.group != forest_.group[i])
+        others = others if seeks is not None else others[others > i]
         low, high = percent * sizes[i], 100 * sizes[i]  # sizes that can reach the threshold
         others = others[(100 * sizes[others] >= low) & (percent * sizes[others] <= high)]
-        for a in range(0, len(others), 4096):
-            part = others[a : a + 4096]
-            part = part[group[part] != group[i]]
-            if len(part):
-                link(i, part, counts(i, part))
-    return edges
+        if len(others):
+            common = counts(i, others)
+            forest_.link(i, others[100 * common >= percent * (sizes[i] + sizes[others] - common)])
+    return forest_.edges
+
+
+def _dealt(rows: DataFrame, number: str, seek: Column, seek_number: str, block: int) -> DataFrame:
+    """`rows` (with the row's `id`, the rows and the seeking rows of its group) dealt so that each seeking row meets every row of its group.
+
+    Rows go to one of `number` / `block` blocks, once for each block of seeking rows; these go to one of
+    theirs, once for each block of rows. Adds `held`, `sought` (the blocks) and `seeks`.
+    """
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / block)).cast("int")
+    of = lambda c: F.pmod(F.xxhash64("id"), blocks(c)).cast("int")
+    every = lambda c: F.sequence(F.lit(0), blocks(c) - 1)
+    places = F.transform(every(seek_number), lambda s: F.struct(of(number).alias("held"), s.alias("sought"), F.lit(False).alias("seeks")))
+    seeking = F.transform(every(number), lambda h: F.struct(h.alias("held"), of(seek_number).alias("sought"), F.lit(True).alias("seeks")))
+    return rows.select("*", F.inline(F.when(seek, F.concat(places, seeking)).otherwise(places)))
+
+
+def candidate_edges(reps: DataFrame, least: int, block: int, parts: int) -> DataFrame:
+    """(a, b): forest edges of rows (id, bands, sig) that share a bucket and agree in `least` slots or more."""
+    banded = reps.select("id", F.posexplode("bands").alias("band", "slot_key"))
+    crowded = banded.groupBy("band", "slot_key").agg(F.count("*").alias("rows"), F.min("id").alias("leader")).where("rows > 1")
+    members = materialise(banded.join(crowded, ["band", "slot_key"]).where("id <> leader"))
+    sigs = reps.select("id", "sig")
+    pairs = members.select("id", "leader").distinct().join(sigs, "id").join(sigs.select(F.col("id").alias("leader"), F.col("sig").alias("leader_sig")), "leader")
+    rated = materialise(pairs.select("id", "leader", slots_alike("sig", "leader_sig").alias("alike")))
+    near = rated.where(F.col("alike") >= least).select(F.col("id").alias("a"), F.col("leader").alias("b"))
+    # rows far from the leader of a bucket of three rows or more meet all its rows
+    far = materialise(members.where("rows > 2").join(rated.where(F.col("alike") < least), ["id", "leader"]).select("band", "slot_key", "id"))
+    lost = far.groupBy("band", "slot_key").agg(F.count("*").alias("open"))
+    rest = members.join(lost, ["band", "slot_key"]).join(far.withColumn("far", F.lit(True)), ["band", "slot_key", "id"], "left")
+    dealt = _dealt(rest, "rows", F.col("far").isNotNull(), "open", block).select("band", "slot_key", "held", "sought", "id", "seeks")
+    keys = ["band", "slot_key", "held", "sought"]
+    met = dealt.join(sigs, "id").select(*keys, "id", "seeks", "sig").repartition(parts, *keys).sortWithinPartitions(*keys, "id")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        for group in _groups(batches, 4):
+            ids, seeks = group.column(4).to_numpy(), group.column(5).to_numpy()
+            if len(ids) > 1:
+                out += bucket_links(ids, np.frombuffer(b"".join(group.column(6).to_pylist()), np.uint8).reshape(len(ids), -1), seeks, least)
+            if len(out) > 1 << 16:
+                yield _edge_batch(out)
+                out = []
+        yield _edge_batch(out)
+
+    return near.union(met.mapInArrow(compare, "a long, b long"))
+
+
+def member_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, width: int) -> DataFrame:
+    """`wanted` (id, rep, key and more) with `elements`: the set of each node, from the text whose set has its key."""
+    more = [c for c in wanted.columns if c not in ("id", "rep", "key")]
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(bounded(wanted), "rep")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, s, at in _sets_of(batch, width):
+                blobs = pa.array([s[x:y].tobytes() for x, y in zip(at, at[1:], strict=False)], pa.binary())
+                cut = pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), blobs, *[batch.column(k).slice(a, b - a) for k in range(3, 3 + len(more))]], ["id", "elements", *more])
+                # of the texts of an id, those whose set is the node's
+                yield cut.filter(pc.equal(_blobs(set_keys(s, at)), batch.column(2).slice(a, b - a)))
+
+    kinds = dict(wanted.dtypes)
+    schema = ", ".join(["id long", "elements binary", *[f"{c} {kinds[c]}" for c in more]])
+    return texts.select("id", "text", "key", *more).mapInArrow(sets, schema).dropDuplicates(["id"])
+
+
+def verified_edges(sets: DataFrame, keys: list[str], percent: int, parts: int) -> DataFrame:
+    """(a, b): forest edges of sets (keys, id, elements[, seeks, class]) that stand under equal keys and reach the threshold."""
+    extra = [c for c in ("seeks", "class") if c in sets.columns]
+    met = sets.select(*keys, "id", "elements", *extra).repartition(parts, *keys).sortWithinPartitions(*keys, "id")
+    at = len(keys)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, at):
+            elements = [np.frombuffer(x, U64) for x in group.column(at + 1).to_pylist()]
+            yield _edge_batch(similar_links(group.column(at).to_numpy(), elements, percent, *[group.column(at + 2 + k).to_numpy() for k in range(len(extra))]))
+
+    return met.mapInArrow(verify, "a long, b long")
+
+
+def linked_sets(docs: DataFrame, id_col: str, text_col: str, groups: DataFrame, width: int, percent: int, block: int, parts: int) -> DataFrame:
+    """(id, component) of the nodes in `groups` (id, component, rep, key) that links connect, verified on whole sets."""
+    large = groups.groupBy("component").agg(F.count("*").alias("members"))
+    sized = materialise(groups.join(large, "component").withColumn("blocks", F.ceil(F.col("members") / block).cast("int")))
+    places = F.when(F.col("id") == F.col("component"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    sets = member_sets(docs, id_col, text_col, sized.select("id", "rep", "key", "component", "blocks"), width)
+    first = materialise(verified_edges(sets.select("component", "id", "elements", F.explode(places).alias("block")), ["component", "block"], percent, parts))
+    linked = connected_components(first)
+    # groups of several blocks that are not one class yet: what stands outside the largest class meets all others
+    classes = sized.where("blocks > 1").join(linked.withColumnRenamed("component", "class"), "id", "left").withColumn("class", F.coalesce("class", "id"))
+    counts = classes.groupBy("component", "class").agg(F.count("*").alias("n"))
+    tops = counts.groupBy("component").agg(F.count("*").alias("classes"), F.max_by("class", F.struct("n", -F.col("class"))).alias("top"), F.max("n").alias("most")).where("classes > 1")
+    open_ = materialise(classes.join(tops, "component").withColumn("open", F.col("members") - F.col("most")))
+    if open_.isEmpty():
+        return linked
+    sets = member_sets(docs, id_col, text_col, open_.select("id", "rep", "key", "component", "class", "top", "members", "open"), width)
+    dealt = _dealt(sets, "members", F.col("class") != F.col("top"), "open", block)
+    second = verified_edges(dealt, ["component", "held", "sought"], percent, parts)
+    return connected_components(first.union(second))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80, slots: int = SLOTS, bands: int = BANDS, least_equal: int = LEAST_EQUAL, block: int = BLOCK, keep_keys: bool = False) -> DataFrame:
@@ -297,39 +395,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = materialise(copies.withColumn("node", F.monotonically_increasing_id()))
     chosen = signed.where("n > 0").withColumnRenamed("id", "rep").join(copies, ["rep", "key"]).dropDuplicates(["key"])
     reps = materialise(chosen.select(F.col("node").alias("id"), "bands", "sig"))
-    banded = reps.select("id", F.posexplode("bands").alias("band", "slot_key"))
-    crowded = banded.groupBy("band", "slot_key").agg(F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    members = banded.join(crowded, ["band", "slot_key"]).join(reps.select("id", "sig"), "id")
-    buckets = members.select("band", "slot_key", "id", "sig").repartition(parts, "band", "slot_key").sortWithinPartitions("band", "slot_key", "id")
-    edges = buckets.mapInArrow(lambda batches: _bucket_edges(batches, slots, least_equal), "a long, b long")
-    groups = connected_components(materialise(forest(edges)))
-
-    groups = materialise(groups)
-    large = groups.groupBy("component").agg(F.count("*").alias("members"))
-    dealt = groups.join(large, "component").join(copies.withColumnRenamed("node", "id"), "id").withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
-    dealt = materialise(dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(bounded(dealt), "rep")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, s, at in _sets_of(batch, width):
-                blobs = pa.array([s[x:y].tobytes() for x, y in zip(at, at[1:], strict=False)], pa.binary())
-                cut = pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), blobs, *[batch.column(k).slice(a, b - a) for k in (2, 3, 4)]], ["id", "elements", "component", "blocks", "block"])
-                # of the texts of an id, those whose set is the node's
-                yield cut.filter(pc.equal(_blobs(set_keys(s, at)), batch.column(5).slice(a, b - a)))
-
-    held = texts.select("id", "text", "component", "blocks", "block", "key").mapInArrow(sets, "id long, elements binary, component long, blocks int, block int").dropDuplicates(["id"])
-    spread = held.select("id", "elements", "component", F.explode(pairs).alias("p")).select("component", (F.col("p.i") * F.lit(1 << 20) + F.col("p.j")).cast("long").alias("pair"), "id", "elements")
-    sorted_ = spread.repartition(parts, "component", "pair").sortWithinPartitions("component", "pair", "id")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, 2):
-            elements = [np.frombuffer(x, U64) for x in group.column(3).to_pylist()]
-            found = similar_links(group.column(2).to_numpy(), elements, percent)
-            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    linked = connected_components(sorted_.mapInArrow(verify, "a long, b long"))
+    groups = connected_components(materialise(forest(candidate_edges(reps, least_equal, block, parts))))
+    groups = materialise(groups.join(copies.withColumnRenamed("node", "id"), "id"))
+    linked = linked_sets(docs, id_col, text_col, groups, width, percent, block, parts)
     placed = copies.join(linked.withColumnRenamed("id", "node"), "node", "left").select("key", "rep", F.coalesce("component", "node").alias("component"))
     placed = materialise(placed)
     first = placed.groupBy("component").agg(F.min(F.struct("rep", "key")).alias("first"))

@@ -114,3 +114,23 @@ def test_an_id_with_several_texts_keeps_the_links_of_each(spark):
     rows = [(1, one), (1, two), (2, one + " x"), (3, two + " y"), (4, "quite another text of some words")]
     got = sorted((r.doc_id, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def test_a_crowded_bucket_of_several_groups(spark):
+    """All documents share a passage, so that their rows meet in buckets; chains of copies drift away from the first one."""
+    rng, rows, i = np.random.default_rng(8), [], 0
+    passage = [f"p{k}" for k in range(90)]
+    for group in range(6):
+        words = passage + [f"g{group}x{k}" for k in range(60)]
+        for _ in range(14):
+            words = list(words)
+            words[int(rng.integers(len(words)))] = f"e{rng.integers(10**6)}"
+            rows.append((i, " ".join(words)))
+            i += 1
+    rng.shuffle(rows)
+    rows = [(int(a), b) for a, b in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = {i: c for i, (_, c) in brute(rows).items()}
+    assert len(set(expected.values())) < len(rows)
+    for block in (4, 256):
+        assert {r.doc_id: r.component_id for r in near_duplicates(docs, block=block).collect()} == expected
