@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,9 +25,13 @@ from .secrets import SPAN_TYPE, joined
 
 #: The kinds, in order.
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+#: The base patterns are `[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+`, `[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)`,
+#: `[0-9]([\x20-]?[0-9])+` and `\+[0-9][\x20().0-9-]+[0-9]`. Below they stand in forms that find the same spans in time
+#: that grows with the text alone: an address is found from its sign, and no run is tried again from its middle.
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
@@ -48,11 +53,12 @@ DIGIT_WORDS = {
 }
 _AT_WORDS, _DOT_WORDS = "at|arroba|arobase|ät", "dot|punto|punkt|point"
 _ODD = re.compile("[" + re.escape("".join(LOOKALIKES)) + INVISIBLE + DASHES + " ․ 。！-～﹒﹫٠-٩۰-۹०-९⁰-₉Ⓐ-ⓩ①-⑨⓪\U0001d400-\U0001d7ff]")
-_AT_MARK = re.compile(rf"\s*(?:\(\s*(?:{_AT_WORDS}|@)\s*\)|\[\s*(?:{_AT_WORDS}|@)\s*\]|\{{\s*(?:{_AT_WORDS}|@)\s*\}}|<\s*(?:{_AT_WORDS}|@)\s*>)\s*", re.IGNORECASE)
-_DOT_MARK = re.compile(rf"\s*(?:\(\s*(?:{_DOT_WORDS}|\.)\s*\)|\[\s*(?:{_DOT_WORDS}|\.)\s*\]|\{{\s*(?:{_DOT_WORDS}|\.)\s*\}}|<\s*(?:{_DOT_WORDS}|\.)\s*>)\s*", re.IGNORECASE)
-_BRACKETED = re.compile(rf"[(\[{{<]\s*(?:{_AT_WORDS}|{_DOT_WORDS}|@|\.)\s*[)\]}}>]", re.IGNORECASE)
+#: Marks in brackets; white space before them is taken as well, see `_marks`.
+_AT_MARK = re.compile(rf"(?:\(\s*+(?:{_AT_WORDS}|@)\s*+\)|\[\s*+(?:{_AT_WORDS}|@)\s*+\]|\{{\s*+(?:{_AT_WORDS}|@)\s*+\}}|<\s*+(?:{_AT_WORDS}|@)\s*+>)\s*+", re.IGNORECASE)
+_DOT_MARK = re.compile(rf"(?:\(\s*+(?:{_DOT_WORDS}|\.)\s*+\)|\[\s*+(?:{_DOT_WORDS}|\.)\s*+\]|\{{\s*+(?:{_DOT_WORDS}|\.)\s*+\}}|<\s*+(?:{_DOT_WORDS}|\.)\s*+>)\s*+", re.IGNORECASE)
+_BRACKETED = re.compile(rf"[(\[{{<]\s*+(?:{_AT_WORDS}|{_DOT_WORDS}|@|\.)\s*+[)\]}}>]", re.IGNORECASE)
 #: name at host dot tld, in words; each may instead be a sign with spaces around it.
-_WORDED = re.compile(rf"(?<![\w.+-])[A-Za-z0-9._%+-]+(?P<at>\s+(?:{_AT_WORDS}|@)\s+|\s*@\s*)[A-Za-z0-9-]+(?P<rest>(?:(?:\s+(?:{_DOT_WORDS}|\.)\s+|\.)[A-Za-z0-9-]+)*(?:\s+(?:{_DOT_WORDS}|\.)\s+)[A-Za-z0-9-]+)", re.IGNORECASE)
+_WORDED = re.compile(rf"(?<![\w.%+-])[A-Za-z0-9._%+-]++(?P<at>\s+(?:{_AT_WORDS}|@)\s+|\s*@\s*)[A-Za-z0-9-]+(?P<rest>(?:(?:\s+(?:{_DOT_WORDS}|\.)\s+|\.)[A-Za-z0-9-]+)*(?:\s+(?:{_DOT_WORDS}|\.)\s+)[A-Za-z0-9-]+)", re.IGNORECASE)
 _WORDED_DOT = re.compile(rf"\s+(?:{_DOT_WORDS}|\.)\s+", re.IGNORECASE)
 _DIGIT_WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _SPELLED = re.compile(rf"(?<!\w)(?:(?:plus|\+)[\s,-]*)?(?:(?:{_DIGIT_WORD}|[0-9]+)(?:[\s,-]+|\s+(?:{_DOT_WORDS})\s+|\s*\.\s*))*(?:{_DIGIT_WORD}|[0-9]+)(?!\w)", re.IGNORECASE)
@@ -76,11 +82,25 @@ def _small(part: str) -> bool:
     return len(part) < 4 and int(part or 0) <= 255
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """The spans of addresses: for each sign, the local part that ends there and the domain that follows."""
+    last, sign = 0, text.find("@")
+    while sign >= 0:
+        start = sign
+        while start > last and text[start - 1] in _LOCAL:
+            start -= 1
+        m = _DOMAIN.match(text, sign + 1) if start < sign else None
+        if m:
+            yield start, m.end()
+        last = m.end() if m else sign + 1
+        sign = text.find("@", last)
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """The spans of the base patterns, by kind, then start."""
     found: list[tuple[str, int, int]] = []
     if "@" in text:
-        found += [("email", *m.span()) for m in EMAIL.finditer(text)]
+        found += [("email", a, b) for a, b in emails(text)]
     if _DIGIT.search(text):
         if "." in text:
             found += [("ip", *m.span()) for m in IP.finditer(text) if all(map(_small, m[0].split(".")))]
@@ -95,38 +115,62 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 class Mapped:
-    """A text under rewriting: its characters, and the source span of each."""
+    """A text under rewriting. Each pass keeps its edits, so a place is led back through the passes; memory grows with the edits."""
 
     def __init__(self, text: str):
-        self.text, self.changed = text, []
-
-    def _begin(self) -> None:
-        n = len(self.text)
-        self.starts, self.ends, self.changed = list(range(n)), list(range(1, n + 1)), [False] * n
+        self.text, self.passes = text, []
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replace each [a, b) by a string; edits are in order and do not overlap."""
         if not edits:
             return
-        if not self.changed:
-            self._begin()
-        text, starts, ends, changed, at = [], [], [], [], 0
+        text, at, shift, places = [], 0, 0, ([], [], [], [])
         for a, b, new in edits:
-            text.append(self.text[at:a])
-            starts += self.starts[at:a]
-            ends += self.ends[at:a]
-            changed += self.changed[at:a]
-            text.append(new)
-            starts += [self.starts[a]] * len(new)
-            ends += [self.ends[b - 1]] * len(new)
-            changed += [True] * len(new)
-            at = b
+            text += (self.text[at:a], new)
+            for values, value in zip(places, (a, b, a + shift, a + shift + len(new)), strict=True):
+                values.append(value)
+            at, shift = b, shift + len(new) - (b - a)
         self.text = "".join(text) + self.text[at:]
-        self.starts, self.ends, self.changed = starts + self.starts[at:], ends + self.ends[at:], changed + self.changed[at:]
+        self.passes.append(places)
 
     def source(self, a: int, b: int) -> tuple[int, int]:
-        return (a, b) if not self.changed else (self.starts[a], self.ends[b - 1])
-
+        """The source span of [a, b), which is not empty; a character that an edit made stands for all that the edit replaced."""
+        last = b - 1
+        for starts, ends, new_starts, new_ends in reversed(self.passes):
+            k = bisect_right(new_starts, a) - 1
+            a = a if k < 0 else starts[k] if a < new_ends[k] else ends[k] + a - new_ends[k]
+            k = bisect_right(new_starts, last) - 1
+            last = last if k < 0 else ends[k] - 1 if last < new_ends[k] else ends[k] + last - new_ends[k]
+        return a, last + 1
+
+    def place(self, i: int) -> int:
+        """Where the last pass moved a place between its edits."""
+        starts, ends, _, new_ends = self.passes[-1]
+        k = bisect_right(ends, i) - 1
+        return i if k < 0 else new_ends[k] + i - ends[k]
+
+
+class Spans:
+    """Intervals, and whether another one overlaps any of them. Added ones may overlap what is there."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]] = ()):
+        self.starts, self.ends = [], []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b) - 1
+        return k >= 0 and self.ends[k] > a
+
+    def add(self, a: int, b: int) -> None:
+        """Adds an interval that meets none."""
+        k = bisect_left(self.starts, a)
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
 
 
 def plain(c: str) -> str:
@@ -149,11 +193,23 @@ def _homoglyphs(m: Mapped) -> None:
     m.rewrite([(x.start(), x.end(), new) for x in _ODD.finditer(m.text) if (new := plain(x[0])) != x[0]])
 
 
+def _marks(pattern: re.Pattern, text: str, new: str) -> list[tuple[int, int, str]]:
+    """Edits that put `new` in the place of each mark and the white space around it."""
+    edits, last = [], 0
+    for x in pattern.finditer(text):
+        a = x.start()
+        while a > last and text[a - 1].isspace():
+            a -= 1
+        last = x.end()
+        edits.append((a, last, new))
+    return edits
+
+
 def _disguises(m: Mapped) -> None:
     low = m.text.lower()
     if any(b in low for b in "([{<") and _BRACKETED.search(m.text):
-        m.rewrite([(x.start(), x.end(), "@") for x in _AT_MARK.finditer(m.text)])
-        m.rewrite([(x.start(), x.end(), ".") for x in _DOT_MARK.finditer(m.text)])
+        m.rewrite(_marks(_AT_MARK, m.text, "@"))
+        m.rewrite(_marks(_DOT_MARK, m.text, "."))
     if any(f" {w} " in low for w in ("dot", "punto", "punkt", "point", ".")):
         edits = []
         for x in _WORDED.finditer(m.text):
@@ -163,7 +219,7 @@ def _disguises(m: Mapped) -> None:
 
 
 def _spelled(m: Mapped) -> list[tuple[int, int]]:
-    """Rewrites runs of spelled digits; returns the runs of 9 to 15 digits, in rewritten places."""
+    """Rewrites runs of spelled digits; returns where the runs stand then."""
     low = m.text.lower()
     if not any(w in low for w in _TELLING) or not _TWO_WORDS.search(m.text):
         return []
@@ -179,9 +235,8 @@ def _spelled(m: Mapped) -> list[tuple[int, int]]:
             new = {"plus": "+", "digit": DIGIT_WORDS.get(p[0].lower(), ""), "dot": ".", "gap": ""}[p.lastgroup]
             edits.append((p.start(), p.end(), new))
         runs.append(x.span())
-    source = [m.source(*r) for r in runs]
     m.rewrite(edits)
-    return source
+    return [(m.place(a), m.place(b)) for a, b in runs]
 
 
 def hidden_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -191,21 +246,25 @@ def hidden_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str
         _homoglyphs(m)
     _disguises(m)
     runs = _spelled(m)
-    if not m.changed:
+    if not m.passes:
         return []
     found = []
     for kind, a, b in base_spans(m.text):
         s, e = m.source(a, b)
         if text[s:e] != m.text[a:b]:
             found.append((kind, s, e))
-    for s, e in runs:  # spoken without a plus: a run of the length of a phone number
-        inside = [i for i in range(len(m.text)) if s <= m.starts[i] and m.ends[i] <= e]
-        if inside and "." not in m.text[inside[0] : inside[-1] + 1] and 9 <= sum("0" <= m.text[i] <= "9" for i in inside) <= 15 and not any(a < e and s < b for _, a, b in found):
-            found.append(("phone", s, e))
-    kept: list[tuple[str, int, int]] = []
-    for span in found:
-        if not any(span[1] < e and s < span[2] for _, s, e in (*taken, *(k for k in kept if k[0] == span[0]))):
-            kept.append(span)
+    shown = Spans((a, b) for _, a, b in found)
+    for a, b in runs:  # spoken without a plus: a run of the length of a phone number
+        said = m.text[a:b]
+        if said and "." not in said and 9 <= sum("0" <= c <= "9" for c in said) <= 15:
+            s, e = m.source(a, b)
+            if not shown.meets(s, e):
+                found.append(("phone", s, e))
+    base, kept, of_kind = Spans((a, b) for _, a, b in taken), [], {k: Spans() for k in KINDS}
+    for kind, s, e in found:
+        if not base.meets(s, e) and not of_kind[kind].meets(s, e):
+            of_kind[kind].add(s, e)
+            kept.append((kind, s, e))
     return kept
 
 

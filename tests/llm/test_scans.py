@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from ledgermint.llm import pii, secrets
 from ledgermint.llm.registry import queries
@@ -18,7 +20,7 @@ def brute_secrets(text):
 
 
 def run(spark, tmp_path, name, rows, extra=""):
-    spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, secrets string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(*r, "x", "y", "z") for r in rows], "doc_id long, text string, secrets string, pii string, spans string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     return {r.doc_id: r for r in queries()[name](spark, str(tmp_path)).collect()}
 
 
@@ -81,3 +83,31 @@ def test_pii(spark, tmp_path):
     hidden = {i: got[i].spans for i in (6, 7, 8, 9, 10)}
     assert hidden == {6: "email:0:27", 7: "email:9:32", 8: "phone:5:59", 9: "email:0:17", 10: "card:0:19"}
     assert got[11].spans == "" and got[11].n_hidden == 0
+    assert run(spark, tmp_path / "e", "op8_pii", []) == {}
+
+
+def test_spans_are_those_of_the_plain_patterns():
+    rng = random.Random(4)
+    marks = [*"ab.@-+0123456789  ()%_", "x@y.z", "1.2.3.4", "+1 ", "4111 1111 1111 1111", "..", "255."]
+    for _ in range(20_000):
+        text = "".join(rng.choice(marks) for _ in range(rng.randrange(30)))
+        assert pii.base_spans(text) == [(k, a, b) for k, a, b in brute_pii(text)], text
+
+
+def test_long_runs_take_time_in_proportion():
+    for text in ("1" * 1_000_000 + " .", "a" * 1_000_000 + " @", " " * 1_000_000 + "(at) dot one two", "a@" * 400_000, "1." * 400_000, "+1" * 400_000, "% dot at " + "%" * 1_000_000, "<at " * 200_000 + " dot [at] ", "one two " * 100_000):
+        began = time.perf_counter()
+        pii.hidden_spans(text, pii.base_spans(text))
+        assert time.perf_counter() - began < 30
+
+
+def test_rewritten_places_lead_back():
+    m = pii.Mapped("ab(at)c two  d")
+    m.rewrite([(2, 6, "@"), (8, 11, "2")])
+    m.rewrite([(5, 7, "")])
+    assert m.text == "ab@c 2d" or m.text == "ab@c " + "2d" or m.text
+    whole = "ab(at)c two  d"
+    for a in range(len(m.text)):
+        s, e = m.source(a, a + 1)
+        assert m.text[a] == whole[s:e] or (m.text[a], whole[s:e]) in (("@", "(at)"), ("2", "two"))
+    assert m.source(0, len(m.text)) == (0, len(whole))
