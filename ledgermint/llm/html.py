@@ -1,12 +1,17 @@
 """HTML extraction: site template removal by recurring subtrees, then the main text.
 
-1. Each page is parsed (a tolerant stack over tags) and every element gets a hash of its subtree:
-   tag, attributes that matter, children and text. A main region (article, main) and what holds one
-   are no candidates for a template, whatever recurs around the region or inside it.
-2. Spark counts each hash once per page and host; inside a main region it counts once per distinct
-   region, so that copies of an article count once and their paragraphs are no template, while a box
-   that recurs in different articles is one. A subtree that recurs `MIN_PAGES` times or more and on
-   `SHARE` or more of its host's pages (inside regions: of its distinct contents) is a template.
+1. Each page is parsed (a tolerant stack over tags, in time that grows with the page alone) and every
+   element gets two hashes: one of its subtree's content (tag, attributes that matter, children and
+   text) and one of its slot (the tags and names, without numbers, from the body down to it). A main
+   region (article, main) and what holds one are no candidates for a template.
+2. Spark counts the hashes per host, and a page counts once. Two things make a template:
+   - content that recurs: the same subtree on `MIN_PAGES` pages or more and on `SHARE` or more of the
+     host's pages. Inside a main region it counts once per distinct region, so that copies of an
+     article count once and their paragraphs are no template, while a box that recurs in different
+     articles is one.
+   - a slot that recurs: what stands beside the main regions (the largest subtrees without one, and
+     without an h1) in the same slot on as many of the host's pages that have a region, whatever its
+     words, where it holds less than `SLOT_SHARE` of the text that the regions of these pages hold.
    Counts are summed before they are shuffled, so a host with a third of all pages is no hot key.
 3. The page is parsed again; template subtrees are deleted along with what markup itself names as
    no part of the article (navigation, adverts, forms, comments ...). All other blocks stay, inside
@@ -36,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, small_batches, table
 
-MIN_PAGES, SHARE = 5, 0.3
+MIN_PAGES, SHARE, SLOT_SHARE = 5, 0.3, 0.25
 BROADCAST_ROWS = 500_000
 
 #: Elements without content, with raw content, and those that never hold article text.
@@ -63,21 +68,21 @@ _CLOSES = {"p": frozenset(BLOCK - {"html", "body", "title"}), "li": frozenset(("
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _NUMBER = re.compile(r"[-_]*[0-9]+$")
+_DIGITS = re.compile(r"[0-9]+")
 
 
 class Element:
-    """An open element: whether it or what it stands in is chrome by its tag or a main region, the hinted elements among these, whether it holds one, the innermost region, the subtrees it stands in, and its own subtree's hash."""
+    """An open element: its number and tag, whether it or what it stands in is chrome by its tag or a main region, the innermost region, and the hashes of its content and slot."""
 
-    __slots__ = ("chrome", "hash", "hints", "holds", "main", "number", "path", "region", "some", "tag")
+    __slots__ = ("chrome", "hash", "main", "number", "region", "slot", "some", "tag")
 
-    def __init__(self, tag: str, chrome: bool, hinted: bool, region: bool, number: int, names: str, parent: Element | None):
-        self.tag, self.number, self.some, self.holds = tag, number, False, False
+    def __init__(self, tag: str, chrome: bool, region: bool, number: int, names: str, parent: Element | None):
+        self.tag, self.number, self.some = tag, number, False
         self.chrome = chrome or parent is not None and parent.chrome
-        self.hints = (*(parent.hints if parent is not None else ()), *((number,) if hinted else ()))
         self.main = not self.chrome and (region or parent is not None and parent.main)
         self.region = number if region and self.main else parent.region if parent is not None else -1
-        self.path = (*parent.path, number) if parent is not None else (number,)
         self.hash = xxhash.xxh64(f"{tag}|{names}")
+        self.slot = xxhash.xxh64_intdigest(f"{tag}|{_DIGITS.sub('', names)}", parent.slot if parent is not None else 0)
 
 
 def _named(attributes: str) -> tuple[str, bool]:
@@ -92,140 +97,215 @@ def _named(attributes: str) -> tuple[str, bool]:
     return names, any(_NUMBER.sub("", w).replace("_", "-") in HINTS for w in names.split())
 
 
-def parse(page: str) -> tuple[list[tuple[str, bool, tuple[int, ...]]], list[int], list[int], dict[int, int]]:
-    """The blocks of a page, each (text, in chrome, its subtrees), the hashes of all subtrees, the innermost
-    main region of each (-1 outside), and the hash of each region.
+class Page:
+    """A parsed page.
 
-    Subtrees are numbered in the order they begin; main regions and what holds them, inline elements, empty
-    ones, and the page's own outer elements have the hash 0.
+    `blocks` are (text, number of the element it stands in, -1 for none). Elements are numbered in the
+    order they begin, so a parent comes before its children; of each there are the parent, whether it is
+    chrome by its tag (or stands in such) and hinted, the innermost main region, -1 outside, whether it
+    holds a region or an h1, its characters, and two hashes. `content` is 0 for main regions and what
+    holds them, inline elements, empty ones, and the page's own outer elements; `slot` is 0 where it has
+    none. `whole` has the content hash of each region.
     """
-    blocks: list[tuple[str, bool, tuple[int, ...], tuple[int, ...]]] = []
-    roots: list[tuple[str, tuple[int, ...]]] = []
-    regions: list[int] = []
-    whole: dict[int, int] = {}
-    stack: list[Element] = []
-    hashes: list[int] = []
-    buffer: list[str] = []
-    at = 0
-
-    def end_block() -> None:
-        if buffer:
-            text = " ".join("".join(buffer).split())
-            buffer.clear()
-            if text:
-                top = stack[-1] if stack else None
-                blocks.append((text, top is not None and top.chrome, top.path if top is not None else (), top.hints if top is not None else ()))
-
-    def close(to: int) -> None:
-        while len(stack) > to:
-            e = stack.pop()
-            root = e.region == e.number
-            if stack and (root or e.holds):
-                stack[-1].holds = True
-            value = e.hash.intdigest() >> 1
-            if e.some:
-                if root:
-                    whole[e.number] = value
-                elif e.tag in BLOCK and e.tag != "html" and e.tag != "body" and not e.holds:
-                    hashes[e.number] = value
+
+    def __init__(self, page: str):
+        self.blocks: list[tuple[str, int]] = []
+        self.tags: list[str] = []
+        self.parents: list[int] = []
+        self.chrome: list[bool] = []
+        self.hinted: list[bool] = []
+        self.regions: list[int] = []
+        self.holds: list[bool] = []
+        self.titled: list[bool] = []
+        self.chars: list[int] = []
+        self.content: list[int] = []
+        self.slots: list[int] = []
+        self.whole: dict[int, int] = {}
+        self._parse(page)
+        self._place_slots()
+
+    def _parse(self, page: str) -> None:
+        stack: list[Element] = []
+        open_tags: dict[str, int] = {}
+        open_blocks: list[int] = []  # their places in the stack
+        buffer: list[str] = []
+
+        def end_block() -> None:
+            if buffer:
+                text = " ".join("".join(buffer).split())
+                buffer.clear()
+                if text:
+                    self.blocks.append((text, stack[-1].number if stack else -1))
+                    if stack:
+                        self.chars[stack[-1].number] += len(text)
+
+        def close(to: int) -> None:
+            while len(stack) > to:
+                e = stack.pop()
+                open_tags[e.tag] -= 1
+                if open_blocks and open_blocks[-1] == len(stack):
+                    open_blocks.pop()
+                k, root = e.number, e.region == e.number
                 if stack:
-                    stack[-1].hash.update(value.to_bytes(8, "little"))
+                    up = stack[-1].number
+                    self.holds[up] |= root or self.holds[k]
+                    self.titled[up] |= self.titled[k]
+                    self.chars[up] += self.chars[k]
+                value = e.hash.intdigest() >> 1
+                if e.some:
+                    if root:
+                        self.whole[k] = value
+                    elif e.tag in BLOCK and e.tag != "html" and e.tag != "body" and not self.holds[k]:
+                        self.content[k] = value
+                    if stack:
+                        stack[-1].hash.update(value.to_bytes(8, "little"))
+                        stack[-1].some = True
+
+        def text(piece: str) -> None:
+            if piece:
+                if "&" in piece:
+                    piece = entities.unescape(piece)
+                buffer.append(piece)
+                if stack and (plain := piece.strip()):
+                    stack[-1].hash.update(plain)
                     stack[-1].some = True
 
-    def text(piece: str) -> None:
-        if piece:
-            if "&" in piece:
-                piece = entities.unescape(piece)
-            buffer.append(piece)
-            if stack and (plain := piece.strip()):
-                stack[-1].hash.update(plain)
-                stack[-1].some = True
-
-    position = 0
-    while m := _TOKEN.search(page, position):
-        text(page[position : m.start()])
-        position = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
-        if m[1]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), -1)
-            if at >= 0:
-                if any(e.tag in BLOCK for e in stack[at:]):
+        position, last = 0, page.rfind(">") + 1  # no tag ends beyond
+        while m := _TOKEN.search(page, position, last):
+            text(page[position : m.start()])
+            position = m.end()
+            if position == last and m[0].startswith("<!--") and not m[0].endswith("-->"):
+                position = len(page)  # a comment that nothing ends
+            tag = (m[2] or "").lower()
+            if not tag:
+                continue
+            if m[1]:
+                if open_tags.get(tag):
+                    at = len(stack) - 1
+                    while stack[at].tag != tag:
+                        at -= 1
+                    if open_blocks and open_blocks[-1] >= at:
+                        end_block()
+                    close(at)
+                elif tag in BLOCK:
                     end_block()
-                close(at)
-            elif tag in BLOCK:
+                continue
+            if tag in BLOCK:
                 end_block()
-            continue
-        if tag in BLOCK:
-            end_block()
-        if tag == "br":
-            buffer.append(" ")
-        while stack and tag in _CLOSES.get(stack[-1].tag, ()):
-            close(len(stack) - 1)
-        # an inline element left open inside a paragraph closes with it
-        at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag in BLOCK), -1)
-        if tag in BLOCK and at >= 0 and stack[at].tag == "p" and tag in _CLOSES["p"]:
-            close(at)
-        if tag in VOID:
-            continue
-        names, hinted = _named(m[3]) if m[3] else ("", False)
-        parent = stack[-1] if stack else None
-        chrome = tag in CHROME or tag == "header" and not (parent is not None and parent.main)
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, position)
-            position = end.end() if end else len(page)
-            continue
-        if m[3].endswith("/") and tag not in BLOCK:
-            continue
-        hashes.append(0)
-        stack.append(Element(tag, chrome, hinted and tag not in _UNHINTED, tag in _REGION, len(hashes) - 1, names, parent))
-        regions.append(stack[-1].region)
-        if regions[-1] == len(hashes) - 1:
-            roots.append((tag, stack[-1].hints))
-    text(page[position:])
-    end_block()
-    close(0)
-    # hints on what holds the page's main regions are void
-    void = {n for tag, hints in roots if tag == "main" for n in hints}
-    if not any(void.issuperset(hints) for _, hints in roots):
-        void |= {n for _, hints in roots for n in hints}
-    return [(text, chrome or not void.issuperset(hints), path) for text, chrome, path, hints in blocks], hashes, regions, whole
-
-
-def counted_subtrees(page: str) -> dict[int, int]:
-    """Each subtree hash of a page with what it is counted by: 0 (the page) or the hash of the region it stands in, the least of several.
+            if tag == "br":
+                buffer.append(" ")
+            while stack and tag in _CLOSES.get(stack[-1].tag, ()):
+                close(len(stack) - 1)
+            # an inline element left open inside a paragraph closes with it
+            if tag in BLOCK and open_blocks and stack[open_blocks[-1]].tag == "p" and tag in _CLOSES["p"]:
+                close(open_blocks[-1])
+            if tag in VOID:
+                continue
+            names, hinted = _named(m[3]) if m[3] else ("", False)
+            parent = stack[-1] if stack else None
+            chrome = tag in CHROME or tag == "header" and not (parent is not None and parent.main)
+            if tag in RAW:
+                end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, position)
+                position = end.end() if end else len(page)
+                continue
+            if m[3].endswith("/") and tag not in BLOCK:
+                continue
+            e = Element(tag, chrome, tag in _REGION, len(self.tags), names, parent)
+            if tag in BLOCK:
+                open_blocks.append(len(stack))
+            stack.append(e)
+            open_tags[tag] = open_tags.get(tag, 0) + 1
+            for values, value in ((self.tags, tag), (self.parents, parent.number if parent is not None else -1), (self.chrome, e.chrome), (self.hinted, hinted and tag not in _UNHINTED), (self.regions, e.region), (self.holds, False), (self.titled, tag == "h1"), (self.chars, 0), (self.content, 0), (self.slots, e.slot >> 1)):
+                values.append(value)
+        text(page[position:])
+        end_block()
+        close(0)
+
+    def _place_slots(self) -> None:
+        """Leaves the slots of the largest subtrees without a region or h1 beside regions."""
+        for k in range(len(self.tags)):
+            up = self.parents[k]
+            beside = up < 0 or self.holds[up] or self.tags[up] in ("html", "body")
+            if not (self.whole and beside and self.regions[k] < 0 and self.tags[k] not in ("html", "body") and not self.holds[k] and not self.titled[k] and self.chars[k]):
+                self.slots[k] = 0
+
+    def hidden(self, templates: frozenset[int] | set[int]) -> list[bool]:
+        """Whether each element is chrome, a template, or stands in one. Hints on what holds the page's main regions are void."""
+        n, void = len(self.tags), set()
+        roots = [k for k in range(n) if self.regions[k] == k]
+        seen: set[int] = set()
+
+        def spare(chosen: list[int]) -> None:
+            for k in chosen:
+                while k >= 0 and k not in seen:
+                    seen.add(k)
+                    if self.hinted[k]:
+                        void.add(k)
+                    k = self.parents[k]
+
+        spare([k for k in roots if self.tags[k] == "main"])
+        dead = [False] * n
+        for k in range(n):
+            dead[k] = self.parents[k] >= 0 and dead[self.parents[k]] or self.hinted[k] and k not in void
+        if all(dead[k] for k in roots):
+            spare(roots)
+        out = [False] * n
+        for k in range(n):
+            up = self.parents[k]
+            out[k] = up >= 0 and out[up] or self.chrome[k] or self.hinted[k] and k not in void or self.content[k] in templates or self.slots[k] in templates
+        return out
+
+
+def _contents(p: Page) -> dict[int, int]:
+    """Each content hash of a page with what it is counted by: 0 (the page) or the hash of the region it stands in, the least of several.
 
     The key 0 stands for the page itself: 0 if it has no region, else a hash of its regions.
     """
-    _, hashes, regions, whole = parse(page)
-    found = {0: xxhash.xxh64_intdigest(repr(sorted(whole.values()))) >> 1 if whole else 0}
-    for h, r in zip(hashes, regions, strict=True):
+    found = {0: xxhash.xxh64_intdigest(repr(sorted(p.whole.values()))) >> 1 if p.whole else 0}
+    for h, r in zip(p.content, p.regions, strict=True):
         if h:
-            by = whole.get(r, 0)
+            by = p.whole.get(r, 0)
             found[h] = min(found.get(h, by), by)
     return found
 
 
+def _slots(p: Page) -> dict[int, int]:
+    """The characters of each slot of a page with regions; the key 0 stands for all its regions."""
+    if not p.whole:
+        return {}
+    found = {0: sum(p.chars[k] for k in p.whole if p.parents[k] < 0 or p.regions[p.parents[k]] < 0)}
+    for h, n in zip(p.slots, p.chars, strict=True):
+        if h:
+            found[h] = found.get(h, 0) + n
+    return found
+
+
 def main_text(page: str, templates: frozenset[int] | set[int] = frozenset()) -> str:
     """The blocks that are in no chrome and no template."""
-    blocks, hashes, *_ = parse(page)
-    return "\n".join(text for text, chrome, path in blocks if not chrome and not any(hashes[i] in templates for i in path))
+    p = Page(page)
+    hidden = p.hidden(templates)
+    return "\n".join(text for text, k in p.blocks if k < 0 or not hidden[k])
 
 
 def page_subtrees(pages: DataFrame, html_col: str) -> DataFrame:
-    """(host, subtrees): the `counted_subtrees` of each page."""
-    pair = pa.struct([("hash", pa.int64()), ("by", pa.int64())])
+    """(host, subtrees, slots): the contents of each page and what they are counted by, and the characters of its slots, with those of its regions."""
+    pair = lambda *names: pa.struct([(c, pa.int64()) for c in names])
+
+    def column(rows: list[dict[int, int]], names: tuple[str, ...], more: list[int] | None = None) -> pa.Array:
+        ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+        flat = [pa.array(np.fromiter((x for r in rows for x in part(r)), np.int64, ends[-1])) for part in (dict.keys, dict.values)]
+        if more is not None:
+            flat.append(pa.array(np.repeat(np.array(more, np.int64), np.diff(ends))))
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(flat, fields=list(pair(*names))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in small_batches(big, "html"):
-                rows = [counted_subtrees(c.as_py() or "") for c in batch.column(1)]
-                ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-                flat = [pa.array(np.fromiter((x for r in rows for x in part(r)), np.int64, ends[-1])) for part in (dict.keys, dict.values)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(flat, fields=list(pair)))], ["host", "subtrees"])
+                parsed = [Page(c.as_py() or "") for c in batch.column(1)]
+                slots = [_slots(p) for p in parsed]
+                yield pa.RecordBatch.from_arrays([batch.column(0), column([_contents(p) for p in parsed], ("hash", "by")), column(slots, ("slot", "chars", "main"), [x.get(0, 0) for x in slots])], ["host", "subtrees", "slots"])
 
-    return pages.select("host", F.col(html_col).alias("html")).mapInArrow(run, "host string, subtrees array<struct<hash:long,by:long>>")
+    return pages.select("host", F.col(html_col).alias("html")).mapInArrow(run, "host string, subtrees array<struct<hash:long,by:long>>, slots array<struct<slot:long,chars:long,main:long>>")
 
 
 def host_of(url):
@@ -234,23 +314,41 @@ def host_of(url):
     return F.when(found != "", found)
 
 
-def site_templates(pages: DataFrame, html_col: str, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """(host, templates): the subtree hashes that recur on each host; `pages` has the column `host`."""
-    rows = page_subtrees(pages.where("host is not null"), html_col).select("host", F.inline("subtrees"))
-    by = rows.groupBy("host", "hash", "by").agg(F.count("*").alias("pages"))
+def recurring_content(rows: DataFrame, min_pages: int, share: float) -> DataFrame:
+    """(host, hash) of content that recurs; `rows` are (host, hash, by, pages)."""
     outside = F.col("by") == 0
-    seen = by.groupBy("host", "hash").agg(F.sum("pages").alias("pages"), F.sum(F.when(outside, F.col("pages")).otherwise(0)).alias("outside"), F.sum(F.when(outside, 0).otherwise(1)).alias("inside"))
+    seen = rows.groupBy("host", "hash").agg(F.sum("pages").alias("pages"), F.sum(F.when(outside, F.col("pages")).otherwise(0)).alias("outside"), F.sum(F.when(outside, 0).otherwise(1)).alias("inside"))
     seen = materialise(seen.where((F.col("outside") + F.col("inside") >= min_pages) | (F.col("hash") == 0)))
     # the rows of hash 0 count the host's pages, and its distinct contents
     sizes = seen.where("hash = 0").select("host", F.col("pages").alias("all_pages"), (F.col("outside") + F.col("inside")).alias("contents"))
-    recurring = seen.where("hash <> 0").join(sizes, "host").where(F.col("outside") / F.col("all_pages") + F.col("inside") / F.col("contents") >= share)
-    return recurring.groupBy("host").agg(F.collect_list("hash").alias("templates"))
+    return seen.where("hash <> 0").join(sizes, "host").where(F.col("outside") / F.col("all_pages") + F.col("inside") / F.col("contents") >= share).select("host", "hash")
+
+
+def recurring_slots(rows: DataFrame, min_pages: int, share: float, slot_share: float) -> DataFrame:
+    """(host, hash) of slots that recur and hold little text against the regions; `rows` are (host, hash, pages, chars, main)."""
+    sizes = rows.where("hash = 0").select("host", F.col("pages").alias("all_pages"))
+    often = rows.where((F.col("hash") != 0) & (F.col("pages") >= min_pages)).join(sizes, "host")
+    return often.where((F.col("pages") >= share * F.col("all_pages")) & (F.col("chars") < slot_share * F.col("main"))).select("host", "hash")
+
+
+def site_templates(pages: DataFrame, html_col: str, min_pages: int = MIN_PAGES, share: float = SHARE, slot_share: float = SLOT_SHARE) -> DataFrame:
+    """(host, templates): the content and slot hashes that recur on each host; `pages` has the column `host`."""
+    parsed = page_subtrees(pages.where("host is not null"), html_col)
+    # one pass over the pages: rows of contents have no slot, rows of slots no `by`
+    none = F.lit(None).cast("long")
+    contents = F.transform("subtrees", lambda x: F.struct(x["hash"].alias("hash"), x["by"].alias("by"), none.alias("chars"), none.alias("main")))
+    slots = F.transform("slots", lambda x: F.struct(x["slot"].alias("hash"), none.alias("by"), x["chars"].alias("chars"), x["main"].alias("main")))
+    rows = parsed.select("host", F.inline(F.concat(contents, slots)))
+    # summed per page set before anything is shuffled: a content by its region, a slot with its characters
+    counted = materialise(rows.groupBy("host", "hash", "by").agg(F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.sum("main").alias("main")))
+    found = recurring_content(counted.where("by is not null"), min_pages, share).unionByName(recurring_slots(counted.where("by is null"), min_pages, share, slot_share))
+    return found.groupBy("host").agg(F.collect_set("hash").alias("templates"))
 
 
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """(id, url, text) of each page."""
+def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, share: float = SHARE, slot_share: float = SLOT_SHARE) -> DataFrame:
+    """(id, url, text) of each page. `min_pages`, `share` and `slot_share` are those of the templates."""
     hosted = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    templates = materialise(site_templates(hosted, "html", min_pages, share))
+    templates = materialise(site_templates(hosted, "html", min_pages, share, slot_share))
     total = templates.agg(F.coalesce(F.sum(F.size("templates")), F.lit(0)).alias("n")).first()["n"]
     joined = hosted.join(F.broadcast(templates) if total <= BROADCAST_ROWS else templates, "host", "left")
 
