@@ -2,10 +2,13 @@
 
 A payload is stored as a mono WAV of unsigned 8-bit samples and read back by the wave module. The
 short-time Fourier transform of its samples (Hann windows that overlap by half, so that every sample
-has the same weight in all; the ends are mirrored) gives a spectrogram; its peaks are local maxima
-over a neighbourhood of frames and bins; every peak is paired with the next peaks in time,
-and each pair is (time, frequency, later frequency, time between), a time-coded array.
+has the same weight in all; the ends are mirrored; the shortest payload has several frames) gives a
+spectrogram. Its peaks are local maxima over a neighbourhood of frames and bins: a frame's largest
+value in each cell of `BINS` bins that exceeds the largest ones of the cells beside it, in its frame
+and the frames before and after, and the mean of its frame. Every peak is paired with the next ones
+of later frames, and each pair is (time, frequency, later frequency, time between), a time-coded array.
 
+A payload of one block that is nearly all padding may have all its peaks in one frame, and no pair then.
 Null and empty texts are stored as one padded block. Features depend on the payload alone, so equal
 texts have equal values. Rows stand alone: nothing is shuffled, an empty table gives an empty result.
 """
@@ -28,13 +31,13 @@ from .common import small_batches, table
 #: The payload is padded with spaces to a multiple of this many bytes.
 BLOCK = 192
 RATE = 8000
-FRAME, HOP = 512, 256
-#: A peak is the largest of this many bins or more to either side, in its frame and the frames beside it, and exceeds its frame's mean by so much.
-BINS, RISE = 16, 3.0
-#: A peak is paired with this many of the peaks that follow it.
+FRAME, HOP = 128, 64
+#: Bins of a cell, and how often a peak exceeds its frame's mean.
+BINS, RISE = 8, 1.5
+#: A peak is paired with this many of the peaks of later frames.
 FAN = 2
 #: Frames that are transformed at once; bounds memory.
-FRAMES_AT_ONCE = 1024
+FRAMES_AT_ONCE = 4096
 _WINDOW = np.hanning(FRAME + 1)[:-1].astype(np.float32)
 
 
@@ -89,11 +92,14 @@ def _mirrored(samples: np.ndarray, before: int, length: int) -> np.ndarray:
 
 
 def fingerprint(samples: np.ndarray) -> np.ndarray:
-    """Rows of (time, frequency bin, later bin, frames between) for pairs of following peaks, ordered by time."""
+    """Rows of (time, frequency bin, later bin, frames between), one frame at least, for pairs of following peaks, ordered by time."""
     p = peaks(samples)
-    pairs = [np.stack([p[:-k, 0], p[:-k, 1], p[k:, 1], p[k:, 0] - p[:-k, 0]], axis=1) for k in range(1, FAN + 1) if len(p) > k]
-    if not pairs:
-        return np.empty((0, 4), np.int64)
+    later = np.searchsorted(p[:, 0], p[:, 0], "right")
+    pairs = []
+    for k in range(FAN):
+        own = np.flatnonzero(later + k < len(p))
+        to = later[own] + k
+        pairs.append(np.stack([p[own, 0], p[own, 1], p[to, 1], p[to, 0] - p[own, 0]], axis=1))
     pairs = np.concatenate(pairs)
     return pairs[np.lexsort((pairs[:, 3], pairs[:, 2], pairs[:, 1], pairs[:, 0]))]
 

@@ -1,6 +1,9 @@
 import hashlib
 import zlib
 
+import time
+from collections import Counter
+
 import numpy as np
 from ledgermint.llm import html, media
 
@@ -96,10 +99,45 @@ def test_every_sample_counts_alike():
         changed[at : at + 8] = (32, 126) * 4
         return media.fingerprint(changed).tolist() != media.fingerprint(base).tolist()
 
-    at_edges, between = (sum(differ(k * 512 + shift) for k in range(1, 15)) for shift in (-4, 252))
+    at_edges, between = (sum(differ(k * 512 + shift) for k in range(1, 15)) for shift in (-4, 28))
     assert at_edges >= 7 and between >= 7
 
 
+def plain_fingerprint(samples):
+    """The fingerprint by its definition: sums over a discrete Fourier transform, and loops over cells."""
+    n, frame, hop = -(-len(samples) // media.HOP) + 1, media.FRAME, media.HOP
+    x = samples.astype(float)
+    at = lambda i: x[(lambda j: j if j < len(x) else 2 * len(x) - 2 - j)(abs(i))]  # noqa: E731  mirrored
+    frames = np.array([[at(t * hop - frame // 2 + i) for i in range(frame)] for t in range(n)])
+    window = np.array([0.5 - 0.5 * np.cos(2 * np.pi * i / frame) for i in range(frame)])
+    waves = np.exp(-2j * np.pi * np.outer(np.arange(frame // 2), np.arange(frame)) / frame)
+    power = np.abs(((frames - frames.mean(axis=1, keepdims=True)) * window) @ waves.T)
+    cells = frame // 2 // media.BINS
+    top = {(t, c): max((power[t, b], -b) for b in range(c * media.BINS, (c + 1) * media.BINS)) for t in range(n) for c in range(cells)}
+    found = []
+    for (t, c), (value, b) in sorted(top.items()):
+        around = [top[t + i, c + j][0] for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0) and (t + i, c + j) in top]
+        if value > max(around) and value > media.RISE * power[t].mean():
+            found.append((t, -b))
+    pairs = []
+    for t, b in found:
+        pairs += [(t, b, later, u - t) for u, later in [p for p in found if p[0] > t][: media.FAN]]
+    return sorted(pairs)
+
+
+def test_fingerprint_matches_its_definition():
+    rng, some = np.random.default_rng(9), 0
+    for n in (192, 384, 960, 3072):
+        for words in (3, 40, 400):
+            text = " ".join("".join(rng.choice(list("etaoinshrdlu"), rng.integers(1, 9))) for _ in range(words)).encode()[:n].ljust(n)
+            samples = np.frombuffer(text, np.uint8)
+            got = media.fingerprint(samples)
+            assert [tuple(r) for r in got.tolist()] == plain_fingerprint(samples)
+            assert (got[:, 3] > 0).all()
+            some += len(got) > 0
+    assert some >= 6
+
+
 def test_peaks_are_the_largest_of_frames_and_bins(monkeypatch):
     rng = np.random.default_rng(4)
     samples = rng.integers(0, 256, 60000, dtype=np.uint8)
@@ -111,3 +149,67 @@ def test_peaks_are_the_largest_of_frames_and_bins(monkeypatch):
     assert media.peaks(samples).tolist() == got.tolist()
     for n in (0, 1, 2, 191, 255, 256, 257, 513):
         assert media.peaks(samples[:n]).shape[1] == 2
+
+
+def test_deep_and_long_pages_take_time_in_proportion():
+    def seconds(page):
+        began = time.perf_counter()
+        html.main_text(page)
+        return time.perf_counter() - began
+
+    shapes = [lambda n: "<div>" * n + "x" + "</div>" * n, lambda n: "<b>" * n + "<p>x" * n, lambda n: "<article>x</i>" * n, lambda n: "<a <!" * n, lambda n: "<div class=ad>" * n + "<article>x</article>"]
+    for shape in shapes:
+        seconds(shape(500))
+        assert seconds(shape(40_000)) < 40 * max(seconds(shape(5_000)), 0.01)
+    long = "<article>" + "<p>word word</p>" * 50_000 + "</article>"
+    assert html.main_text(long) == "\n".join(["word word"] * 50_000)
+    assert html.main_text("a<!-- b > c") == "a" and html.main_text("<!-- a --> b > c") == "b > c"
+
+
+def tree_site(rng):
+    """Pages of two hosts as trees (tag, class, children); a string is a text."""
+    shared = [("div", f"box{k}", [("p", "", [f"shared words {k}"]), ("div", "in", [f"more {k}"])]) for k in range(6)]
+    pages = []
+    for i in range(40):
+        children = [("p", "", [f"own text {i} {j}"]) for j in range(int(rng.integers(1, 4)))]
+        children += [shared[k] for k in np.flatnonzero(rng.random(6) < (0.1, 0.2, 0.3, 0.4, 0.6, 0.9))]
+        children += [("div", "wrap", [shared[int(rng.integers(6))], ("p", "", [f"inner {i}"])])]
+        rng.shuffle(children)
+        pages.append((i, f"http://h{i % 2}.example/{i}", ("body", "", children)))
+    return pages
+
+
+def written(node):
+    return node if isinstance(node, str) else f'<{node[0]} class="{node[1]}">{"".join(map(written, node[2]))}</{node[0]}>'
+
+
+def test_templates_match_brute_force(spark):
+    pages = tree_site(np.random.default_rng(11))
+    subtrees = lambda node: [] if isinstance(node, str) else [written(node), *[x for c in node[2] for x in subtrees(c)]]
+    seen, hosts = Counter(), Counter(url.split("/")[2] for _, url, _ in pages)
+    for _, url, tree in pages:
+        seen.update((url.split("/")[2], x) for x in set(subtrees(tree)) if not x.startswith("<body"))
+    template = lambda host, x: seen[host, x] >= html.MIN_PAGES and seen[host, x] >= html.SHARE * hosts[host]
+
+    def kept(host, node):
+        if isinstance(node, str):
+            return [node]
+        return [] if template(host, written(node)) else [x for c in node[2] for x in kept(host, c)]
+
+    rows = [(i, url, f"<html>{written(tree)}</html>") for i, url, tree in pages]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    expected = {i: "\n".join(kept(url.split("/")[2], tree)) for i, url, tree in pages}
+    assert {r.page_id: r.text for r in html.extract_main_text(docs).collect()} == expected
+    uncounted = {i: html.main_text(page) for i, _, page in rows}
+    assert uncounted != expected and any(template("h0.example", f) for f in {x for _, _, t in pages for x in subtrees(t)})
+
+
+def test_slots_beside_the_article_go_by_their_count(spark):
+    page = '<body><div id="top-{0}"><p>Latest number {0}</p></div><h2 class="x{0}">Only here {0}</h2><article><p>' + "Story number {0} " * 9 + '</p></article><div class="x"><h1>Title {0}</h1></div></body>'
+    story = lambda i: " ".join([f"Story number {i}"] * 9)
+    # whatever the words, what stands in the same slot of all pages goes; a title stays
+    assert site(spark, page) == {i: f"{story(i)}\nTitle {i}" for i in range(8)}
+    assert site(spark, page, n=4) == {i: f"Latest number {i}\nOnly here {i}\n{story(i)}\nTitle {i}" for i in range(4)}
+    # the longer text beside a small region is no template
+    teaser = '<body><div class="content"><p>' + "The long story {0} " * 9 + "</p></div><article><p>Read {0} too</p></article></body>"
+    assert site(spark, teaser) == {i: " ".join([f"The long story {i}"] * 9) + f"\nRead {i} too" for i in range(8)}
