@@ -7,13 +7,17 @@ hundred buckets, narrowed in rounds; the driver sees at most `shards` x `BUCKETS
 whatever the size of the data. A hash makes equal metadata values distinct, so a source or a group
 of equal texts that is larger than a shard is split as well.
 
-Null text: 0 bytes. Null metadata is a value of its own. Repeated rows are placed one by one. An
-empty table gives an empty result.
+The tree of the levels above is a handful of literal arrays: a row finds its node by comparing along
+one path of it, so that no level joins or shuffles rows, and every job reads the same written table
+of a few numbers per row. What is shuffled are the sums.
+
+Null text: 0 bytes. Null metadata has a place apart from any value's. Repeated rows are placed one by
+one. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,13 +33,35 @@ ROW_BYTES = 16
 
 
 def _category(c: Column) -> Column:
-    return F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(1 << 16)).cast("double")
+    """A place from 0 for each value, by its hash; -1 for null."""
+    return F.coalesce(F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(1 << 16)), F.lit(-1)).cast("double")
+
+
+def _of(node: Column, values: list) -> Column:
+    """The value of a node, from a literal array of one value per node."""
+    return F.get(F.array(*[F.lit(x) for x in values]), node)
+
+
+class Level:
+    """A level of the tree, by node: the dimension it is split along, the cut, and the nodes below it in the next level. A leaf is not split."""
+
+    def __init__(self):
+        self.dims, self.cuts, self.left, self.right = [], [], [], []
+
+    def next_node(self, node: Column, key) -> Column:
+        return F.when(key(_of(node, self.dims)) >= _of(node, self.cuts), _of(node, self.right)).otherwise(_of(node, self.left))
 
 
-def _values(spark: SparkSession, names: str, rows: list[tuple]) -> DataFrame:
-    """A broadcast table of one row per node: `shards` rows at most."""
-    cells = ", ".join("(" + ", ".join(f"{x!r}D" if isinstance(x, float) else str(x) for x in r) + ")" for r in rows)
-    return F.broadcast(spark.sql(f"SELECT * FROM VALUES {cells} AS t({names})"))
+def _narrowed(found: list, histogram: list[tuple[int, float]]) -> None:
+    """Narrows a search [dim, low, high, bytes below low, target, cut] to the bucket in which the target is reached; the cut is its nearer end."""
+    _, low, high, before, target, _ = found
+    step, total = (high - low) / BUCKETS, before
+    for b, w in sorted(histogram):
+        if total + w >= target:
+            a, z = low + b * step, high if b == BUCKETS - 1 else low + (b + 1) * step
+            found[1:4], found[5] = [a, z, total], a if target - total < total + w - target else z
+            return
+        total += w
 
 
 def kd_shards(rows: DataFrame, size_col: str, dims: list[str], tie_col: str, shards: int = SHARDS) -> DataFrame:
@@ -44,43 +70,50 @@ def kd_shards(rows: DataFrame, size_col: str, dims: list[str], tie_col: str, sha
     `dims` hold whole numbers as doubles, and `tie_col` numbers in [0, 1) that tell equal values
     apart. Nothing of the rows reaches the driver but the bounds and histograms of the nodes.
     """
-    spark, leaves, first = rows.sparkSession, {1: shards}, {1: 0}
-    placed = rows.withColumn("_node", F.lit(1))
-    key = F.element_at(F.array(*dims), F.col("_dim")) + F.col(tie_col)
+    key = lambda dim: F.get(F.array(*dims), dim) + F.col(tie_col)
     spans: list[float] = []
-    while active := [k for k, n in leaves.items() if n > 1]:
+    levels: list[Level] = []
+    leaves = [shards]  # of each node of the level that is being split
+    while any(n > 1 for n in leaves):
+        placed = rows.withColumn("_node", F.lit(0))
+        for level in levels:
+            placed = placed.withColumn("_node", level.next_node(F.col("_node"), key))
         ends = [f(d).alias(f"{f.__name__}_{d}") for d in dims for f in (F.min, F.max)]
         found = {r["_node"]: r for r in placed.groupBy("_node").agg(F.sum(size_col).alias("bytes"), *ends).collect()}
-        if not found:
-            break
-        width = lambda r: [r[f"max_{d}"] - r[f"min_{d}"] for d in dims]  # noqa: B023, E731
-        spans = spans or [max(w, 1.0) for w in width(found[1])]
+        width = lambda r: [r[f"max_{d}"] - r[f"min_{d}"] for d in dims]
+        spans = spans or [max(w, 1.0) for w in width(found[0])] if found else [1.0] * len(dims)
         search: dict[int, list] = {}
-        for k in (k for k in active if k in found):
-            r = found[k]
-            dim = max(range(len(dims)), key=lambda i: width(r)[i] / spans[i])  # noqa: B023
-            search[k] = [dim + 1, r[f"min_{dims[dim]}"], r[f"max_{dims[dim]}"] + 1.0, 0, r["bytes"] * (leaves[k] // 2) / leaves[k], 0.0]
-        for _ in range(ROUNDS):
-            ranges = _values(spark, "_node, _dim, _low, _width", [(k, s[0], float(s[1]), float(s[2] - s[1])) for k, s in search.items()])
-            inside = placed.join(ranges, "_node").select("_node", size_col, ((key - F.col("_low")) / F.col("_width") * BUCKETS).alias("_at")).where((F.col("_at") >= 0) & (F.col("_at") < BUCKETS))
-            sums = inside.groupBy("_node", F.floor("_at").cast("int").alias("b")).agg(F.sum(size_col).alias("bytes")).collect()
+        for k, n in enumerate(leaves):
+            if n > 1 and k in found:
+                r = found[k]
+                dim = max(range(len(dims)), key=lambda i: width(r)[i] / spans[i])  # noqa: B023
+                search[k] = [dim, r[f"min_{dims[dim]}"], r[f"max_{dims[dim]}"] + 1.0, 0, r["bytes"] * (n // 2) / n, 0.0]
+        for _ in range(ROUNDS if search else 0):
+            low, high, dim = ([float(search[k][i]) if k in search else 0.0 for k in range(len(leaves))] for i in (1, 2, 0))
+            node = F.col("_node")
+            place = (key(_of(node, [int(x) for x in dim])) - _of(node, low)) / _of(node, [max(z - a, 1e-300) for a, z in zip(low, high, strict=True)]) * BUCKETS
+            searched = placed.where(node.isin(*search)).select("_node", size_col, place.alias("_at")).where((F.col("_at") >= 0) & (F.col("_at") < BUCKETS))
+            sums: dict[int, list] = {}
+            for r in searched.groupBy("_node", F.floor("_at").cast("int").alias("b")).agg(F.sum(size_col).alias("bytes")).collect():
+                sums.setdefault(r["_node"], []).append((r["b"], r["bytes"]))
             for k, s in search.items():
-                _, low, high, before, target, _ = s
-                step, total = (high - low) / BUCKETS, before
-                for b, w in sorted((r["b"], r["bytes"]) for r in sums if r["_node"] == k):
-                    if total + w >= target:
-                        a, z = low + b * step, high if b == BUCKETS - 1 else low + (b + 1) * step
-                        s[1:4], s[5] = [a, z, total], a if target - total < total + w - target else z
-                        break
-                    total += w
-        cuts = _values(spark, "_node, _dim, _cut", [(k, s[0], float(s[5])) for k, s in search.items()])
-        placed = placed.join(cuts, "_node", "left").withColumn("_node", F.when(F.col("_cut").isNull(), F.col("_node")).otherwise(F.col("_node") * 2 + (key >= F.col("_cut")).cast("int"))).drop("_dim", "_cut")
-        for k in active:
-            n, left = leaves.pop(k), first[k]
-            leaves[2 * k], leaves[2 * k + 1] = n // 2, n - n // 2
-            first[2 * k], first[2 * k + 1] = left, left + n // 2
-    shard = _values(spark, "_node, shard", [(k, first[k]) for k in leaves])
-    return placed.join(shard, "_node").drop("_node")
+                _narrowed(s, sums.get(k, []))
+        level, below = Level(), []
+        for k, n in enumerate(leaves):
+            dim, *_, cut = search.get(k, [0, 0.0])
+            level.dims.append(dim)
+            level.cuts.append(float(cut))
+            level.left.append(len(below))
+            below.append(n if n == 1 else n // 2)
+            level.right.append(len(below) if n > 1 else len(below) - 1)
+            below += [n - n // 2] if n > 1 else []
+        levels.append(level)
+        leaves = below
+    shard = F.lit(0)  # every node is a leaf, and these stand in order
+    for level in levels:
+        rows = rows.withColumn("shard", level.next_node(shard, key))
+        shard = F.col("shard")
+    return rows if levels else rows.withColumn("shard", F.lit(0))
 
 
 def gapless(rows: DataFrame, group: str, tie_col: str, order: list[str], n_rows: int, groups: int) -> DataFrame:

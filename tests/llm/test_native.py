@@ -66,3 +66,46 @@ def test_shards(spark):
         assert slots == list(range(len(slots)))
     assert sharding.shard_documents(docs.limit(0)).count() == 0
     assert sharding.shard_documents(docs.limit(3)).count() == 3
+
+
+def plain_tree(rows, shards):
+    """Shards of (size, dims, tie) by sorting: each node is cut where its bytes are halved, along its widest dimension."""
+    n_dims = len(rows[0][1])
+    spans = [max(1.0, max(r[1][d] for r in rows) - min(r[1][d] for r in rows)) for d in range(n_dims)]
+
+    def split(part, n, first):
+        if n == 1 or not part:
+            return dict.fromkeys(part, first)
+        dim = max(range(n_dims), key=lambda d: (max(rows[i][1][d] for i in part) - min(rows[i][1][d] for i in part)) / spans[d])
+        part = sorted(part, key=lambda i: rows[i][1][dim] + rows[i][2])
+        target, before, cut = sum(rows[i][0] for i in part) * (n // 2) / n, 0, 0
+        for k, i in enumerate(part):
+            if before + rows[i][0] >= target:
+                cut = k if target - before < before + rows[i][0] - target else k + 1
+                break
+            before += rows[i][0]
+        return split(part[:cut], n // 2, first) | split(part[cut:], n - n // 2, first + n // 2)
+
+    return split(list(range(len(rows))), shards, 0)
+
+
+def test_the_tree_matches_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    n = 3000
+    ties = rng.permutation(n) / n
+    size = np.where(rng.random(n) < 0.02, rng.integers(5000, 90000, n), rng.integers(16, 900, n))
+    dims = [size.astype(float), rng.choice([0.0, 7.0, 30000.0], n, p=[0.6, 0.3, 0.1]), rng.integers(-1, 4, n).astype(float)]
+    rows = [(int(size[i]), tuple(float(d[i]) for d in dims), float(ties[i])) for i in range(n)]
+    df = spark.createDataFrame([(i, r[0], *r[1], r[2]) for i, r in enumerate(rows)], "i long, size long, d0 double, d1 double, d2 double, tie double")
+    for shards in (1, 7):
+        got = {r.i: r.shard for r in sharding.kd_shards(df, "size", ["d0", "d1", "d2"], "tie", shards).collect()}
+        assert got == plain_tree(rows, shards), shards
+
+
+def test_long_texts_and_null_metadata_in_shards(spark):
+    rows = [(1, "x" * 3_000_000, None, ""), (2, None, "", None), (3, "y", None, None), (3, "y", None, None)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()
+    assert sorted((r.doc_id, r.size) for r in got) == [(1, 3_000_016), (2, 16), (3, 17), (3, 17)]
+    assert spark.createDataFrame([(None,), ("",)], "s string").select(sharding._category(F.col("s")).alias("c")).distinct().count() == 2
