@@ -38,18 +38,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_arrow_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Lowers the session's Arrow batches to `ARROW_ROWS` rows; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """`df` written once to the shared checkpoint folder; its lineage ends there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and the executors share: ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Where that is unset (tests, a single
-    machine) a temporary folder is set.
+    Where that is unset, a temporary folder serves a session on one machine; on a cluster, whose
+    executors could not see it, this is an error.
     """
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder:
+        return folder
+    if sc.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+    return tempfile.mkdtemp(prefix="spark-checkpoint-")
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """`df` written once to the shared folder (`shared_folder`); its lineage ends there."""
     sc = df.sparkSession.sparkContext
-    if not sc._conf.get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

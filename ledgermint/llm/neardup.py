@@ -308,8 +308,9 @@ def candidate_edges(reps: DataFrame, least: int, block: int, parts: int) -> Data
     near = rated.where(F.col("alike") >= least).select(F.col("id").alias("a"), F.col("leader").alias("b"))
     # rows far from the leader of a bucket of three rows or more meet all its rows
     far = materialise(members.where("rows > 2").join(rated.where(F.col("alike") < least), ["id", "leader"]).select("band", "slot_key", "id"))
-    lost = far.groupBy("band", "slot_key").agg(F.count("*").alias("open"))
-    rest = members.join(lost, ["band", "slot_key"]).join(far.withColumn("far", F.lit(True)), ["band", "slot_key", "id"], "left")
+    n_far = far.count()  # few as a rule: then no bucket is shuffled to find them
+    lost = bounded(far.groupBy("band", "slot_key").agg(F.count("*").alias("open")), n_far)
+    rest = members.join(lost, ["band", "slot_key"]).join(bounded(far.withColumn("far", F.lit(True)), n_far), ["band", "slot_key", "id"], "left")
     dealt = _dealt(rest, "rows", F.col("far").isNotNull(), "open", block).select("band", "slot_key", "held", "sought", "id", "seeks")
     keys = ["band", "slot_key", "held", "sought"]
     met = dealt.join(sigs, "id").select(*keys, "id", "seeks", "sig").repartition(parts, *keys).sortWithinPartitions(*keys, "id")
