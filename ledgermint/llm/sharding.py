@@ -25,7 +25,7 @@ from .common import materialise, table
 
 SHARDS = 40
 #: Buckets of a histogram, and how often one is narrowed.
-BUCKETS, ROUNDS = 256, 4
+BUCKETS, ROUNDS = 1024, 3
 #: Rows that one task numbers at most, about.
 SLOT_ROWS = 1 << 15
 #: Bytes that a row costs besides its text.
@@ -92,10 +92,12 @@ def kd_shards(rows: DataFrame, size_col: str, dims: list[str], tie_col: str, sha
             low, high, dim = ([float(search[k][i]) if k in search else 0.0 for k in range(len(leaves))] for i in (1, 2, 0))
             node = F.col("_node")
             place = (key(_of(node, [int(x) for x in dim])) - _of(node, low)) / _of(node, [max(z - a, 1e-300) for a, z in zip(low, high, strict=True)]) * BUCKETS
-            searched = placed.where(node.isin(*search)).select("_node", size_col, place.alias("_at")).where((F.col("_at") >= 0) & (F.col("_at") < BUCKETS))
+            # no filter on `_node` or `_at`: it would be pushed down, and the path of the tree with it, once for each of its uses
+            searched = placed.select("_node", size_col, place.alias("_at")).withColumn("b", F.when((F.col("_at") >= 0) & (F.col("_at") < BUCKETS), F.floor("_at").cast("int")))
             sums: dict[int, list] = {}
-            for r in searched.groupBy("_node", F.floor("_at").cast("int").alias("b")).agg(F.sum(size_col).alias("bytes")).collect():
-                sums.setdefault(r["_node"], []).append((r["b"], r["bytes"]))
+            for r in searched.groupBy("_node", "b").agg(F.sum(size_col).alias("bytes")).collect():
+                if r["b"] is not None:
+                    sums.setdefault(r["_node"], []).append((r["b"], r["bytes"]))
             for k, s in search.items():
                 _narrowed(s, sums.get(k, []))
         level, below = Level(), []
@@ -135,6 +137,7 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tie = F.shiftrightunsigned(F.xxhash64(id_col, "text_crc32", "_row"), 34) / F.lit(float(1 << 30))
     meta = materialise(meta.select("*", F.col("size").cast("double").alias("_size"), tie.alias("_tie")))
     placed = kd_shards(meta, "size", ["_size", *[f"_d{i}" for i in range(len(categories))]], "_tie", shards)
+    placed = materialise(placed.select(id_col, "size", "text_crc32", "shard", "_tie", "_row"))
     return gapless(placed, "shard", "_tie", ["_tie", id_col, "_row"], meta.count(), shards).select(id_col, "size", "text_crc32", "shard", "slot")
 
 
