@@ -1,4 +1,4 @@
-"""Cutting lineage where a small result is used several times."""
+"""Cutting lineage where a result is used several times, and spreading small inputs."""
 
 from __future__ import annotations
 
@@ -8,8 +8,22 @@ from pyspark.sql import DataFrame
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """`df` written once to the session's ``spark.checkpoint.dir``; where that is unset, to a temporary folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc._conf.get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    """`df` written once to the session's ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder serves a session on one machine; on a cluster, whose
+    executors could not see it, this is an error.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan dealt over all cores, where its files are too small to occupy them; a larger one as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -1,19 +1,26 @@
 """Row predicates as data: one description gives a Spark column and, for checks, SQL of another engine.
 
 A predicate names fields (`lower`, `upper`, `channel`, `amount` ...); the caller says which column
-each field is. Word lists become one alternation, so that a long list is one pass over the text.
+each field is. A few hundred words in dozens of lists are looked for in one pass over the text: a
+`WordIndex` turns them into one regular expression, factored by common beginnings, and gives the lists
+that the text has a word of; a list of words is then a lookup in a short array of numbers. Without an
+index, words are looked for one by one.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SPECIAL = re.compile(r"([.^$*+?()\[\]{}|\\])")
+
+def searched(pattern: str) -> str:
+    """A pattern without .* at its ends, where a search finds it in the same texts: .* in front makes a search start over at every character."""
+    return re.sub(r"(?<!\\)(?:\.\*)+$", "", re.sub(r"^(?:\.\*)+", "", pattern))
 
 
 def quoted(s: str) -> str:
@@ -27,6 +34,9 @@ class Predicate:
     def sql(self, fields: dict[str, str]) -> str:
         raise NotImplementedError
 
+    def leaves(self) -> Iterator[Predicate]:
+        yield self
+
     def __and__(self, other: Predicate) -> Predicate:
         return _Both((self, other), "AND")
 
@@ -42,8 +52,13 @@ class _Both(Predicate):
     parts: tuple[Predicate, ...]
     how: str
 
+    def leaves(self):
+        for p in self.parts:
+            yield from p.leaves()
+
     def column(self, fields):
-        cols = [p.column(fields) for p in self.parts]
+        slow = lambda p: any(isinstance(x, Finds) for x in p.leaves())
+        cols = [p.column(fields) for p in sorted(self.parts, key=slow)]  # patterns last: they often need not be tried
         return reduce(lambda a, b: a & b if self.how == "AND" else a | b, cols)
 
     def sql(self, fields):
@@ -54,6 +69,9 @@ class _Both(Predicate):
 class _Not(Predicate):
     part: Predicate
 
+    def leaves(self):
+        yield from self.part.leaves()
+
     def column(self, fields):
         return ~self.part.column(fields)
 
@@ -69,9 +87,10 @@ class Has(Predicate):
     words: tuple[str, ...]
 
     def column(self, fields):
-        if len(self.words) == 1:
-            return fields[self.field].contains(self.words[0])
-        return fields[self.field].rlike("|".join(_SPECIAL.sub(r"\\\1", w) for w in self.words))
+        index = fields.get(f"index:{self.field}")
+        if index is not None and self.words in index.lists:
+            return F.array_contains(fields[f"lists:{self.field}"], index.lists[self.words])
+        return reduce(lambda a, b: a | b, [fields[self.field].contains(w) for w in self.words])
 
     def sql(self, fields):
         return "(" + " OR ".join(f"contains({fields[self.field]}, {quoted(w)})" for w in self.words) + ")"
@@ -81,16 +100,25 @@ class Has(Predicate):
 class Finds(Predicate):
     """Any of the regular expressions is found in the field; `unless` is what must not follow a match.
 
-    In SQL without look-ahead, `unless` excludes the row, which is the same where one match occurs.
+    `needs` are words of which every text with a match has one; others are not searched. In SQL, whose
+    engine has no look-ahead, `unless` excludes the row, which is the same where one match occurs.
     """
 
     field: str
     patterns: tuple[str, ...]
     unless: str = ""
+    needs: tuple[str, ...] = ()
+
+    def leaves(self):
+        yield self
+        if self.needs:
+            yield Has(self.field, self.needs)
 
     def column(self, fields):
+        gate = Has(self.field, self.needs).column(fields) if self.needs and f"index:{self.field}" in fields else None
         look = f"(?!{self.unless})" if self.unless else ""
-        return fields[self.field].rlike("|".join(f"(?:{p}{look})" for p in self.patterns))
+        test = fields[self.field].rlike("|".join(f"(?:{searched(p) if not look else p}{look})" for p in self.patterns))
+        return test if gate is None else gate & test
 
     def sql(self, fields):
         found = f"regexp_matches({fields[self.field]}, {quoted('|'.join(f'(?:{p})' for p in self.patterns))})"
@@ -146,13 +174,57 @@ class Equals(Predicate):
         return f"coalesce({fields[self.field]} = {self.value}, false)"
 
 
-def first_of(fields: dict[str, Column], choices: list[tuple[Predicate, str]], default: str | None) -> Column:
-    """The value of the first predicate that holds."""
-    out = None
-    for p, v in choices:
-        out = F.when(p.column(fields), F.lit(v)) if out is None else out.when(p.column(fields), F.lit(v))
-    last = F.lit(default).cast("string")
-    return last if out is None else out.otherwise(last)
+def _written(tree: dict) -> str:
+    """A regular expression for the words of a tree of characters, the longest first; the key "" ends a word."""
+    branches = []
+    for c, below in sorted((c, below) for c, below in tree.items() if c):
+        rest = _written(below)
+        if "" in below and rest:
+            rest = f"(?:{rest})?"
+        elif len(below) > 1:
+            rest = f"(?:{rest})"
+        branches.append((c if c.isalnum() or c == " " else "\\" + c) + rest)
+    return "|".join(branches)
+
+
+class WordIndex:
+    """Lists of ASCII words, by number, that one pass over a text looks for as substrings."""
+
+    def __init__(self, lists: list[tuple[str, ...]]):
+        self.lists = {words: i for i, words in enumerate(dict.fromkeys(lists))}
+        of: dict[str, set[int]] = {}
+        for words, i in self.lists.items():
+            for w in words:
+                of.setdefault(w, set()).add(i)
+        # at a place the longest word is found, and the words it begins with stand there as well
+        self.of = {w: sorted(set().union(*(of[v] for v in of if w.startswith(v)))) for w in of}
+        tree: dict = {}
+        for w in of:
+            at = tree
+            for c in w:
+                at = at.setdefault(c, {})
+            at[""] = {}
+        self.pattern = f"(?=({_written(tree)}))"
+
+    def found(self, text: Column) -> Column:
+        """The numbers of the lists that have a word in the text; null for a null text."""
+        numbers = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*[F.lit(i) for i in x]) for kv in self.of.items() for x in kv])
+        words = F.array_distinct(F.regexp_extract_all(text, F.lit(self.pattern), F.lit(1)))
+        return F.array_distinct(F.flatten(F.transform(words, lambda w: F.element_at(numbers, w))))
+
+
+def indexed(predicates: list[Predicate], field: str) -> WordIndex:
+    """An index of the lists of words that predicates look for in a field."""
+    return WordIndex([x.words for p in predicates for x in p.leaves() if isinstance(x, Has) and x.field == field])
+
+
+def with_index(df: DataFrame, fields: dict, indexes: dict[str, WordIndex]) -> tuple[DataFrame, dict]:
+    """`df` with a column `_lists_<field>` for each index, and the fields with the indexes."""
+    more = dict(fields)
+    for field, index in indexes.items():
+        df = df.withColumn(f"_lists_{field}", index.found(fields[field]))
+        more |= {f"index:{field}": index, f"lists:{field}": F.col(f"_lists_{field}")}
+    return df, more
 
 
 def first_of_sql(fields: dict[str, str], choices: list[tuple[Predicate, str]], default: str | None) -> str:

@@ -1,8 +1,8 @@
 """Data sets for training: label clean-up, corrections, balancing, splits, augmentation, validation.
 
 No step draws random numbers: a row's place is decided by a hash formula of its key, so that a task
-that runs again gives the same rows. Balancing ranks rows per class with a window; a class that is far
-larger than its quota is first thinned by the same hash, so the window sorts little more than it keeps.
+that runs again gives the same rows. Ranks within a class come from counts per class and range of
+places, and a window over one such range, so that no task sorts a class.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgermint.functions.text import variants
+
 #: A formula that any engine can compute, for reproducible order.
 HASH_FACTOR, HASH_MOD = 2654435761, 1000003
 
@@ -59,13 +61,32 @@ def union_sources(*sources: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
 
 
+#: Ranges of places that a class is counted by.
+RANGES = 1000
+
+
+def _ranges(df: DataFrame, label: str, key: str, seed: int) -> tuple[DataFrame, DataFrame]:
+    """`df` with `_place` and `_range`, and (label, _range, _before, _have): rows of the class before the range, and in all."""
+    placed = df.withColumn("_place", place(F.col(key), seed)).withColumn("_range", F.floor(F.col("_place") / (HASH_MOD // RANGES + 1)).cast("int"))
+    counts = placed.groupBy(label, "_range").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(label)  # at most RANGES rows of a class
+    return placed, counts.select(label, "_range", (F.sum("_n").over(w.orderBy("_range")) - F.col("_n")).alias("_before"), F.sum("_n").over(w).alias("_have"))
+
+
+def ranked(df: DataFrame, label: str = "label", key: str = "txn_key", seed: int = 0, most: int | None = None) -> DataFrame:
+    """`df` with `_rank`, from 1 in each class by place, and `_have`, the rows of the class; with `most`, only ranges that begin below it."""
+    placed, before = _ranges(df, label, key, seed)
+    before = before if most is None else before.where(F.col("_before") < most)
+    within = F.row_number().over(Window.partitionBy(label, "_range").orderBy("_place", key))
+    joined = placed.join(before.withColumnRenamed("_range", "_r").withColumnRenamed(label, "_l"), F.col(label).eqNullSafe(F.col("_l")) & (F.col("_range") == F.col("_r")))
+    return joined.withColumn("_rank", F.col("_before") + within).drop("_place", "_range", "_before", "_r", "_l")
+
+
 def balance(df: DataFrame, n: int, label: str = "label", key: str = "txn_key", seed: int = 0) -> DataFrame:
-    """Exactly n rows of each class: n of a large class, repeats of a small one; `copy` counts the repeats."""
-    order = Window.partitionBy(label).orderBy(place(F.col(key), seed), key)
-    counts = df.groupBy(label).agg(F.count("*").alias("_have"))
-    ranked = df.join(F.broadcast(counts), label).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n)  # one row per class
-    extra = F.floor((F.lit(n) - F.col("_n")) / F.col("_have")).cast("int")
-    return ranked.withColumn("copy", F.explode(F.sequence(F.lit(0), F.greatest(extra, F.lit(0))))).drop("_n", "_have")
+    """Exactly n rows of each class: n of a large class, repeats of a small one; `copy` counts the repeats. Little more than n rows of a class are sorted."""
+    rows = ranked(df, label, key, seed, most=n).where(F.col("_rank") <= n)
+    extra = F.floor((F.lit(n) - F.col("_rank")) / F.col("_have")).cast("int")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.greatest(extra, F.lit(0))))).drop("_rank", "_have")
 
 
 def oversample_target(df: DataFrame, label: str = "label", least: int = 100, share: float = 0.8) -> DataFrame:
@@ -79,9 +100,18 @@ def split(df: DataFrame, share: float = 0.8, key: str = "txn_key", by: str | Non
     """`df` with `part`, train or validation. Without `by`, about `share` by hash, no shuffle; with it, exactly floor(share * n) of each class."""
     if by is None:
         return df.withColumn("part", F.when(place(F.col(key), seed) < share * HASH_MOD, "train").otherwise("validation"))
-    w = Window.partitionBy(by)
-    n, rank = F.count("*").over(w), F.row_number().over(w.orderBy(place(F.col(key), seed), key))
-    return df.withColumn("part", F.when(rank <= F.floor(n * share), "train").otherwise("validation"))
+    return ranked(df, by, key, seed).withColumn("part", F.when(F.col("_rank") <= F.floor(F.col("_have") * share), "train").otherwise("validation")).drop("_rank", "_have")
+
+
+def oversample(df: DataFrame, label: str = "label", key: str = "txn_key", text: str = "text", least: int = 100, share: float = 0.8, seed: int = 0) -> DataFrame:
+    """`df` with its small classes brought to `oversample_target`: `copy` is 0 for given rows; added ones count from 1 and carry a spelling variant of their text, in turn."""
+    targets = oversample_target(df, label, least, share).where("target > n").select(F.col(label).alias("_l"), F.col("target").alias("_target"))
+    short = ranked(df.join(F.broadcast(targets), F.col(label).eqNullSafe(F.col("_l"))).drop("_l"), label, key, seed)  # a row per class
+    copies = F.floor((F.col("_target") - F.col("_rank")) / F.col("_have")).cast("int")
+    added = short.where(copies >= 1).withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+    spelled = variants(F.col(text))
+    added = added.withColumn(text, F.get(spelled, F.pmod(F.col("copy") - 1, F.size(spelled)).cast("int")))
+    return df.withColumn("copy", F.lit(0)).unionByName(added.select(*df.columns, "copy"))
 
 
 def few_shot(df: DataFrame, per_class: int = 2, most: int = 20, label: str = "label", order: str = "pos") -> DataFrame:
@@ -105,6 +135,38 @@ def natural_variants(df: DataFrame, templates: DataFrame, merchant: str = "merch
     return df.join(t, F.col(label) == F.col("_c"), "left").withColumn("variant", F.explode(F.slice(F.array_distinct(made), 1, most))).where(F.lower("variant") != F.lower(text)).drop("_c", "_t")
 
 
+# What stands before a merchant in training texts, and classes whose texts name no merchant.
+PREFIXES = ("UPI-", "IMPS-", "NEFT-", "RTGS-", "POS PURCHASE ", "ONLINE ORDER ", "FOOD DELIVERY ", "DEBIT CARD ")
+NO_MERCHANT = ("Transfers/UPI", "ATM/Cash", "Fees & Charges", "Income/Salary", "Bills", "Rent")
+
+
+def augmentation_merchant(text: Column) -> Column:
+    """The first two words after a known prefix, letters and spaces only; the text where that leaves nothing."""
+    rest = F.regexp_replace(text, "^(" + "|".join(PREFIXES) + ")", "")
+    words = F.filter(F.split(rest, r"\s+"), lambda w: w != "")
+    name = F.trim(F.regexp_replace(F.array_join(F.slice(words, 1, 2), " "), r"[^A-Za-z\s]", ""))
+    return F.when(F.size(words) == 0, rest).otherwise(F.coalesce(F.nullif(name, F.lit("")), rest))
+
+
+def augmented(df: DataFrame, templates: DataFrame, share: float = 0.3, label: str = "label", key: str = "txn_key", text: str = "text", none: tuple[str, ...] = NO_MERCHANT, seed: int = 0) -> DataFrame:
+    """`df` and spoken forms of about `share` of its rows whose class names merchants; `augmented` tells them apart."""
+    chosen = df.where(~F.col(label).isin(*none) & (place(F.col(key), seed) < share * HASH_MOD)).withColumn("_merchant", augmentation_merchant(F.col(text))).where("length(_merchant) >= 3")
+    made = natural_variants(chosen, templates, "_merchant", label, text).withColumn(text, F.col("variant"))
+    return df.withColumn("augmented", F.lit(False)).unionByName(made.select(*df.columns, F.lit(True).alias("augmented")))
+
+
+def augmentation_counts(rows: DataFrame, label: str = "label") -> DataFrame:
+    """(label, original, added) of augmented rows."""
+    return rows.groupBy(label).agg(F.count_if(~F.col("augmented")).alias("original"), F.count_if("augmented").alias("added"))
+
+
+def class_examples(df: DataFrame, most: int = 5, least: int = 3, label: str = "label", order: str = "pos") -> DataFrame:
+    """The first examples of each class with enough of them: `most` a class."""
+    enough = df.groupBy(label).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(F.col(label).alias("_l"))
+    w = Window.partitionBy(label).orderBy(order)
+    return df.join(F.broadcast(enough), F.col(label) == F.col("_l"), "left_semi").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
+
+
 def class_weights(df: DataFrame, label: str = "label", ratio: float = 2.0) -> DataFrame:
     """(label, n, weight): balanced weights where the largest class exceeds the smallest `ratio` times, else 1."""
     counts = df.groupBy(label).agg(F.count("*").alias("n"))

@@ -114,3 +114,47 @@ def agreement_distribution(df: DataFrame) -> DataFrame:
     """How many rows had three, two, or at most one method behind the winner; confidence bands; reviews."""
     a, c = F.col("vote.agreement"), F.col("confidence")
     return df.agg(F.count_if(a >= 3).alias("three"), F.count_if(a == 2).alias("two"), F.count_if(a <= 1).alias("one"), F.count_if(c > 0.8).alias("high"), F.count_if((c > 0.5) & (c <= 0.8)).alias("medium"), F.count_if(c <= 0.5).alias("low"), F.count_if("requires_review").alias("reviews"))
+
+
+def service_stats(df: DataFrame) -> DataFrame:
+    """(total, accuracy, review_rate) of stored results; the mean confidence stands for accuracy, and 0 for figures of nothing."""
+    zero = lambda c: F.coalesce(F.round(c, 6), F.lit(0.0))
+    return df.agg(F.count("*").alias("total"), zero(F.avg(F.col("confidence").cast("double"))).alias("accuracy"), zero(F.try_divide(F.count_if("requires_review"), F.count("*"))).alias("review_rate"))
+
+
+def run_report(df: DataFrame, true: str = "label", pred: str = "pred", latency: str = "latency_ms") -> DataFrame:
+    """(total, correct, accuracy, and average, least and most confidence and latency) of a test run."""
+    figures = [f(c).alias(f"{n}_{name}") if n != "avg" else F.round(f(c), 6).alias(f"{n}_{name}") for name, c in (("confidence", "confidence"), ("latency", latency)) for n, f in (("avg", F.avg), ("min", F.min), ("max", F.max))]
+    hit = F.col(true) == F.col(pred)
+    return df.agg(F.count("*").alias("total"), F.count_if(hit).alias("correct"), F.round(F.avg(hit.cast("int")), 6).alias("accuracy"), *figures)
+
+
+def fairness(df: DataFrame, true: str = "label", pred: str = "pred") -> DataFrame:
+    """(range, n, accuracy, confidence, review_rate) by five amount ranges."""
+    hit = F.coalesce(F.col(true) == F.col(pred), F.lit(False)).cast("int")
+    return df.where("amount IS NOT NULL").groupBy(range_of(FIVE_RANGES).alias("range")).agg(F.count("*").alias("n"), F.round(F.avg(hit), 6).alias("accuracy"), F.round(F.avg("confidence"), 6).alias("confidence"), F.round(F.avg(F.col("requires_review").cast("int")), 6).alias("review_rate"))
+
+
+def range_of(ranges: list[tuple], amount: str = "amount"):
+    """The name of the first range (name, above, up to) whose end an amount does not exceed."""
+    out = None
+    for name, _, high in ranges:
+        test = F.col(amount) <= high if high is not None else F.col(amount).isNotNull()
+        out = F.when(test, name) if out is None else out.when(test, name)
+    return out
+
+
+def chi_square(df: DataFrame, true: str = "label", pred: str = "pred") -> DataFrame:
+    """(statistic, freedom): whether being right depends on the amount range, from the counts of both."""
+    hit = F.coalesce(F.col(true) == F.col(pred), F.lit(False))
+    cells = df.where("amount IS NOT NULL").groupBy(range_of(FIVE_RANGES).alias("range")).agg(F.count("*").alias("n"), F.count_if(hit).alias("right"))
+    all_ = cells.agg(F.sum("n").alias("_n"), F.sum("right").alias("_right"), F.count("*").alias("_k"))  # one row
+    share = F.col("_right") / F.col("_n")
+    gap = (F.col("right") - F.col("n") * share) * (F.col("right") - F.col("n") * share)
+    cell = F.try_divide(gap, F.col("n") * share) + F.try_divide(gap, F.col("n") * (1 - share))
+    return cells.crossJoin(F.broadcast(all_)).agg(F.round(F.coalesce(F.sum(cell), F.lit(0.0)), 6).alias("statistic"), (F.max("_k") - 1).alias("freedom"))
+
+
+def merchant_rollup(df: DataFrame, merchant: str = "merchant_resolved") -> DataFrame:
+    """(merchant, n, avg_confidence) of each merchant."""
+    return df.where(F.col(merchant).isNotNull()).groupBy(F.col(merchant).alias("merchant")).agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("avg_confidence"))

@@ -35,7 +35,8 @@ def trained(df: DataFrame, label: str = "label", kind: str = "forest", weight: s
     stages: list = [StringIndexer(inputCol=label, outputCol="label_index", handleInvalid="skip", stringOrderType="alphabetAsc")]
     if vector is None:
         stages += [*text_stages(), VectorAssembler(inputCols=["text_vector", *feature_columns(df)], outputCol="vector")]
-    common = {"featuresCol": vector or "vector", "labelCol": "label_index"} | ({"weightCol": weight} if weight else {})
+    vector = vector or "vector"
+    common = {"featuresCol": vector, "labelCol": "label_index"} | ({"weightCol": weight} if weight else {})
     stages.append(RandomForestClassifier(numTrees=20, maxDepth=8, seed=seed, **common) if kind == "forest" else LogisticRegression(maxIter=40, regParam=1e-3, **common))
     return Pipeline(stages=stages).fit(df)
 
@@ -83,11 +84,13 @@ def centroids(df: DataFrame, embedding: str = "embedding", label: str = "label")
 
 
 def nearest_label(df: DataFrame, centres: DataFrame, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(key, pred, distance): the label whose centroid is nearest; `centres` has a row per label."""
-    c = F.broadcast(centres.withColumnRenamed("label", "_l"))
-    gap = F.aggregate(F.zip_with(embedding, "centroid", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    best = df.select(key, embedding).crossJoin(c).withColumn("_d", F.round(gap, 9)).groupBy(key).agg(F.min(F.struct("_d", "_l")).alias("b"))  # labels x rows, labels are few
-    return best.select(key, F.col("b._l").alias("pred"), F.col("b._d").alias("distance"))
+    """(key, pred, distance): the label whose centroid is nearest; `centres` has a row per label, and goes into each row's expression as one array."""
+    listed = [(r["label"], [float(x) for x in r["centroid"]]) for r in centres.select("label", "centroid").collect()]
+    kind = dict(centres.dtypes)["label"]
+    literal = F.array(*[F.struct(F.lit(l).cast(kind).alias("label"), F.array(*[F.lit(x) for x in c]).alias("centre")) for l, c in sorted(listed, key=lambda x: str(x[0]))])
+    gap = lambda c: F.round(F.aggregate(F.zip_with(embedding, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x), 9)
+    best = F.array_min(F.transform(literal, lambda c: F.struct(gap(c["centre"]).alias("distance"), c["label"].alias("pred"))))
+    return df.select(key, best.alias("b")).select(key, "b.pred", "b.distance")
 
 
 def vectors(df: DataFrame, embedding: str = "embedding") -> DataFrame:

@@ -20,12 +20,14 @@ CHANNELS: dict[str, list[str]] = {
 #: The group of each of those patterns that holds the name; `compat` takes the last, second or first group instead.
 NAME_GROUP = {"UPI": [2, 1, 1, 1], "IMPS": [2, 1, 1], "POS": [2, 1, 1]}
 COMPAT_GROUP = {"UPI": [2, 2, 2, 1], "IMPS": [2, 2, 2], "POS": [1, 1, 1]}
+#: Reference numbers, places, merchants, amounts and dates, in the order they are tried, and abbreviations.
 REFERENCES = [r"(?i)REF\s*[:\-#]?\s*(\d+)", r"(?i)TXN\s*[:\-#]?\s*(\d+)", r"(?i)TRANSACTION\s*[:\-#]?\s*(\d+)", r"(?i)RRN\s*[:\-#]?\s*(\d+)"]
 LOCATIONS = [r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\s*(?:IN|INDIA)?$", r"(?i)(?:AT|@|IN)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)"]
 MERCHANTS = [r"(?i)\bTO\s+([A-Z][A-Z0-9\s]+)", r"(?i)([A-Za-z0-9]+)[\*\-](?:PAY|PAYMENT|PMT)", r"(?i)(?:PAID\s+TO|FROM)\s+([A-Za-z0-9\s]+)"]
 AMOUNTS = [r"(?i)(?:INR|RS|₹)\s*([0-9,]+\.?\d*)", r"(?i)([0-9,]+\.?\d*)\s*(?:INR|RS|₹)"]
-#: Year first: else the day-first pattern takes the end of an ISO date.
+#: Year first, else the day-first pattern takes the end of an ISO date.
 DATES = [r"(\d{4}[-/]\d{1,2}[-/]\d{1,2})", r"(\d{1,2}[-/]\d{1,2}[-/]\d{2,4})", r"(?i)(\d{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{2,4})"]
+#: Short forms.
 ABBREVIATIONS = {"txn": "transaction", "ref": "reference", "pymnt": "payment", "pmt": "payment", "rcvd": "received", "wdl": "withdrawal", "dep": "deposit", "chq": "cheque", "ck": "cheque"}
 # Words of the flag features.
 FLAG_WORDS = {
@@ -91,6 +93,14 @@ def normalize(df: DataFrame, text: str = "text", amount: str | None = "amount",
     return work.withColumn("search_text", F.concat_ws(" ", t, mark("channel", "channel"), mark("merchant", "pattern_merchant"), mark("location", "location")))
 
 
+def normalize_batch(df: DataFrame, compat: bool = False) -> DataFrame:
+    """Rows of texts or of records: `text` else `description`, `date` else `timestamp`, `amount`, `currency` else INR, whichever of these the table has."""
+    first = lambda *names: F.coalesce(*[F.col(c).cast("string") for c in names if c in df.columns], F.lit(None).cast("string"))
+    amount = F.col("amount") if "amount" in df.columns else F.lit(None).cast("double")
+    rest = [c for c in df.columns if c not in ("text", "description", "date", "timestamp", "amount", "currency")]
+    return normalize(df.select(*rest, first("text", "description").alias("text"), first("date", "timestamp").alias("date"), amount.alias("amount"), F.coalesce(first("currency"), F.lit("INR")).alias("currency")), compat=compat)
+
+
 def features(df: DataFrame) -> DataFrame:
     """The 58 features of normalised rows, added as columns; missing values count as 0 or false."""
     t, channel, merchant, day = F.col("cleaned_text"), F.coalesce("channel", F.lit("")), F.coalesce("merchant", F.lit("")), F.col("norm_date")

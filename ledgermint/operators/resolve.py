@@ -1,7 +1,9 @@
-"""Merchant resolution against a gazetteer: exact, substring, trigram and fuzzy alias matches.
+"""Merchant resolution against a gazetteer: exact, substring, trigram and fuzzy name matches.
 
-The gazetteer (some thousand aliases) is broadcast; transactions are never shuffled for the exact and
-substring steps. Fuzzy steps run on the distinct open texts only.
+Names (canonical ones and aliases) are joined, never compared with every text: substrings by the first
+characters of a name, trigrams by themselves, and sequence similarity by shared pairs of characters,
+which every pair of texts above the threshold has. Distinct texts are resolved once. The names are
+broadcast after a count; beyond `MOST_NAMES` the joins shuffle.
 """
 
 from __future__ import annotations
@@ -13,9 +15,9 @@ from pyspark.sql.window import Window
 from ledgermint.functions.lineage import materialise
 from ledgermint.functions.text import sequence_ratio, trigrams
 
-SUBSTRING_SCORE = 0.85
-#: Aliases that may be broadcast.
-MOST_ALIASES = 200_000
+SUBSTRING_SCORE, SHORTEST = 0.85, 4
+#: Names that may be broadcast.
+MOST_NAMES = 200_000
 
 
 def clean_merchant(text: Column) -> Column:
@@ -24,45 +26,79 @@ def clean_merchant(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"[*\-/.]+", " "), r"\s+", " "))
 
 
+def listed_names(gazetteer: DataFrame) -> DataFrame:
+    """(row_pos, merchant_id, canonical_name, category, subcategory, alias, pos): the canonical name of each merchant, then its aliases (a list in one string), in order."""
+    every = F.concat(F.array("canonical_name"), F.split(F.coalesce("aliases", F.lit("")), ","))
+    rows = gazetteer.select("row_pos", "merchant_id", F.upper("canonical_name").alias("canonical_name"), "category", "subcategory", F.posexplode(every).alias("nth", "alias"))
+    return rows.withColumn("alias", F.upper(F.trim("alias"))).where("alias <> ''").withColumn("pos", F.col("row_pos") * 1000 + F.col("nth")).drop("nth")
+
+
 def aliases(gazetteer: DataFrame) -> DataFrame:
-    """(row_pos, merchant_id, canonical_name, category, subcategory, alias, pos) from a gazetteer with `aliases` as a list in one string.
+    """The names of `listed_names`, each once: in its first place, for the merchant of the last row that lists it."""
+    cols = ["row_pos", "merchant_id", "canonical_name", "category", "subcategory"]
+    last = listed_names(gazetteer).groupBy("alias").agg(F.max_by(F.struct(*cols), "pos").alias("m"), F.min("pos").alias("pos"))
+    return last.select("m.*", "alias", "pos")
+
+
+def _small(names: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(names) if n <= MOST_NAMES else names
+
+
+def _prefixed(names: DataFrame, n: int | None = None) -> DataFrame:
+    """`names` with their columns as m_..., for a join of `n` rows at most; counted where `n` is not given."""
+    return _small(names.select(*[F.col(c).alias(f"m_{c}") for c in names.columns]), names.count() if n is None else n)
+
 
-    Rows are keyed by `row_pos`; where an alias stands twice, the last row has it.
+def exact_and_substring(texts: DataFrame, names: DataFrame, text: str = "clean", n: int | None = None) -> DataFrame:
+    """(text, score, match_type, name columns): the exact name, else the first name of 4+ characters within a word.
+
+    A name without spaces lies within a word where the text contains it; its first four characters are
+    the key of the join.
     """
-    listed = gazetteer.select("row_pos", "merchant_id", "canonical_name", "category", "subcategory", F.posexplode(F.split("aliases", ",")).alias("nth", "alias"))
-    named = listed.withColumn("alias", F.upper(F.trim("alias"))).where("alias <> ''").withColumn("pos", F.col("row_pos") * 1000 + F.col("nth"))
-    last = Window.partitionBy("alias").orderBy(F.col("pos").desc())
-    return named.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "nth")
-
-
-def exact_and_substring(texts: DataFrame, names: DataFrame, text: str = "clean") -> DataFrame:
-    """(text, score, match_type, alias columns): the exact alias, else the first alias of 4+ characters within a word."""
-    n = F.broadcast(names.select(*[F.col(c).alias(f"m_{c}") for c in names.columns]))
-    exact = texts.join(n, texts[text] == F.col("m_alias")).withColumn("score", F.lit(1.0)).withColumn("match_type", F.lit("exact"))
-    words = F.split(F.col(text), r"\s+")
-    open_ = texts.join(F.broadcast(names.select(F.col("alias").alias(text))), text, "left_anti")
-    part = n.where("length(m_alias) >= 4 AND NOT contains(m_alias, '*')")
-    hits = open_.withColumn("_words", words).join(part, F.exists("_words", lambda w: w.contains(F.col("m_alias"))))
-    cols = [c for c in exact.columns if c.startswith("m_")]
-    firsts = hits.groupBy(text).agg(F.min_by(F.struct(*cols), "m_pos").alias("m"))
-    sub = firsts.select(text, "m.*", F.lit(SUBSTRING_SCORE).alias("score"), F.lit("substring").alias("match_type"))
-    return exact.select(text, *cols, "score", "match_type").unionByName(sub)
-
-
-def trigram_matches(texts: DataFrame, names: DataFrame, threshold: float, text: str = "clean") -> DataFrame:
-    """(text, row_pos, score): Jaccard similarity of trigram sets, the best alias of each merchant, by an equi-join on trigrams."""
+    m = _prefixed(names, n)
+    cols = m.columns
+    exact = texts.join(m, texts[text] == F.col("m_alias")).select(text, *cols, F.lit(1.0).alias("score"), F.lit("exact").alias("match_type"))
+    keyed = m.where((F.length("m_alias") >= SHORTEST) & ~F.col("m_alias").contains("*") & ~F.col("m_alias").contains(" ")).withColumn("_gram", F.substring("m_alias", 1, SHORTEST))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (SHORTEST - 1)), lambda i: F.substring(F.col(text), i, F.lit(SHORTEST))))
+    found = texts.where(F.length(text) >= SHORTEST).select(text, F.explode(grams).alias("_gram")).join(keyed, "_gram").where(F.col(text).contains(F.col("m_alias")))
+    firsts = found.groupBy(text).agg(F.min_by(F.struct(*cols), "m_pos").alias("m"))
+    sub = firsts.join(exact.select(text), text, "left_anti").select(text, "m.*", F.lit(SUBSTRING_SCORE).alias("score"), F.lit("substring").alias("match_type"))
+    return exact.unionByName(sub)
+
+
+def trigram_matches(texts: DataFrame, names: DataFrame, threshold: float, text: str = "clean", n: int | None = None) -> DataFrame:
+    """(text, row_pos, score): Jaccard similarity of trigram sets, the best name of each merchant, by an equi-join on trigrams."""
+    n = names.count() if n is None else n
     left = texts.select(text, trigrams(F.col(text)).alias("_t")).withColumn("n1", F.size("_t")).select(text, "n1", F.explode("_t").alias("gram"))
-    right = names.select("alias", "row_pos", trigrams(F.col("alias")).alias("_t")).withColumn("n2", F.size("_t")).select("alias", "row_pos", "n2", F.explode("_t").alias("gram"))
-    common = left.join(F.broadcast(right), "gram").groupBy(text, "n1", "alias", "row_pos", "n2").agg(F.count("*").alias("c"))
+    right = names.select("alias", "row_pos").distinct().select("alias", "row_pos", trigrams(F.col("alias")).alias("_t")).withColumn("n2", F.size("_t")).select("alias", "row_pos", "n2", F.explode("_t").alias("gram"))
+    # sizes bound the similarity from above
+    fits = F.least("n1", "n2") >= threshold * F.greatest("n1", "n2")
+    common = left.join(_small(right, 20 * n), "gram").where(fits).groupBy(text, "n1", "alias", "row_pos", "n2").agg(F.count("*").alias("c"))
     scored = common.withColumn("score", F.col("c") / (F.col("n1") + F.col("n2") - F.col("c"))).where(F.col("score") >= threshold)
     return scored.groupBy(text, "row_pos").agg(F.max("score").alias("score"))
 
 
-def fuzzy_matches(texts: DataFrame, names: DataFrame, threshold: float, text: str = "clean") -> DataFrame:
-    """(text, row_pos, score): sequence similarity of text and alias; lengths bound it from above, so most pairs are never scored."""
-    n = F.broadcast(names.select("alias", "row_pos"))
-    short = lambda a, b: 2 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b))
-    close = texts.join(n, short(F.col(text), F.col("alias")) >= threshold).withColumn("score", sequence_ratio(F.col(text), F.col("alias"))).where(F.col("score") >= threshold)
+def fuzzy_pairs(texts: DataFrame, names: DataFrame, threshold: float, text: str = "clean", n: int | None = None) -> DataFrame:
+    """(text, alias, row_pos): pairs that may reach the threshold, of 2/3 or more; none that does is left out.
+
+    Of M matched characters in blocks without two neighbours, at least M - 1 others stand between them,
+    so that the similarity is 2M / (3M - 1) at most: above it, texts share a pair of neighbours. Pairs so
+    short that this bound exceeds the threshold share a character at least.
+    """
+    n = names.count() if n is None else n
+    unpaired = 1 if threshold > 1 else max((m for m in range(1, 200) if 2 * m / (3 * m - 1) >= threshold), default=0)
+    short = int(2 * unpaired / threshold)  # characters of both texts together, up to which none need be paired
+    keys = lambda c: F.array_distinct(F.concat(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(2))), F.when(F.length(c) < short, F.split(c, "")).otherwise(F.array())))
+    longest = names.agg(F.max(F.length("alias")).alias("n")).first()["n"] or 0
+    near = texts.where(F.length(text) * threshold <= longest * (2 - threshold)).select(text, F.explode(keys(text)).alias("key")).where("key <> ''")
+    right = names.select("alias", "row_pos", F.explode(keys("alias")).alias("key")).where("key <> ''")
+    bound = 2 * F.least(F.length(text), F.length("alias")) >= threshold * (F.length(text) + F.length("alias"))
+    return near.join(_small(right, 20 * n), "key").where(bound).select(text, "alias", "row_pos").distinct()
+
+
+def fuzzy_matches(texts: DataFrame, names: DataFrame, threshold: float, text: str = "clean", n: int | None = None) -> DataFrame:
+    """(text, row_pos, score): sequence similarity of text and name, of the pairs that may reach the threshold."""
+    close = fuzzy_pairs(texts, names, threshold, text, n).withColumn("score", sequence_ratio(F.col(text), F.col("alias"))).where(F.col("score") >= threshold)
     return close.groupBy(text, "row_pos").agg(F.max("score").alias("score"))
 
 
@@ -71,24 +107,41 @@ def resolve(df: DataFrame, gazetteer: DataFrame, source: str = "merchant", thres
 
     Exact and substring matches end the search; else trigram and fuzzy matches compete, fuzzy first on a tie.
     """
-    names = materialise(aliases(gazetteer))
+    listed = materialise(listed_names(gazetteer))
+    n = listed.count()
+    names = aliases(gazetteer)
     # The distinct names feed every strategy below; written once, they are not derived again for each.
     texts = materialise(df.select(clean_merchant(F.col(source)).alias("clean")).distinct()).where("clean <> ''")
-    sure = materialise(exact_and_substring(texts, names))
+    sure = materialise(exact_and_substring(texts, names, n=n))
     cols = [c for c in sure.columns if c.startswith("m_")]
     open_ = texts.join(sure.select("clean"), "clean", "left_anti")
-    found = trigram_matches(open_, names, threshold).withColumn("match_type", F.lit("trigram")).withColumn("_way", F.lit(1))
+    found = trigram_matches(open_, listed, threshold, n=n).withColumn("match_type", F.lit("trigram")).withColumn("_way", F.lit(1))
     if fuzzy:
-        found = found.unionByName(fuzzy_matches(open_, names, threshold).withColumn("match_type", F.lit("alias")).withColumn("_way", F.lit(0)))
+        found = found.unionByName(fuzzy_matches(open_, names, threshold, n=n).withColumn("match_type", F.lit("alias")).withColumn("_way", F.lit(0)))
     best = found.groupBy("clean", "row_pos").agg(F.min_by(F.struct("score", "match_type"), F.struct(-F.col("score"), "_way")).alias("b")).select("clean", "row_pos", "b.*")
-    merchants = names.groupBy("row_pos").agg(F.min_by(F.struct(*names.columns), "pos").alias("n")).select("n.*")
-    rest = best.join(F.broadcast(merchants), "row_pos").select("clean", *[F.col(c[2:]).alias(c) for c in cols], "score", "match_type")
+    merchants = listed.groupBy("row_pos").agg(F.min_by(F.struct(*listed.columns), "pos").alias("n")).select("n.*")
+    rest = best.join(_small(merchants, n), "row_pos").select("clean", *[F.col(c[2:]).alias(c) for c in cols], "score", "match_type")
     ranked = sure.unionByName(rest).where(F.col("score") >= threshold)
     order = Window.partitionBy("clean").orderBy(F.col("score").desc(), F.col("m_row_pos"))
     return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
 
 
-def attach_merchant(df: DataFrame, gazetteer: DataFrame, source: str = "merchant", threshold: float = 0.8, fuzzy: bool = True) -> DataFrame:
-    """`df` with merchant_resolved, merchant_category, merchant_subcategory, merchant_score of its best match; distinct names are resolved once."""
-    best = resolve(df, gazetteer, source, threshold, 1, fuzzy).select(F.col("clean").alias("_clean"), F.col("m_canonical_name").alias("merchant_resolved"), F.col("m_category").alias("merchant_category"), F.col("m_subcategory").alias("merchant_subcategory"), F.col("score").alias("merchant_score"))
-    return df.withColumn("_key", clean_merchant(F.col(source))).join(best, F.col("_key") == F.col("_clean"), "left").drop("_key", "_clean")
+def search(df: DataFrame, gazetteer: DataFrame, query: str = "query", limit: int = 10) -> DataFrame:
+    """The merchants that a search box lists for each query: as `resolve`, from a score of 0.5 on."""
+    return resolve(df, gazetteer, query, 0.5, limit)
+
+
+def attach_merchant(df: DataFrame, gazetteer: DataFrame, source: str = "merchant", threshold: float = 0.8, fuzzy: bool = True, text: str | None = None, text_threshold: float = 0.7) -> DataFrame:
+    """`df` with merchant_resolved, merchant_category, merchant_subcategory, merchant_score: the best match of its whole `text` (if given), else of its name in `source`.
+
+    Distinct texts and names are resolved once. Rows whose `source` and `text` are null are matched with nothing.
+    """
+    shown = {"m_canonical_name": "merchant_resolved", "m_category": "merchant_category", "m_subcategory": "merchant_subcategory", "score": "merchant_score"}
+    out, keys = df, []
+    for column, least in ([(text, text_threshold)] if text else []) + [(source, threshold)]:
+        key = f"_key{len(keys)}"
+        best = resolve(df, gazetteer, column, least, 1, fuzzy).select(F.col("clean").alias(f"{key}_clean"), F.struct(*[F.col(c).alias(v) for c, v in shown.items()]).alias(f"{key}_match"))
+        out = out.withColumn(key, clean_merchant(F.col(column))).join(best, F.col(key) == F.col(f"{key}_clean"), "left")
+        keys.append(key)
+    match = F.coalesce(*[F.col(f"{k}_match") for k in keys])
+    return out.select(*df.columns, *[match[v].alias(v) for v in shown.values()])

@@ -2,48 +2,100 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
+from ledgermint.functions.lineage import materialise
 from ledgermint.functions.text import contains_any
 
 from .merchant_codes import category_id, classify_codes, code_in_text
 from .normalize import normalize
 from .resolve import attach_merchant
 from .rules import Category, categorize_by_rules
-from .vote import Config, vote
+from .vote import METHODS, Config, vote
 
 #: Words of a refund.
 REFUND_WORDS = ["refund", "return", "reversal", "chargeback"]
 
 
-def categorize(df: DataFrame, taxonomy: list[Category], gazetteer: DataFrame, codes: DataFrame, cfg: Config = Config(), fuzzy: bool = True, compat: bool = False) -> DataFrame:
+def _exit_vote(v: Column, category: Column, confidence: Column, method: Column) -> Column:
+    """The vote of a row that left early, in the form of `v`: one method, all agree."""
+    return F.struct(
+        category.alias("category"), confidence.alias("confidence"), method.alias("method"), F.lit(1).alias("agreement"), F.lit(1).alias("methods"), F.filter(v["alternatives"], lambda x: F.lit(False)).alias("alternatives"),
+        F.lit(0.0).alias("ambiguity"), F.lit(False).alias("requires_review"), F.map_from_arrays(F.array(category), F.array(confidence)).alias("weighted"),
+    )
+
+
+def categorize(df: DataFrame, taxonomy: list[Category], gazetteer: DataFrame, codes: DataFrame, cfg: Config = Config(), fuzzy: bool = True, compat: bool = False, text_search: bool = True) -> DataFrame:
     """Transactions (text, amount, date, mcc) with category, subcategory, confidence, method, requires_review, merchant_resolved, vote.
 
-    External scorers take part through the columns ml_category, ml_conf, ml_alternatives, llm_category, llm_conf of `df`, where present.
+    Early exits: a sure rule; then the merchant that the whole text names (`text_search`), else the one
+    extracted from it; then a sure code. The rest is voted on. External scorers take part through the
+    columns ml_category, ml_conf, ml_alternatives, llm_category, llm_conf of `df`, where present.
+
+    The normalised rows with their rules are written once, since merchants are resolved from the
+    distinct texts of those that no rule settles; only these are voted on.
     """
+    w = cfg.weights()
     work = normalize(df, compat=compat)
     work = categorize_by_rules(work, taxonomy, amount="amount", date="date", compat=compat)
     rule = F.col("rule_result")
     work = work.withColumn("rule_category", category_id(rule["category"])).withColumn("rule_conf", rule["confidence"])
-    work = attach_merchant(work, gazetteer, "merchant", 0.8, fuzzy)
+    work = materialise(work.withColumn("_ruled", F.coalesce(F.lit(w["rule"] > 0) & (F.col("rule_conf") >= cfg.rule_exit), F.lit(False))))
+    open_ = lambda c: F.when(~F.col("_ruled"), F.col(c))
+    work = work.withColumn("_name", open_("merchant")).withColumn("_text", open_("text"))
+    work = attach_merchant(work, gazetteer, "_name", cfg.name_least, fuzzy, "_text" if text_search else None, cfg.text_least)
     work = classify_codes(work.withColumn("_mcc", F.coalesce("mcc", code_in_text(F.col("text")))), codes, "_mcc").withColumn("mcc_category", category_id(F.col("mcc_category")))
-    work = vote(work, cfg, compat)
-    v, refund = F.col("vote"), contains_any(F.lower(F.coalesce("text", F.lit(""))), REFUND_WORDS)
-    w = cfg.weights()
-    by_rule = F.lit(w["rule"] > 0) & (F.col("rule_conf") >= cfg.rule_exit)
+    refund = contains_any(F.lower(F.coalesce("text", F.lit(""))), REFUND_WORDS)
     by_merchant = F.lit(w["mcc"] + w["rule"] + w["llm"] > 0) & (F.col("merchant_score") >= cfg.merchant_exit) & ~refund
     by_code = F.lit(w["mcc"] > 0) & (F.col("mcc_conf") >= cfg.mcc_exit)
-    way = F.when(by_rule, "rule_deterministic").when(by_merchant, "merchant_gazetteer").when(by_code, "mcc_deterministic")
-    work = work.withColumn("_way", way)
+    work = work.withColumn("_way", F.when(F.col("_ruled"), "rule_deterministic").when(by_merchant, "merchant_gazetteer").when(by_code, "mcc_deterministic"))
     way = F.col("_way")
+    # rows that left have no votes left to count
+    voters = [c for c in (f"{m}_category" for m in METHODS) if c in work.columns]
+    masked = work.withColumns({f"_own_{c}": F.col(c) for c in voters}).withColumns({c: F.when(way.isNull(), F.col(c)) for c in voters})
+    work = vote(masked, cfg, compat).withColumns({c: F.col(f"_own_{c}") for c in voters})
+    v = F.col("vote")
     pick = lambda a, b, c, d: F.when(way == "rule_deterministic", a).when(way == "merchant_gazetteer", b).when(way == "mcc_deterministic", c).otherwise(d)
     none = F.lit(None).cast("string")
     raised = F.round(F.least(F.lit(cfg.merchant_cap), F.col("merchant_score") + cfg.merchant_boost), 6)
     out = work.withColumn("category", pick(F.col("rule_category"), category_id(F.col("merchant_category")), F.col("mcc_category"), v["category"]))
     out = out.withColumn("subcategory", pick(rule["subcategory"], F.col("merchant_subcategory"), none, F.when(v["category"] == F.col("rule_category"), rule["subcategory"])))
     out = out.withColumn("confidence", pick(F.col("rule_conf"), raised, F.col("mcc_conf"), v["confidence"])).withColumn("method", F.coalesce(way, v["method"]))
-    return out.withColumn("requires_review", F.when(way.isNotNull(), F.lit(False)).otherwise(v["requires_review"])).drop("_way", "_mcc")
+    out = out.withColumn("merchant_resolved", F.when(F.col("_ruled"), F.col("merchant")).otherwise(F.col("merchant_resolved")))
+    out = out.withColumn("vote", F.when(way.isNotNull(), _exit_vote(v, F.col("category"), F.col("confidence"), way)).otherwise(v))
+    return out.withColumn("requires_review", v["requires_review"]).drop("_way", "_mcc", "_ruled", "_name", "_text", *[f"_own_{c}" for c in voters])
+
+
+def stream_categorize(transactions: DataFrame, sink: Callable[[DataFrame, int], None], taxonomy: list[Category], gazetteer: DataFrame, codes: DataFrame, **options) -> DataStreamWriter:
+    """A stream of transactions routed batch by batch as `categorize` does; `sink` takes each routed batch and its number, which makes writes repeatable."""
+    return transactions.writeStream.foreachBatch(lambda rows, number: sink(categorize(rows, taxonomy, gazetteer, codes, **options), number))
+
+
+def assembled(df: DataFrame) -> DataFrame:
+    """The answers to requests: the normalised fields, the result, and alternatives as results with the winner's method."""
+    alternative = lambda a: F.struct(a["category"].alias("category"), F.lit(None).cast("string").alias("subcategory"), a["score"].alias("confidence"), F.col("method").alias("method"))
+    alternatives = F.when(F.size("vote.alternatives") > 0, F.transform("vote.alternatives", alternative))
+    normalized = F.struct(F.col("norm_amount").cast("double").alias("amount"), F.coalesce("currency", F.lit("INR")).alias("currency"), F.col("norm_date").cast("string").alias("date"), "merchant", "channel", "reference", "location")
+    return df.select("txn_key", F.col("text").alias("original_text"), normalized.alias("normalized"), "category", "subcategory", "confidence", "method", alternatives.alias("alternatives"), "requires_review", F.col("vote").alias("ensemble_votes"))
+
+
+def batch_answers(df: DataFrame, error: str = "error") -> DataFrame:
+    """One answer per row of a batch: rows whose `error` is not null are Unknown, with 0, method and status error and the message."""
+    bad = F.col(error).isNotNull()
+    good = lambda c: F.when(~bad, F.col(c))
+    return df.select(
+        "txn_key", F.col("text").alias("transaction"), F.when(bad, "Unknown").otherwise(F.col("category")).alias("category"), good("subcategory").alias("subcategory"), F.when(bad, 0.0).otherwise(F.col("confidence")).alias("confidence"),
+        F.when(bad, "error").otherwise(F.col("method")).alias("method"), F.when(bad, "error").otherwise("success").alias("status"), F.when(bad, F.coalesce(F.nullif(F.col(error), F.lit("")), F.lit("Unknown error"))).alias("error_message"),
+    )
+
+
+def batch_counts(answers: DataFrame) -> DataFrame:
+    """(total, successful, failed) of a batch."""
+    return answers.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "success").alias("successful"), F.count_if(F.col("status") == "error").alias("failed"))
 
 
 def hybrid(df: DataFrame, threshold: float = 0.85, review: float = 0.60) -> DataFrame:

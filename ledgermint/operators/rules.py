@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgermint.functions.predicates import Between, Equals, Finds, Has, Is, Predicate, first_of
+from ledgermint.functions.predicates import Between, Equals, Finds, Has, Is, Predicate, WordIndex, indexed, searched, with_index
 
 HIGH, MEDIUM, CAP = 0.95, 0.90, 0.98
 
@@ -67,10 +67,16 @@ SUBSCRIPTIONS = (
     "fitbit premium", "strava", "playstation plus", "playstationplus", "xbox game pass", "nintendo online", "ea play", "coursera", "udemy", "linkedin learning", "skillshare", "masterclass", "duolingo", "babbel", "rosetta stone", "costco membership", "sams club",
     "aaa membership", "24 hour fitness", "planet fitness", "la fitness", "equinox", "classpass", "headspace", "calm", "betterhelp",
 )
-SUBSCRIPTION_PHRASES = tuple(rf"\b{p}\b" for p in ("monthly subscription", "annual subscription", "premium subscription", "premium monthly", "premium annual", "pro plan", "recurring payment", "membership fee", "subscription fee"))
+PHRASES = ("monthly subscription", "annual subscription", "premium subscription", "premium monthly", "premium annual", "pro plan", "recurring payment", "membership fee", "subscription fee")
+SUBSCRIPTION_PHRASES = tuple(rf"\b{p}\b" for p in PHRASES)
 AUTOMOTIVE = ("auto parts", "spare parts", "car repair", "bike repair", "vehicle service", "oil change", "tire change", "wheel alignment", "car wash", "service station")
 
 
+#: Words of which each text that those patterns match has one.
+SHOP_WORDS = ("shop", "stall", "corner", "chai", "chay", "tea", "jalpaan", "kirana", "mart", "foods", "trader", "cement", "hardware")
+BANK_FEE_WORDS, FEE_WORDS = ("micro", "atm", "card", "alert", "bal", "fee"), ("fee", "charge", "penalty")
+
+
 @dataclass(frozen=True)
 class Rule:
     """When `when` holds: a category, its subcategory (the first choice that holds, else the default), a confidence."""
@@ -93,13 +99,13 @@ def _up(*words: str) -> Has:
 
 
 _VI = Finds("lower", (r"\bvi\b",))
-_GST = Finds("lower", GST)
+_GST = Finds("lower", GST, needs=("gst",))
 CASCADE: list[Rule] = [
     Rule("transfer_refund", "transfers_upi", "Refund", HIGH, _up(*REFUND) & _up(*TRANSFER), explains="refund_keyword+transfer_channel"),
     Rule("refund", "income_salary", "Refunds", HIGH, _up(*REFUND), explains="refund_keyword"),
-    *[Rule(f"shop_{i}", c, s, MEDIUM, Finds("lower", (p,)), explains="local_shop_pattern") for i, (p, c, s) in enumerate(SHOPS)],
+    *[Rule(f"shop_{i}", c, s, MEDIUM, Finds("lower", (p,), needs=SHOP_WORDS), explains="local_shop_pattern") for i, (p, c, s) in enumerate(SHOPS)],
     Rule("person_name_upi", "transfers_upi", "Peer to Peer", MEDIUM, (Finds("lower", FULL_NAMES) | Finds("lower", FIRST_NAMES, NAME_NOT_BEFORE)) & _up(*UPI_CONTEXT), explains="person_name_pattern+upi_context"),
-    Rule("bank_fee", "fees_charges", "Bank Fees", HIGH, Finds("lower", BANK_FEES), explains="bank_fee_pattern"),
+    Rule("bank_fee", "fees_charges", "Bank Fees", HIGH, Finds("lower", BANK_FEES, needs=BANK_FEE_WORDS), explains="bank_fee_pattern"),
     Rule("atm", "atm_cash", "Cash Withdrawal", HIGH, ~_up(*ATM_FEES) & (Is("channel", ("ATM",)) | _up(*ATM_WORDS)), explains="atm_channel_or_keyword"),
     Rule("mortgage", "rent", "Mortgage/Home Loan", HIGH, _up(*MORTGAGE), explains="mortgage_keyword"),
     Rule("rent", "rent", "rent", HIGH, _up(*RENT), explains="rent_keyword"),
@@ -113,14 +119,14 @@ CASCADE: list[Rule] = [
     Rule("insurance", "insurance", "Insurance", HIGH, (_low(*INSURERS) & _low("insurance")) | _low(*INSURANCE), ((_low("life"), "Life Insurance"), (_low("health"), "Health Insurance"), (_low("car", "bike", "motor", "vehicle"), "Vehicle Insurance")), "insurance_keyword"),
     Rule("health", "health", "Doctor/Hospital", HIGH, _low(*PHARMACY) | _low(*HOSPITAL), ((_low(*PHARMACY), "Pharmacy"),), "health_medical_keyword"),
     Rule("fuel", "fuel", "Petrol/Diesel", HIGH, _low(*FUEL) | _low(*CHARGING), ((_low(*CHARGING), "Electric Charging"),), "fuel_brand_keyword"),
-    Rule("fee", "fees_charges", "Bank Fees", MEDIUM, Between("amount", high=500) & ~Equals("amount", 0) & Finds("lower", FEES) & ~_low(*NOT_FEES), explains="fee_keyword_small_amount"),
+    Rule("fee", "fees_charges", "Bank Fees", MEDIUM, Between("amount", high=500) & ~Equals("amount", 0) & Finds("lower", FEES, needs=FEE_WORDS) & ~_low(*NOT_FEES), explains="fee_keyword_small_amount"),
     Rule("streaming", "subscriptions_memberships", "Streaming/Software", HIGH, _low(*STREAMING), explains="subscription_merchant"),
     Rule("fraud", "fraud_security", "Suspicious International", HIGH, _low(*FRAUD), explains="fraud_keyword"),
     Rule("home_improvement", "home_improvement", "Hardware/Repairs", MEDIUM, _low(*HOME), explains="home_improvement_keyword"),
     Rule("pets", "pets", "Pet Care", MEDIUM, _low(*PETS), explains="pets_keyword"),
     Rule("kids_family", "kids_family", "Kids Products/Services", MEDIUM, _low(*KIDS), explains="kids_family_keyword"),
     Rule("electronics", "electronics_technology", "Electronics/Computers", MEDIUM, _low(*ELECTRONICS), explains="electronics_keyword"),
-    Rule("subscription", "subscriptions_memberships", "Subscription Service", MEDIUM, _low(*SUBSCRIPTIONS) | Finds("lower", SUBSCRIPTION_PHRASES), explains="subscription_membership_keyword"),
+    Rule("subscription", "subscriptions_memberships", "Subscription Service", MEDIUM, _low(*SUBSCRIPTIONS) | Finds("lower", SUBSCRIPTION_PHRASES, needs=PHRASES), explains="subscription_membership_keyword"),
     Rule("automotive", "automotive", "Vehicle Maintenance", MEDIUM, _low(*AUTOMOTIVE), ((_low("repair"), "Auto Repairs"),), "automotive_keyword"),
 ]
 
@@ -157,14 +163,28 @@ def fields_of(text: Column, channel: Column, amount: Column) -> dict[str, Column
     return {"lower": F.lower(t), "upper": F.upper(t), "channel": channel, "amount": amount}
 
 
-_RULE = "struct<rule:string,category:string,subcategory:string,confidence:double,explanation:string>"
-
-
 def cascade(fields: dict[str, Column], rules: list[Rule] = CASCADE) -> Column:
-    """struct<rule, category, subcategory, confidence, explanation> of the first rule that holds, else null."""
+    """struct<rule, category, subcategory, confidence, explanation> of the first rule that holds, else null. For one use; `with_cascade` serves tables."""
     return rule_struct(cascade_number(fields, rules), fields, rules)
 
 
+_indexes: dict[str, WordIndex] = {}
+
+
+def word_indexes() -> dict[str, WordIndex]:
+    """The indexes of the words of the cascade, its choices and the hints."""
+    if not _indexes:
+        every = [r.when for r in CASCADE] + [test for r in CASCADE for test, _ in r.choices] + [p for group in HINTS for p, _, _ in group] + [Has("lower", words) for _, _, words, _, _, _ in TEMPORAL]
+        _indexes.update({f: indexed(every, f) for f in ("lower", "upper")})
+    return _indexes
+
+
+def with_cascade(df: DataFrame, fields: dict[str, Column]) -> tuple[DataFrame, dict]:
+    """`df` with `_rule`, the number of the first rule that holds, `_lists_lower` and `_lists_upper`; and the fields by which more predicates use these."""
+    df, fields = with_index(df, fields, word_indexes())
+    return df.withColumn("_rule", cascade_number(fields)), fields
+
+
 def cascade_number(fields: dict[str, Column], rules: list[Rule] = CASCADE) -> Column:
     """The number, from 1, of the first rule that holds, else null."""
     out = None
@@ -208,22 +228,35 @@ def subcategory_of(lower: Column, category: Column, taxonomy: list[Category]) ->
     return F.nullif(F.coalesce(F.get(named, F.lit(0))["name"], F.get(listed, F.lit(0))["name"]), F.lit(""))
 
 
-def _keywords(taxonomy: list[Category]) -> Column:
-    """Literal array<struct<keyword, pos, category>> in taxonomy order."""
-    return F.array(*[F.struct(F.lit(k.lower()).alias("keyword"), F.lit(i).alias("pos"), F.lit(c.id).alias("category")) for i, c in enumerate(taxonomy) for k in c.keywords])
+def _keywords(taxonomy: list[Category]) -> list[tuple[str, int, str]]:
+    """(keyword, place of its category, category) in taxonomy order."""
+    return [(k.lower(), i, c.id) for i, c in enumerate(taxonomy) for k in c.keywords]
+
+
+def keywords_in(text: Column, taxonomy: list[Category]) -> Column:
+    """The places, in `_keywords`, of the keywords that a lower-case text contains, by one pass over it."""
+    listed = _keywords(taxonomy)
+    if not listed:
+        return F.array().cast("array<int>")
+    index = WordIndex([(k,) for k, _, _ in listed])
+    by_list: dict[int, list[int]] = {}
+    for at, (k, _, _) in enumerate(listed):
+        by_list.setdefault(index.lists[(k,)], []).append(at)
+    places = F.array(*[F.array(*[F.lit(at) for at in by_list[i]]) for i in range(len(index.lists))])
+    return F.flatten(F.transform(index.found(text), lambda i: F.get(places, i)))
 
 
 def keyword_scores(fields: dict[str, Column], taxonomy: list[Category]) -> Column:
     """array<struct<score, order, category>>, one for each category that scores: 1 for each keyword, 1.2 for each pattern, and the hints.
 
-    Keywords are a literal array and a lambda, so the plan does not grow with the dictionary; patterns
-    are literals, so each is compiled once.
+    Keywords are found in one pass over the text; patterns are literals, so each is compiled once.
     """
     low, pos = fields["lower"], {c.id: i for i, c in enumerate(taxonomy)}
     point = lambda i, score: F.struct(F.lit(i).alias("pos"), F.lit(score).alias("score"))
-    words = F.transform(F.filter(_keywords(taxonomy), lambda k: low.contains(k["keyword"])), lambda k: F.struct(k["pos"].alias("pos"), F.lit(1.0).alias("score")))
+    category_of = F.array(*[F.lit(i) for _, i, _ in _keywords(taxonomy)])
+    words = F.transform(keywords_in(low, taxonomy), lambda k: F.struct(F.get(category_of, k).alias("pos"), F.lit(1.0).alias("score")))
     always = [point(i, 1.2) for i, c in enumerate(taxonomy) for p in c.patterns if p == ".*"]
-    found = [F.when(low.rlike(p.lower()), point(i, 1.2)) for i, c in enumerate(taxonomy) for p in c.patterns if p != ".*"]
+    found = [F.when(low.rlike(searched(p.lower())), point(i, 1.2)) for i, c in enumerate(taxonomy) for p in c.patterns if p != ".*"]
     for group in HINTS:
         hint = None
         for p, category, score in group:
@@ -239,7 +272,8 @@ def keyword_scores(fields: dict[str, Column], taxonomy: list[Category]) -> Colum
 
 def merchant_rule(merchant: Column, taxonomy: list[Category]) -> Column:
     """struct<keyword, pos, category>: the keyword, first in taxonomy order, that the merchant contains; else null."""
-    return F.get(F.filter(_keywords(taxonomy), lambda k: F.lower(merchant).contains(k["keyword"])), F.lit(0))
+    listed = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(i).alias("pos"), F.lit(c).alias("category")) for k, i, c in _keywords(taxonomy)])
+    return F.get(listed, F.array_min(keywords_in(F.lower(merchant), taxonomy)))
 
 
 def categorize_by_rules(df: DataFrame, taxonomy: list[Category], text: str = "search_text", merchant: str = "merchant", channel: str = "channel", amount: str = "amount", date: str = "date", compat: bool = False) -> DataFrame:
@@ -248,7 +282,8 @@ def categorize_by_rules(df: DataFrame, taxonomy: list[Category], text: str = "se
     `compat` leaves out the date boost on the merchant branch.
     """
     fields = fields_of(F.col(text), F.col(channel), F.col(amount))
-    work = df.withColumn("_rule", cascade_number(fields)).withColumn("_merchant", F.when(F.col("_rule").isNull(), merchant_rule(F.col(merchant), taxonomy)))
+    work, fields = with_cascade(df, fields)
+    work = work.withColumn("_merchant", F.when(F.col("_rule").isNull(), merchant_rule(F.col(merchant), taxonomy)))
     work = work.withColumn("_scores", F.when(F.col("_rule").isNull() & F.col("_merchant").isNull(), keyword_scores(fields, taxonomy))).withColumn("_best", F.array_max("_scores"))
     work = work.withColumn("_hint", temporal_hint(fields, F.to_date(F.col(date))))
     m, best, hint = F.col("_merchant"), F.col("_best"), F.col("_hint")
@@ -258,4 +293,4 @@ def categorize_by_rules(df: DataFrame, taxonomy: list[Category], text: str = "se
     conf = F.when((hint["category"] == category) & (F.lit(not compat) | m.isNull()), raised).otherwise(conf)
     low = F.lower(F.when(m.isNotNull(), F.col(merchant)).otherwise(F.coalesce(F.col(text), F.lit(""))))
     soft = F.struct(F.when(m.isNotNull(), "merchant").otherwise("scores").alias("rule"), category.alias("category"), subcategory_of(low, category, taxonomy).alias("subcategory"), F.round(conf, 6).alias("confidence"), F.coalesce(F.concat(F.lit("merchant_keyword="), m["keyword"]), F.concat(F.lit("score="), best["category"])).alias("explanation"))
-    return work.withColumn("rule_result", F.when(F.col("_rule").isNotNull(), rule_struct(F.col("_rule"), fields)).when(category.isNotNull(), soft)).drop("_rule", "_merchant", "_scores", "_best", "_hint")
+    return work.withColumn("rule_result", F.when(F.col("_rule").isNotNull(), rule_struct(F.col("_rule"), fields)).when(category.isNotNull(), soft)).drop("_rule", "_merchant", "_scores", "_best", "_hint", "_lists_lower", "_lists_upper")

@@ -26,6 +26,8 @@ class Config:
     merchant_exit: float = 0.70
     merchant_boost: float = 0.10
     merchant_cap: float = 0.95
+    text_least: float = 0.70
+    name_least: float = 0.80
     auto_accept: float = 0.85
     review: float = 0.60
     low_confidence: float = 0.80

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgermint.functions.lineage import spread
 from ledgermint.operators.rules import Category
 
 #: (brand, category, subcategory, aliases), by part key.
@@ -56,7 +57,8 @@ FROM {source('lineitem')} JOIN {source('part')} ON l_partkey = p_partkey JOIN {s
 
 
 def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(txn_sql(lambda t: f"parquet.`{sf_dir}/{t}.parquet`"))
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "part", "orders")}
+    return spark.sql(txn_sql(lambda t: "{" + t + "}"), **tables | {"lineitem": spread(tables["lineitem"])})
 
 
 def gazetteer(spark: SparkSession) -> DataFrame:

@@ -4,18 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ledgermint.functions.text import collapse, number, parsed_date
+from ledgermint.operators.learn import numbered
 from ledgermint.operators.preprocess import json_fields
 from ledgermint.operators.rules import Category
 
 # Column names of bank exports, in order of preference.
-DESCRIPTION_COLUMNS = ["TRANSACTION DETAILS", "Transaction Details", "Description", "DESCRIPTION", "description", "Narration", "NARRATION", "Particulars", "Details"]
-AMOUNT_COLUMNS = ["WITHDRAWAL AMT", "DEPOSIT AMT", "Withdrawal Amt", "Deposit Amt", "Amount", "AMOUNT", "amount", "Debit"]
+DESCRIPTION_COLUMNS = ["TRANSACTION DETAILS", "description", "Description", "transaction", "Transaction", "narration", "Narration", "text", "Text"]
+AMOUNT_COLUMNS = ["WITHDRAWAL AMT", "DEPOSIT AMT", "amount", "Amount", "debit", "Debit", "credit", "Credit"]
 HEADER_WORDS = ("date", "transaction", "description", "merchant", "amount")
 #: Words of the header and footer lines of statements.
-STATEMENT_NOISE = ("page ", "statement", "opening balance", "closing balance", "account number", "account no", "branch", "ifsc", "customer id", "generated on", "total debit", "total credit", "brought forward", "carried forward", "transaction date", "value date", "particulars", "withdrawal", "deposit", "balance", "address")
+STATEMENT_NOISE = (
+    "page", "statement", "account", "branch", "ifsc", "customer",
+    "opening balance", "closing balance", "total", "subtotal",
+    "continued", "date", "particulars", "debit", "credit", "balance",
+    "generated on", "printed on", "bank", "address", "phone",
+)
 JSON_TEXT_FIELDS = ("text", "transaction", "description", "name")
 
 
@@ -25,12 +30,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_gazetteer(spark: SparkSession, path: str) -> DataFrame:
-    """(row_pos, merchant_id, canonical_name, aliases, category, subcategory) of a CSV with quoted alias lists.
-
-    A gazetteer is one small file; row_pos follows its order.
-    """
-    raw = spark.read.option("header", True).option("escape", '"').csv(path)
-    return raw.withColumn("row_pos", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1).select("row_pos", F.col("merchant_id").cast("int"), "canonical_name", "aliases", "category", "subcategory")
+    """(row_pos, merchant_id, canonical_name, aliases, category, subcategory) of a CSV with quoted alias lists; row_pos follows its order."""
+    raw = spark.read.option("header", True).option("escape", '"').csv(path).withColumn("_at", F.monotonically_increasing_id())
+    return numbered(raw, "_at", 0).select(F.col("number").cast("int").alias("row_pos"), F.col("merchant_id").cast("int").alias("merchant_id"), "canonical_name", "aliases", "category", "subcategory")
 
 
 def load_taxonomy(path: str) -> list[Category]:
@@ -77,13 +79,16 @@ def read_bank_csv(spark: SparkSession, path: str) -> DataFrame:
     return bank_rows(spark.read.option("header", True).csv(path))
 
 
-def read_card_csv(spark: SparkSession, path: str, labels: DataFrame) -> DataFrame:
-    """(text, label, amount) of a card export, for the foreign labels that `labels` (foreign, label) maps."""
-    raw = spark.read.option("header", True).csv(path)
+def card_rows(raw: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, label, amount) of a card export, for the foreign labels that `labels` (foreign, label), a small table, maps."""
     rows = raw.select(F.col("Merchant Name").alias("text"), F.col("Category").alias("foreign"), number(F.col("Transaction Amount")).alias("amount"))
     return rows.join(F.broadcast(labels), "foreign").select("text", "label", "amount")
 
 
+def read_card_csv(spark: SparkSession, path: str, labels: DataFrame) -> DataFrame:
+    return card_rows(spark.read.option("header", True).csv(path), labels)
+
+
 def sniffed(name: Column, content: Column) -> Column:
     """json, csv or txt, by the file's extension, else by its content."""
     ext, head = F.lower(F.regexp_extract(name, r"\.([A-Za-z]+)$", 1)), F.ltrim(content)
@@ -118,22 +123,26 @@ def statement_lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: (F.length(x) >= 10) & ~is_statement_noise(x))
 
 
-_LEADING_DATE = r"^\d{1,2}[-/]\d{1,2}[-/]\d{2,4}\s+"
-_WHOLE = r"^(\d{1,2}[-/]\d{1,2}[-/]\d{2,4})\s+(.+?)\s+(?:INR|Rs\.?|₹)?\s*([0-9,]+\.\d{2})\s*$"
+#: A line with date, text and amount; a date at the start; an amount at the end.
+_WHOLE = r"(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})\s+(.+?)\s+([\d,]+\.?\d*)\s*$"
+_LEADING_DATE, _LAST_AMOUNT = r"^\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\s+", r"\s+[\d,]+\.?\d*\s*$"
 
 
 def statement_rows(docs: DataFrame, id_col: str, text_col: str, amounts: bool = True) -> DataFrame:
-    """(id, pos, date, text, amount) of statement texts; without amounts, the text without leading date and trailing amount, if it is longer than five characters."""
+    """(id, pos, date, text, amount) of statement texts.
+
+    Lines with date, text and amount give all three; others, and all without `amounts`, the text without
+    leading date and last amount, if it is longer than five characters.
+    """
     lines = docs.select(id_col, F.posexplode(statement_lines(F.col(text_col))).alias("pos", "line"))
-    if amounts:
-        got = lambda g: F.nullif(F.regexp_extract("line", _WHOLE, g), F.lit(""))
-        return lines.select(id_col, "pos", parsed_date(got(1)).alias("date"), collapse(got(2)).alias("text"), number(got(3)).alias("amount")).where("text IS NOT NULL")
-    bare = F.trim(F.regexp_replace(F.regexp_replace("line", _LEADING_DATE, ""), r"\s+(?:INR|Rs\.?|₹)?\s*[0-9,]+\.\d{2}\s*$", ""))
-    return lines.select(id_col, "pos", F.lit(None).cast("date").alias("date"), bare.alias("text"), F.lit(None).cast("double").alias("amount")).where("length(text) > 5")
+    got = lambda g: F.regexp_extract("line", _WHOLE, g)
+    bare = F.trim(F.regexp_replace(F.regexp_replace("line", _LEADING_DATE, ""), _LAST_AMOUNT, ""))
+    whole = F.lit(amounts) & F.col("line").rlike(_WHOLE)
+    return lines.select(id_col, "pos", F.when(whole, parsed_date(got(1))).alias("date"), F.when(whole, F.trim(got(2))).otherwise(bare).alias("text"), F.when(whole, number(got(3))).alias("amount"), whole.alias("_whole")).where("_whole OR length(text) > 5").drop("_whole")
 
 
 #: Header words of the columns of statement tables.
-TABLE_COLUMNS = {"text": ("description", "particulars", "narration", "details", "merchant"), "amount": ("amount", "debit", "withdrawal"), "date": ("date",)}
+TABLE_COLUMNS = {"text": ("description", "transaction", "particulars", "narration", "details"), "amount": ("amount", "debit", "withdrawal", "paid"), "date": ("date", "transaction date", "value date")}
 
 
 def statement_table(rows: DataFrame, doc: str = "doc", table: str = "table", pos: str = "row_pos", cells: str = "cells") -> DataFrame:
@@ -141,8 +150,8 @@ def statement_table(rows: DataFrame, doc: str = "doc", table: str = "table", pos
     head = rows.where(F.col(pos) == 0).select(doc, table, *[_first_column(cells, w).alias(f"_{k}") for k, w in TABLE_COLUMNS.items()])
     body = rows.where(F.col(pos) > 0).join(head, [doc, table], "left")
     cell = lambda k: F.try_element_at(F.col(cells), F.col(f"_{k}"))
-    long_text = F.get(F.filter(cells, lambda c: (F.length(F.trim(c)) > 5) & c.rlike("[A-Za-z]")), F.lit(0))
-    out = body.select(doc, table, pos, parsed_date(cell("date")).alias("date"), F.trim(F.coalesce(cell("text"), long_text)).alias("text"), number(F.regexp_replace(cell("amount"), "[^0-9.,-]", "")).alias("amount"))
+    long_text = F.get(F.filter(cells, lambda c: F.length(F.trim(c)) > 5), F.lit(0))
+    out = body.select(doc, table, pos, parsed_date(cell("date")).alias("date"), F.trim(F.coalesce(F.nullif(F.trim(cell("text")), F.lit("")), long_text)).alias("text"), number(F.regexp_replace(cell("amount"), "[^0-9.-]", "")).alias("amount"))
     return out.where(F.col("text").isNotNull() & (F.length("text") > 0) & ~is_statement_noise(F.col("text")))
 
 
@@ -158,12 +167,26 @@ def _holds(cells: str, word: str) -> Column:
     return F.transform(F.col(cells), lambda c: F.lower(c).contains(word))
 
 
-def admitted(df: DataFrame, text: str = "text", most: int | None = 1000) -> DataFrame:
-    """The rows of a batch request: trimmed, not empty, at most `most` (None: all)."""
+def admitted(df: DataFrame, text: str = "text", most: int | None = 1000, order: str | None = None) -> DataFrame:
+    """The rows of a batch request: trimmed, not empty, at most `most` (None: all), the first by `order` where that is given."""
     rows = df.withColumn(text, F.trim(text)).where(F.col(text) != "")
-    return rows if most is None else rows.limit(most)
+    return rows if most is None else (rows.orderBy(order) if order else rows).limit(most)
 
 
 def from_request_json(df: DataFrame, column: str = "body") -> DataFrame:
     """`df` with the fields of a JSON body as a map."""
     return df.withColumn("fields", json_fields(F.col(column)))
+
+
+def read_few_shot(spark: SparkSession, path: str, most: int = 20) -> DataFrame:
+    """The few-shot examples of a JSON lines file (text, category, amount, currency): the first two of each category, `most` in all."""
+    from ledgermint.operators.dataset import few_shot
+
+    rows = read_jsonl(spark, path, "text string, category string, amount double, currency string").withColumn("_at", F.monotonically_increasing_id())
+    return few_shot(numbered(rows, "_at").withColumnRenamed("number", "pos"), most=most, label="category").drop("_at")
+
+
+def read_saved(spark: SparkSession, path: str, months: tuple[str, str] | None = None) -> DataFrame:
+    """Stored transactions or feedback; of transactions, the partitions of the months from one to another, both included."""
+    rows = spark.read.parquet(path)
+    return rows if months is None else rows.where(F.col("month").between(*months))

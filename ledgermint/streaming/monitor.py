@@ -7,15 +7,23 @@ over the last rows, rate limits, caches) are defined per key, so that Spark can
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Bounds of the latency and confidence histograms.
-LATENCY_BOUNDS = (0.5, 1.0, 2.5, 5.0, 10.0, 25.0, 50.0, 100.0)
-CONFIDENCE_BOUNDS = tuple(round(0.1 * k, 1) for k in range(1, 11))
+from ledgermint.functions.lineage import materialise
+
+#: Bounds of the histograms of latency and of database time, in seconds, and of confidence.
+LATENCY_BOUNDS = (0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 5.0)
+CONFIDENCE_BOUNDS = (0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0)
+DATABASE_BOUNDS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0)
 WATERMARK = "10 minutes"
 
 
@@ -23,12 +31,39 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def runtime_stats(events: DataFrame, by: list[str], value: str = "value", last: int = 500, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
-    """`events` with rolling mean of the last rows, running count and running mean, per key (an endpoint, a user)."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    rolling = w.rowsBetween(-(last - 1), 0)
-    running = w.rowsBetween(Window.unboundedPreceding, 0)
-    return events.select("*", F.avg(value).over(rolling).alias("rolling_mean"), F.count("*").over(running).alias("running_count"), F.avg(value).over(running).alias("running_mean"))
+#: Rows of a key that one task takes at once, and seconds of a key that are sorted at once.
+CHUNK_ROWS, SORT_SECONDS = 100_000, 3600
+
+
+def _running(rows: DataFrame, keys: list[str], part: str, order: tuple[str, ...], sums: dict[str, Column]) -> DataFrame:
+    """`rows` with running sums of each key in order, from the sums of whole parts and a window over each part."""
+    totals = rows.groupBy(*keys, part).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    w = Window.partitionBy(*keys).orderBy(part)  # a row per key and part
+    before = totals.select(*[F.col(k).alias(f"_b_{k}") for k in [*keys, part]], *[(F.sum(f"_t_{n}").over(w) - F.col(f"_t_{n}")).alias(f"_t_{n}") for n in sums])
+    inner = Window.partitionBy(*keys, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    same = [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in [*keys, part]]
+    joined = rows.withColumns({f"_r_{n}": F.sum(c).over(inner) for n, c in sums.items()}).join(before, reduce(lambda a, b: a & b, same))
+    return joined.withColumns({n: F.col(f"_r_{n}") + F.col(f"_t_{n}") for n in sums}).drop(*[f"_{x}_{n}" for x in "rt" for n in sums], *[f"_b_{k}" for k in [*keys, part]])
+
+
+def runtime_stats(events: DataFrame, by: list[str], value: str = "value", last: int = 500, order: tuple[str, ...] = ("ts", "event_id"), review: Column | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """`events` with rolling mean of the last rows, running count and running mean, per key (an endpoint, a user); with `review`, the running rate of it.
+
+    Rows are numbered from counts per hour and dealt into chunks, the last rows of a chunk standing
+    before the next one too, so that a key with most of the rows is spread.
+    """
+    work = events.withColumn("_hour", F.floor(F.unix_timestamp(order[0]) / SORT_SECONDS))
+    work = _running(work, by, "_hour", order, {"running_count": F.lit(1)})
+    work = work.withColumn("_chunk", F.floor((F.col("running_count") - 1) / chunk_rows))
+    sums = {"_sum": F.col(value).cast("double")} | ({"_reviews": F.when(review, 1).otherwise(0)} if review is not None else {})
+    work = _running(work, by, "_chunk", ("running_count",), sums)
+    ahead = F.pmod(F.col("running_count") - 1, F.lit(chunk_rows)) >= chunk_rows - (last - 1)
+    places = F.when(ahead, F.array(F.col("_chunk"), F.col("_chunk") + 1)).otherwise(F.array("_chunk"))
+    spread = work.withColumn("_in", F.explode(places))
+    rolling = Window.partitionBy(*by, "_in").orderBy("running_count").rowsBetween(-(last - 1), 0)
+    out = spread.withColumn("rolling_mean", F.avg(value).over(rolling)).where("_in = _chunk").withColumn("running_mean", F.col("_sum") / F.col("running_count"))
+    out = out.withColumn("running_review_rate", F.col("_reviews") / F.col("running_count")) if review is not None else out
+    return out.drop("_hour", "_chunk", "_in", "_sum", "_reviews")
 
 
 def rate_limit(events: DataFrame, key: str = "user_id", ts: str = "ts", limit: int = 100, seconds: int = 60) -> DataFrame:
@@ -92,9 +127,32 @@ def histogram(events: DataFrame, length: str, value: str, bounds: tuple[float, .
     return h.select(F.col("w.start").alias("start"), F.explode(F.array(*[F.struct(F.lit(float(b)).alias("le"), F.col(f"le_{i}").alias("n")) for i, b in enumerate(bounds)])).alias("b")).select("start", "b.*")
 
 
-def top_per_window(counts: DataFrame, k: int = 10, by: tuple[str, ...] = ("start",), name: str = "event_type") -> DataFrame:
-    """The k largest groups of each window."""
-    w = Window.partitionBy(*by).orderBy(F.desc("n"), name)
+@dataclass(frozen=True)
+class AlertRule:
+    """A measure of a window ("errors", "reviews", "p95", "agreement", "hits"), the bound beyond which it alerts, and for how many minutes."""
+
+    measure: str
+    bound: float
+    minutes: int
+    below: bool = False
+
+
+#: The alerts of the service.
+ALERT_RULES = (AlertRule("errors", 0.05, 5), AlertRule("reviews", 0.30, 10), AlertRule("p95", 2.0, 5), AlertRule("agreement", 0.6, 15, True), AlertRule("hits", 0.20, 10, True))
+
+
+def rule_alerts(metrics: DataFrame, rules: tuple[AlertRule, ...] = ALERT_RULES, minutes: int = 1) -> DataFrame:
+    """(measure, from, to, evaluations) of every rule; `metrics` has a row per window of `minutes`, with `start` and a column per measure."""
+    found = []
+    for r in rules:
+        test = F.coalesce(F.col(r.measure) < r.bound if r.below else F.col(r.measure) > r.bound, F.lit(False))
+        found.append(alerts(metrics, test, -(-r.minutes // minutes)).withColumn("measure", F.lit(r.measure)))
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+def top_per_window(counts: DataFrame, k: int = 10, by: tuple[str, ...] = ("start",), ties: tuple[str, ...] = ("event_type",)) -> DataFrame:
+    """The k largest groups of each window; ties by the named columns."""
+    w = Window.partitionBy(*by).orderBy(F.desc("n"), *ties)
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -118,37 +176,100 @@ def alerts(metric: DataFrame, test: Column, hold: int, order: str = "start", by:
     return runs.where(F.col("evaluations") >= hold).drop("_island")
 
 
+def _walk(times: np.ndarray, entered: int | None, ttl: int) -> tuple[np.ndarray, int]:
+    """Whether each request of a key, in order, is a hit, and the time of the last entry. From each miss on, all within `ttl` are hits."""
+    hits, i = np.zeros(len(times), bool), 0
+    if entered is not None:
+        i = int(np.searchsorted(times, entered + ttl, "right"))
+        hits[:i] = True
+    while i < len(times):
+        entered = int(times[i])
+        j = int(np.searchsorted(times, entered + ttl, "right"))
+        hits[i + 1 : j] = True
+        i = j
+    return hits, entered
+
+
 def ttl_cache(events: DataFrame, key: str, ts: str = "ts", tie: str = "event_id", seconds: int = 600) -> DataFrame:
-    """(key, ts, tie, hit) of each request: a hit while the last miss of its key is at most `seconds` old; hits do not refresh.
+    """(key, ts, tie, hit) of each request: a hit while the last miss of its key is at most `seconds` old; hits do not refresh. A null key is a key.
 
-    Entry times depend on one another, so each key's requests are walked in order. Arrow batches of a
-    key pass through one at a time: memory does not grow with the key.
+    Entry times depend on one another, so each key's requests are walked in order, from miss to miss.
+    Arrow batches of a key pass through one at a time: memory does not grow with the key.
     """
-    schema = events.select(key, ts, tie).schema
-    keyed = events.select(key, ts, tie).repartition(F.col(key)).sortWithinPartitions(key, ts, tie)
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_key, entered = object(), None
-        for frame in frames:
-            hits = []
-            for k, at in zip(frame[key], frame[ts], strict=True):
-                if k != last_key:
-                    last_key, entered = k, None
-                hit = entered is not None and (at - entered).total_seconds() <= seconds
-                if not hit:
-                    entered = at
-                hits.append(hit)
-            yield frame.assign(hit=hits)
-
-    return keyed.mapInPandas(walk, kind + ", hit boolean")
+    source = events.select(key, ts, tie)
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
+    keyed = source.withColumn("_us", micros(F.col(ts))).repartition(F.col(key)).sortWithinPartitions(key, "_us", tie)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, entered = object(), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = batch.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            times, hits = batch.column(3).to_numpy(), []
+            edges = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:], strict=False):
+                name = batch.column(0)[a].as_py()
+                entered = entered if a == 0 and name == last else None
+                found, entered = _walk(times[a:b], entered, seconds * 1_000_000)
+                hits.append(found)
+                last = name
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.concatenate(hits))], [key, ts, tie, "hit"])
+
+    return keyed.mapInArrow(run, kind + ", hit boolean")
+
+
+def hit_rates(answered: DataFrame, length: str, ts: str = "ts", watermark: bool = False) -> DataFrame:
+    """(start, n, hits, misses, share, hits_per_second, misses_per_second) of cache answers (ts, hit) by window."""
+    e = answered.withWatermark(ts, WATERMARK) if watermark else answered
+    out = e.groupBy(F.window(ts, length).alias("w")).agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
+    span, misses = F.unix_timestamp("w.end") - F.unix_timestamp("w.start"), F.col("n") - F.col("hits")
+    return out.select(F.col("w.start").alias("start"), "n", "hits", misses.alias("misses"), F.round(F.col("hits") / F.col("n"), 9).alias("share"), F.round(F.col("hits") / span, 9).alias("hits_per_second"), F.round(misses / span, 9).alias("misses_per_second"))
+
+
+def stream_runtime_stats(events: DataFrame, sink, by: list[str], store: str, last: int = 500, value: str = "value", order: tuple[str, ...] = ("ts", "event_id")):
+    """Rolling and running figures of a stream, batch by batch: the last rows and totals of each key are kept below `store`, one table per batch.
+
+    `sink` takes each batch's rows with rolling_mean, running_count and running_mean, and its number. A
+    batch that runs again reads the state of the batch before it, so it gives the same rows.
+    """
+
+    def step(rows: DataFrame, number: int) -> None:
+        spark = rows.sparkSession
+        cols = [*by, *order, value]
+        fresh = rows.select(*cols).withColumn("_new", F.lit(True))
+        try:
+            old = spark.read.parquet(f"{store}/{number - 1}") if number else None
+        except AnalysisException:
+            old = None
+        if old is None:
+            old = fresh.limit(0).select(*cols, F.lit(0).cast("long").alias("_count"), F.lit(0.0).alias("_sum"))
+        totals = old.groupBy(*by).agg(F.max("_count").alias("_count0"), F.max_by("_sum", "_count").alias("_sum0"))
+        both = old.select(*cols, F.lit(False).alias("_new")).unionByName(fresh)
+        w = Window.partitionBy(*by).orderBy("_new", *order)
+        counted = both.join(totals, by, "left").withColumn("_count", F.coalesce("_count0", F.lit(0)) + F.sum(F.col("_new").cast("long")).over(w)).withColumn("_sum", F.coalesce("_sum0", F.lit(0.0)) + F.sum(F.when(F.col("_new"), F.col(value)).otherwise(0.0)).over(w))
+        counted = materialise(counted.withColumn("rolling_mean", F.avg(value).over(w.rowsBetween(-(last - 1), 0))).drop("_count0", "_sum0"))
+        newest = Window.partitionBy(*by).orderBy(F.desc("_new"), *[F.desc(c) for c in order])
+        kept = counted.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= last - 1)
+        kept.select(*cols, "_count", "_sum").write.mode("overwrite").parquet(f"{store}/{number}")
+        sink(counted.where("_new").select(*cols, "rolling_mean", F.col("_count").alias("running_count"), (F.col("_sum") / F.col("_count")).alias("running_mean")), number)
+
+    return events.writeStream.foreachBatch(step)
+
+
+def _expiry(state, at: int) -> None:
+    """Lets a key's state go once the watermark is beyond `at`, in microseconds."""
+    state.setTimeoutTimestamp(max(at // 1000, state.getCurrentWatermarkMs()) + 1000)
 
 
 def stream_rate_limit(events: DataFrame, key: str = "user_id", ts: str = "ts", limit: int = 100, seconds: int = 60) -> DataFrame:
-    """The rate limit of a stream: per key the request times of the window are kept as state."""
+    """The rate limit of a stream: per key the request times of the window are kept as state, until the watermark has passed them."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(name, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         times = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(frames)).sort_values(ts).drop_duplicates(ts)
         out = []
@@ -158,40 +279,44 @@ def stream_rate_limit(events: DataFrame, key: str = "user_id", ts: str = "ts", l
             out.append((name[0], at, len(times), len(times) < limit))
             times.append(now)
         state.update((times,))
+        _expiry(state, times[-1] + seconds * 1_000_000)
         yield pd.DataFrame(out, columns=[key, ts, "used", "allowed"])
 
     kinds = dict(events.dtypes)
-    return events.select(key, ts).groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {ts} timestamp, used long, allowed boolean", "times array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    return events.select(key, ts).withWatermark(ts, WATERMARK).groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {ts} timestamp, used long, allowed boolean", "times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_ttl_cache(events: DataFrame, key: str, ts: str = "ts", seconds: int = 600) -> DataFrame:
-    """The cache of a stream: per key the time of its entry is kept as state."""
+    """The cache of a stream: per key the time of its entry is kept as state, until the watermark has passed its end."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(name, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        entered = state.get[0] if state.exists else None
-        out = []
-        for at in pd.concat(list(frames)).sort_values(ts)[ts]:
-            now = int(at.value // 1000)
-            hit = entered is not None and now - entered <= seconds * 1_000_000
-            if not hit:
-                entered = now
-            out.append((name[0], at, hit))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values(ts)
+        times = np.array([at.value // 1000 for at in rows[ts]], np.int64)
+        hits, entered = _walk(times, state.get[0] if state.exists else None, seconds * 1_000_000)
         state.update((entered,))
-        yield pd.DataFrame(out, columns=[key, ts, "hit"])
+        _expiry(state, entered + seconds * 1_000_000)
+        yield pd.DataFrame({key: name[0], ts: rows[ts], "hit": hits})
 
     kinds = dict(events.dtypes)
-    return events.select(key, ts).groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {ts} timestamp, hit boolean", "entered bigint", "append", GroupStateTimeout.NoTimeout)
+    return events.select(key, ts).withWatermark(ts, WATERMARK).groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {ts} timestamp, hit boolean", "entered bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_retrain_trigger(corrections: DataFrame, every: int = 50) -> DataFrame:
-    """A row at each `every`-th correction of a label."""
+    """(at): a row at each `every`-th correction of a stream, of all labels together: partitions are counted first, one small number per batch and partition meets the state."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([sum(b.num_rows for b in batches)], pa.int64())], ["one", "n"])
+
     def step(name, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         before = state.get[0] if state.exists else 0
-        now = before + sum(len(f) for f in frames)
+        now = before + sum(int(f["n"].sum()) for f in frames)
         state.update((now,))
-        yield pd.DataFrame([(name[0], k * every) for k in range(before // every + 1, now // every + 1)], columns=["label", "at"])
+        yield pd.DataFrame([(k * every,) for k in range(before // every + 1, now // every + 1)], columns=["at"])
 
-    return corrections.select("label").groupBy("label").applyInPandasWithState(step, "label string, at long", "n bigint", "append", GroupStateTimeout.NoTimeout)
+    counts = corrections.select(F.lit(1).alias("x")).mapInArrow(count, "one int, n long")
+    return counts.groupBy("one").applyInPandasWithState(step, "at long", "n bigint", "append", GroupStateTimeout.NoTimeout)
