@@ -45,11 +45,21 @@ def number(text: Column, kind: str = "double") -> Column:
     return F.regexp_replace(text, ",", "").try_cast(kind)
 
 
+def bound(value: Column, use) -> Column:
+    """`use` of a value that is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parsed_date(text: Column) -> Column:
     """A date in one of eight forms, year first before day first; two-digit years pivot at 69."""
     forms = ["yyyy-M-d", "yyyy/M/d", "d-M-yyyy", "d/M/yyyy", "d-M-yy", "d/M/yy", "d MMM yyyy", "d MMMM yyyy"]
-    day = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in forms]).cast("date")
-    return F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day)
+    read = lambda t: F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in forms]).cast("date")
+    return bound(bound(text, read), lambda day: F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day))
+
+
+def first_date(texts: list[Column]) -> Column:
+    """The first of several texts that is a date."""
+    return F.get(F.filter(F.transform(F.array(*texts), parsed_date), lambda d: d.isNotNull()), F.lit(0))
 
 
 def contains_any(text: Column, words: list[str] | tuple[str, ...]) -> Column:
@@ -97,9 +107,29 @@ def embedded_json(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
 
 
-@F.arrow_udf(T.DoubleType())
-def sequence_ratio(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Ratcliff-Obershelp similarity of two texts; there is no built-in for it."""
-    from difflib import SequenceMatcher
-
-    return pa.array([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+def sequence_ratio(a: Column, b: Column, least: float = 0.0) -> Column:
+    """Ratcliff-Obershelp similarity of two texts, null below `least`; there is no built-in for it.
+
+    Counts of characters bound the similarity from above, so that most pairs below `least` are not
+    aligned; pairs with the same `b` share what is prepared for it.
+    """
+
+    @F.arrow_udf(T.DoubleType())
+    def ratios(left: pa.Array, right: pa.Array) -> pa.Array:
+        from difflib import SequenceMatcher
+
+        out: list[float | None] = [None] * len(left)
+        by: dict[str, list[int]] = {}
+        texts = left.to_pylist()
+        for i, y in enumerate(right.to_pylist()):
+            if y is not None and texts[i] is not None:
+                by.setdefault(y, []).append(i)
+        for y, rows in by.items():
+            m = SequenceMatcher(None, "", y)
+            for i in rows:
+                m.set_seq1(texts[i])
+                if m.quick_ratio() >= least and (found := m.ratio()) >= least:
+                    out[i] = found
+        return pa.array(out, pa.float64())
+
+    return ratios(a, b)

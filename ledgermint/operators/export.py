@@ -158,7 +158,7 @@ def write_metrics(summary: DataFrame, path: str) -> None:
 
 def fairness_report(by_amount: DataFrame, by_class: DataFrame, overall: DataFrame) -> DataFrame:
     """(pos, line): a Markdown report from accuracy by amount (range, n, accuracy), by class (class, n, accuracy), and overall (accuracy): small tables all."""
-    share = lambda c: F.coalesce(F.format_string("%.2f%%", F.round(F.col(c) * 100, 2)), F.lit("nan%"))
+    share = lambda c: F.when(F.col(c).isNull(), "nan%").otherwise(F.format_string("%.2f%%", F.round(F.col(c) * 100, 2)))
     head = lambda at, *lines: overall.select(F.inline(F.array(*[F.struct(F.lit(at).alias("part"), F.lit(float(i)).alias("at"), F.lit("").alias("tie"), F.lit(x).alias("line")) for i, x in enumerate(lines)])))
     row = lambda df, at, name, order: df.select(F.lit(at).alias("part"), order.cast("double").alias("at"), F.col(name).alias("tie"), F.concat(F.lit("| "), F.col(name), F.lit(" | "), F.col("n").cast("string"), F.lit(" | "), share("accuracy"), F.lit(" |")).alias("line"))
     place = F.when(F.col("range") == "small", 0).when(F.col("range") == "medium", 1).otherwise(2)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgermint.functions.text import ascii_fold, collapse, contains_any, first_found, found, number, parsed_date, share_of, word_count
+from ledgermint.functions.text import ascii_fold, collapse, contains_any, first_date, first_found, found, number, parsed_date, share_of, word_count
 
 # The patterns of each channel, in order; a channel is the first any of whose patterns is found.
 CHANNELS: dict[str, list[str]] = {
@@ -88,7 +88,7 @@ def normalize(df: DataFrame, text: str = "text", amount: str | None = "amount",
     amounts = [number(found(raw, p), "decimal(15,2)") for p in AMOUNTS]
     work = work.withColumn("merchant", F.coalesce(F.col(merchant), F.col("pattern_merchant")) if merchant else F.col("pattern_merchant"))
     work = work.withColumn("norm_amount", F.coalesce(*([F.col(amount).cast("decimal(15,2)")] if amount else []), *amounts))
-    work = work.withColumn("norm_date", F.when(given.isNotNull() & (given != ""), parsed_date(given)).otherwise(F.coalesce(*[parsed_date(found(raw, p)) for p in DATES])))
+    work = work.withColumn("norm_date", F.when(given.isNotNull() & (given != ""), parsed_date(given)).otherwise(first_date([found(raw, p) for p in DATES])))
     mark = lambda name, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{name}:"), F.col(c)))
     return work.withColumn("search_text", F.concat_ws(" ", t, mark("channel", "channel"), mark("merchant", "pattern_merchant"), mark("location", "location")))
 

@@ -98,7 +98,10 @@ def fuzzy_pairs(texts: DataFrame, names: DataFrame, threshold: float, text: str
 
 def fuzzy_matches(texts: DataFrame, names: DataFrame, threshold: float, text: str = "clean", n: int | None = None) -> DataFrame:
     """(text, row_pos, score): sequence similarity of text and name, of the pairs that may reach the threshold."""
-    close = fuzzy_pairs(texts, names, threshold, text, n).withColumn("score", sequence_ratio(F.col(text), F.col("alias"))).where(F.col("score") >= threshold)
+    spark = texts.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pairs = fuzzy_pairs(texts, names, threshold, text, n).repartition(tasks)  # few bytes, but costly ones
+    close = pairs.withColumn("score", sequence_ratio(F.col(text), F.col("alias"), threshold)).where("score IS NOT NULL")
     return close.groupBy(text, "row_pos").agg(F.max("score").alias("score"))
 
 

@@ -36,11 +36,11 @@ def categorize(df: DataFrame, taxonomy: list[Category], gazetteer: DataFrame, co
     extracted from it; then a sure code. The rest is voted on. External scorers take part through the
     columns ml_category, ml_conf, ml_alternatives, llm_category, llm_conf of `df`, where present.
 
-    The normalised rows with their rules are written once, since merchants are resolved from the
-    distinct texts of those that no rule settles; only these are voted on.
+    The normalised rows, and these with their rules, are written once, since merchants are resolved from
+    the distinct texts of those that no rule settles; only these are voted on.
     """
     w = cfg.weights()
-    work = normalize(df, compat=compat)
+    work = materialise(normalize(df, compat=compat))  # also keeps the generated code of each step within bounds
     work = categorize_by_rules(work, taxonomy, amount="amount", date="date", compat=compat)
     rule = F.col("rule_result")
     work = work.withColumn("rule_category", category_id(rule["category"])).withColumn("rule_conf", rule["confidence"])

@@ -285,7 +285,7 @@ def categorize_by_rules(df: DataFrame, taxonomy: list[Category], text: str = "se
     work, fields = with_cascade(df, fields)
     work = work.withColumn("_merchant", F.when(F.col("_rule").isNull(), merchant_rule(F.col(merchant), taxonomy)))
     work = work.withColumn("_scores", F.when(F.col("_rule").isNull() & F.col("_merchant").isNull(), keyword_scores(fields, taxonomy))).withColumn("_best", F.array_max("_scores"))
-    work = work.withColumn("_hint", temporal_hint(fields, F.to_date(F.col(date))))
+    work = work.withColumn("_hint", temporal_hint(fields, F.col(date).try_cast("date")))
     m, best, hint = F.col("_merchant"), F.col("_best"), F.col("_hint")
     category = F.coalesce(m["category"], best["category"])
     conf = F.when(m.isNotNull(), HIGH).otherwise(F.least(F.lit(1.0), best["score"] / 3.0))

@@ -103,3 +103,74 @@ def test_rule_scores(spark):
     df = spark.createDataFrame([("bistro lunch", "POS", 50.0, "bistro", "2024-01-12"), ("unknown words", None, 50.0, None, None)], "search_text string, channel string, amount double, merchant string, date string")
     a, b = [r.rule_result for r in rules.categorize_by_rules(df, TAXONOMY).collect()]
     assert (a.rule, a.category, a.confidence) == ("merchant", "food_dining", 0.95) and (b.rule, b.category, b.confidence) == ("scores", "other", 0.4)
+
+
+def test_word_index_equals_contains(spark):
+    import random
+
+    rng = random.Random(2)
+    words = [w for r in rules.CASCADE for x in r.when.leaves() if hasattr(x, "words") for w in x.words]
+    pieces = [*words, *rules.SHOP_WORDS, "vikas", "mr x", "pan shop", "monthly subscription", "late fee", "gst", "vi", " ", "-", "ap", "e"]
+    rows = [(i, "".join(rng.choice(pieces) + rng.choice(["", " ", "/"]) for _ in range(rng.randrange(1, 5))), rng.choice([None, "ATM"]), rng.choice([None, 0.0, 90.0, 900.0])) for i in range(1500)] + [(9998, "", None, None), (9999, None, None, None)]
+    df = spark.createDataFrame(rows, "i long, t string, c string, a double")
+    fields = rules.fields_of(F.col("t"), F.col("c"), F.col("a"))
+    indexed, _ = rules.with_cascade(df, fields)
+    got, want = {r.i: r._rule for r in indexed.collect()}, {r.i: r.n for r in df.select("i", rules.cascade_number(fields).alias("n")).collect()}
+    assert got == want and len(set(got.values())) > 20
+    listed = [(k.lower(), n) for n, (k, _, _) in enumerate(rules._keywords(TAXONOMY))]
+    for r in df.select(F.coalesce("t", F.lit("")).alias("t"), rules.keywords_in(F.coalesce("t", F.lit("")), TAXONOMY).alias("k")).collect():
+        assert sorted(r.k) == [n for k, n in listed if k in r.t]
+
+
+def test_fuzzy_pairs_lose_nothing(spark):
+    import random
+
+    rng = random.Random(6)
+    make = lambda: "".join(rng.choice("ABCDE ") for _ in range(rng.randrange(1, 16))).strip() or "A"
+    names = sorted({make() for _ in range(60)})
+    texts = sorted({make() for _ in range(80)} | {"".join(c for c in n if rng.random() > 0.2) or "B" for n in names})
+    n = spark.createDataFrame([(x, i) for i, x in enumerate(names)], "alias string, row_pos int")
+    for threshold in (0.7, 0.8):
+        got = {(r.clean, r.row_pos): r.score for r in resolve.fuzzy_matches(spark.createDataFrame([(t,) for t in texts], "clean string"), n, threshold).collect()}
+        want = {(t, i): s for t in texts for i, x in enumerate(names) if (s := SequenceMatcher(None, t, x).ratio()) >= threshold}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_every_exit_of_the_route(spark):
+    from ledgermint.operators import route
+
+    rows = [
+        (1, "ATM WDL 12 MUMBAI", 500.0, "2024-01-05", None), (2, "SWGY dinner", 300.0, None, None), (3, "REFUND AMAZON ORDER 9", 20.0, None, None), (4, "payment / 5541 / station", 900.0, None, None), (5, "unknown words", 50.0, "invalid-date", "5999"),
+        (6, "", None, None, None), (7, None, 0.0, "2099-01-01", None), (8, "zomto", 10.0, None, None), (9, "paid TO FLIPKRT", 10.0, None, None), (10, "x" * 1000, -5.0, None, None), (11, "SWGY return", 300.0, None, None), (12, "@@@ ###", None, None, "9999"),
+    ]
+    df = spark.createDataFrame(rows, "txn_key long, text string, amount double, date string, mcc string")
+    got = {r.txn_key: r for r in route.categorize(df, TAXONOMY, gazetteer(spark), merchant_codes.code_table(spark)).collect()}
+    assert len(got) == len(rows) and {k: r.method for k, r in got.items() if k in (1, 2, 3, 4, 8, 9)} == {1: "rule_deterministic", 2: "merchant_gazetteer", 3: "rule_deterministic", 4: "mcc_deterministic", 8: "merchant_gazetteer", 9: "merchant_gazetteer"}
+    assert (got[1].category, got[1].requires_review, got[1].vote.methods) == ("atm_cash", False, 1) and (got[2].category, got[2].confidence, got[2].merchant_resolved) == ("food_dining", 0.95, "SWIGGY")
+    assert got[4].category == "fuel" and got[4].confidence == 0.95 and got[8].merchant_resolved == "ZOMATO" and got[9].merchant_resolved == "FLIPKART"
+    # the extracted name needs 0.8, the whole text 0.7; a return takes no merchant's word for it
+    assert got[11].method != "merchant_gazetteer" and got[5].method.startswith("ensemble") and got[5].requires_review is not None
+    assert all(got[k].category == "other" for k in (6, 7, 10)) and all(0 <= r.confidence <= 1 for r in got.values())
+    answers = {r.txn_key: r for r in route.assembled(route.categorize(df.withColumn("currency", F.lit("INR")), TAXONOMY, gazetteer(spark), merchant_codes.code_table(spark))).collect()}
+    assert answers[2].alternatives is None and answers[5].alternatives[0].method == answers[5].method and answers[1].normalized.channel == "ATM"
+    shown = learn.explanation_json(learn.explain(route.categorize(df, TAXONOMY, gazetteer(spark), merchant_codes.code_table(spark)))).where("txn_key = 2").first().json
+    assert '"final_category":"food_dining"' in shown and '"method_used":"merchant_gazetteer"' in shown
+
+
+def test_a_stream_is_routed_like_a_table(spark, tmp_path):
+    from ledgermint.operators import route
+
+    df = spark.createDataFrame([(i, t, 10.0, None, None) for i, t in enumerate(["ATM WDL 1", "ZOMATO x", "plain words"])], "txn_key long, text string, amount double, date string, mcc string")
+    df.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    parts = (TAXONOMY, gazetteer(spark), merchant_codes.code_table(spark))
+    q = route.stream_categorize(stream, lambda rows, n: rows.select("txn_key", "category", "method").write.mode("overwrite").parquet(f"{tmp_path}/out/{n}"), *parts).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.option("recursiveFileLookup", True).parquet(f"{tmp_path}/out").collect())
+    assert got == sorted(tuple(r) for r in route.categorize(df, *parts).select("txn_key", "category", "method").collect())
+
+
+def test_batches_under_other_names(spark):
+    df = spark.createDataFrame([(1, None, "UPI-1-ZOMATO PAY", "2024-01-05"), (2, "ATM WDL 5", "x", None)], "k int, text string, description string, timestamp string")
+    got = {r.k: (r.channel, r.currency, str(r.norm_date)) for r in normalize.normalize_batch(df).collect()}
+    assert got == {1: ("UPI", "INR", "2024-01-05"), 2: ("ATM", "INR", "None")}

@@ -44,6 +44,52 @@ def test_streams_equal_batches(spark, tmp_path):
         assert sorted(map(tuple, spark.table(f"out_{name}").collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_hot_keys_are_walked_like_any(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(None if k == 0 else k, DAY + dt.timedelta(seconds=rng.randrange(40_000))) for k in (0, 1, 1, 1, 2) for _ in range(300)]
+    df = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(rows)], "event_id long, user_id long, ts timestamp")
+    entered, want = {}, {}
+    for k, t, i in sorted(((k, t, i) for i, (k, t) in enumerate(rows)), key=lambda x: (x[0] is None, x[0] or 0, x[1], x[2])):
+        want[i] = k in entered and (t - entered[k]).total_seconds() <= 500
+        entered[k] = entered[k] if want[i] else t
+    got = {r.event_id: r.hit for r in monitor.ttl_cache(df.select("event_id", "user_id", "ts"), "user_id", seconds=500).collect()}
+    assert got == want
+
+
+def test_runtime_stats_over_chunks(spark):
+    rows = [(i, DAY + dt.timedelta(seconds=1700 * (i // 3)), "a" if i % 7 else None, float(i * i % 101)) for i in range(400)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, kind string, value double")
+    got = {r.event_id: r for r in monitor.runtime_stats(df, ["kind"], last=10, chunk_rows=25, review=F.col("value") > 50).collect()}
+    assert len(got) == 400
+    for kind in ("a", None):
+        mine = [r for r in rows if r[2] == kind]
+        for k, r in enumerate(mine):
+            last = [x[3] for x in mine[max(0, k - 9) : k + 1]]
+            g = got[r[0]]
+            assert g.running_count == k + 1 and abs(g.rolling_mean - sum(last) / len(last)) < 1e-9 and abs(g.running_mean - sum(x[3] for x in mine[: k + 1]) / (k + 1)) < 1e-9
+            assert abs(g.running_review_rate - sum(x[3] > 50 for x in mine[: k + 1]) / (k + 1)) < 1e-9
+
+
+def test_stream_figures_and_triggers(spark, tmp_path):
+    e = events(spark, 90).select("event_id", "ts", "user_id", "value").coalesce(1)
+    schema = e.schema
+    for part, low in enumerate((0, 40)):
+        e.where((F.col("event_id") >= low) & (F.col("event_id") < (40 if low == 0 else 90))).write.mode("append").parquet(f"{tmp_path}/in/{part}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    q = monitor.stream_runtime_stats(stream, lambda rows, n: rows.write.mode("overwrite").parquet(f"{tmp_path}/out/{n}"), ["user_id"], f"{tmp_path}/state", last=8).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {r.event_id: r for r in spark.read.option("recursiveFileLookup", True).parquet(f"{tmp_path}/out").collect()}
+    want = {r.event_id: r for r in monitor.runtime_stats(e, ["user_id"], last=8).collect()}
+    assert set(got) == set(want)
+    if all(got[i].running_count == want[i].running_count for i in want):  # files in order of time
+        assert all(abs(got[i].rolling_mean - want[i].rolling_mean) < 1e-9 and abs(got[i].running_mean - want[i].running_mean) < 1e-9 for i in want)
+    q = monitor.stream_retrain_trigger(stream, 25).writeStream.format("memory").queryName("trigger").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp2").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r.at for r in spark.table("trigger").collect()) == [25, 50, 75]
+
+
 def test_alert_needs_a_run(spark):
     m = spark.createDataFrame([(i, x) for i, x in enumerate([0, 1, 1, 0, 1, 1, 1, 0])], "start int, v int")
     got = monitor.alerts(m, F.col("v") == 1, 3).collect()
@@ -58,6 +104,37 @@ def test_balance_and_split(spark):
     assert {(r.label, r["count"]) for r in s} == {("big", 72), ("small", 8)}
 
 
+def test_oversampled_rows_and_examples(spark):
+    df = spark.createDataFrame([(i, f"a-b/{i}", "big" if i < 90 else "small") for i in range(94)], "txn_key long, text string, label string")
+    rows = dataset.oversample(df, least=10).collect()
+    assert sum(r.label == "big" for r in rows) == 90 and sum(r.label == "small" for r in rows) == 72
+    assert all(r.text.replace("-", "").replace("/", "").replace(" ", "").lower() == f"ab{r.txn_key}" for r in rows) and len({r.text for r in rows if r.label == "small"}) > 4
+    assert {r.label: r.n for r in dataset.class_examples(df, 3, 5, order="txn_key").groupBy("label").agg(F.count("*").alias("n")).collect()} == {"big": 3}
+    texts = ["UPI-ZOMATO ORDER 12", "POS PURCHASE D-MART", "12 34", "", "x"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(dataset.augmentation_merchant(F.col("t"))).collect()]
+    assert got == ["ZOMATO ORDER", "DMART", "12 34", "", "x"]
+
+
+def test_training_jobs(spark, tmp_path):
+    from ledgermint.operators import jobs
+
+    rows = [(i, f"{('ZOMATO', 'UBER')[i % 2]} ORDER {i}", ("food_dining", "transport")[i % 2], 10.0 + i, "2024-01-05") for i in range(60)]
+    base = spark.createDataFrame(rows, "txn_key long, text string, label string, amount double, date string")
+    done = jobs.train(jobs.prepared(base), kind="forest")
+    m = done.metrics.first()
+    assert m.accuracy == 1.0 and m.passes and done.predictions.count() == 12 and done.labels == ["food_dining", "transport"]
+    jobs.save(done.model, f"{tmp_path}/m")
+    again = jobs.score(jobs.prepared(base.limit(4)), jobs.load(f"{tmp_path}/m")).collect()
+    assert all(r.ml_category == r.label for r in again)
+    feedback = base.withColumn("was_incorrect", F.col("txn_key") < 5)
+    accepted = base.select("txn_key", "text", F.col("label").alias("category"), F.lit(0.95).alias("confidence"), F.lit(False).alias("requires_review"))
+    joined, shots, _ = jobs.feedback_learning(base, feedback, accepted, kind="regression")
+    assert joined.count() == 65 and shots.count() == 30
+    fix = base.where("txn_key < 4").select("text", F.lit("transport").alias("label"), F.col("txn_key").alias("pos"), "amount")
+    jobs.retrain(spark, base.withColumn("pos", F.col("txn_key")), fix, f"{tmp_path}/r", kind="regression")
+    assert spark.read.parquet(f"{tmp_path}/r/rows").where("label = 'transport'").count() == 32 and jobs.load(f"{tmp_path}/r/model") is not None
+
+
 def test_corrections(spark):
     base = spark.createDataFrame([("A x", "p", 1, 1.0), ("a X ", "p", 2, 2.0), ("b", "q", 3, 3.0)], "text string, label string, pos int, amount double")
     fix = spark.createDataFrame([("a x", "r", 1, 9.0), ("A X", "s", 2, 8.0), ("new", "t", 3, 7.0), ("NEW", "u", 4, 6.0)], "text string, label string, pos int, amount double")
@@ -75,7 +152,7 @@ def test_sources(spark, tmp_path):
     g = readers.read_gazetteer(spark, str(tmp_path / "g.csv"))
     from ledgermint.operators.resolve import aliases
 
-    assert {(r.alias, r.canonical_name) for r in aliases(g).collect()} == {("ACME", "OTHER"), ("ACME INC", "ACME")}
+    assert {(r.alias, r.canonical_name) for r in aliases(g).collect()} == {("ACME", "OTHER"), ("ACME INC", "ACME"), ("OTHER", "OTHER")}
     (tmp_path / "t.yaml").write_text("categories:\n- {id: a, name: A, keywords: [K], patterns: ['(?i)x.*', '(bad'], subcategories: [S]}\n")
     (c,) = readers.load_taxonomy(str(tmp_path / "t.yaml"))
     assert c.keywords == ("k",) and c.patterns == ("x.*",)
@@ -98,14 +175,31 @@ def test_exports(spark, tmp_path):
     assert sum(x.startswith("TRNS") for x in lines) == 2 and sum(x.startswith("!") for x in lines) == 3
     export.append_accepted(df, f"{tmp_path}/acc")
     assert [(r.txn_key, r.month) for r in spark.read.parquet(f"{tmp_path}/acc").collect()] == [(1, "2024-01")]
-    assert export.coded_csv(df).first().account_code == "449" and '"category":"fuel"' in export.nested_json(df).first().json
-    assert export.ledger_csv(df).first().confidence == "90.0%"
+    coded = export.coded_csv(df).first()
+    assert list(coded.asDict()) == export.CODED_COLUMNS and (coded["AccountCode"], coded["TaxAmount"], coded["*TaxType"], coded["*InvoiceNumber"]) == ("202", "1.80", "GST", "TXN-1")
+    assert '"category":"fuel"' in export.nested_json(df).first().json and '"AccountRef":{"name":"fuel"}' in export.nested_json(df, "ledger").first().json and '"AccountCode":"200"' in export.nested_json(df, "coded").first().json
+    first = export.ledger_csv(df).first()
+    assert list(first.asDict()) == ["date", "amount", "currency", "category", "subcategory", "merchant", "description", "confidence", "method", "requires_review"] and first.confidence == 0.9
+    assert [r[0] for r in df.select(export.account(F.col("category"))).collect()] == ["Auto & Travel", "Other Expenses"] and export.INTERCHANGE_HEADER[0] == "!TRNS\tDATE\tACCNT\tAMOUNT\tMEMO"
+    assert "TRNS\t2024-01-05\tAuto & Travel\t-10.00\tt" in lines and "SPL\t2024-01-05\tBank Account\t10.00\tt" in lines
+    kept = export.cache_rows(df, F.lit(DAY)).collect()
+    assert len(kept) == 1 and kept[0].expires_at == DAY + dt.timedelta(seconds=600)
+    report = export.fairness_report(*[spark.createDataFrame(r, s) for r, s in (([("small", 2, 0.5), ("large", 1, 1.0), ("medium", 0, None)], "range string, n long, accuracy double"), ([("b", 1, 1.0), ("a", 2, 0.5)], "class string, n long, accuracy double"), ([(0.666667,)], "accuracy double"))])
+    text = [r.line for r in report.orderBy("pos").collect()]
+    assert text[:2] == ["# Fairness report", "**Overall accuracy**: 66.67%"] and text[5:9] == ["| small | 2 | 50.00% |", "| medium | 0 | nan% |", "| large | 1 | 100.00% |", "**Max disparity**: 50.00% (warning)"] and text[-2:] == ["| b | 1 | 100.00% |", "| a | 2 | 50.00% |"]
+    export.write_report(report, f"{tmp_path}/report")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/report").collect()] == text
 
 
 def test_learning(spark):
     rows = [(f"POS {i} BIG BAZAAR", "shopping" if i else "fuel", None, i) for i in range(4)] + [("ONCE ONLY", "x", None, 9)]
     got = learn.learned_merchants(spark.createDataFrame(rows, "text string, label string, subcategory string, pos int"), 3).collect()
-    assert [(r.canonical_name, r.category, r.n) for r in got] == [("BIG BAZAAR", "shopping", 4)]
+    assert [(r.merchant_id, r.canonical_name, r.category, r.n) for r in got] == [(1, "BIG BAZAAR", "shopping", 4)]
+    known = spark.createDataFrame([(0, 7, "ACME", "acme", "x", "y"), (1, 9, "BIG BAZAAR", "bb", "x", "y")], "row_pos int, merchant_id int, canonical_name string, aliases string, category string, subcategory string")
+    more = learn.extended_gazetteer(known, spark.createDataFrame([("BIG BAZAAR", "a", "b", "c"), ("NEW", "n", "o", "p")], "canonical_name string, aliases string, category string, subcategory string")).collect()
+    assert [(r.row_pos, r.merchant_id, r.canonical_name) for r in more] == [(0, 7, "ACME"), (1, 9, "BIG BAZAAR"), (2, 10, "NEW")]
+    scores = {r.m: (r.v.agreement, r.v.methods) for r in spark.createDataFrame([("ensemble_unanimous",), ("ensemble_rule+ml",), ("rule",)], "m string").select("m", learn.votes_of_method(F.col("m")).alias("v")).collect()}
+    assert scores == {"ensemble_unanimous": (1, 1), "ensemble_rule+ml": (0, 2), "rule": (0, 1)}
     q = spark.createDataFrame([(1, 0.2, "rule", True), (2, 0.55, "ensemble_rule+ml", True), (3, 0.1, "ml", False)], "txn_key long, confidence double, method string, requires_review boolean")
     assert [r.txn_key for r in learn.review_queue(q).orderBy("txn_key").collect()] == [1, 2]
 
