@@ -10,13 +10,12 @@ an empty result.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgermint.llm.common import bounded, materialise, small_arrow_batches, table
+from ledgermint.llm.common import bounded, materialise, shared_folder, small_arrow_batches, table
 from ledgermint.llm.decontam import drop_contaminated
 from ledgermint.llm.neardup import near_duplicates, set_key
 from ledgermint.llm.packing import pack_documents
@@ -83,17 +82,13 @@ STAGES = [
     ("secret_scan", secret_stage),
     ("best_fit_packing", packing_stage),
 ]
-#: A trained classifier and a tokenizer are beyond SQL; tests compare with brute force.
+#: A trained classifier and a tokenizer are beyond SQL; tests compare each stage with its operator, which has tests of its own.
 ORACLE_SQL = None
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    return spark.sparkContext._conf.get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-pipeline-")
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of the last stage over the whole table `documents`."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{_shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
