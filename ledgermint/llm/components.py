@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bounded, materialise
 
 
 class UnionFind:
@@ -93,5 +93,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
     if labels is None:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     # A contraction may leave a root that is not the smallest member.
-    least = labels.groupBy("component").agg(F.min("id").alias("least"))
+    labels = materialise(labels)
+    least = bounded(materialise(labels.groupBy("component").agg(F.min("id").alias("least"))))
     return labels.join(least, "component").select("id", F.col("least").alias("component"))
