@@ -300,8 +300,7 @@ def _dealt(rows: DataFrame, number: str, seek: Column, seek_number: str, block:
 def candidate_edges(reps: DataFrame, least: int, block: int, parts: int) -> DataFrame:
     """(a, b): forest edges of rows (id, bands, sig) that share a bucket and agree in `least` slots or more."""
     banded = reps.select("id", F.posexplode("bands").alias("band", "slot_key"))
-    # The sums that are joined back to the rows of a hot key are written first: Spark splits a skewed join only where both sides are plain.
-    crowded = materialise(banded.groupBy("band", "slot_key").agg(F.count("*").alias("rows"), F.min("id").alias("leader")).where("rows > 1"))
+    crowded = banded.groupBy("band", "slot_key").agg(F.count("*").alias("rows"), F.min("id").alias("leader")).where("rows > 1")
     members = materialise(banded.join(crowded, ["band", "slot_key"]).where("id <> leader"))
     sigs = reps.select("id", "sig")
     pairs = members.select("id", "leader").distinct().join(sigs, "id").join(sigs.select(F.col("id").alias("leader"), F.col("sig").alias("leader_sig")), "leader")
@@ -364,8 +363,8 @@ def verified_edges(sets: DataFrame, keys: list[str], percent: int, parts: int) -
 
 def linked_sets(docs: DataFrame, id_col: str, text_col: str, groups: DataFrame, width: int, percent: int, block: int, parts: int) -> DataFrame:
     """(id, component) of the nodes in `groups` (id, component, rep, key) that links connect, verified on whole sets."""
-    large = materialise(groups.groupBy("component").agg(F.count("*").alias("members")))
-    sized = materialise(groups.join(bounded(large), "component").withColumn("blocks", F.ceil(F.col("members") / block).cast("int")))
+    large = groups.groupBy("component").agg(F.count("*").alias("members"))
+    sized = materialise(groups.join(large, "component").withColumn("blocks", F.ceil(F.col("members") / block).cast("int")))
     places = F.when(F.col("id") == F.col("component"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
     sets = member_sets(docs, id_col, text_col, sized.select("id", "rep", "key", "component", "blocks"), width)
     first = materialise(verified_edges(sets.select("component", "id", "elements", F.explode(places).alias("block")), ["component", "block"], percent, parts))
@@ -374,7 +373,7 @@ def linked_sets(docs: DataFrame, id_col: str, text_col: str, groups: DataFrame,
     classes = sized.where("blocks > 1").join(linked.withColumnRenamed("component", "class"), "id", "left").withColumn("class", F.coalesce("class", "id"))
     counts = classes.groupBy("component", "class").agg(F.count("*").alias("n"))
     tops = counts.groupBy("component").agg(F.count("*").alias("classes"), F.max_by("class", F.struct("n", -F.col("class"))).alias("top"), F.max("n").alias("most")).where("classes > 1")
-    open_ = materialise(classes.join(bounded(materialise(tops)), "component").withColumn("open", F.col("members") - F.col("most")))
+    open_ = materialise(classes.join(tops, "component").withColumn("open", F.col("members") - F.col("most")))
     if open_.isEmpty():
         return linked
     sets = member_sets(docs, id_col, text_col, open_.select("id", "rep", "key", "component", "class", "top", "members", "open"), width)
@@ -402,6 +401,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = linked_sets(docs, id_col, text_col, groups, width, percent, block, parts)
     placed = materialise(copies.join(linked.withColumnRenamed("id", "node"), "node", "left").select("key", "rep", "component"))
     members = placed.where("component is not null")
+    # written before it is joined: Spark splits a skewed join only where no sum stands between it and the shuffle
     first = materialise(members.groupBy("component").agg(F.min(F.struct("rep", "key")).alias("first")))
     named = lambda id_, key: ("key", id_.alias("component_id"), key.alias("component_key"))
     alone = placed.where("component is null").select(*named(F.col("rep"), F.col("key")))
