@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op11_byte_bpe
 from .decontam import ORACLE_SQL as OP7_SQL
 from .decontam import op7_decontamination
 from .html import op6_html_extraction
 from .langid import op3_language_id
 from .media import op10_media
+from .merkle import ORACLE_SQL as OP13_SQL
+from .merkle import op13_merkle
 from .neardup import ORACLE_SQL as OP4_SQL
 from .neardup import op4_near_dedup
 from .packing import op2_best_fit_packing
 from .pii import op8_pii
 from .quality import op5_quality
+from .resampling import ORACLE_SQL as OP12_SQL
+from .resampling import op12_importance_resampling
 from .secrets import op1_secret_scan
 from .sharding import op9_sharding
 
@@ -32,8 +37,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_sharding": op9_sharding,
         "op10_media": op10_media,
+        "op11_byte_bpe": op11_byte_bpe,
+        "op12_importance_resampling": op12_importance_resampling,
+        "op13_merkle": op13_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_near_dedup": OP4_SQL, "op7_decontamination": OP7_SQL}
+    return {"op4_near_dedup": OP4_SQL, "op7_decontamination": OP7_SQL, "op12_importance_resampling": OP12_SQL, "op13_merkle": OP13_SQL}
