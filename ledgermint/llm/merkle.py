@@ -47,34 +47,48 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def numbered(df: DataFrame, tree: Column, order: list[Column]) -> DataFrame:
-    """`df`, written, with `_pos`: the place from 0 of each row within its tree. The rows are sorted in ranges; counts per range and tree are all that is summed in order."""
-    ranged = materialise(df.withColumn("_tree_of", tree).repartitionByRange(F.col("_tree_of").asc_nulls_first(), *order).withColumn("_range", F.spark_partition_id()))
-    sizes = ranged.groupBy("_tree_of", "_range").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_tree_of").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = bounded(materialise(sizes.select(F.col("_tree_of").alias("_t"), F.col("_range").alias("_r"), before.alias("_before"))))
-    nth = F.row_number().over(Window.partitionBy("_range", "_tree_of").orderBy(*order))
-    joined = ranged.withColumn("_nth", nth).join(starts, F.col("_tree_of").eqNullSafe(F.col("_t")) & (F.col("_range") == F.col("_r")))
-    return joined.withColumn("_pos", F.col("_before") + F.col("_nth") - 1).drop("_tree_of", "_range", "_t", "_r", "_before", "_nth")
+#: Rows of a small table in one part, where its rows are counted.
+PART_ROWS = 2000
 
 
-def built_runs(nodes: DataFrame, arity: int) -> DataFrame:
-    """(tree, run, children, up, place, leaves): the runs of all levels over `nodes` (tree, pos, digest, leaves).
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """`df`, of about `rows` rows, in parts of some `PART_ROWS`; never in more than it has."""
+    return df.coalesce(max(1, -(-rows // PART_ROWS)))
 
-    `leaves` counts what stands below; `up` is null in the last run of a tree. Trees of one node have no run.
+
+def numbered(df: DataFrame, tree: Column, order: list[Column], rows: int) -> tuple[DataFrame, DataFrame]:
+    """`df` of `rows` rows, written, with `_pos`, the place from 0 of each row within its tree; and (_tree_of, _n), the sizes of the trees.
+
+    The rows are sorted in ranges and numbered as they lie there; counts per range and tree are all that is summed in order.
+    """
+    place = F.monotonically_increasing_id()  # of written rows: the range, and the place in it
+    ranged = df.withColumn("_tree_of", tree).repartitionByRange(F.col("_tree_of").asc_nulls_first(), *order).sortWithinPartitions(F.col("_tree_of").asc_nulls_first(), *order)
+    ranged = materialise(ranged).withColumn("_place", place).withColumn("_range", F.shiftright("_place", 33))
+    parts = ranged.groupBy("_tree_of", "_range").agg(F.count("*").alias("_m"), F.min("_place").alias("_first"))
+    w = Window.partitionBy("_tree_of").orderBy("_range")
+    before = F.coalesce(F.sum("_m").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = materialise(packed(parts.withColumn("_before", before), rows)).select(F.col("_tree_of").alias("_t"), F.col("_range").alias("_r"), "_m", (F.col("_before") - F.col("_first")).alias("_shift"))
+    sizes = parts.groupBy(F.col("_t").alias("_tree_of")).agg(F.sum("_m").alias("_n"))
+    joined = ranged.join(bounded(parts.drop("_m")), F.col("_tree_of").eqNullSafe(F.col("_t")) & (F.col("_range") == F.col("_r")))
+    return joined.withColumn("_pos", F.col("_place") + F.col("_shift")).drop("_t", "_r", "_range", "_place", "_shift"), sizes
+
+
+def built_runs(nodes: DataFrame, arity: int, largest: int, rows: int) -> DataFrame:
+    """(tree, run, children, up, place, leaves): the runs of all levels over `nodes` (tree, n, pos, digest, leaves).
+
+    `n` is the size of the tree, `largest` the greatest of them, `rows` that of all together; `leaves` counts what
+    stands below. `up` is null in the last run of a tree. Trees of one node have no run.
     """
-    sizes = materialise(nodes.groupBy("tree").agg(F.count("*").alias("n")))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    level, nodes = 0, nodes.join(bounded(sizes), "tree").where("n > 1")
+    level, nodes = 0, nodes.where("n > 1")
     columns = ["tree", "run", "children", "up", "place", "leaves"]
-    runs = nodes.sparkSession.createDataFrame([], "tree bigint, run bigint, children array<string>, up bigint, place int, leaves bigint")
+    runs = nodes.sparkSession.createDataFrame([], "tree bigint, run bigint, children array<string>, up bigint, place int, leaves bigint").coalesce(1)
     while largest > 1:
         grouped = nodes.groupBy("tree", "n", F.expr(f"pos div {arity}").alias("nth")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "digest"))), lambda x: x["digest"]).alias("children"), F.sum("leaves").alias("leaves"))
         more = F.col("n") > arity
-        run = materialise(grouped.withColumns({"run": F.col("nth") + level * LEVEL, "up": F.when(more, F.expr(f"nth div {arity}") + (level + 1) * LEVEL), "place": F.when(more, F.expr(f"nth % {arity}").cast("int"))}))
+        run = materialise(packed(grouped.withColumns({"run": F.col("nth") + level * LEVEL, "up": F.when(more, F.expr(f"nth div {arity}") + (level + 1) * LEVEL), "place": F.when(more, F.expr(f"nth % {arity}").cast("int"))}), rows // arity))
         runs = runs.unionByName(run.select(*columns))
         nodes = run.where(more).select("tree", F.expr(f"(n + {arity - 1}) div {arity}").alias("n"), F.col("nth").alias("pos"), run_digest().alias("digest"), "leaves")
-        level, largest = level + 1, -(-largest // arity)
+        level, largest, rows = level + 1, -(-largest // arity), rows // arity
     return runs
 
 
@@ -92,30 +106,33 @@ def merkle_manifest(docs: DataFrame, source: str = "source", key: str = "doc_id"
     leaf = leaf_digest(*[F.col(f) for f in fields])
     other = leaf_digest(*[(tampered or {}).get(f, F.col(f)) for f in fields])
     digests = materialise(docs.select(F.col(key).alias("_key"), F.col(source).cast("string").alias("_source"), leaf.alias("leaf"), other.alias("tampered")))
-    rows = numbered(digests, F.col("_source"), [F.col("_key").asc_nulls_first(), F.col("leaf")])
-    sources = numbered(digests.groupBy("_source").agg(F.count("*").alias("_n")), F.lit(0), [F.col("_source").asc_nulls_first()])
-    sources = materialise(sources.select(F.col("_source").alias("_s"), F.col("_pos").alias("tree"), "_n"))
-    leaves = materialise(rows.join(bounded(sources), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s", "_source"))
-    below = built_runs(leaves.select("tree", F.col("_pos").alias("pos"), F.col("leaf").alias("digest"), F.lit(1).cast("long").alias("leaves")), arity)
+    total = digests.count()
+    rows, sizes = numbered(digests, F.col("_source"), [F.col("_key").asc_nulls_first(), F.col("leaf")], total)
+    many_sources = sizes.count()
+    sources, _ = numbered(sizes.withColumnRenamed("_tree_of", "_s"), F.lit(0), [F.col("_s").asc_nulls_first()], many_sources)
+    sources = materialise(packed(sources.select("_s", F.col("_pos").alias("tree"), "_n"), many_sources))
+    leaves = materialise(rows.join(bounded(sources, many_sources), F.col("_tree_of").eqNullSafe(F.col("_s"))).drop("_s", "_source", "_tree_of"))
+    largest = sources.agg(F.max("_n")).first()[0] or 0
+    below = built_runs(leaves.select("tree", F.col("_n").alias("n"), F.col("_pos").alias("pos"), F.col("leaf").alias("digest"), F.lit(1).cast("long").alias("leaves")), arity, largest, total)
     # the last run of a tree, or its only leaf, gives the subroot
     ends = below.where("up is null").select("tree", run_digest().alias("subroot"), "leaves").unionByName(leaves.where("_n = 1").select("tree", F.col("leaf").alias("subroot"), F.lit(1).cast("long").alias("leaves")))
-    subroots = materialise(ends)
-    above = built_runs(subroots.select(F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("pos"), F.col("subroot").alias("digest"), "leaves"), arity)
+    subroots = materialise(packed(ends, many_sources))
+    above = built_runs(subroots.select(F.lit(TOP).cast("long").alias("tree"), F.lit(many_sources).cast("long").alias("n"), F.col("tree").alias("pos"), F.col("subroot").alias("digest"), "leaves"), arity, many_sources, many_sources)
     last = above.where("up is null").select(run_digest().alias("root")).first()
     many = last is not None
     root = last[0] if many else (subroots.select("subroot").first() or [None])[0]
     top = {"up_tree": F.lit(TOP if many else None).cast("long"), "up": F.when(F.lit(many), F.expr(f"tree div {arity}")), "place": F.when(F.lit(many), F.expr(f"tree % {arity}").cast("int"))}
     runs = below.select("tree", "run", "children", "leaves", *[F.when(F.col("up").isNull(), v).otherwise(F.col("tree" if k == "up_tree" else k)).alias(k) for k, v in top.items()])
-    runs = materialise(runs.unionByName(above.select("tree", "run", "children", "leaves", F.when(F.col("up").isNotNull(), F.col("tree")).alias("up_tree"), "up", "place")))
+    runs = runs.unionByName(above.select("tree", "run", "children", "leaves", F.when(F.col("up").isNotNull(), F.col("tree")).alias("up_tree"), "up", "place"))
     copies = F.ceil(F.col("leaves") / FAN_IN).cast("long")
-    of_up = runs.select(F.col("tree").alias("_t"), F.col("run").alias("_r"), copies.alias("up_copies"))
+    of_up = bounded(runs.where(F.col("leaves") > FAN_IN).select(F.col("tree").alias("_t"), F.col("run").alias("_r"), copies.alias("up_copies")))  # a row per some thousand leaves
     runs = runs.withColumn("copies", copies).join(of_up, (F.col("up_tree") == F.col("_t")) & (F.col("up") == F.col("_r")), "left").drop("_t", "_r", "leaves")
-    runs = materialise(runs.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))))
+    runs = materialise(packed(runs.withColumn("up_copies", F.coalesce("up_copies", F.lit(1).cast("long"))).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))), total // arity))
     own = F.col("_n") > 1
     own_up = {"up_tree": F.col("tree"), "up": F.expr(f"_pos div {arity}"), "place": F.expr(f"_pos % {arity}").cast("int")}
     leaves = leaves.select(F.col("_key").alias(key), "leaf", "tampered", "tree", *[F.when(own, v).otherwise(top[k]).alias(k) for k, v in own_up.items()])
-    leaves = leaves.join(bounded(subroots.select("tree", "subroot")), "tree").drop("tree").withColumn("root", F.lit(root).cast("string"))
-    return {"leaves": materialise(leaves.withColumn("row", F.monotonically_increasing_id())), "runs": runs}
+    leaves = leaves.join(bounded(subroots.select("tree", "subroot"), many_sources), "tree").drop("tree").withColumn("root", F.lit(root).cast("string"))
+    return {"leaves": materialise(leaves).withColumn("row", F.monotonically_increasing_id()), "runs": runs}
 
 
 #: The climb. A row: the leaf's number, the run and place its digest stands in, the digest folded so far, and the path.
@@ -125,7 +142,7 @@ WITH RECURSIVE climb AS (
   SELECT row, up_tree, up, place, 0L AS copy, {digest} AS folded,
     cast(array() AS array<struct<tree: bigint, run: bigint, place: int, copies: bigint>>) AS path FROM {{leaves}}
   UNION ALL
-  SELECT c.row, r.up_tree, r.up, r.place, pmod(c.row, coalesce(r.up_copies, 1L)),
+  SELECT c.row, r.up_tree, r.up, r.place, pmod(c.row, r.up_copies),
     sha2(concat_ws('', transform(r.children, (x, i) -> if(i = c.place, c.folded, x))), 256),
     array_append(c.path, named_struct('tree', r.tree, 'run', r.run, 'place', c.place, 'copies', r.copies))
   FROM climb c JOIN {{runs}} r ON c.up_tree = r.tree AND c.up = r.run AND c.copy = r.copy)
