@@ -27,6 +27,8 @@ from .tokens import UNKNOWN, BatchEncoder, byte_classes, piece_starts
 
 #: Bytes of a chunk, and of the overlap of two chunks.
 CHUNK, OVERLAP = 1 << 14, 1 << 9
+#: Pieces that a worker remembers; they and the vocabulary take some 200 MB.
+ENTRIES = 500_000
 #: A boundary is certain where so many bytes of the chunk follow it: the scan has then seen all it looks at.
 SEEN = 8
 
@@ -162,16 +164,17 @@ def _pack(ids: np.ndarray) -> bytes:
     return ids.astype("<u4").tobytes()
 
 
-def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, entries: int = 1_000_000) -> DataFrame:
+def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, entries: int = ENTRIES, decode: bool = False) -> DataFrame:
     """`docs` without its text, with `n_tokens` and `ids` (binary: little-endian unsigned 32-bit integers).
 
     `path` names the file of ranks, which every worker must be able to read; `entries` bounds the pieces that a
-    worker remembers. `chunk` must be over twice `overlap`, so that the overlaps of a chunk are apart.
+    worker remembers. `chunk` must be over twice `overlap`, so that the overlaps of a chunk are apart. With
+    `decode`, the result is that of `bpe_decode` of it, with one Python worker a task instead of two.
     """
     if not chunk > 2 * overlap > 4 * SEEN:
         raise ValueError("chunk must be over twice overlap, and overlap over twice what a scan sees")
     small_arrow_batches(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in {text, "ids", "n_tokens"}]
+    kept = [c for c in docs.columns if c not in {text, "ids", "n_tokens", "decoded"}]
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(*kept, whole.alias("_text"))
     is_long = F.octet_length("_text") > chunk
@@ -183,7 +186,9 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", chu
             for a, b in chunks(offsets, 4 * CHUNK_BYTES):
                 ids = list(encoder.rows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
                 own = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*own.columns[: len(kept)], pa.array([len(x) for x in ids], pa.int64()), pa.array(map(_pack, ids), pa.binary())], names=[*kept, "n_tokens", "ids"])
+                columns = [*own.columns[: len(kept)], pa.array([len(x) for x in ids], pa.int64()), pa.array(map(_pack, ids), pa.binary())]
+                columns += [pa.array([encoder.decoded(x).tobytes() for x in ids], pa.binary())] if decode else []
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, "n_tokens", "ids", *["decoded"] * decode])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,15 +223,16 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", chu
 
     out = ", ".join(["n_tokens bigint", "ids binary"])
     schema = rows.drop("_text").schema.add("n_tokens", "long").add("ids", "binary")
-    short = rows.where(~is_long).mapInArrow(encode, schema)
+    short = rows.where(~is_long).mapInArrow(encode, schema.add("decoded", "binary") if decode else schema)
     long = rows.where(is_long).withColumn("_key", F.sha2("_text", 256))
     distinct = rows.where(is_long).select("_text").distinct().select(F.sha2("_text", 256).alias("_key"), "_text")
     parts = distinct.mapInArrow(cut, "_key string, _begin bigint, _part binary").repartition("_key", "_begin")
     found = parts.mapInArrow(pre_tokenise, "_key string, _begin bigint, _part binary, _marks binary").groupBy("_key").applyInArrow(stitch, f"_key string, {out}")
-    return short.unionByName(long.drop("_text").join(found, "_key").drop("_key"))
+    stitched_ = long.drop("_text").join(found, "_key").drop("_key")
+    return short.unionByName(bpe_decode(stitched_, path, pattern, entries=entries) if decode else stitched_)
 
 
-def bpe_decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", entries: int = 1_000_000) -> DataFrame:
+def bpe_decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", entries: int = ENTRIES) -> DataFrame:
     """`encoded` with `decoded` (binary), the bytes of its ids; null ids decode to no bytes."""
     small_arrow_batches(encoded.sparkSession)
     kept = [c for c in encoded.columns if c != "decoded"]
@@ -249,6 +255,5 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
-    decoded = bpe_decode(encoded, path, pattern)
+    decoded = bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern, decode=True)
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

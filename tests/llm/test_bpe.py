@@ -64,6 +64,7 @@ def test_ids_are_those_of_the_whole_encoder_and_decode_to_the_bytes(spark, whole
     for sizes in ({}, {"chunk": 500, "overlap": 64}):
         encoded = bpe_encode(docs, PATH, P.PATTERN, **sizes)
         found = bpe_decode(encoded, PATH, P.PATTERN).collect()
+        assert sorted(map(str, bpe_encode(docs, PATH, P.PATTERN, decode=True, **sizes).collect())) == sorted(map(str, found))
         assert len(found) == len(rows) + 1 and set(encoded.columns) == {"doc_id", "n_tokens", "ids"}
         for r in found:
             text = texts[r.doc_id] or ""
