@@ -2,20 +2,23 @@
 
 1. Each page is parsed (a tolerant stack over tags, in time that grows with the page alone) and every
    element gets two hashes: one of its subtree's content (tag, attributes that matter, children and
-   text) and one of its slot (the tags and names, without numbers, from the body down to it). A main
-   region (article, main) and what holds one are no candidates for a template.
+   text) and one of its shape with the text masked (tags and names without numbers, of its subtree and
+   from the body down to it; children of one shape in a row count once). A main region (article, main)
+   and what holds one are no candidates for a template.
 2. Spark counts the hashes per host, and a page counts once. Two things make a template:
    - content that recurs: the same subtree on `MIN_PAGES` pages or more and on `SHARE` or more of the
      host's pages. Inside a main region it counts once per distinct region, so that copies of an
      article count once and their paragraphs are no template, while a box that recurs in different
      articles is one.
-   - a slot that recurs: what stands beside the main regions (the largest subtrees without one, and
-     without an h1) in the same slot on as many of the host's pages that have a region, whatever its
-     words, where it holds less than `SLOT_SHARE` of the text that the regions of these pages hold.
+   - a shape that recurs: what stands beside the main regions (the largest subtrees without one, and
+     without an h1) in the same shape on as many of the host's pages that have a region, though its words
+     change, if it holds less than `SLOT_SHARE` of the text that the regions of these pages hold, and
+     either `LINKED` of its own text is links (a menu) or it has at most `VARIANTS` texts per page (boxes
+     that take turns). Text that is each page's own stays, wherever it stands.
    Counts are summed before they are shuffled, so a host with a third of all pages is no hot key.
 3. The page is parsed again; template subtrees are deleted along with what markup itself names as
-   no part of the article (navigation, adverts, forms, comments ...). All other blocks stay, inside
-   and outside main regions. A class, id or role is a hint only as a whole name (`sidebar`, not
+   no part of the article (navigation, adverts, forms, comments ...), inline elements too. All other text
+   stays, inside and outside main regions. A class, id or role is a hint only as a whole name (`sidebar`, not
    `no-sidebar`). Hints say nothing on html, body, main and article, nor on what holds a `main`, or
    holds an `article` on a page where all main regions stand below hints.
 
@@ -41,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, small_batches, table
 
-MIN_PAGES, SHARE, SLOT_SHARE = 5, 0.3, 0.25
+MIN_PAGES, SHARE, SLOT_SHARE, LINKED, VARIANTS = 5, 0.3, 0.25, 0.5, 0.5
 BROADCAST_ROWS = 500_000
 
 #: Elements without content, with raw content, and those that never hold article text.
@@ -72,17 +75,20 @@ _DIGITS = re.compile(r"[0-9]+")
 
 
 class Element:
-    """An open element: its number and tag, whether it or what it stands in is chrome by its tag or a main region, the innermost region, and the hashes of its content and slot."""
+    """An open element: its number and tag, whether it or what it stands in is chrome by its tag or a main region, the innermost region, the element that its text is filed under, and the hashes of its content, place and shape."""
 
-    __slots__ = ("chrome", "hash", "main", "number", "region", "slot", "some", "tag")
+    __slots__ = ("chrome", "hash", "last", "main", "number", "owner", "region", "shape", "slot", "some", "tag")
 
-    def __init__(self, tag: str, chrome: bool, region: bool, number: int, names: str, parent: Element | None):
+    def __init__(self, tag: str, chrome: bool, region: bool, number: int, names: str, parent: Element | None, own: bool):
         self.tag, self.number, self.some = tag, number, False
         self.chrome = chrome or parent is not None and parent.chrome
         self.main = not self.chrome and (region or parent is not None and parent.main)
         self.region = number if region and self.main else parent.region if parent is not None else -1
         self.hash = xxhash.xxh64(f"{tag}|{names}")
-        self.slot = xxhash.xxh64_intdigest(f"{tag}|{_DIGITS.sub('', names)}", parent.slot if parent is not None else 0)
+        self.owner = number if own or parent is None else parent.owner
+        plain = f"{tag}|{_DIGITS.sub('', names)}"
+        self.slot = xxhash.xxh64_intdigest(plain, parent.slot if parent is not None else 0)
+        self.shape, self.last = xxhash.xxh64(plain), 0
 
 
 def _named(attributes: str) -> tuple[str, bool]:
@@ -100,16 +106,17 @@ def _named(attributes: str) -> tuple[str, bool]:
 class Page:
     """A parsed page.
 
-    `blocks` are (text, number of the element it stands in, -1 for none). Elements are numbered in the
+    `blocks` are lists of (text, number of the element it is filed under, -1 for none): the innermost block, or an
+    inline element within it that may be hidden. Elements are numbered in the
     order they begin, so a parent comes before its children; of each there are the parent, whether it is
     chrome by its tag (or stands in such) and hinted, the innermost main region, -1 outside, whether it
-    holds a region or an h1, its characters, and two hashes. `content` is 0 for main regions and what
+    holds a region or an h1, its characters and those of links, and two hashes. `content` is 0 for main regions and what
     holds them, inline elements, empty ones, and the page's own outer elements; `slot` is 0 where it has
     none. `whole` has the content hash of each region.
     """
 
     def __init__(self, page: str):
-        self.blocks: list[tuple[str, int]] = []
+        self.blocks: list[list[tuple[str, int]]] = []
         self.tags: list[str] = []
         self.parents: list[int] = []
         self.chrome: list[bool] = []
@@ -118,6 +125,8 @@ class Page:
         self.holds: list[bool] = []
         self.titled: list[bool] = []
         self.chars: list[int] = []
+        self.links: list[int] = []
+        self.values: list[int] = []
         self.content: list[int] = []
         self.slots: list[int] = []
         self.whole: dict[int, int] = {}
@@ -128,16 +137,18 @@ class Page:
         stack: list[Element] = []
         open_tags: dict[str, int] = {}
         open_blocks: list[int] = []  # their places in the stack
-        buffer: list[str] = []
+        buffer: list[tuple[str, int]] = []
 
         def end_block() -> None:
-            if buffer:
-                text = " ".join("".join(buffer).split())
-                buffer.clear()
-                if text:
-                    self.blocks.append((text, stack[-1].number if stack else -1))
-                    if stack:
-                        self.chars[stack[-1].number] += len(text)
+            if any(not t.isspace() for t, _ in buffer):
+                self.blocks.append(buffer[:])
+            buffer.clear()
+
+        def add(piece: str) -> None:
+            owner = stack[-1].owner if stack else -1
+            if buffer and buffer[-1][1] == owner:
+                piece = buffer.pop()[0] + piece
+            buffer.append((piece, owner))
 
         def close(to: int) -> None:
             while len(stack) > to:
@@ -151,7 +162,13 @@ class Page:
                     self.holds[up] |= root or self.holds[k]
                     self.titled[up] |= self.titled[k]
                     self.chars[up] += self.chars[k]
-                value = e.hash.intdigest() >> 1
+                    self.links[up] += self.links[k]
+                value, shape = e.hash.intdigest() >> 1, e.shape.intdigest()
+                self.values[k] = value
+                self.slots[k] = xxhash.xxh64_intdigest(shape.to_bytes(8, "little"), e.slot) >> 1
+                if stack and shape != stack[-1].last:
+                    stack[-1].last = shape
+                    stack[-1].shape.update(shape.to_bytes(8, "little"))
                 if e.some:
                     if root:
                         self.whole[k] = value
@@ -165,10 +182,13 @@ class Page:
             if piece:
                 if "&" in piece:
                     piece = entities.unescape(piece)
-                buffer.append(piece)
+                add(piece)
                 if stack and (plain := piece.strip()):
                     stack[-1].hash.update(plain)
                     stack[-1].some = True
+                    self.chars[stack[-1].number] += len(plain)
+                    if open_tags.get("a"):
+                        self.links[stack[-1].number] += len(plain)
 
         position, last = 0, page.rfind(">") + 1  # no tag ends beyond
         while m := _TOKEN.search(page, position, last):
@@ -193,7 +213,7 @@ class Page:
             if tag in BLOCK:
                 end_block()
             if tag == "br":
-                buffer.append(" ")
+                add(" ")
             while stack and tag in _CLOSES.get(stack[-1].tag, ()):
                 close(len(stack) - 1)
             # an inline element left open inside a paragraph closes with it
@@ -210,12 +230,13 @@ class Page:
                 continue
             if m[3].endswith("/") and tag not in BLOCK:
                 continue
-            e = Element(tag, chrome, tag in _REGION, len(self.tags), names, parent)
+            hinted = hinted and tag not in _UNHINTED
+            e = Element(tag, chrome, tag in _REGION, len(self.tags), names, parent, tag in BLOCK or tag in CHROME or hinted)
             if tag in BLOCK:
                 open_blocks.append(len(stack))
             stack.append(e)
             open_tags[tag] = open_tags.get(tag, 0) + 1
-            for values, value in ((self.tags, tag), (self.parents, parent.number if parent is not None else -1), (self.chrome, e.chrome), (self.hinted, hinted and tag not in _UNHINTED), (self.regions, e.region), (self.holds, False), (self.titled, tag == "h1"), (self.chars, 0), (self.content, 0), (self.slots, e.slot >> 1)):
+            for values, value in ((self.tags, tag), (self.parents, parent.number if parent is not None else -1), (self.chrome, e.chrome), (self.hinted, hinted), (self.regions, e.region), (self.holds, False), (self.titled, tag == "h1"), (self.chars, 0), (self.links, 0), (self.values, 0), (self.content, 0), (self.slots, 0)):
                 values.append(value)
         text(page[position:])
         end_block()
@@ -269,14 +290,15 @@ def _contents(p: Page) -> dict[int, int]:
     return found
 
 
-def _slots(p: Page) -> dict[int, int]:
-    """The characters of each slot of a page with regions; the key 0 stands for all its regions."""
+def _slots(p: Page) -> dict[int, tuple[int, int, int]]:
+    """The text (its hash), characters and characters of links of each shape of a page with regions; the key 0 stands for all its regions."""
     if not p.whole:
         return {}
-    found = {0: sum(p.chars[k] for k in p.whole if p.parents[k] < 0 or p.regions[p.parents[k]] < 0)}
-    for h, n in zip(p.slots, p.chars, strict=True):
+    found = {0: (0, sum(p.chars[k] for k in p.whole if p.parents[k] < 0 or p.regions[p.parents[k]] < 0), 0)}
+    for h, value, n, linked in zip(p.slots, p.values, p.chars, p.links, strict=True):
         if h:
-            found[h] = found.get(h, 0) + n
+            before = found.get(h, (0, 0, 0))
+            found[h] = (before[0] ^ value, before[1] + n, before[2] + linked)
     return found
 
 
@@ -284,28 +306,27 @@ def main_text(page: str, templates: frozenset[int] | set[int] = frozenset()) ->
     """The blocks that are in no chrome and no template."""
     p = Page(page)
     hidden = p.hidden(templates)
-    return "\n".join(text for text, k in p.blocks if k < 0 or not hidden[k])
+    shown = (" ".join("".join(t for t, k in block if k < 0 or not hidden[k]).split()) for block in p.blocks)
+    return "\n".join(text for text in shown if text)
 
 
 def page_subtrees(pages: DataFrame, html_col: str) -> DataFrame:
-    """(host, subtrees, slots): the contents of each page and what they are counted by, and the characters of its slots, with those of its regions."""
-    pair = lambda *names: pa.struct([(c, pa.int64()) for c in names])
+    """(host, subtrees, slots): the contents of each page and what they are counted by, and its shapes with their text, its characters, those of links and those of the page's regions."""
 
-    def column(rows: list[dict[int, int]], names: tuple[str, ...], more: list[int] | None = None) -> pa.Array:
+    def column(rows: list[list[tuple[int, ...]]], names: tuple[str, ...]) -> pa.Array:
         ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-        flat = [pa.array(np.fromiter((x for r in rows for x in part(r)), np.int64, ends[-1])) for part in (dict.keys, dict.values)]
-        if more is not None:
-            flat.append(pa.array(np.repeat(np.array(more, np.int64), np.diff(ends))))
-        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(flat, fields=list(pair(*names))))
+        flat = np.array([x for r in rows for x in r], np.int64).reshape(-1, len(names))
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(c) for c in flat.T], fields=[pa.field(c, pa.int64()) for c in names]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in small_batches(big, "html"):
                 parsed = [Page(c.as_py() or "") for c in batch.column(1)]
                 slots = [_slots(p) for p in parsed]
-                yield pa.RecordBatch.from_arrays([batch.column(0), column([_contents(p) for p in parsed], ("hash", "by")), column(slots, ("slot", "chars", "main"), [x.get(0, 0) for x in slots])], ["host", "subtrees", "slots"])
+                shapes = [[(h, *v, found[0][1]) for h, v in found.items()] for found in slots]
+                yield pa.RecordBatch.from_arrays([batch.column(0), column([list(_contents(p).items()) for p in parsed], ("hash", "by")), column(shapes, ("slot", "by", "chars", "links", "main"))], ["host", "subtrees", "slots"])
 
-    return pages.select("host", F.col(html_col).alias("html")).mapInArrow(run, "host string, subtrees array<struct<hash:long,by:long>>, slots array<struct<slot:long,chars:long,main:long>>")
+    return pages.select("host", F.col(html_col).alias("html")).mapInArrow(run, "host string, subtrees array<struct<hash:long,by:long>>, slots array<struct<slot:long,by:long,chars:long,links:long,main:long>>")
 
 
 def host_of(url):
@@ -325,23 +346,25 @@ def recurring_content(rows: DataFrame, min_pages: int, share: float) -> DataFram
 
 
 def recurring_slots(rows: DataFrame, min_pages: int, share: float, slot_share: float) -> DataFrame:
-    """(host, hash) of slots that recur and hold little text against the regions; `rows` are (host, hash, pages, chars, main)."""
-    sizes = rows.where("hash = 0").select("host", F.col("pages").alias("all_pages"))
-    often = rows.where((F.col("hash") != 0) & (F.col("pages") >= min_pages)).join(sizes, "host")
-    return often.where((F.col("pages") >= share * F.col("all_pages")) & (F.col("chars") < slot_share * F.col("main"))).select("host", "hash")
+    """(host, hash) of shapes that recur, hold little text against the regions, and are links or few texts; `rows` are (host, hash, by, pages, chars, links, main), `by` their text."""
+    shapes = rows.groupBy("host", "hash").agg(*[F.sum(c).alias(c) for c in ("pages", "chars", "links", "main")], F.count("*").alias("texts"))
+    sizes = shapes.where("hash = 0").select("host", F.col("pages").alias("all_pages"))
+    often = shapes.where((F.col("hash") != 0) & (F.col("pages") >= min_pages)).join(sizes, "host")
+    common = (F.col("links") >= LINKED * F.col("chars")) | (F.col("texts") <= VARIANTS * F.col("pages"))
+    return often.where((F.col("pages") >= share * F.col("all_pages")) & (F.col("chars") < slot_share * F.col("main")) & common).select("host", "hash")
 
 
 def site_templates(pages: DataFrame, html_col: str, min_pages: int = MIN_PAGES, share: float = SHARE, slot_share: float = SLOT_SHARE) -> DataFrame:
-    """(host, templates): the content and slot hashes that recur on each host; `pages` has the column `host`."""
+    """(host, templates): the content and shape hashes that recur on each host; `pages` has the column `host`."""
     parsed = page_subtrees(pages.where("host is not null"), html_col)
-    # one pass over the pages: rows of contents have no slot, rows of slots no `by`
+    # one pass over the pages: rows of contents have no characters
     none = F.lit(None).cast("long")
-    contents = F.transform("subtrees", lambda x: F.struct(x["hash"].alias("hash"), x["by"].alias("by"), none.alias("chars"), none.alias("main")))
-    slots = F.transform("slots", lambda x: F.struct(x["slot"].alias("hash"), none.alias("by"), x["chars"].alias("chars"), x["main"].alias("main")))
-    rows = parsed.select("host", F.inline(F.concat(contents, slots)))
-    # summed per page set before anything is shuffled: a content by its region, a slot with its characters
-    counted = materialise(rows.groupBy("host", "hash", "by").agg(F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.sum("main").alias("main")))
-    found = recurring_content(counted.where("by is not null"), min_pages, share).unionByName(recurring_slots(counted.where("by is null"), min_pages, share, slot_share))
+    contents = F.transform("subtrees", lambda x: F.struct(x["hash"].alias("hash"), x["by"].alias("by"), none.alias("chars"), none.alias("links"), none.alias("main")))
+    slots = F.transform("slots", lambda x: F.struct(x["slot"].alias("hash"), x["by"].alias("by"), x["chars"].alias("chars"), x["links"].alias("links"), x["main"].alias("main")))
+    rows = parsed.select("host", F.inline(F.concat(contents, slots))).withColumn("is_shape", F.col("chars").isNotNull())
+    # summed per page set before anything is shuffled: a content by its region, a shape by its text
+    counted = materialise(rows.groupBy("host", "is_shape", "hash", "by").agg(F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.sum("main").alias("main")))
+    found = recurring_content(counted.where("not is_shape"), min_pages, share).unionByName(recurring_slots(counted.where("is_shape"), min_pages, share, slot_share))
     return found.groupBy("host").agg(F.collect_set("hash").alias("templates"))
 
 

@@ -204,12 +204,53 @@ def test_templates_match_brute_force(spark):
     assert uncounted != expected and any(template("h0.example", f) for f in {x for _, _, t in pages for x in subtrees(t)})
 
 
-def test_slots_beside_the_article_go_by_their_count(spark):
-    page = '<body><div id="top-{0}"><p>Latest number {0}</p></div><h2 class="x{0}">Only here {0}</h2><article><p>' + "Story number {0} " * 9 + '</p></article><div class="x"><h1>Title {0}</h1></div></body>'
+def test_inline_chrome_goes_and_the_text_around_it_stays():
+    for mark in ("<button>Share now</button>", "<select><option>One</option></select>", "<label>Name</label>", "<svg><text>Icon</text></svg>", '<span class="ad">Buy</span>', '<span class="cookie-banner">Cookies</span>', '<a class="nav" href="/">Home</a>', '<b><i class="share">Share</i></b>', "<i hidden>no</i>"):
+        assert html.main_text(f"<p>Text {mark}</p>") == "Text" and html.main_text(f"<p>Some {mark} text <b>here</b></p><p>More</p>") == "Some text here\nMore", mark
+    assert html.main_text('<p>A <span class="lead">lead</span> and a <a href="/x">link</a>.</p>') == "A lead and a link."
+
+
+def test_shapes_beside_the_article(spark):
     story = lambda i: " ".join([f"Story number {i}"] * 9)
-    # whatever the words, what stands in the same slot of all pages goes; a title stays
-    assert site(spark, page) == {i: f"{story(i)}\nTitle {i}" for i in range(8)}
-    assert site(spark, page, n=4) == {i: f"Latest number {i}\nOnly here {i}\n{story(i)}\nTitle {i}" for i in range(4)}
+    article = "<article><p>" + "Story number {0} " * 9 + "</p></article>"
+    # text of each page's own stays wherever it stands
+    lede = '<body><div class="lede"><p>Unique summary number {0} of this page</p></div><h2 class="x{0}">Only here {0}</h2>' + article + "</body>"
+    assert site(spark, lede) == {i: f"Unique summary number {i} of this page\nOnly here {i}\n{story(i)}" for i in range(8)}
+    # a menu goes though its entries change and differ in number, as do boxes that take turns
+    rows = []
+    for i in range(12):
+        menu = "".join(f'<li><a href="/{i}/{j}">Entry {i} {j}</a></li>' for j in range(2 + i % 3))
+        rows.append((i, f"http://a.example/{i}", f'<body><div><ul>{menu}</ul></div><div class="box"><p>Turn {i % 3}</p></div>{article.format(i)}<div><h1>Title {i}</h1></div></body>'))
+    got = {r.page_id: r.text for r in html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"{story(i)}\nTitle {i}" for i in range(12)}
+    few = {r.page_id: r.text for r in html.extract_main_text(spark.createDataFrame(rows[:4], "page_id long, url string, html string")).collect()}
+    assert few[1].startswith("Entry 1 0\n")
     # the longer text beside a small region is no template
-    teaser = '<body><div class="content"><p>' + "The long story {0} " * 9 + "</p></div><article><p>Read {0} too</p></article></body>"
+    teaser = '<body><div class="content"><p><a href="/">' + "The long story {0} " * 9 + "</a></p></div><article><p>Read {0} too</p></article></body>"
     assert site(spark, teaser) == {i: " ".join([f"The long story {i}"] * 9) + f"\nRead {i} too" for i in range(8)}
+
+
+def test_shapes_match_brute_force(spark):
+    """Boxes of random classes, links and words beside articles; counted by their written shape."""
+    rng = np.random.default_rng(5)
+    kinds = [("div", f"k{'abcdef'[k]}", bool(k % 2), 1 + 2 * (k % 3)) for k in range(6)]
+    rows, boxes = [], {}
+    for i in range(40):
+        own = [(kind, f"word{rng.integers(kind[3]) if rng.random() < 0.8 else i} end") for kind in kinds if rng.random() < 0.6]
+        boxes[i] = own
+        made = "".join(f'<{t} class="{c}"><p>{f"<a>{w}</a>" if linked else w}</p></{t}>' for (t, c, linked, _), w in own)
+        rows.append((i, f"http://h{i % 2}.example/{i}", f"<body>{made}<article><p>{f'story {i} ' * 60}</p></article></body>"))
+    gone = set()
+    for host in (0, 1):
+        pages = [i for i in boxes if i % 2 == host]
+        for kind in kinds:
+            texts = [w for i in pages for k, w in boxes[i] if k == kind]
+            if len(texts) >= html.MIN_PAGES and len(texts) >= html.SHARE * len(pages) and (kind[2] or len(set(texts)) <= html.VARIANTS * len(texts)):
+                gone.add((host, kind))
+        # a paragraph alone is content too, whatever box it stands in
+        seen = Counter(x for i in pages for x in {(k[2], w) for k, w in boxes[i]})
+        gone |= {(host, *x) for x, n in seen.items() if n >= html.MIN_PAGES and n >= html.SHARE * len(pages)}
+    expected = {i: "\n".join([*(w for k, w in boxes[i] if (i % 2, k) not in gone and (i % 2, k[2], w) not in gone), " ".join([f"story {i}"] * 60)]) for i in boxes}
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html.extract_main_text(docs).collect()} == expected
+    assert 0 < len(gone) and any("word" in t for t in expected.values())
