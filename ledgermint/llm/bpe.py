@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, chunks, small_arrow_batches, table, utf8
@@ -164,12 +164,15 @@ def _pack(ids: np.ndarray) -> bytes:
     return ids.astype("<u4").tobytes()
 
 
-def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, entries: int = ENTRIES, decode: bool = False) -> DataFrame:
+def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, entries: int = ENTRIES, decode: bool = False, derive: dict[str, Column] | None = None) -> DataFrame:
     """`docs` without its text, with `n_tokens` and `ids` (binary: little-endian unsigned 32-bit integers).
 
     `path` names the file of ranks, which every worker must be able to read; `entries` bounds the pieces that a
     worker remembers. `chunk` must be over twice `overlap`, so that the overlaps of a chunk are apart. With
     `decode`, the result is that of `bpe_decode` of it, with one Python worker a task instead of two.
+
+    `derive` gives columns that are made of `n_tokens`, `ids` and `decoded` and stand for the last two: what is derived
+    from a long text, once for all its copies, is then all that is joined to its rows.
     """
     if not chunk > 2 * overlap > 4 * SEEN:
         raise ValueError("chunk must be over twice overlap, and overlap over twice what a scan sees")
@@ -219,17 +222,21 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", chu
                 yield begin, data, np.flatnonzero(np.unpackbits(np.frombuffer(marks, np.uint8))[: len(data)])
 
         ids = encoder.pieces(*stitched(parts(), encoder.starts))
-        return pa.table({"_key": [group["_key"][0].as_py()], "n_tokens": pa.array([len(ids)], pa.int64()), "ids": pa.array([_pack(ids)], pa.binary())})
-
-    out = ", ".join(["n_tokens bigint", "ids binary"])
-    schema = rows.drop("_text").schema.add("n_tokens", "long").add("ids", "binary")
-    short = rows.where(~is_long).mapInArrow(encode, schema.add("decoded", "binary") if decode else schema)
+        columns = {"_key": [group["_key"][0].as_py()], "n_tokens": pa.array([len(ids)], pa.int64()), "ids": pa.array([_pack(ids)], pa.binary())}
+        return pa.table(columns | ({"decoded": pa.array([encoder.decoded(ids).tobytes()], pa.binary())} if decode else {}))
+
+    made = [("n_tokens", "long"), ("ids", "binary"), *[("decoded", "binary")] * decode]
+    out = ", ".join(f"{c} {kind}" for c, kind in made)
+    schema = rows.drop("_text").schema
+    for c, kind in made:
+        schema = schema.add(c, kind)
+    derived = [c.alias(name) for name, c in derive.items()] if derive else [c for c, _ in made[1:]]
+    short = rows.where(~is_long).mapInArrow(encode, schema).select(*kept, "n_tokens", *derived)
     long = rows.where(is_long).withColumn("_key", F.sha2("_text", 256))
     distinct = rows.where(is_long).select("_text").distinct().select(F.sha2("_text", 256).alias("_key"), "_text")
     parts = distinct.mapInArrow(cut, "_key string, _begin bigint, _part binary").repartition("_key", "_begin")
     found = parts.mapInArrow(pre_tokenise, "_key string, _begin bigint, _part binary, _marks binary").groupBy("_key").applyInArrow(stitch, f"_key string, {out}")
-    stitched_ = long.drop("_text").join(found, "_key").drop("_key")
-    return short.unionByName(bpe_decode(stitched_, path, pattern, entries=entries) if decode else stitched_)
+    return short.unionByName(long.drop("_text").join(found.select("_key", "n_tokens", *derived), "_key").drop("_key"))
 
 
 def bpe_decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", entries: int = ENTRIES) -> DataFrame:
@@ -255,5 +262,5 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    decoded = bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern, decode=True)
-    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    digests = {f"{c}_sha256": F.sha2(c, 256) for c in ("ids", "decoded")}
+    return bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern, decode=True, derive=digests)

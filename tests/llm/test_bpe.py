@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from ledgermint.llm.bpe import RankEncoder, bpe_decode, bpe_encode, cut_chunks, stitched
 
@@ -72,6 +73,17 @@ def test_ids_are_those_of_the_whole_encoder_and_decode_to_the_bytes(spark, whole
             assert ids == whole.encode_ordinary(text) and len(ids) == r.n_tokens and bytes(r.decoded) == text.encode()
 
 
+def test_derived_columns_stand_for_ids_and_bytes(spark, whole):
+    long = "long text of words " * 100
+    docs = spark.createDataFrame([(1, long), (2, long), (3, "short"), (4, None)], "doc_id long, text string")
+    got = bpe_encode(docs, PATH, P.PATTERN, chunk=500, overlap=64, decode=True, derive={"bytes": F.length("decoded"), "first": F.hex(F.substring("ids", 1, 4))})
+    assert got.columns == ["doc_id", "n_tokens", "bytes", "first"]
+    for r in got.collect():
+        text = {1: long, 2: long, 3: "short", 4: ""}[r.doc_id]
+        ids = whole.encode_ordinary(text)
+        assert (r.n_tokens, r.bytes) == (len(ids), len(text)) and (r.first == np.array(ids[:1], "<u4").tobytes().hex().upper())
+
+
 def test_an_empty_table_gives_an_empty_result_and_chunks_need_apart_overlaps(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bpe_decode(bpe_encode(docs, PATH, P.PATTERN), PATH, P.PATTERN).count() == 0
