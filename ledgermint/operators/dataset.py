@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -41,14 +42,26 @@ def label_variants(categories: DataFrame) -> DataFrame:
 
 
 def merge_corrections(base: DataFrame, corrections: DataFrame, text: str = "text", pos: str = "pos", at: str = "pos") -> DataFrame:
-    """`base` (text, label, pos, amount) corrected: per lower-cased text the last correction (text, label, pos, amount) fixes the first row; unmatched ones are appended with their first correction's amount."""
-    key = F.lower(F.trim(F.col(text)))
-    c = corrections.withColumn("_k", key).groupBy("_k").agg(F.max_by("label", at).alias("_label"), F.min_by(F.struct(text, "amount"), at).alias("_first"))
+    """`base` (text, label, pos, ...) corrected, with `corrected`: per lower-cased text the last correction (text, label, pos, ...) fixes the first row.
+
+    All columns of `base` but `pos` stay. A corrected row takes the label (also as `category`, where there is one) and
+    the subcategory of the last correction, if that has one. Texts that `base` lacks are appended with the label
+    and subcategory of their last correction and the text, amount and date of their first.
+    """
+    key, given = F.lower(F.trim(F.col(text))), set(corrections.columns)
+    firsts_of = [c for c in (text, "amount", "date") if c in given]
+    sub = F.nullif(F.col("subcategory"), F.lit("")) if "subcategory" in given else F.lit(None).cast("string")
+    keyed = corrections.withColumn("_k", key).withColumn("_s", sub)
+    c = keyed.groupBy("_k").agg(F.max_by(F.struct("label", "_s"), at).alias("_last"), F.min_by(F.struct(*firsts_of), at).alias("_first"))
     firsts = base.withColumn("_k", key).groupBy("_k").agg(F.min(pos).alias("_pos"))
-    fix = firsts.join(c, "_k").select(F.col("_k").alias("_fk"), "_pos", "_label")
+    fix = firsts.join(c, "_k").select(F.col("_k").alias("_fk"), "_pos", "_last")
     fixed = base.withColumn("_k", key).join(fix, (F.col("_k") == F.col("_fk")) & (F.col(pos) == F.col("_pos")), "left")
-    fixed = fixed.select(text, F.coalesce("_label", "label").alias("label"), "amount", F.col("_label").isNotNull().alias("corrected"))
-    new = c.join(firsts, "_k", "left_anti").select(F.col(f"_first.{text}").alias(text), F.col("_label").alias("label"), F.col("_first.amount").alias("amount"), F.lit(True).alias("corrected"))
+    taken = {"label": "_last.label", "category": "_last.label", "subcategory": "_last._s"}
+    columns = [n for n in base.columns if n != pos]
+    fixed = fixed.select(*[F.coalesce(taken[n], n).alias(n) if n in taken else F.col(n) for n in columns], F.col("_last").isNotNull().alias("corrected"))
+    kinds = dict(base.dtypes)
+    made = {n: F.col(f"_first.{n}") for n in firsts_of} | {n: F.col(v) for n, v in taken.items()}
+    new = c.join(firsts, "_k", "left_anti").select(*[made.get(n, F.lit(None)).cast(kinds[n]).alias(n) for n in columns], F.lit(True).alias("corrected"))
     return fixed.unionByName(new)
 
 
@@ -57,6 +70,18 @@ def replace_weak(base: DataFrame, improved: DataFrame, weak: list[str], label: s
     return base.where(~F.col(label).isin(*weak)).unionByName(improved, allowMissingColumns=True)
 
 
+def existing(spark: SparkSession, *paths: str, kind: str = "parquet") -> list[DataFrame]:
+    """The sources that are there, in order; missing ones are skipped, other errors are not."""
+    found = []
+    for path in paths:
+        try:
+            found.append(spark.read.format(kind).load(path))
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return found
+
+
 def union_sources(*sources: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
 

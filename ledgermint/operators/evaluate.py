@@ -37,6 +37,24 @@ def summary(report: DataFrame, gate: float = 0.90) -> DataFrame:
     return r.agg(*macro, *weighted, F.round(1 - F.sum("incorrect") / n, 6).alias("accuracy"), F.sum((F.col("f1") == 1).cast("long")).alias("perfect"), (F.round(F.avg("f1"), 6) >= gate).alias("passes"))
 
 
+def joined(predictions: DataFrame, labels: DataFrame, key: str = "txn_key") -> DataFrame:
+    """Predictions with their true labels: one row per prediction whose `key` has a label; of a key that has several, the smallest label counts."""
+    true = labels.groupBy(key).agg(F.min("label").alias("label"))
+    return predictions.drop("label").join(true, key)
+
+
+def misclassified(report: DataFrame) -> DataFrame:
+    """(class, support, incorrect, accuracy) of true classes that have errors, the most errors first."""
+    rows = report.where("support > 0 and incorrect > 0")
+    return rows.select("class", "support", "incorrect", F.round(1 - F.col("incorrect") / F.col("support"), 6).alias("accuracy")).orderBy(F.desc("incorrect"), "class")
+
+
+def report_totals(report: DataFrame, near: float = 0.99) -> DataFrame:
+    """(classes, total_rows, total_errors, perfect, nearly_perfect): of true classes, those with an F1 of 1 and of `near` or more."""
+    r = report.where("support > 0")
+    return r.agg(F.count("*").alias("classes"), F.sum("support").alias("total_rows"), F.sum("incorrect").alias("total_errors"), F.count_if(F.col("f1") == 1).alias("perfect"), F.count_if(F.col("f1") >= near).alias("nearly_perfect"))
+
+
 def confusion_matrix(df: DataFrame, labels: list[str], true: str = "label", pred: str = "pred") -> DataFrame:
     """One row per true class, a column per label, zero filled."""
     return df.groupBy(F.col(true).alias("true")).pivot(pred, sorted(labels)).count().na.fill(0)

@@ -94,7 +94,7 @@ def uncertainty(confidence: Column, agreement: Column, methods: Column, method:
     return F.round(F.least(F.lit(1.0), (1 - confidence) + (1 - ratio) * 0.3 + by_method), 6)
 
 
-def review_queue(df: DataFrame, most: int = 50, least: float = 0.3, key: str = "txn_key", created: str | None = None, today: Column | None = None, max_age_days: int = 30) -> DataFrame:
+def review_queue(df: DataFrame, most: int = 50, least: float = 0.3, key: str = "txn_key", created: str | None = None, today: Column | None = None, max_age_days: int = 7) -> DataFrame:
     """Rows for review, the most uncertain first: of the `most` least confident ones those that are uncertain enough.
 
     With `created`, rows older than `max_age_days` before `today` are left out; with a column `reviewed`, those that were reviewed.

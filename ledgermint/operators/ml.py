@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, StringIndexer, Tokenizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import calibration
+from .boosting import BoostedModel, fit
+
 TEXT_DIMENSIONS = 384
 
 
@@ -30,8 +30,12 @@ def numeric_features(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in feature_columns(df)})
 
 
-def trained(df: DataFrame, label: str = "label", kind: str = "forest", weight: str | None = None, vector: str | None = None, seed: int = 7) -> PipelineModel:
-    """A fitted pipeline. `vector` names a given vector column; else text and features are assembled."""
+def trained(df: DataFrame, label: str = "label", kind: str = "forest", weight: str | None = None, vector: str | None = None, seed: int = 7, **settings) -> PipelineModel | BoostedModel:
+    """A fitted model. `vector` names a given vector column; else text and features are assembled. `kind`: forest, boosted or regression."""
+    if kind == "boosted":
+        made = None if vector else Pipeline(stages=[*text_stages(), VectorAssembler(inputCols=["text_vector", *feature_columns(df)], outputCol="vector")]).fit(df)
+        rows = df if made is None else made.transform(df)
+        return BoostedModel(made, fit(rows, vector or "vector", label, weight, **settings), vector or "vector")
     stages: list = [StringIndexer(inputCol=label, outputCol="label_index", handleInvalid="skip", stringOrderType="alphabetAsc")]
     if vector is None:
         stages += [*text_stages(), VectorAssembler(inputCols=["text_vector", *feature_columns(df)], outputCol="vector")]
@@ -43,37 +47,48 @@ def trained(df: DataFrame, label: str = "label", kind: str = "forest", weight: s
 
 def top_k(scored: DataFrame, labels: list[str], k: int = 3) -> DataFrame:
     """`scored` with ml_category, ml_conf and ml_alternatives from its probability vector; ties by label order."""
-    named = F.transform(vector_to_array("probability"), lambda p, i: F.struct(F.round(p, 6).alias("confidence"), (-i).alias("order"), F.element_at(F.array(*[F.lit(x) for x in labels]), i + 1).alias("category")))
+    p = F.col("probability") if dict(scored.dtypes)["probability"].startswith("array") else vector_to_array("probability")
+    named = F.transform(p, lambda p, i: F.struct(F.round(p, 6).alias("confidence"), (-i).alias("order"), F.element_at(F.array(*[F.lit(x) for x in labels]), i + 1).alias("category")))
     best = F.slice(F.reverse(F.array_sort(named)), 1, k)
     out = scored.withColumn("_top", best)
     return out.withColumn("ml_category", F.get("_top", F.lit(0))["category"]).withColumn("ml_conf", F.get("_top", F.lit(0))["confidence"]).withColumn("ml_alternatives", F.transform(F.slice("_top", 2, k), lambda x: F.struct(x["category"].alias("category"), x["confidence"].alias("confidence")))).drop("_top")
 
 
-def labels_of(model: PipelineModel) -> list[str]:
-    return list(model.stages[0].labels)
+def labels_of(model: PipelineModel | BoostedModel) -> list[str]:
+    return list(model.labels) if isinstance(model, BoostedModel) else list(model.stages[0].labels)
+
+
+def importance(spark: SparkSession, model: PipelineModel | BoostedModel, names: list[str], k: int = 20) -> DataFrame:
+    """(rank, feature, importance): the k most important inputs of a forest or of boosted trees (shares of all gain). The text's dimensions stand before the named features in the order of the assembler."""
+    raw = model.trees.gains if isinstance(model, BoostedModel) else model.stages[-1].featureImportances.toArray()
+    total = float(raw.sum()) or 1.0
+    if len(names) != len(raw):
+        raise ValueError(f"{len(names)} names for {len(raw)} inputs")
+    best = sorted(zip(names, (raw / total).tolist(), strict=True), key=lambda x: (-x[1], x[0]))[:k]  # as many as the model has inputs
+    return spark.createDataFrame([(i + 1, n, round(v, 9)) for i, (n, v) in enumerate(best)], "rank int, feature string, importance double")
+
+
+def input_names(df: DataFrame, size: int = TEXT_DIMENSIONS) -> list[str]:
+    """The inputs of an assembled vector, in its order."""
+    return [*(f"text_{i}" for i in range(size)), *feature_columns(df)]
+
+
+def out_of_fold(rows: DataFrame, key: str, label: str = "label", kind: str = "forest", folds: int = 3, weight: str | None = None, vector: str | None = None, **settings) -> tuple[DataFrame, list[str]]:
+    """`rows` with `fold` and `probability` (an array by the returned labels) of models that did not see the row's fold: one fit per fold, whatever the number of classes."""
+    labels = sorted(r[0] for r in rows.where(F.col(label).isNotNull()).select(F.col(label).cast("string")).distinct().collect())  # a row a class
 
+    def fit_on(part: DataFrame):
+        model = trained(part, label, kind, weight, vector, **settings)
+        own = labels_of(model)
 
-def importance(model: PipelineModel, names: list[str], k: int = 20) -> list[tuple[str, float]]:
-    """The k most important inputs of a forest."""
-    pairs = zip(names, model.stages[-1].featureImportances.toArray().tolist(), strict=False)
-    return sorted(pairs, key=lambda x: (-x[1], x[0]))[:k]
+        def score(rest: DataFrame) -> DataFrame:
+            made = model.transform(rest) if isinstance(model, BoostedModel) else PipelineModel(model.stages[1:]).transform(rest)
+            p = F.col("probability") if isinstance(model, BoostedModel) else vector_to_array("probability")
+            return made.select(*rest.columns, F.array(*[F.get(p, F.lit(own.index(x))) if x in own else F.lit(0.0) for x in labels]).alias("probability"))
 
+        return score
 
-def calibrated(scored: DataFrame, labels: list[str], folds_key: str, folds: int = 3) -> DataFrame:
-    """`scored` with `calibrated`: class probabilities made monotone in the truth, one isotonic fit per class on rows of the other folds, and renormalised."""
-    base = scored.withColumn("_p", vector_to_array("probability")).withColumn("_fold", F.pmod(F.xxhash64(folds_key), F.lit(folds)))
-    parts = []
-    for fold in range(folds):
-        fit_on, use_on = base.where(F.col("_fold") != fold), base.where(F.col("_fold") == fold)
-        for i in range(len(labels)):
-            rows = fit_on.select(F.get("_p", F.lit(i)).alias("x"), (F.col("label_index") == i).cast("double").alias("y"))
-            model = IsotonicRegression(featuresCol="x", labelCol="y", predictionCol=f"_c{i}").fit(rows)
-            use_on = model.transform(use_on.withColumn("x", F.get("_p", F.lit(i)))).drop("x")
-        parts.append(use_on)
-    out = reduce(lambda a, b: a.unionByName(b), parts)
-    raw = F.array(*[F.col(f"_c{i}") for i in range(len(labels))])
-    total = F.aggregate(raw, F.lit(0.0), lambda a, x: a + x)
-    return out.withColumn("calibrated", F.when(total > 0, F.transform(raw, lambda x: x / total)).otherwise(F.col("_p"))).drop("_p", "_fold", *[f"_c{i}" for i in range(len(labels))])
+    return calibration.out_of_fold(rows, key, fit_on, folds), labels
 
 
 def centroids(df: DataFrame, embedding: str = "embedding", label: str = "label") -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgermint.functions.text import collapse, number
+from ledgermint.functions.text import bound, collapse, number
 
 # Field names in order of preference; case, _ and - do not count.
 MERCHANT_FIELDS = ["merchantname", "merchant", "name", "storename", "store", "businessname", "seller", "vendor", "payeename", "payee", "recipient", "displayname"]
@@ -27,23 +27,45 @@ def json_fields(text: Column) -> Column:
     return F.when(F.trim(text).startswith("{"), F.from_json(text, _MAP))
 
 
-def find_field(fields: Column, names: list[str], longest: bool = False, depth: int = DEPTH) -> Column:
-    """The value whose key equals or contains a name; of several the longest, or the first in document order.
+def json_objects(fields: Column, depth: int = DEPTH) -> Column:
+    """The objects of a document, itself first and then depth first, to `depth`; each as its entries (key, value, inside).
 
-    Where an object holds no such key, its objects are searched in order, to `depth`; lists are not
-    entered. A nested object may hold the value under `value`.
+    Every object is parsed once. `value` is a scalar, or the `value` of a nested object; `inside` holds the entries
+    of a nested object. Lists have no value and are not entered.
     """
-    entries = F.map_entries(fields)
+    entry = "struct<key:string,value:string,inside:array<struct<key:string,value:string>>>"
+
+    def entries(pairs: Column) -> Column:
+        nested = lambda e: bound(F.from_json(e["value"], _MAP), lambda m: F.struct(e["key"].alias("key"), m["value"].alias("value"), F.map_entries(m).alias("inside")).cast(entry))
+        plain = lambda e: F.struct(e["key"].alias("key"), F.when(~e["value"].startswith("["), e["value"]).alias("value"), F.lit(None).alias("inside")).cast(entry)
+        return F.transform(pairs, lambda e: F.when(e["value"].startswith("{"), nested(e)).otherwise(plain(e)))
+
+    def below(own: Column, left: int) -> Column:
+        if left <= 1:
+            return F.array(own)
+        objects = F.filter(own, lambda e: e["inside"].isNotNull())
+        return F.concat(F.array(own), F.flatten(F.transform(objects, lambda e: bound(entries(e["inside"]), lambda inner: below(inner, left - 1)))))
+
+    return bound(entries(F.map_entries(fields)), lambda own: below(own, depth))
+
+
+def find_field(objects: Column, names: list[str], longest: bool = True) -> Column:
+    """The value whose key equals or contains a name, in the first of `objects` that has one; of several the longest, or the first in document order. Null without one."""
     plain = lambda k: F.regexp_replace(F.lower(k), "[_-]", "")
-    value_of = lambda v: F.when(v.startswith("{"), F.from_json(v, _MAP)["value"]).when(v.startswith("["), F.lit(None)).otherwise(v)
-    matching = F.filter(entries, lambda e: reduce(lambda a, b: a | b, [plain(e["key"]).contains(n) for n in names]) & value_of(e["value"]).isNotNull())
-    values = F.transform(matching, lambda e: value_of(e["value"]))
-    here = F.array_max(F.transform(values, lambda v, i: F.struct(F.length(v).alias("n"), (-i).alias("order"), v.alias("v"))))["v"] if longest else F.get(values, F.lit(0))
-    if depth <= 1:
-        return here
-    inner = F.filter(entries, lambda e: e["value"].startswith("{"))
-    below = F.filter(F.transform(inner, lambda e: find_field(F.from_json(e["value"], _MAP), names, longest, depth - 1)), lambda v: v.isNotNull())
-    return F.coalesce(here, F.get(below, F.lit(0)))
+    named = lambda e: reduce(lambda a, b: a | b, [plain(e["key"]).contains(n) for n in names]) & e["value"].isNotNull()
+    values = lambda o: F.transform(F.filter(o, named), lambda e: e["value"])
+    first = lambda v: F.get(v, F.lit(0))
+    long = lambda v: F.array_max(F.transform(v, lambda x, i: F.struct(F.length(x).alias("n"), (-i).alias("order"), x.alias("v"))))["v"]
+    picked = F.transform(objects, lambda o: (long if longest else first)(values(o)))
+    return first(F.filter(picked, lambda v: v.isNotNull() & (v != "")))
+
+
+def compact_text(entries: Column, most: int = 3) -> Column:
+    """The first entries of an object as `key: value`; of a nested object its first scalar entry, lists are passed over."""
+    scalar = lambda e: e["value"].isNotNull() & ~e["value"].startswith("{") & ~e["value"].startswith("[")
+    shown = lambda e: F.concat(e["key"], F.lit(": "), e["value"])
+    of = lambda e: F.when(e["inside"].isNotNull(), bound(F.get(F.filter(e["inside"], scalar), F.lit(0)), shown)).when(scalar(e), shown(e))
+    return F.array_join(F.slice(F.filter(F.transform(entries, of), lambda t: t.isNotNull()), 1, most), ", ")
 
 
 def _capped(text: Column, most: int) -> Column:
@@ -59,22 +81,22 @@ def json_date(value: Column) -> Column:
 def preprocess(df: DataFrame, text: str = "text") -> DataFrame:
     """`df` with `prepared`: struct<text, amount, date, currency, merchant, mcc> from a JSON object or plain text."""
     m = json_fields(F.col(text))
-    work = df.withColumn("_m", m)
-    m = F.col("_m")
-    merchant, kind = find_field(m, MERCHANT_FIELDS, longest=True), find_field(m, TYPE_FIELDS)
-    currency, amount = find_field(m, CURRENCY_FIELDS), number(find_field(m, AMOUNT_FIELDS))
-    work = work.withColumn("_f", F.struct(merchant.alias("merchant"), kind.alias("kind"), currency.alias("currency"), amount.alias("amount"), json_date(find_field(m, DATE_FIELDS)).alias("date"), F.coalesce(find_field(m, MCC_FIELDS), find_field(F.from_json(m["merchant"], _MAP), MCC_FIELDS)).alias("mcc")))
+    work = df.withColumn("_m", m).withColumn("_o", json_objects(F.col("_m")))
+    m, o = F.col("_m"), F.col("_o")
+    merchant, kind = find_field(o, MERCHANT_FIELDS), find_field(o, TYPE_FIELDS, longest=False)
+    currency, amount = find_field(o, CURRENCY_FIELDS, longest=False), number(find_field(o, AMOUNT_FIELDS, longest=False))
+    in_merchant = F.when(m["merchant"].startswith("{"), json_objects(F.from_json(m["merchant"], _MAP)))
+    work = work.withColumn("_f", F.struct(merchant.alias("merchant"), kind.alias("kind"), currency.alias("currency"), amount.alias("amount"), json_date(find_field(o, DATE_FIELDS, longest=False)).alias("date"), F.coalesce(find_field(o, MCC_FIELDS, longest=False), find_field(in_merchant, MCC_FIELDS, longest=False)).alias("mcc")))
     f = F.col("_f")
     said = F.upper(f["kind"])
     shown_kind = F.when(~said.isin(*STATUS_WORDS) & ~F.coalesce(F.upper(f["merchant"]).contains(said), F.lit(False)), f["kind"])
     shown_amount = F.when(f["amount"].isNotNull(), F.concat(F.coalesce(f["currency"], F.lit("Rs")), F.lit(" "), F.format_number(f["amount"], 2)))
     shown = F.concat_ws(" ", f["merchant"], shown_kind, shown_amount)
-    scalars = F.filter(F.map_entries(m), lambda e: ~e["value"].startswith("[") & ~e["value"].startswith("{"))
-    compact = _capped(F.concat_ws(" ", F.transform(F.slice(scalars, 1, 3), lambda e: F.concat(e["key"], F.lit(":"), e["value"]))), MOST_COMPACT)
+    compact = _capped(compact_text(F.get(o, F.lit(0))), MOST_COMPACT)
     from_json = F.when(shown != "", _capped(shown, MOST_CHARS)).otherwise(compact)
     description = F.when(m.isNotNull(), from_json).otherwise(_capped(collapse(F.col(text)), MOST_CHARS))
     prepared = F.struct(description.alias("text"), f["amount"].alias("amount"), f["date"].alias("date"), F.coalesce(f["currency"], F.lit("INR")).alias("currency"), f["merchant"].alias("merchant"), f["mcc"].alias("mcc"))
-    return work.withColumn("prepared", prepared).drop("_m", "_f")
+    return work.withColumn("prepared", prepared).drop("_m", "_o", "_f")
 
 
 def with_request_fields(df: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Merchant resolution against a gazetteer: exact, substring, trigram and fuzzy name matches.
 
 Names (canonical ones and aliases) are joined, never compared with every text: substrings by the first
-characters of a name, trigrams by themselves, and sequence similarity by shared pairs of characters,
-which every pair of texts above the threshold has. Distinct texts are resolved once. The names are
+characters of a name, similar names by the rarest of what they must share (`operators.similarity`).
+Distinct texts are resolved once. The names are
 broadcast after a count; beyond `MOST_NAMES` the joins shuffle.
 """
 
@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgermint.functions.lineage import materialise
-from ledgermint.functions.text import sequence_ratio, trigrams
+from ledgermint.functions.text import sequence_ratio
+
+from .similarity import jaccard_pairs, sequence_pairs
 
 SUBSTRING_SCORE, SHORTEST = 0.85, 4
 #: Names that may be broadcast.
@@ -67,40 +69,17 @@ def exact_and_substring(texts: DataFrame, names: DataFrame, text: str = "clean",
 
 
 def trigram_matches(texts: DataFrame, names: DataFrame, threshold: float, text: str = "clean", n: int | None = None) -> DataFrame:
-    """(text, row_pos, score): Jaccard similarity of trigram sets, the best name of each merchant, by an equi-join on trigrams."""
+    """(text, row_pos, score): Jaccard similarity of trigram sets, the best name of each merchant; joined by the rarest trigrams of both."""
     n = names.count() if n is None else n
-    left = texts.select(text, trigrams(F.col(text)).alias("_t")).withColumn("n1", F.size("_t")).select(text, "n1", F.explode("_t").alias("gram"))
-    right = names.select("alias", "row_pos").distinct().select("alias", "row_pos", trigrams(F.col("alias")).alias("_t")).withColumn("n2", F.size("_t")).select("alias", "row_pos", "n2", F.explode("_t").alias("gram"))
-    # sizes bound the similarity from above
-    fits = F.least("n1", "n2") >= threshold * F.greatest("n1", "n2")
-    common = left.join(_small(right, 20 * n), "gram").where(fits).groupBy(text, "n1", "alias", "row_pos", "n2").agg(F.count("*").alias("c"))
-    scored = common.withColumn("score", F.col("c") / (F.col("n1") + F.col("n2") - F.col("c"))).where(F.col("score") >= threshold)
-    return scored.groupBy(text, "row_pos").agg(F.max("score").alias("score"))
-
-
-def fuzzy_pairs(texts: DataFrame, names: DataFrame, threshold: float, text: str = "clean", n: int | None = None) -> DataFrame:
-    """(text, alias, row_pos): pairs that may reach the threshold, of 2/3 or more; none that does is left out.
-
-    Of M matched characters in blocks without two neighbours, at least M - 1 others stand between them,
-    so that the similarity is 2M / (3M - 1) at most: above it, texts share a pair of neighbours. Pairs so
-    short that this bound exceeds the threshold share a character at least.
-    """
-    n = names.count() if n is None else n
-    unpaired = 1 if threshold > 1 else max((m for m in range(1, 200) if 2 * m / (3 * m - 1) >= threshold), default=0)
-    short = int(2 * unpaired / threshold)  # characters of both texts together, up to which none need be paired
-    keys = lambda c: F.array_distinct(F.concat(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(2))), F.when(F.length(c) < short, F.split(c, "")).otherwise(F.array())))
-    longest = names.agg(F.max(F.length("alias")).alias("n")).first()["n"] or 0
-    near = texts.where(F.length(text) * threshold <= longest * (2 - threshold)).select(text, F.explode(keys(text)).alias("key")).where("key <> ''")
-    right = names.select("alias", "row_pos", F.explode(keys("alias")).alias("key")).where("key <> ''")
-    bound = 2 * F.least(F.length(text), F.length("alias")) >= threshold * (F.length(text) + F.length("alias"))
-    return near.join(_small(right, 20 * n), "key").where(bound).select(text, "alias", "row_pos").distinct()
+    return jaccard_pairs(texts, names, threshold, text, n).groupBy(text, "row_pos").agg(F.max("score").alias("score"))
 
 
 def fuzzy_matches(texts: DataFrame, names: DataFrame, threshold: float, text: str = "clean", n: int | None = None) -> DataFrame:
     """(text, row_pos, score): sequence similarity of text and name, of the pairs that may reach the threshold."""
     spark = texts.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pairs = fuzzy_pairs(texts, names, threshold, text, n).repartition(tasks)  # few bytes, but costly ones
+    n = names.count() if n is None else n
+    pairs = sequence_pairs(texts, names, threshold, text, n).repartition(tasks)  # few bytes, but costly ones
     close = pairs.withColumn("score", sequence_ratio(F.col(text), F.col("alias"), threshold)).where("score IS NOT NULL")
     return close.groupBy(text, "row_pos").agg(F.max("score").alias("score"))
 
@@ -110,11 +89,16 @@ def resolve(df: DataFrame, gazetteer: DataFrame, source: str = "merchant", thres
 
     Exact and substring matches end the search; else trigram and fuzzy matches compete, fuzzy first on a tie.
     """
+    return resolve_clean(df.select(clean_merchant(F.col(source)).alias("clean")), gazetteer, threshold, top_k, fuzzy)
+
+
+def resolve_clean(cleaned: DataFrame, gazetteer: DataFrame, threshold: float = 0.7, top_k: int = 5, fuzzy: bool = True) -> DataFrame:
+    """`resolve` of a column `clean` that `clean_merchant` has made."""
     listed = materialise(listed_names(gazetteer))
     n = listed.count()
     names = aliases(gazetteer)
     # The distinct names feed every strategy below; written once, they are not derived again for each.
-    texts = materialise(df.select(clean_merchant(F.col(source)).alias("clean")).distinct()).where("clean <> ''")
+    texts = materialise(cleaned.select("clean").distinct()).where("clean <> ''")
     sure = materialise(exact_and_substring(texts, names, n=n))
     cols = [c for c in sure.columns if c.startswith("m_")]
     open_ = texts.join(sure.select("clean"), "clean", "left_anti")
@@ -140,11 +124,16 @@ def attach_merchant(df: DataFrame, gazetteer: DataFrame, source: str = "merchant
     Distinct texts and names are resolved once. Rows whose `source` and `text` are null are matched with nothing.
     """
     shown = {"m_canonical_name": "merchant_resolved", "m_category": "merchant_category", "m_subcategory": "merchant_subcategory", "score": "merchant_score"}
-    out, keys = df, []
-    for column, least in ([(text, text_threshold)] if text else []) + [(source, threshold)]:
-        key = f"_key{len(keys)}"
-        best = resolve(df, gazetteer, column, least, 1, fuzzy).select(F.col("clean").alias(f"{key}_clean"), F.struct(*[F.col(c).alias(v) for c, v in shown.items()]).alias(f"{key}_match"))
-        out = out.withColumn(key, clean_merchant(F.col(column))).join(best, F.col(key) == F.col(f"{key}_clean"), "left")
-        keys.append(key)
-    match = F.coalesce(*[F.col(f"{k}_match") for k in keys])
+    ways = ([("_key0", text, text_threshold)] if text else []) + [("_key1", source, threshold)]
+    keyed = df.withColumns({key: clean_merchant(F.col(column)) for key, column, _ in ways})
+    # texts and names are searched together, once each, with the lower of the two thresholds
+    every = keyed.select(F.explode(F.array(*[key for key, _, _ in ways])).alias("clean"))
+    found = resolve_clean(every, gazetteer, min(least for _, _, least in ways), 1, fuzzy)
+    best = materialise(found.select(F.col("clean").alias("_clean"), F.struct(*[F.col(c).alias(v) for c, v in shown.items()]).alias("_match")))
+    out, matches = keyed, []
+    for key, _, least in ways:
+        own = best.where(F.col("_match.merchant_score") >= least).select(F.col("_clean").alias(f"{key}_clean"), F.col("_match").alias(f"{key}_match"))
+        out = out.join(own, F.col(key) == F.col(f"{key}_clean"), "left")
+        matches.append(F.col(f"{key}_match"))
+    match = F.coalesce(*matches)
     return out.select(*df.columns, *[match[v].alias(v) for v in shown.values()])

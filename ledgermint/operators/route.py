@@ -110,7 +110,24 @@ def hybrid(df: DataFrame, threshold: float = 0.85, review: float = 0.60) -> Data
     return df.withColumn("hybrid", F.struct(best["category"].alias("category"), best["confidence"].alias("confidence"), best["method"].alias("method"), (best["confidence"] < review).alias("requires_review")))
 
 
-def label_by_keywords(text, labels: list[tuple[str, list[str], list[str]]]):
+#: Keywords and patterns of twelve further categories, in order.
+KEYWORD_LABELS = [
+    ("insurance", ["insurance", "lic", "hdfc life", "icici prudential", "star health", "max life", "sbi life", "bajaj allianz", "policy", "premium"], [r"\binsurance\b", r"\bpremium\b", r"\bpolicy\b", r"\blic\b"]),
+    ("charity_donations", ["donation", "charity", "ngo", "temple", "church", "mosque", "red cross", "unicef", "oxfam", "donate", "milaap", "ketto"], [r"\bdonation\b", r"\bcharity\b", r"\bngo\b", r"\btemple\b", r"\bchurch\b"]),
+    ("personal_care", ["salon", "spa", "gym", "fitness", "cult.fit", "urban company", "vlcc", "naturals", "lakme", "massage", "facial", "haircut"], [r"\bsalon\b", r"\bspa\b", r"\bgym\b", r"\bfitness\b", r"\bmassage\b"]),
+    ("pets", ["pedigree", "whiskas", "drools", "royal canin", "pet", "dog food", "cat food", "veterinary", "vet", "pet shop", "pet store"], [r"\bpet\b", r"\bdog\b", r"\bcat\b", r"\bvet\b", r"\bpedigree\b"]),
+    ("home_improvement", ["furniture", "ikea", "pepperfry", "urban ladder", "livspace", "carpenter", "plumber", "electrician", "home repair", "renovation"], [r"\bfurniture\b", r"\bikea\b", r"\bcarpenter\b", r"\bplumber\b"]),
+    ("automotive", ["car service", "bike service", "vehicle", "auto", "tyre", "tire", "maruti", "honda", "hyundai", "mechanic", "spare parts", "oil change"], [r"\bcar\b", r"\bvehicle\b", r"\bauto\b", r"\bmechanic\b", r"\btyre\b"]),
+    ("taxes_government", ["income tax", "gst", "property tax", "tax payment", "tds", "challan", "municipal", "government fee", "license fee", "passport"], [r"\btax\b", r"\bgst\b", r"\btds\b", r"\bchallan\b", r"\bgovernment\b"]),
+    ("electronics_technology", ["iphone", "samsung", "laptop", "macbook", "ipad", "dell", "hp", "lenovo", "croma", "reliance digital", "vijay sales", "electronics"], [r"\biphone\b", r"\blaptop\b", r"\bmacbook\b", r"\belectronics\b"]),
+    ("professional_services", ["lawyer", "attorney", "legal", "consultant", "consulting", "accountant", "ca", "advocate", "professional fee"], [r"\blawyer\b", r"\blegal\b", r"\bconsultant\b", r"\battorney\b"]),
+    ("kids_family", ["firstcry", "kids", "children", "baby", "toy", "hamleys", "daycare", "diaper", "infant", "school supplies"], [r"\bkids\b", r"\bbaby\b", r"\btoy\b", r"\bchildren\b", r"\bdiaper\b"]),
+    ("subscriptions_memberships", ["netflix", "spotify", "amazon prime", "hotstar", "youtube premium", "icloud", "office 365", "subscription", "membership", "monthly"], [r"\bnetflix\b", r"\bspotify\b", r"\bprime\b", r"\bsubscription\b"]),
+    ("gifts_occasions", ["gift", "flower", "bouquet", "ferns n petals", "archies", "gift card", "present", "birthday", "anniversary"], [r"\bgift\b", r"\bflower\b", r"\bbouquet\b", r"\bbirthday\b"]),
+]
+
+
+def label_by_keywords(text, labels: list[tuple[str, list[str], list[str]]] = KEYWORD_LABELS):
     """The first label any of whose keywords or patterns is in the text; null without one."""
     low, out = F.lower(text), None
     for label, words, patterns in labels:

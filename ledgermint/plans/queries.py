@@ -484,14 +484,15 @@ def j13_map_labels(spark, sf):
     return dataset.mapped_labels(txn(spark, sf).withColumn("category", F.lit(None).cast("string")), m).groupBy("new_label", "label_status").agg(F.count("*").alias("n"))
 
 
-@query("j15_merge_corrections", _with_keyed(""", b AS (SELECT lower(trim(text)) AS key, text, label, txn_key AS pos, amount FROM k), c AS (SELECT CASE WHEN template = 1 THEN text || ' X' ELSE text END AS text, 'fixed' || cast(txn_key % 3 as varchar) AS label, txn_key AS pos, amount FROM (SELECT txn_key, min(text) AS text, min(amount) AS amount, min(template) AS template FROM txn WHERE flag = 'R' GROUP BY txn_key)),
-c2 AS (SELECT lower(trim(text)) AS key, arg_max(label, pos) AS label, arg_min(text, pos) AS first_text, arg_min(amount, pos) AS first_amount FROM c GROUP BY 1), f AS (SELECT key, min(pos) AS pos FROM b GROUP BY key)
-SELECT b.text, coalesce(c2.label, b.label) AS label, b.amount, c2.label IS NOT NULL AS corrected FROM b LEFT JOIN f ON b.key = f.key AND b.pos = f.pos LEFT JOIN c2 ON f.key = c2.key UNION ALL SELECT first_text, label, first_amount, true FROM c2 WHERE key NOT IN (SELECT key FROM f)"""))
+@query("j15_merge_corrections", _with_keyed(""", b AS (SELECT lower(trim(text)) AS key, text, label, txn_key AS pos, amount, date, 'sub' || cast(txn_key % 5 as varchar) AS subcategory, txn_key FROM k), c AS (SELECT CASE WHEN template = 1 THEN text || ' X' ELSE text END AS text, 'fixed' || cast(txn_key % 3 as varchar) AS label, txn_key AS pos, amount, date, CASE WHEN txn_key % 2 = 0 THEN 'new' || cast(txn_key % 7 as varchar) ELSE '' END AS subcategory FROM (SELECT txn_key, min(text) AS text, min(amount) AS amount, min(date) AS date, min(template) AS template FROM txn WHERE flag = 'R' GROUP BY txn_key)),
+c2 AS (SELECT lower(trim(text)) AS key, arg_max(label, pos) AS label, arg_min(text, pos) AS first_text, arg_min(amount, pos) AS first_amount, arg_min(date, pos) AS first_date, nullif(arg_max(subcategory, pos), '') AS sub FROM c GROUP BY 1), f AS (SELECT key, min(pos) AS pos FROM b GROUP BY key)
+SELECT b.text, coalesce(c2.label, b.label) AS label, b.amount, b.date, coalesce(c2.sub, b.subcategory) AS subcategory, b.txn_key, c2.label IS NOT NULL AS corrected FROM b LEFT JOIN f ON b.key = f.key AND b.pos = f.pos LEFT JOIN c2 ON f.key = c2.key UNION ALL SELECT first_text, label, first_amount, first_date, sub, NULL, true FROM c2 WHERE key NOT IN (SELECT key FROM f)"""))
 def j15_merge_corrections(spark, sf):
-    k = _keyed(spark, sf).withColumn("pos", F.col("txn_key"))
-    r = txn(spark, sf).where("flag = 'R'").groupBy("txn_key").agg(F.min("text").alias("text"), F.min("amount").alias("amount"), F.min("template").alias("template"))
-    c = r.select(F.when(F.col("template") == 1, F.concat("text", F.lit(" X"))).otherwise(F.col("text")).alias("text"), F.concat(F.lit("fixed"), (F.col("txn_key") % 3).cast("string")).alias("label"), F.col("txn_key").alias("pos"), "amount")
-    return dataset.merge_corrections(k.select("text", "label", "pos", "amount"), c)
+    k = _keyed(spark, sf).withColumn("pos", F.col("txn_key")).withColumn("subcategory", F.concat(F.lit("sub"), (F.col("txn_key") % 5).cast("string")))
+    r = txn(spark, sf).where("flag = 'R'").groupBy("txn_key").agg(*[F.min(c).alias(c) for c in ("text", "amount", "date", "template")])
+    sub = F.when(F.col("txn_key") % 2 == 0, F.concat(F.lit("new"), (F.col("txn_key") % 7).cast("string"))).otherwise("")
+    c = r.select(F.when(F.col("template") == 1, F.concat("text", F.lit(" X"))).otherwise(F.col("text")).alias("text"), F.concat(F.lit("fixed"), (F.col("txn_key") % 3).cast("string")).alias("label"), F.col("txn_key").alias("pos"), "amount", "date", sub.alias("subcategory"))
+    return dataset.merge_corrections(k.select("text", "label", "pos", "amount", "date", "subcategory", "txn_key"), c)
 
 
 @query("d1_contradictions", with_txn("SELECT key, sum(n) AS rows, count(*) AS labels, round(max(n) / sum(n), 6) AS top_share FROM (SELECT p_name AS key, p_type AS l, count(*) AS n FROM part GROUP BY ALL) GROUP BY key HAVING count(*) > 1 AND max(n) < 0.7 * sum(n)").replace("SELECT key", "SELECT key", 1))

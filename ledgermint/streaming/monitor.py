@@ -66,11 +66,18 @@ def runtime_stats(events: DataFrame, by: list[str], value: str = "value", last:
     return out.drop("_hour", "_chunk", "_in", "_sum", "_reviews")
 
 
-def rate_limit(events: DataFrame, key: str = "user_id", ts: str = "ts", limit: int = 100, seconds: int = 60) -> DataFrame:
-    """(key, ts, used, allowed, remaining) of each distinct request time: allowed while fewer than `limit` lie in the window before it; rejected ones count too."""
-    w = Window.partitionBy(key).orderBy("_us").rangeBetween(-(seconds * 1_000_000 - 1), -1)
-    d = events.select(key, ts).distinct().withColumn("_us", micros(F.col(ts)))
-    used = d.withColumn("used", F.count("*").over(w))
+def rate_limit(events: DataFrame, key: str = "user_id", ts: str = "ts", limit: int = 100, seconds: int = 60, slice_seconds: int | None = None) -> DataFrame:
+    """(key, ts, used, allowed, remaining) of each distinct request time: allowed while fewer than `limit` lie in the window before it; rejected ones count too.
+
+    A key's times are dealt into slices, and the last `seconds` of a slice are carried into the next one, so that
+    a key with most of the requests is counted in many tasks. A null key is a key.
+    """
+    length = max(slice_seconds or SORT_SECONDS, seconds) * 1_000_000
+    d = events.select(key, ts).distinct().withColumn("_us", micros(F.col(ts))).withColumn("_slice", F.floor(F.col("_us") / length))
+    carried = F.pmod(F.col("_us"), F.lit(length)) >= length - seconds * 1_000_000
+    dealt = d.withColumn("_in", F.explode(F.when(carried, F.array("_slice", F.col("_slice") + 1)).otherwise(F.array("_slice"))))
+    w = Window.partitionBy(key, "_in").orderBy("_us").rangeBetween(-(seconds * 1_000_000 - 1), -1)
+    used = dealt.withColumn("used", F.count("*").over(w)).where("_in = _slice")
     return used.select(key, ts, "used", (F.col("used") < limit).alias("allowed"), F.greatest(F.lit(limit) - F.col("used") - 1, F.lit(0)).alias("remaining"))
 
 
@@ -150,6 +157,43 @@ def rule_alerts(metrics: DataFrame, rules: tuple[AlertRule, ...] = ALERT_RULES,
     return reduce(lambda a, b: a.unionByName(b), found)
 
 
+def service_metrics(events: DataFrame, length: str = "1 minute", ts: str = "ts", watermark: bool = False) -> DataFrame:
+    """(start, errors, reviews, p95, agreement, hits) of each window of requests (ts, error, review, seconds, agreement, hit); shares are of the rows where the measure is known."""
+    e = events.withWatermark(ts, WATERMARK) if watermark else events
+    h = e.groupBy(F.window(ts, length).alias("w")).agg(*buckets(F.col("seconds"), LATENCY_BOUNDS), *[F.avg(F.col(c).cast("double")).alias(n) for n, c in (("errors", "error"), ("reviews", "review"), ("agreement", "agreement"), ("hits", "hit"))])
+    return h.select(F.col("w.start").alias("start"), "errors", "reviews", bucket_quantile(0.95, LATENCY_BOUNDS).alias("p95"), "agreement", "hits")
+
+
+def stream_rule_alerts(events: DataFrame, rules: tuple[AlertRule, ...] = ALERT_RULES, minutes: int = 1, ts: str = "ts") -> DataFrame:
+    """(measure, from, to, evaluations): the alerts of `rule_alerts` on a stream of requests, each once its run has ended.
+
+    Windows close with the watermark and go, as one row a rule, to state that holds the run of each rule: its
+    first and last window and length. A run also ends where windows are missing only in the sense of `rule_alerts`:
+    windows without requests are no evaluations.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    metrics = service_metrics(events, f"{minutes} minutes", ts, watermark=True)
+    tests = [F.struct(F.lit(r.measure).alias("measure"), F.lit(-(-r.minutes // minutes)).alias("hold"), F.coalesce(F.col(r.measure) < r.bound if r.below else F.col(r.measure) > r.bound, F.lit(False)).alias("on")) for r in rules]
+    rows = metrics.select("start", F.inline(F.array(*tests)))
+
+    def step(name, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        first, last, n = state.get if state.exists else (0, 0, 0)
+        found = []
+        for at, hold, on in pd.concat(list(frames)).sort_values("start")[["start", "hold", "on"]].itertuples(index=False):
+            now = at.value // 1000
+            if on:
+                first, last, n = (first if n else now), now, n + 1
+            else:
+                if n >= hold:
+                    found.append((name[0], pd.Timestamp(first, unit="us"), pd.Timestamp(last, unit="us"), n))
+                n = 0
+        state.update((first, last, n))
+        yield pd.DataFrame(found, columns=["measure", "from", "to", "evaluations"])
+
+    return rows.groupBy("measure").applyInPandasWithState(step, "measure string, `from` timestamp, `to` timestamp, evaluations long", "first long, last long, n long", "append", GroupStateTimeout.NoTimeout)
+
+
 def top_per_window(counts: DataFrame, k: int = 10, by: tuple[str, ...] = ("start",), ties: tuple[str, ...] = ("event_type",)) -> DataFrame:
     """The k largest groups of each window; ties by the named columns."""
     w = Window.partitionBy(*by).orderBy(F.desc("n"), *ties)
@@ -190,33 +234,62 @@ def _walk(times: np.ndarray, entered: int | None, ttl: int) -> tuple[np.ndarray,
     return hits, entered
 
 
-def ttl_cache(events: DataFrame, key: str, ts: str = "ts", tie: str = "event_id", seconds: int = 600) -> DataFrame:
+def _exits(times: np.ndarray, ttl: int, begin: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a slice does with an entry of before it: (thresholds, lasts). A slice entered at e leaves with the last of the first threshold beyond e + ttl; with e itself beyond all.
+
+    Only requests that may be the first miss of the slice are thresholds: those within `ttl` of its begin, and the
+    next one. All of them step from miss to miss at once, and neighbours that end in the same miss are one.
+    """
+    after = np.searchsorted(times, times + ttl, "right")
+    firsts = np.arange(min(len(times), int(np.searchsorted(times, begin + ttl, "right")) + 1))
+    at = firsts.copy()
+    while (moving := after[at] < len(times)).any():
+        at[moving] = after[at[moving]]
+    ends = np.append(np.flatnonzero(np.diff(at)), len(at) - 1)  # the last threshold of each run of equal exits
+    return times[firsts[ends]], times[at[ends]]
+
+
+#: Lengths of life of an entry that a slice of a key's requests lasts.
+SLICE_LIVES = 24
+
+
+def ttl_cache(events: DataFrame, key: str, ts: str = "ts", tie: str = "event_id", seconds: int = 600, slice_seconds: int | None = None) -> DataFrame:
     """(key, ts, tie, hit) of each request: a hit while the last miss of its key is at most `seconds` old; hits do not refresh. A null key is a key.
 
-    Entry times depend on one another, so each key's requests are walked in order, from miss to miss.
-    Arrow batches of a key pass through one at a time: memory does not grow with the key.
+    Entry times depend on one another, but a slice of time acts on the entry before it as a step function, which its
+    requests alone give. Slices are read in parallel, their functions (a few numbers) are composed per key, and
+    then every slice is walked from the entry it starts with: a key with most of the requests is many tasks' work.
     """
-    source = events.select(key, ts, tie)
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
-    keyed = source.withColumn("_us", micros(F.col(ts))).repartition(F.col(key)).sortWithinPartitions(key, "_us", tie)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, entered = object(), None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            codes = batch.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
-            times, hits = batch.column(3).to_numpy(), []
-            edges = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(edges, edges[1:], strict=False):
-                name = batch.column(0)[a].as_py()
-                entered = entered if a == 0 and name == last else None
-                found, entered = _walk(times[a:b], entered, seconds * 1_000_000)
-                hits.append(found)
-                last = name
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.concatenate(hits))], [key, ts, tie, "hit"])
-
-    return keyed.mapInArrow(run, kind + ", hit boolean")
+    ttl, length = seconds * 1_000_000, (slice_seconds or SLICE_LIVES * seconds) * 1_000_000
+    source = events.select(key, ts, tie).withColumn("_us", micros(F.col(ts))).withColumn("_slice", F.floor(F.col("_us") / length))
+    kind = dict(events.dtypes)[key]
+
+    def function(group: pa.Table) -> pa.Table:
+        times = np.sort(group["_us"].to_numpy())
+        part = group["_slice"][0].as_py()
+        thresholds, lasts = _exits(times, ttl, part * length)
+        return pa.table({key: group[key].slice(0, 1), "_slice": pa.array([part], pa.int64()), "_at": pa.array([thresholds], pa.list_(pa.int64())), "_last": pa.array([lasts], pa.list_(pa.int64()))})
+
+    def compose(group: pa.Table) -> pa.Table:
+        group = group.sort_by("_slice")
+        entered, before = None, []
+        for at, last in zip(group["_at"], group["_last"], strict=True):
+            before.append(entered)
+            at, last = at.values.to_numpy(), last.values.to_numpy()
+            i = 0 if entered is None else int(np.searchsorted(at, entered + ttl, "right"))
+            entered = int(last[i]) if i < len(at) else entered
+        return pa.table({key: group[key], "_slice": group["_slice"], "_entered": pa.array(before, pa.int64())})
+
+    def walk(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("_us", "ascending"), (tie, "ascending")])
+        hits, _ = _walk(group["_us"].to_numpy(), group["_entered"][0].as_py(), ttl)
+        return group.select([key, ts, tie]).append_column("hit", pa.array(hits))
+
+    functions = source.select(key, "_slice", "_us").groupBy(key, "_slice").applyInArrow(function, f"`{key}` {kind}, _slice bigint, _at array<bigint>, _last array<bigint>")
+    entries = functions.groupBy(key).applyInArrow(compose, f"`{key}` {kind}, _slice bigint, _entered bigint").select(F.col(key).alias("_k"), F.col("_slice").alias("_s"), "_entered")
+    joined = source.join(entries, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_slice") == F.col("_s"))).drop("_k", "_s")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.select(key, ts, tie).schema)
+    return joined.groupBy(key, "_slice").applyInArrow(walk, schema + ", hit boolean")
 
 
 def hit_rates(answered: DataFrame, length: str, ts: str = "ts", watermark: bool = False) -> DataFrame:
