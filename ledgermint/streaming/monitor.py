@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
 from ledgermint.functions.lineage import materialise
@@ -164,34 +165,42 @@ def service_metrics(events: DataFrame, length: str = "1 minute", ts: str = "ts",
     return h.select(F.col("w.start").alias("start"), "errors", "reviews", bucket_quantile(0.95, LATENCY_BOUNDS).alias("p95"), "agreement", "hits")
 
 
-def stream_rule_alerts(events: DataFrame, rules: tuple[AlertRule, ...] = ALERT_RULES, minutes: int = 1, ts: str = "ts") -> DataFrame:
-    """(measure, from, to, evaluations): the alerts of `rule_alerts` on a stream of requests, each once its run has ended.
-
-    Windows close with the watermark and go, as one row a rule, to state that holds the run of each rule: its
-    first and last window and length. A run also ends where windows are missing only in the sense of `rule_alerts`:
-    windows without requests are no evaluations.
-    """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+class AlertRuns(StatefulProcessor):
+    """The run of evaluations of a rule that meet its test: state of one row a rule. A run leaves when it ends."""
 
-    metrics = service_metrics(events, f"{minutes} minutes", ts, watermark=True)
-    tests = [F.struct(F.lit(r.measure).alias("measure"), F.lit(-(-r.minutes // minutes)).alias("hold"), F.coalesce(F.col(r.measure) < r.bound if r.below else F.col(r.measure) > r.bound, F.lit(False)).alias("on")) for r in rules]
-    rows = metrics.select("start", F.inline(F.array(*tests)))
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.run = handle.getValueState("run", "first long, last long, n long")
 
-    def step(name, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, last, n = state.get if state.exists else (0, 0, 0)
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  the names of the interface
+        first, last, n = self.run.get() if self.run.exists() else (0, 0, 0)
         found = []
-        for at, hold, on in pd.concat(list(frames)).sort_values("start")[["start", "hold", "on"]].itertuples(index=False):
+        for at, hold, on in pd.concat(list(rows)).sort_values("start")[["start", "hold", "on"]].itertuples(index=False):
             now = at.value // 1000
             if on:
                 first, last, n = (first if n else now), now, n + 1
             else:
                 if n >= hold:
-                    found.append((name[0], pd.Timestamp(first, unit="us"), pd.Timestamp(last, unit="us"), n))
+                    found.append((key[0], pd.Timestamp(first, unit="us"), pd.Timestamp(last, unit="us"), n))
                 n = 0
-        state.update((first, last, n))
+        self.run.update((first, last, n))
         yield pd.DataFrame(found, columns=["measure", "from", "to", "evaluations"])
 
-    return rows.groupBy("measure").applyInPandasWithState(step, "measure string, `from` timestamp, `to` timestamp, evaluations long", "first long, last long, n long", "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def stream_rule_alerts(events: DataFrame, rules: tuple[AlertRule, ...] = ALERT_RULES, minutes: int = 1, ts: str = "ts") -> DataFrame:
+    """(measure, from, to, evaluations): the alerts of `rule_alerts` on a stream of requests, each once its run has ended.
+
+    Windows close with the watermark and go, as one row a rule, to state that holds the run of each rule: its
+    first and last window and length. Windows without requests are no evaluations, as in `rule_alerts`.
+    """
+    metrics = service_metrics(events, f"{minutes} minutes", ts, watermark=True)
+    tests = [F.struct(F.lit(r.measure).alias("measure"), F.lit(-(-r.minutes // minutes)).alias("hold"), F.coalesce(F.col(r.measure) < r.bound if r.below else F.col(r.measure) > r.bound, F.lit(False)).alias("on")) for r in rules]
+    rows = metrics.select("start", F.inline(F.array(*tests)))
+    # state behind an aggregation is kept by the store that Spark has for it
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return rows.groupBy("measure").transformWithStateInPandas(AlertRuns(), "measure string, `from` timestamp, `to` timestamp, evaluations long", "Append", "None")
 
 
 def top_per_window(counts: DataFrame, k: int = 10, by: tuple[str, ...] = ("start",), ties: tuple[str, ...] = ("event_type",)) -> DataFrame:
