@@ -6,6 +6,7 @@ over the last rows, rate limits, caches) are defined per key, so that Spark can
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -26,6 +27,8 @@ LATENCY_BOUNDS = (0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 5.0)
 CONFIDENCE_BOUNDS = (0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0)
 DATABASE_BOUNDS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0)
 WATERMARK = "10 minutes"
+#: The store that keeps lists, values and timers of keys, also behind an aggregation.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def micros(ts: Column) -> Column:
@@ -198,8 +201,7 @@ def stream_rule_alerts(events: DataFrame, rules: tuple[AlertRule, ...] = ALERT_R
     metrics = service_metrics(events, f"{minutes} minutes", ts, watermark=True)
     tests = [F.struct(F.lit(r.measure).alias("measure"), F.lit(-(-r.minutes // minutes)).alias("hold"), F.coalesce(F.col(r.measure) < r.bound if r.below else F.col(r.measure) > r.bound, F.lit(False)).alias("on")) for r in rules]
     rows = metrics.select("start", F.inline(F.array(*tests)))
-    # state behind an aggregation is kept by the store that Spark has for it
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return rows.groupBy("measure").transformWithStateInPandas(AlertRuns(), "measure string, `from` timestamp, `to` timestamp, evaluations long", "Append", "None")
 
 
@@ -339,52 +341,89 @@ def stream_runtime_stats(events: DataFrame, sink, by: list[str], store: str, las
     return events.writeStream.foreachBatch(step)
 
 
-def _expiry(state, at: int) -> None:
-    """Lets a key's state go once the watermark is beyond `at`, in microseconds."""
-    state.setTimeoutTimestamp(max(at // 1000, state.getCurrentWatermarkMs()) + 1000)
+def _keyed_state(events: DataFrame, key: str, ts: str, processor: StatefulProcessor, extra: str) -> DataFrame:
+    """`events` by key through a processor whose state has event-time timers."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    kinds = dict(events.dtypes)
+    return events.select(key, ts).withWatermark(ts, WATERMARK).groupBy(key).transformWithStateInPandas(processor, f"`{key}` {kinds[key]}, `{ts}` timestamp, {extra}", "Append", "EventTime")
 
 
-def stream_rate_limit(events: DataFrame, key: str = "user_id", ts: str = "ts", limit: int = 100, seconds: int = 60) -> DataFrame:
-    """The rate limit of a stream: per key the request times of the window are kept as state, until the watermark has passed them."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+class _Limits(StatefulProcessor):
+    """Request times of a key: a list, cleared by a timer once the watermark has passed their window."""
 
-    def step(name, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(ts).drop_duplicates(ts)
-        out = []
-        for at in rows[ts]:
+    def __init__(self, key: str, ts: str, limit: int, seconds: int):
+        self.key, self.ts, self.limit, self.window = key, ts, limit, seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.times = handle, handle.getListState("times", "at long")
+
+    def _keep(self, times: list[int], watermark_ms: int) -> None:
+        kept = [t for t in times if t > watermark_ms * 1000 - self.window]
+        if kept:
+            self.times.put([(t,) for t in kept])
+            self.handle.registerTimer((kept[-1] + self.window) // 1000 + 1)
+        else:
+            self.times.clear()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        times, out = sorted(t for (t,) in self.times.get()), []
+        for at in pd.concat(list(rows))[self.ts].sort_values().drop_duplicates():
             now = int(at.value // 1000)
-            times = [t for t in times if t > now - seconds * 1_000_000]
-            out.append((name[0], at, len(times), len(times) < limit))
-            times.append(now)
-        state.update((times,))
-        _expiry(state, times[-1] + seconds * 1_000_000)
-        yield pd.DataFrame(out, columns=[key, ts, "used", "allowed"])
+            place = bisect_left(times, now)
+            if place < len(times) and times[place] == now:
+                continue  # answered before
+            used = place - bisect_right(times, now - self.window)
+            times.insert(place, now)
+            out.append((key[0], at, used, used < self.limit))
+        self._keep(times, timerValues.getCurrentWatermarkInMs())
+        yield pd.DataFrame(out, columns=[self.key, self.ts, "used", "allowed"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self._keep(sorted(t for (t,) in self.times.get()), timerValues.getCurrentWatermarkInMs())
+        return iter(())
 
-    kinds = dict(events.dtypes)
-    return events.select(key, ts).withWatermark(ts, WATERMARK).groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {ts} timestamp, used long, allowed boolean", "times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    def close(self) -> None:
+        pass
 
 
-def stream_ttl_cache(events: DataFrame, key: str, ts: str = "ts", seconds: int = 600) -> DataFrame:
-    """The cache of a stream: per key the time of its entry is kept as state, until the watermark has passed its end."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+class _Entries(StatefulProcessor):
+    """The time of a key's entry, cleared by a timer once the watermark has passed its end."""
 
-    def step(name, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values(ts)
-        times = np.array([at.value // 1000 for at in rows[ts]], np.int64)
-        hits, entered = _walk(times, state.get[0] if state.exists else None, seconds * 1_000_000)
-        state.update((entered,))
-        _expiry(state, entered + seconds * 1_000_000)
-        yield pd.DataFrame({key: name[0], ts: rows[ts], "hit": hits})
+    def __init__(self, key: str, ts: str, seconds: int):
+        self.key, self.ts, self.ttl = key, ts, seconds * 1_000_000
 
-    kinds = dict(events.dtypes)
-    return events.select(key, ts).withWatermark(ts, WATERMARK).groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {ts} timestamp, hit boolean", "entered bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.entered = handle, handle.getValueState("entered", "at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        frame = pd.concat(list(rows)).sort_values(self.ts)
+        times = np.array([at.value // 1000 for at in frame[self.ts]], np.int64)
+        hits, entered = _walk(times, self.entered.get()[0] if self.entered.exists() else None, self.ttl)
+        self.entered.update((entered,))
+        self.handle.registerTimer(max((entered + self.ttl) // 1000, timerValues.getCurrentWatermarkInMs()) + 1)
+        yield pd.DataFrame({self.key: key[0], self.ts: frame[self.ts], "hit": hits})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.entered.exists() and self.entered.get()[0] + self.ttl < timerValues.getCurrentWatermarkInMs() * 1000:
+            self.entered.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_rate_limit(events: DataFrame, key: str = "user_id", ts: str = "ts", limit: int = 100, seconds: int = 60) -> DataFrame:
+    """(key, ts, used, allowed) of a stream, answered as requests arrive; equal to `rate_limit` where they arrive in order.
+
+    A request that is late, but within the watermark, counts what lies in the window before it; a time that was
+    answered is not answered again. Later ones are dropped.
+    """
+    return _keyed_state(events, key, ts, _Limits(key, ts, limit, seconds), "used long, allowed boolean")
+
+
+def stream_ttl_cache(events: DataFrame, key: str, ts: str = "ts", seconds: int = 600) -> DataFrame:
+    """(key, ts, hit) of a stream, answered as requests arrive; equal to `ttl_cache` where they arrive in order. A late request within the watermark is a hit while there is an entry."""
+    return _keyed_state(events, key, ts, _Entries(key, ts, seconds), "hit boolean")
 
 
 def stream_retrain_trigger(corrections: DataFrame, every: int = 50) -> DataFrame:

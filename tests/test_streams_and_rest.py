@@ -89,6 +89,39 @@ def test_alerts_of_a_stream_are_those_of_the_batch(spark, tmp_path):
     assert len(got) == len(set(got)) and set(got) == want and {m for m, *_ in got} == {"errors", "reviews", "p95", "agreement", "hits"}
 
 
+# --- state with timers -----------------------------------------------------------------------------------------
+def test_streams_of_limits_and_caches_late_rows_expiry_and_restart(spark, tmp_path):
+    frame = events(np.random.default_rng(6), 400, hot=0.5, days=1).dropna()
+    rows = table(spark, frame).select("user_id", "ts")
+    first, second = frame.iloc[:250], frame.iloc[250:]
+    late = second.iloc[[0]].assign(ts=second["ts"].iloc[-1] - pd.Timedelta(minutes=3), user_id=9)  # within the watermark
+    gone = second.iloc[[0]].assign(ts=frame["ts"].iloc[0], user_id=8)  # hours behind it
+    source = f"{tmp_path}/in"
+    for name, make in (("limit", lambda s: monitor.stream_rate_limit(s, limit=3, seconds=1800)), ("cache", lambda s: monitor.stream_ttl_cache(s, "user_id", seconds=1800))):
+        stream = make(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{source}-{name}/*"))
+
+        def run():
+            q = stream.writeStream.format("parquet").option("path", f"{tmp_path}/{name}").option("checkpointLocation", f"{tmp_path}/{name}-state").outputMode("append").trigger(availableNow=True).start()
+            q.awaitTermination(300)
+            assert q.exception() is None
+            return {(r[0], r[1]): tuple(r)[2:] for r in spark.read.parquet(f"{tmp_path}/{name}").collect()}
+
+        table(spark, first).select("user_id", "ts").coalesce(1).write.parquet(f"{source}-{name}/0")
+        run()
+        for k, part in enumerate((second, late, gone), 1):
+            table(spark, part).select("user_id", "ts").coalesce(1).write.parquet(f"{source}-{name}/{k}")
+            got = run()  # each run starts again from the state that the one before has left
+        batch = monitor.rate_limit(rows, limit=3, seconds=1800).drop("remaining") if name == "limit" else monitor.ttl_cache(table(spark, frame), "user_id", seconds=1800).drop("event_id")
+        want = {}
+        for r in batch.collect():
+            want.setdefault((r[0], r[1]), tuple(r)[2:]) if name == "limit" else want.__setitem__((r[0], r[1]), tuple(r)[2:])
+        in_time = late["ts"].iloc[0].to_pydatetime()
+        assert got.pop((9, in_time)) == ((0, True) if name == "limit" else (False,))
+        assert (8, gone["ts"].iloc[0].to_pydatetime()) not in got
+        same = {k for k in want if sum(t == k[1] for t in frame["ts"]) == 1}  # of equal times a cache has one miss
+        assert got.keys() == want.keys() and all(got[k] == want[k] for k in same)
+
+
 # --- what had no test ------------------------------------------------------------------------------------------
 def test_json_of_every_depth(spark):
     deep = {"a": [{"merchant": "no"}], "b": {"c": {"Store-Name": "THIRD", "d": {"payee": "fourth"}}}, "amount": {"value": 7, "currency": "INR"}}
