@@ -80,8 +80,9 @@ def fuzzy_matches(texts: DataFrame, names: DataFrame, threshold: float, text: st
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     n = names.count() if n is None else n
     pairs = sequence_pairs(texts, names, threshold, text, n).repartition(tasks)  # few bytes, but costly ones
-    close = pairs.withColumn("score", sequence_ratio(F.col(text), F.col("alias"), threshold)).where("score IS NOT NULL")
-    return close.groupBy(text, "row_pos").agg(F.max("score").alias("score"))
+    scored = pairs.withColumn("score", sequence_ratio(F.col(text), F.col("alias"), threshold))
+    # a filter on the score would be moved below the repartition, and the pairs be scored where they were found
+    return scored.groupBy(text, "row_pos").agg(F.max("score").alias("score")).where("score IS NOT NULL")
 
 
 def resolve(df: DataFrame, gazetteer: DataFrame, source: str = "merchant", threshold: float = 0.7, top_k: int = 5, fuzzy: bool = True) -> DataFrame:

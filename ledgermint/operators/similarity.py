@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgermint.functions.text import trigrams
+from ledgermint.functions.text import bound, trigrams
 
 #: Rows of keys of names that may be broadcast (about half a kilobyte each).
 MOST_KEYS = 200_000
@@ -41,7 +41,8 @@ def _places(text: Column, width: int) -> Column:
 
 def _counted(items: Column) -> Column:
     """Each item with how often it has occurred so far, which makes a multiset a set."""
-    return F.transform(items, lambda x, i: F.concat(x, F.lit("\x1f"), F.size(F.filter(F.slice(items, 1, i + 1), lambda y: y == x)).cast("string")))
+    nth = lambda every, x, i: F.size(F.filter(F.slice(every, 1, i + 1), lambda y: y == x)).cast("string")
+    return bound(items, lambda every: F.transform(every, lambda x, i: F.concat(x, F.lit("\x1f"), nth(every, x, i))))
 
 
 def token_counts(names: DataFrame, tokens: Column) -> DataFrame:
@@ -50,8 +51,14 @@ def token_counts(names: DataFrame, tokens: Column) -> DataFrame:
 
 
 def rare_first(rows: DataFrame, keys: list[str], tokens: Column, counts: DataFrame, n: int) -> DataFrame:
-    """(keys, tokens): the tokens of each row, the rarest first; `n` bounds the rows of `counts`. Rows are dealt by their keys once."""
-    each = rows.select(*keys, F.explode(tokens).alias("token")).join(small(counts, n), "token", "left")
+    """(keys, tokens): the tokens of each row, the rarest first; `n` bounds the rows of `counts`.
+
+    Rows are dealt by their keys once, over all tasks: they are few bytes, but what follows costs time.
+    """
+    spark = rows.sparkSession
+    # twice the usual number, else a deal by the same keys below would stand for this one and small bytes be one task's work
+    tasks = 2 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    each = rows.repartition(tasks, *keys).select(*keys, F.explode(tokens).alias("token")).join(small(counts, n), "token", "left")
     sorted_ = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")))
     return each.groupBy(*keys).agg(F.transform(sorted_, lambda x: x["token"]).alias("tokens"))
 
@@ -72,7 +79,9 @@ def jaccard_pairs(texts: DataFrame, names: DataFrame, threshold: float, text: st
     names = names.select("alias", "row_pos").distinct()
     counts = token_counts(names, trigrams(F.col("alias")))
     prefix = _prefix(F.size("tokens"), F.ceil(F.size("tokens") * threshold - _EPS))
-    left = rare_first(texts.select(text), [text], trigrams(F.col(text)), counts, 20 * n).withColumn("prefix", prefix)
+    largest = names.agg(F.max(F.size(trigrams(F.col("alias"))))).first()[0] or 0
+    texts = texts.select(text).where(F.size(trigrams(F.col(text))) * threshold <= largest + _EPS)
+    left = rare_first(texts, [text], trigrams(F.col(text)), counts, 20 * n).withColumn("prefix", prefix)
     right = rare_first(names, ["alias", "row_pos"], trigrams(F.col("alias")), counts, 20 * n).withColumn("prefix", prefix)
     na, nb = F.size("_a"), F.size("_b")
     near = _joined(left, right, 20 * n).where(F.least(na, nb) >= threshold * F.greatest(na, nb) - _EPS)

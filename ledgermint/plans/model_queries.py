@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgermint.functions.lineage import materialise
-from ledgermint.operators import boosting, calibration, embedding, evaluate, jobs, learn, ml, preprocess, route, tuning
+from ledgermint.functions.text import cache_key
+from ledgermint.operators import calibration, embedding, evaluate, export, jobs, learn, ml, preprocess, route, tenancy, tuning
 from ledgermint.streaming import monitor
 
 from .fixture import txn, with_txn
@@ -51,6 +52,31 @@ def g24_misclassified(spark, sf):
     return evaluate.misclassified(evaluate.class_report(_voted(spark, sf)))
 
 
+# --- request cache and exports ----------------------------------------------------------------------------
+_CENTS = "cast(round(amount * 100) as bigint)"
+
+
+@query("j25_request_cache", with_txn(f", c AS (SELECT text, {_CENTS} AS cents, date, currency, min(label) AS category FROM txn WHERE flag = 'R' GROUP BY ALL) SELECT txn_key, sha256(concat_ws(chr(31), text, cast({_CENTS} as varchar), date, currency)) AS cache_key, c.category AS cached_category FROM txn t LEFT JOIN c USING (text, date, currency) WHERE c.cents IS NULL OR c.cents = cast(round(t.amount * 100) as bigint) UNION ALL SELECT txn_key, sha256(concat_ws(chr(31), text, cast({_CENTS} as varchar), date, currency)), NULL FROM txn t WHERE EXISTS (SELECT 1 FROM c WHERE c.text = t.text AND c.date = t.date AND c.currency = t.currency) AND NOT EXISTS (SELECT 1 FROM c WHERE c.text = t.text AND c.date = t.date AND c.currency = t.currency AND c.cents = cast(round(t.amount * 100) as bigint))"))
+def j25_request_cache(spark, sf):
+    """Requests looked up by text, amount, date and currency in the cache of returned ones."""
+    t = txn(spark, sf).withColumn("amount_cents", F.round(F.col("amount") * 100).cast("long"))
+    key = cache_key(*[F.col(c) for c in ("text", "amount_cents", "date", "currency")])
+    cache = t.where("flag = 'R'").groupBy(key.alias("cache_key")).agg(F.min("label").alias("category"))
+    return tenancy.with_cached(t, cache).select("txn_key", "cache_key", "cached_category")
+
+
+@query("k9_other_forms", with_txn("SELECT txn_key, text, label, round(abs(amount), 2) AS amount, date, 'ACCREC' AS type, text AS described, 1 AS quantity, round(abs(amount), 2) AS unit, '200' AS account FROM txn"))
+def k9_other_forms(spark, sf):
+    """The standard and the coded form, read again from their JSON."""
+    t = txn(spark, sf).withColumn("category", F.col("label")).withColumn("at", F.monotonically_increasing_id())
+    t = materialise(t.select("txn_key", "text", "category", "amount", "date", "at"))
+    standard, coded = (export.nested_json(t.withColumn("txn_key", F.col("at")), form).withColumnRenamed("json", form) for form in ("standard", "coded"))
+    get = lambda form, path: F.get_json_object(form, path)
+    both = t.select("txn_key", "at").join(standard.withColumnRenamed("txn_key", "at"), "at").join(coded.withColumnRenamed("txn_key", "at"), "at")
+    line = "$.LineItems[0]."
+    return both.select("txn_key", get("standard", "$.text").alias("text"), get("standard", "$.category").alias("label"), F.round(F.abs(get("standard", "$.amount").cast("double")), 2).alias("amount"), get("coded", "$.Date").alias("date"), get("coded", "$.Type").alias("type"), get("coded", f"{line}Description").alias("described"), get("coded", f"{line}Quantity").cast("int").alias("quantity"), F.round(get("coded", f"{line}UnitAmount").cast("double"), 2).alias("unit"), get("coded", f"{line}AccountCode").alias("account"))
+
+
 # --- labels by keywords ------------------------------------------------------------------------------------
 _KEYWORDS = "CASE " + " ".join("WHEN " + " OR ".join([*(f"contains(x, {q(w)})" for w in words), *(f"regexp_matches(x, {q(p)})" for p in patterns)]) + f" THEN '{label}'" for label, words, patterns in route.KEYWORD_LABELS) + " END"
 

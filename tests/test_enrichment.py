@@ -45,7 +45,7 @@ def test_preprocess(spark):
     rows = ['{"transaction":{"merchant_name":"ZOMATO LTD","amount":"1,234.5","status":"x"},"currency":"USD","date":"2024-01-05"}', "plain   text", '{"a":1,"b":{"c":2}}', "[1,2]", None, '{"merchant":{"name":"X","mcc":"5812"},"type":"SUCCESS"}', "y" * 600]
     got = [r.prepared for r in preprocess.preprocess(spark.createDataFrame([(r,) for r in rows], "text string")).collect()]
     assert got[0].text == "ZOMATO LTD USD 1,234.50" and got[0].date == "2024-01-05" and got[0].amount == 1234.5
-    assert [g.text for g in got[1:5]] == ["plain text", "a:1", "[1,2]", None]
+    assert [g.text for g in got[1:5]] == ["plain text", "a: 1, c: 2", "[1,2]", None]
     assert got[5].mcc == "5812" and got[5].text == "X" and len(got[6].text) == 500
 
 

@@ -144,6 +144,12 @@ def test_keyword_labels_in_order(spark):
     assert got[:2] == ["insurance", "charity_donations"] and got[-2:] == [None, None] and len(set(got[:12])) == 12
 
 
+def test_closest_category(spark):
+    ids = ["food_dining", "rent", "other"]
+    got = [r[0] for r in spark.createDataFrame([("Food",), ("the RENT of may",), ("zzz",), ("food_dining out",)], "t string").select(merchant_codes.closest_category(F.col("t"), ids)).collect()]
+    assert got == ["food_dining", "rent", "other", "food_dining"]
+
+
 def test_small_functions(spark):
     one = spark.createDataFrame([("A b--C!", "x {\"a\": {\"b\": 1}} y")], "a string, b string")
     r = one.select(text.slug(F.col("a")).alias("slug"), text.embedded_json(F.col("b")).alias("json"), text.jaccard(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b"), F.lit("c"))).alias("j")).first()
