@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+_STEPS = itertools.count(1)
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -23,6 +27,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def step(df: DataFrame, name: str) -> DataFrame:
+    """`df` with its rows counted as the metric `name`-number, which a stream reports with its progress.
+
+    Projections are not merged across the count and generated code ends at it, so that long expressions are planned
+    and compiled by steps without a write; it takes streams too.
+    """
+    return df.observe(f"{name}-{next(_STEPS)}", F.count(F.lit(1)).alias("rows"))
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A plain scan dealt over all cores, where its files are too small to occupy them; a larger one as it is."""
     cores = scan.sparkSession.sparkContext.defaultParallelism

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from ledgermint.functions.lineage import materialise
+from ledgermint.functions.lineage import materialise, step
 from ledgermint.functions.text import contains_any
 
 from .merchant_codes import category_id, classify_codes, code_in_text
+from .merchant_index import MerchantIndex
 from .normalize import normalize
 from .resolve import attach_merchant
 from .rules import Category, categorize_by_rules
@@ -29,7 +30,7 @@ def _exit_vote(v: Column, category: Column, confidence: Column, method: Column)
     )
 
 
-def categorize(df: DataFrame, taxonomy: list[Category], gazetteer: DataFrame, codes: DataFrame, cfg: Config = Config(), fuzzy: bool = True, compat: bool = False, text_search: bool = True) -> DataFrame:
+def categorize(df: DataFrame, taxonomy: list[Category], gazetteer: DataFrame | MerchantIndex, codes: DataFrame, cfg: Config = Config(), fuzzy: bool = True, compat: bool = False, text_search: bool = True) -> DataFrame:
     """Transactions (text, amount, date, mcc) with category, subcategory, confidence, method, requires_review, merchant_resolved, vote.
 
     Early exits: a sure rule; then the merchant that the whole text names (`text_search`), else the one
@@ -37,17 +38,22 @@ def categorize(df: DataFrame, taxonomy: list[Category], gazetteer: DataFrame, co
     columns ml_category, ml_conf, ml_alternatives, llm_category, llm_conf of `df`, where present.
 
     The normalised rows, and these with their rules, are written once, since merchants are resolved from
-    the distinct texts of those that no rule settles; only these are voted on.
+    the distinct texts of those that no rule settles; only these are voted on. With a `MerchantIndex` in the
+    gazetteer's place (whose own `fuzzy` holds) merchants are found in the row instead: nothing is written, no job
+    runs, and `df` may be a stream; its result is then written with `writeStream` as it is.
     """
     w = cfg.weights()
-    work = materialise(normalize(df, compat=compat))  # also keeps the generated code of each step within bounds
+    compiled = isinstance(gazetteer, MerchantIndex)
+    cut = step if compiled else lambda rows, _: materialise(rows)  # either also keeps the generated code of each step within bounds
+    work = cut(normalize(df, compat=compat), "normalised")
     work = categorize_by_rules(work, taxonomy, amount="amount", date="date", compat=compat)
     rule = F.col("rule_result")
     work = work.withColumn("rule_category", category_id(rule["category"])).withColumn("rule_conf", rule["confidence"])
-    work = materialise(work.withColumn("_ruled", F.coalesce(F.lit(w["rule"] > 0) & (F.col("rule_conf") >= cfg.rule_exit), F.lit(False))))
+    work = cut(work.withColumn("_ruled", F.coalesce(F.lit(w["rule"] > 0) & (F.col("rule_conf") >= cfg.rule_exit), F.lit(False))), "ruled")
     open_ = lambda c: F.when(~F.col("_ruled"), F.col(c))
     work = work.withColumn("_name", open_("merchant")).withColumn("_text", open_("text"))
-    work = attach_merchant(work, gazetteer, "_name", cfg.name_least, fuzzy, "_text" if text_search else None, cfg.text_least)
+    whole = "_text" if text_search else None
+    work = gazetteer.attach(work, "_name", cfg.name_least, whole, cfg.text_least) if compiled else attach_merchant(work, gazetteer, "_name", cfg.name_least, fuzzy, whole, cfg.text_least)
     work = classify_codes(work.withColumn("_mcc", F.coalesce("mcc", code_in_text(F.col("text")))), codes, "_mcc").withColumn("mcc_category", category_id(F.col("mcc_category")))
     refund = contains_any(F.lower(F.coalesce("text", F.lit(""))), REFUND_WORDS)
     by_merchant = F.lit(w["mcc"] + w["rule"] + w["llm"] > 0) & (F.col("merchant_score") >= cfg.merchant_exit) & ~refund
@@ -71,7 +77,10 @@ def categorize(df: DataFrame, taxonomy: list[Category], gazetteer: DataFrame, co
 
 
 def stream_categorize(transactions: DataFrame, sink: Callable[[DataFrame, int], None], taxonomy: list[Category], gazetteer: DataFrame, codes: DataFrame, **options) -> DataStreamWriter:
-    """A stream of transactions routed batch by batch as `categorize` does; `sink` takes each routed batch and its number, which makes writes repeatable."""
+    """A stream of transactions routed batch by batch, for gazetteers too large for an index; `sink` takes each routed batch and its number, which makes writes repeatable.
+
+    With a `MerchantIndex`, `categorize` takes the stream itself.
+    """
     return transactions.writeStream.foreachBatch(lambda rows, number: sink(categorize(rows, taxonomy, gazetteer, codes, **options), number))
 
 
