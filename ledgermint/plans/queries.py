@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgermint.functions.lineage import materialise
 from ledgermint.functions.predicates import first_of_sql
-from ledgermint.operators import dataset, evaluate, export, external, jobs, learn, merchant_codes, ml, normalize, preprocess, resolve, route, rules, tenancy, vote
+from ledgermint.operators import dataset, evaluate, export, external, jobs, learn, merchant_codes, merchant_index, ml, normalize, preprocess, resolve, route, rules, tenancy, vote
 from ledgermint.sources import readers
 from ledgermint.streaming import monitor
 
@@ -308,6 +308,13 @@ def c12_route(spark, sf):
     return _routed(spark, sf).groupBy("template", "method", "category").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("avg_confidence"), F.count_if("requires_review").alias("reviews"))
 
 
+@query("z1_indexed_route", with_txn("SELECT template, method, category, count(*) AS n, round(avg(confidence), 6) AS avg_confidence, count_if(review) AS reviews FROM d7 GROUP BY ALL", NORMAL_SQL, RULES_SQL, ROUTE_SQL))
+def z1_indexed_route(spark, sf):
+    """The route in one plan, as a stream runs it: merchants from a compiled index, nothing written on the way."""
+    routed = route.categorize(txn(spark, sf), TAXONOMY, merchant_index.compile_index(gazetteer(spark)), merchant_codes.code_table(spark))
+    return routed.groupBy("template", "method", "category").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("avg_confidence"), F.count_if("requires_review").alias("reviews"))
+
+
 @query("n30_answers", with_txn("SELECT method, count(*) AS n, count_if(review) AS reviews, sum(CASE WHEN way IS NULL AND mcc_category <> rule_category THEN 1 ELSE 0 END) AS alternatives, count(DISTINCT category) AS categories FROM d7 GROUP BY method", NORMAL_SQL, RULES_SQL, ROUTE_SQL))
 def n30_answers(spark, sf):
     """Routed rows as answers: every alternative carries the winner's method."""

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,7 +56,7 @@ def test_a_stream_is_one_plan(spark, tmp_path, monkeypatch):
     rows.write.parquet(f"{tmp_path}/in")
     codes, g = merchant_codes.code_table(spark), gazetteer(spark)
     shown = ["txn_key", "category", "subcategory", "confidence", "method", "requires_review", "merchant_resolved", "merchant_score"]
-    want = {r.txn_key: tuple(r) for r in route.categorize(rows, TAXONOMY, g, codes).select(*shown).collect()}
+    want = Counter(tuple(r) for r in route.categorize(rows, TAXONOMY, g, codes).select(*shown).collect())  # keys repeat in this table
     index = merchant_index.compile_index(g)
 
     def refused(_):
@@ -69,9 +70,9 @@ def test_a_stream_is_one_plan(spark, tmp_path, monkeypatch):
     q.awaitTermination()
     assert len(q.recentProgress) >= 3 and not q.lastProgress["stateOperators"]
     out = spark.read.parquet(f"{tmp_path}/out")
-    assert {r.txn_key: tuple(r) for r in out.collect()} == want and out.count() == len(want)
+    assert Counter(tuple(r) for r in out.collect()) == want and want.total() > 500
     # a second start reads only what is new
     rows.limit(1).select(F.lit(-1).cast("long").alias("txn_key"), *rows.columns[1:]).write.mode("append").parquet(f"{tmp_path}/in")
     q = routed.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/out").count() == len(want) + 1
+    assert spark.read.parquet(f"{tmp_path}/out").count() == want.total() + 1
