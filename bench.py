@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from ledgermint.plans.registry import queries
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-HEADLINE = ["n20_normalize", "c1_rule_cascade", "j7_merchant_codes", "j2_exact_and_substring", "c10_vote", "c12_route", "g8_class_report", "w7_balance", "w5_rate_limit", "z5_quantiles"]
+HEADLINE = ["n20_normalize", "c1_rule_cascade", "j7_merchant_codes", "j2_exact_and_substring", "c10_vote", "c12_route", "g8_class_report", "w7_balance", "w5_rate_limit", "z5_quantiles", "z1_indexed_route"]
 
 
 def main() -> None:
