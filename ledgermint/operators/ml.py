@@ -99,12 +99,16 @@ def centroids(df: DataFrame, embedding: str = "embedding", label: str = "label")
 
 
 def nearest_label(df: DataFrame, centres: DataFrame, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(key, pred, distance): the label whose centroid is nearest; `centres` has a row per label, and goes into each row's expression as one array."""
+    """(key, pred, distance): the label whose centroid is nearest, distances compared to 9 digits and ties to the smaller label; `centres` has a row per label, and goes into each row's expression as one array.
+
+    `distance` is not rounded, so that a caller who rounds it rounds once.
+    """
     listed = [(r["label"], [float(x) for x in r["centroid"]]) for r in centres.select("label", "centroid").collect()]
     kind = dict(centres.dtypes)["label"]
     literal = F.array(*[F.struct(F.lit(l).cast(kind).alias("label"), F.array(*[F.lit(x) for x in c]).alias("centre")) for l, c in sorted(listed, key=lambda x: str(x[0]))])
-    gap = lambda c: F.round(F.aggregate(F.zip_with(embedding, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x), 9)
-    best = F.array_min(F.transform(literal, lambda c: F.struct(gap(c["centre"]).alias("distance"), c["label"].alias("pred"))))
+    gap = lambda c: F.aggregate(F.zip_with(embedding, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    gaps = F.transform(literal, lambda c: F.struct(gap(c["centre"]).alias("distance"), c["label"].alias("pred")))
+    best = F.array_min(F.transform(gaps, lambda g: F.struct(F.round(g["distance"], 9).alias("near"), g["pred"].alias("pred"), g["distance"].alias("distance"))))
     return df.select(key, best.alias("b")).select(key, "b.pred", "b.distance")
 
 

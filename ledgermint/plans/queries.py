@@ -850,7 +850,7 @@ def z2_ttl_cache(spark, sf):
 
 # --- models --------------------------------------------------------------------------------------------
 @query("m5_nearest_centroid", """WITH e AS (SELECT vec_id, label, unnest(embedding)::double AS x, unnest(range(len(embedding))) AS i FROM embeddings), c AS (SELECT label AS l, i, avg(x) AS m FROM e GROUP BY ALL), d AS (SELECT vec_id, l, sum((x - m) * (x - m)) AS g FROM e JOIN c ON e.i = c.i GROUP BY ALL)
-SELECT d.vec_id, arg_min(l, {'g': round(g, 6), 'l': l}) AS pred, round(min(g), 3) AS distance, any_value(v.label) AS label FROM d JOIN embeddings v ON d.vec_id = v.vec_id GROUP BY d.vec_id""")
+SELECT d.vec_id, arg_min(l, {'g': round(g, 9), 'l': l}) AS pred, round(arg_min(g, {'g': round(g, 9), 'l': l}), 3) AS distance, any_value(v.label) AS label FROM d JOIN embeddings v ON d.vec_id = v.vec_id GROUP BY d.vec_id""")
 def m5_nearest_centroid(spark, sf):
     e = read(spark, sf, "embeddings")
     return ml.nearest_label(e, ml.centroids(e)).join(e.select("vec_id", "label"), "vec_id").withColumn("distance", F.round("distance", 3))

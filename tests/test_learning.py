@@ -217,3 +217,19 @@ def test_queue_priority_and_retrain_points(spark):
     assert [r.pos for r in learn.retrain_points(spark.createDataFrame([(i,) for i in range(1, 151)], "pos int")).orderBy("pos").collect()] == [50, 100, 150]
     weights = [r.w for r in spark.createDataFrame([("2024-01-10",), ("2024-01-09",), (None,)], "d string").select(dataset.recency_weight(F.to_date("d"), F.to_date(F.lit("2024-01-10"))).alias("w")).collect()]
     assert weights[0] == 1.0 and weights[1] == pytest.approx(0.99)
+
+
+def test_nearest_centroid_and_its_sql_take_near_ties_and_round_once(spark, tmp_path):
+    import duckdb
+
+    from ledgermint.plans import queries
+
+    rows = [(1, [-1.0000001], 1), (2, [1.0], 2), (3, [0.0], 3), (4, [100.0], 3), (5, [1.0 + 0.00049999996**0.5], 3), (6, [1.0], 4), (7, [1.0], 4)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: (r.pred, r.distance, r.label) for r in queries.m5_nearest_centroid(spark, str(tmp_path)).collect()}
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == {r[0]: r[1:] for r in duck.execute(queries.SQL["m5_nearest_centroid"]).fetchall()}
+    assert got[3][0] == 2  # nearer by 2e-7
+    assert got[5][1] == 0.0  # 0.0005 after nine digits, which would round up
+    assert got[6][0] == 2  # a tie goes to the smaller label
