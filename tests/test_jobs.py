@@ -215,3 +215,22 @@ def test_entry_without_the_subpackage(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') for n in e.queries()))"], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=False)
     assert out.stdout.split()[1] == "False", out.stderr
+
+
+def test_totals_of_a_report_judge_each_row_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def judged(label):
+        seen.add(1)
+        return label if label != "b" else "a"
+
+    rows = spark.createDataFrame([(x,) for x in "aabbbc"], "label string").withColumn("pred", judged("label"))
+    for made, want in ((evaluate.report_totals, [(3, 6, 3, 1, 1)]), (evaluate.misclassified, [("b", 3, 3, 0.0)])):
+        seen.value = 0
+        assert [tuple(r) for r in made(evaluate.class_report(rows)).collect()] == want
+        assert seen.value == 6
+    for made in (evaluate.summary, evaluate.best_and_worst):
+        seen.value = 0
+        made(evaluate.class_report(rows)).collect()
+        assert seen.value == 6
