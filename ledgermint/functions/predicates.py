@@ -2,7 +2,7 @@
 
 A predicate names fields (`lower`, `upper`, `channel`, `amount` ...); the caller says which column
 each field is. A few hundred words in dozens of lists are looked for in one pass over the text: a
-`WordIndex` turns them into one regular expression, factored by common beginnings, and gives the lists
+`WordIndex` turns them into one table of steps, which batches of texts go through in Arrow, and gives the lists
 that the text has a word of; a list of words is then a lookup in a short array of numbers. Without an
 index, words are looked for one by one.
 """
@@ -14,8 +14,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def searched(pattern: str) -> str:
@@ -174,21 +178,18 @@ class Equals(Predicate):
         return f"coalesce({fields[self.field]} = {self.value}, false)"
 
 
-def _written(tree: dict) -> str:
-    """A regular expression for the words of a tree of characters, the longest first; the key "" ends a word."""
-    branches = []
-    for c, below in sorted((c, below) for c, below in tree.items() if c):
-        rest = _written(below)
-        if "" in below and rest:
-            rest = f"(?:{rest})?"
-        elif len(below) > 1:
-            rest = f"(?:{rest})"
-        branches.append((c if c.isalnum() or c == " " else "\\" + c) + rest)
-    return "|".join(branches)
+#: Bytes of a text that are stepped through at once; a longer text is cut into pieces that overlap by the longest word.
+PIECE = 256
+#: Pieces that are stepped through together; bounds the memory of a Python worker.
+TOGETHER = 1 << 16
 
 
 class WordIndex:
-    """Lists of ASCII words, by number, that one pass over a text looks for as substrings."""
+    """Lists of ASCII words, by number, that one pass over a text looks for as substrings.
+
+    The words are a tree of characters whose every place knows, for each next character, the place of the longest
+    beginning of a word that ends there (Aho-Corasick). All texts of a batch take a step together.
+    """
 
     def __init__(self, lists: list[tuple[str, ...]]):
         self.lists = {words: i for i, words in enumerate(dict.fromkeys(lists))}
@@ -196,21 +197,69 @@ class WordIndex:
         for words, i in self.lists.items():
             for w in words:
                 of.setdefault(w, set()).add(i)
-        # at a place the longest word is found, and the words it begins with stand there as well
-        self.of = {w: sorted(set().union(*(of[v] for v in of if w.startswith(v)))) for w in of}
-        tree: dict = {}
-        for w in of:
-            at = tree
-            for c in w:
-                at = at.setdefault(c, {})
-            at[""] = {}
-        self.pattern = f"(?=({_written(tree)}))"
+        self.longest = max(map(len, of), default=1)
+        letters = sorted(set("".join(of)))
+        self.code_of = np.zeros(256, np.intp)  # 0: in no word
+        self.code_of[[ord(c) for c in letters]] = range(1, len(letters) + 1)
+        tree, ends = [{}], [set()]
+        for w, numbers in of.items():
+            at = 0
+            for c in w.encode("ascii"):
+                if c not in tree[at]:
+                    tree[at][c] = len(tree)
+                    tree.append({})
+                    ends.append(set())
+                at = tree[at][c]
+            ends[at] |= numbers
+        step, shorter, places = np.zeros((len(tree), len(letters) + 1), np.intp), [0] * len(tree), [0]
+        for at in places:  # grows: a place comes after all shorter beginnings
+            ends[at] = ends[at] | ends[shorter[at]]
+            step[at] = step[shorter[at]]
+            for c, below in tree[at].items():
+                shorter[below] = int(step[at, self.code_of[c]]) if at else 0
+                step[at, self.code_of[c]] = below
+                places.append(below)
+        self.step = step.astype(np.int32)
+        self.numbers = np.array([i for found in ends for i in sorted(found)], np.int32)
+        self.begin = np.cumsum([0, *map(len, ends)])
+
+    def numbers_in(self, texts: pa.Array) -> pa.Array:
+        """The numbers of the lists that have a word in each text, ascending; null for a null text."""
+        plain = pc.fill_null(texts.cast(pa.large_string()), "").cast(pa.large_binary())
+        _, offsets, data = plain.buffers()
+        at = np.frombuffer(offsets, np.int64)[plain.offset : plain.offset + len(plain) + 1]
+        data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+        apart, size = max(1, PIECE - self.longest + 1), np.diff(at)
+        pieces = np.maximum(1, -(-(size - self.longest + 1) // apart))
+        row = np.repeat(np.arange(len(plain)), pieces)
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin, end = at[row] + nth * apart, at[row + 1]
+        length = np.minimum(end - begin, apart + self.longest - 1)
+        found = [np.empty(0, np.int64)]
+        for a in range(0, len(row), TOGETHER):
+            order = a + np.argsort(-length[a : a + TOGETHER], kind="stable")
+            first, left = begin[order], np.searchsorted(-length[order], -np.arange(length[order[0]]), "left")
+            place = np.zeros(len(order), np.intp)
+            for i, n in enumerate(left):  # the n pieces that are longer than i
+                place[:n] = self.step[place[:n], self.code_of[data[first[:n] + i]]]
+                hit = np.flatnonzero(self.begin[place[:n] + 1] > self.begin[place[:n]])
+                if len(hit):
+                    some = self.begin[place[hit] + 1] - self.begin[place[hit]]
+                    which = np.repeat(self.begin[place[hit]] - np.cumsum(some) + some, some) + np.arange(some.sum())
+                    found.append(np.repeat(row[order[hit]], some) * len(self.lists) + self.numbers[which])
+        each = np.unique(np.concatenate(found))
+        cuts = np.searchsorted(each, np.arange(len(plain) + 1) * max(1, len(self.lists)))
+        lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(each % max(1, len(self.lists)), pa.int32()))
+        return pc.if_else(pc.is_valid(texts), lists, pa.scalar(None, lists.type)) if texts.null_count else lists
 
     def found(self, text: Column) -> Column:
         """The numbers of the lists that have a word in the text; null for a null text."""
-        numbers = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*[F.lit(i) for i in x]) for kv in self.of.items() for x in kv])
-        words = F.array_distinct(F.regexp_extract_all(text, F.lit(self.pattern), F.lit(1)))
-        return F.array_distinct(F.flatten(F.transform(words, lambda w: F.element_at(numbers, w))))
+
+        @F.arrow_udf(T.ArrayType(T.IntegerType()))
+        def lists_of(texts: pa.Array) -> pa.Array:
+            return self.numbers_in(texts)
+
+        return lists_of(text)
 
 
 def indexed(predicates: list[Predicate], field: str) -> WordIndex:

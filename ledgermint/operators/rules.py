@@ -6,6 +6,7 @@ Scores of the fall-back are sums per category inside the row, so no rule ever ne
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -33,6 +34,9 @@ FIRST_NAMES = (
     r"\b(neetu|priya|pooja|ritu|sonia|anita|asha|deepa|geeta|kavita|meera|nisha|rekha|seema|suman|sunita|usha|veena)\b",
 )
 NAME_NOT_BEFORE = r"\s+(?:shop|store|mart|stall)"
+#: Words of which each text that the patterns of full and of first names match has one.
+FULL_NAME_WORDS = tuple(w for p in FULL_NAMES for w in p[3 : p.index(")")].split("|"))
+FIRST_NAME_WORDS = tuple(w for p in FIRST_NAMES for w in p[3 : p.index(")")].split("|"))
 UPI_CONTEXT = ("PAID TO", "UPI/", "@", "UPI-")
 BANK_FEES = (r"micro\s+atm\s+(wdl|gst|fee|charge)", r"micro\s+atm.*(fee|gst|tax)", r"atm\s+(wdl|withdrawal)\s+(fee|charge|gst)", r"debit\s+card\s+(fee|charge|amc)", r"sms\s+alert\s+(fee|charge)", r"min\s+bal\s+(charge|fee)", r"imbs\s+fee", r"neft\s+fee", r"rtgs\s+fee")
 ATM_FEES, ATM_WORDS = ("FEE", "GST", "TAX", "CHARGE"), ("ATM CASH", "ATM WDL", "ATM WITHDRAWAL", "CASH WITHDRAWAL")
@@ -98,13 +102,13 @@ def _up(*words: str) -> Has:
     return Has("upper", words)
 
 
-_VI = Finds("lower", (r"\bvi\b",))
+_VI = Finds("lower", (r"\bvi\b",), needs=("vi",))
 _GST = Finds("lower", GST, needs=("gst",))
 CASCADE: list[Rule] = [
     Rule("transfer_refund", "transfers_upi", "Refund", HIGH, _up(*REFUND) & _up(*TRANSFER), explains="refund_keyword+transfer_channel"),
     Rule("refund", "income_salary", "Refunds", HIGH, _up(*REFUND), explains="refund_keyword"),
     *[Rule(f"shop_{i}", c, s, MEDIUM, Finds("lower", (p,), needs=SHOP_WORDS), explains="local_shop_pattern") for i, (p, c, s) in enumerate(SHOPS)],
-    Rule("person_name_upi", "transfers_upi", "Peer to Peer", MEDIUM, (Finds("lower", FULL_NAMES) | Finds("lower", FIRST_NAMES, NAME_NOT_BEFORE)) & _up(*UPI_CONTEXT), explains="person_name_pattern+upi_context"),
+    Rule("person_name_upi", "transfers_upi", "Peer to Peer", MEDIUM, (Finds("lower", FULL_NAMES, needs=FULL_NAME_WORDS) | Finds("lower", FIRST_NAMES, NAME_NOT_BEFORE, FIRST_NAME_WORDS)) & _up(*UPI_CONTEXT), explains="person_name_pattern+upi_context"),
     Rule("bank_fee", "fees_charges", "Bank Fees", HIGH, Finds("lower", BANK_FEES, needs=BANK_FEE_WORDS), explains="bank_fee_pattern"),
     Rule("atm", "atm_cash", "Cash Withdrawal", HIGH, ~_up(*ATM_FEES) & (Is("channel", ("ATM",)) | _up(*ATM_WORDS)), explains="atm_channel_or_keyword"),
     Rule("mortgage", "rent", "Mortgage/Home Loan", HIGH, _up(*MORTGAGE), explains="mortgage_keyword"),
@@ -246,6 +250,14 @@ def keywords_in(text: Column, taxonomy: list[Category]) -> Column:
     return F.flatten(F.transform(index.found(text), lambda i: F.get(places, i)))
 
 
+def _pattern_test(low: Column, pattern: str) -> Column:
+    """Whether a pattern is found; one that lists plain words is a search for these."""
+    plain = re.fullmatch(r"\(?([a-z0-9 ]+(?:\|[a-z0-9 ]+)*)\)?", pattern)
+    if plain is None or pattern.startswith("(") != pattern.endswith(")"):
+        return low.rlike(pattern)
+    return reduce(lambda a, b: a | b, [low.contains(w) for w in plain[1].split("|")])
+
+
 def keyword_scores(fields: dict[str, Column], taxonomy: list[Category]) -> Column:
     """array<struct<score, order, category>>, one for each category that scores: 1 for each keyword, 1.2 for each pattern, and the hints.
 
@@ -256,7 +268,7 @@ def keyword_scores(fields: dict[str, Column], taxonomy: list[Category]) -> Colum
     category_of = F.array(*[F.lit(i) for _, i, _ in _keywords(taxonomy)])
     words = F.transform(keywords_in(low, taxonomy), lambda k: F.struct(F.get(category_of, k).alias("pos"), F.lit(1.0).alias("score")))
     always = [point(i, 1.2) for i, c in enumerate(taxonomy) for p in c.patterns if p == ".*"]
-    found = [F.when(low.rlike(searched(p.lower())), point(i, 1.2)) for i, c in enumerate(taxonomy) for p in c.patterns if p != ".*"]
+    found = [F.when(_pattern_test(low, searched(p.lower())), point(i, 1.2)) for i, c in enumerate(taxonomy) for p in c.patterns if p != ".*"]
     for group in HINTS:
         hint = None
         for p, category, score in group:

@@ -174,3 +174,41 @@ def test_batches_under_other_names(spark):
     df = spark.createDataFrame([(1, None, "UPI-1-ZOMATO PAY", "2024-01-05"), (2, "ATM WDL 5", "x", None)], "k int, text string, description string, timestamp string")
     got = {r.k: (r.channel, r.currency, str(r.norm_date)) for r in normalize.normalize_batch(df).collect()}
     assert got == {1: ("UPI", "INR", "2024-01-05"), 2: ("ATM", "INR", "None")}
+
+
+def test_word_index_finds_the_lists_of_all_words_in_one_pass():
+    import random
+
+    import pyarrow as pa
+    from ledgermint.functions.predicates import PIECE, WordIndex
+
+    rng = random.Random(4)
+    index = WordIndex([("a", "ab"), ("bab", "b c"), ("abab",), ("c" * 20, "x1"), ("a", "ab")])
+    texts = [None, "", "é ab", "z" * (PIECE - 2) + "abab" + "z" * PIECE, "z" * 236 + "c" * 20, "ab" * 2000]
+    texts += ["".join(rng.choice(["a", "b", " c", "c" * 19, "x", "1", "日"]) for _ in range(rng.choice([1, 3, 8, 400]))) for _ in range(300)]
+    want = [None if t is None else sorted(i for words, i in index.lists.items() if any(w in t for w in words)) for t in texts]
+    assert index.numbers_in(pa.array(texts)).to_pylist() == want
+    assert index.numbers_in(pa.array(["x", *texts])[1:]).to_pylist() == want
+    assert WordIndex([]).numbers_in(pa.array(["a", None])).to_pylist() == [[], None]
+
+
+def test_words_are_looked_for_without_regular_expressions(spark):
+    rows = spark.createDataFrame([("PAID TO RAHUL NETFLIX", "UPI", 5.0), (None, None, None)], "search_text string, channel string, amount double")
+    ruled, _ = rules.with_cascade(rows, rules.fields_of(F.col("search_text"), F.col("channel"), F.col("amount")))
+    plan = ruled._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and plan.count("lists_of") == 2
+    assert [rules.CASCADE[r[0] - 1].name if r[0] else None for r in ruled.select("_rule").collect()] == ["person_name_upi", None]
+
+
+def test_texts_without_a_needed_word_match_no_pattern(spark):
+    import random
+
+    rng = random.Random(9)
+    parts = ["UPI", "imps-", "Neft ", "RTGS", "pos ", "ATM WDL", "card", "Debit", "CREDIT", "REF", "txn#", "transaction", "RRN:", "AT", "@ ", "in ", "Mumbai", "to ", "*PAY", "-pmt", "paid to ", "FROM ", "inr", "Rs ", "₹", "12", "1,200.5", "5 jan 24", "2024-01-05", "7/8/2024", "/", "-", " "]
+    rows = spark.createDataFrame([(i, "".join(rng.choice(parts) for _ in range(rng.randrange(1, 7)))) for i in range(3000)], "i int, t string")
+    t = F.col("t")
+    for p in normalize.NEEDS:
+        assert rows.where(t.rlike(p) & ~normalize.may_match(t, p)).count() == 0
+    for p in (*normalize.REFERENCES, *normalize.LOCATIONS, *normalize.MERCHANTS):
+        assert rows.where(~normalize.searched(t, p).eqNullSafe(T.found(t, p))).count() == 0
+    assert rows.select(normalize.clean_text(t)).collect() == rows.select(F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(t, "₹", ""), r"\s+", " ")), r"[^\w\s\-./:*@]", ""), r"[\-./:*@]{2,}", ""))).collect()
