@@ -15,9 +15,14 @@ _MARKED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçè
 _BARE = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
 
 
+def is_ascii(text: Column) -> Column:
+    """Whether a text has no character beyond ASCII, by its lengths."""
+    return F.is_valid_utf8(text) & (F.octet_length(text) == F.char_length(text))
+
+
 def ascii_fold(text: Column) -> Column:
     """Latin letters without their marks; other characters beyond ASCII go."""
-    return F.regexp_replace(F.translate(text, _MARKED, _BARE), r"[^\x00-\x7F]", "")
+    return F.when(is_ascii(text), text).otherwise(F.regexp_replace(F.translate(text, _MARKED, _BARE), r"[^\x00-\x7F]", ""))
 
 
 @F.arrow_udf(T.StringType())
@@ -27,8 +32,9 @@ def nfkd_ascii(text: pa.Array) -> pa.Array:
 
 
 def collapse(text: Column) -> Column:
-    """Runs of white space as one space, trimmed."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    """Runs of white space as one space, trimmed. Texts of ASCII without any run are left as they are."""
+    single = is_ascii(text) & ~contains_any(text, ("  ", "\t", "\n", "\x0b", "\x0c", "\r"))
+    return F.trim(F.when(single, text).otherwise(F.regexp_replace(text, r"(?U)\s+", " ")))
 
 
 def found(text: Column, pattern: str, group: int = 1) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgermint.functions.text import ascii_fold, collapse, contains_any, first_date, first_found, found, number, parsed_date, share_of, word_count
+from ledgermint.functions.text import ascii_fold, collapse, contains_any, first_date, found, number, parsed_date, share_of, word_count
 
 # The patterns of each channel, in order; a channel is the first any of whose patterns is found.
 CHANNELS: dict[str, list[str]] = {
@@ -27,6 +27,13 @@ MERCHANTS = [r"(?i)\bTO\s+([A-Z][A-Z0-9\s]+)", r"(?i)([A-Za-z0-9]+)[\*\-](?:PAY|
 AMOUNTS = [r"(?i)(?:INR|RS|₹)\s*([0-9,]+\.?\d*)", r"(?i)([0-9,]+\.?\d*)\s*(?:INR|RS|₹)"]
 #: Year first, else the day-first pattern takes the end of an ISO date.
 DATES = [r"(\d{4}[-/]\d{1,2}[-/]\d{1,2})", r"(\d{1,2}[-/]\d{1,2}[-/]\d{2,4})", r"(?i)(\d{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{2,4})"]
+#: Words, in capitals, of which each text that one of the patterns matches has one; others are not searched.
+NEEDS: dict[str, tuple[str, ...]] = {p: ("CARD", "DEBIT", "CREDIT") if c == "CARD" else (c,) for c, ps in CHANNELS.items() for p in ps}
+NEEDS |= dict(zip(REFERENCES, (("REF",), ("TXN",), ("TRANSACTION",), ("RRN",)), strict=True)) | {LOCATIONS[1]: ("AT", "@", "IN")}
+NEEDS |= dict(zip(MERCHANTS, (("TO",), ("PAY", "PMT"), ("PAID", "FROM")), strict=True)) | {p: ("INR", "RS", "\u20b9") for p in AMOUNTS}
+NEEDS |= dict(zip(DATES, (("-", "/"), ("-", "/"), ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")), strict=True))
+#: Words that a text without a named merchant loses.
+NO_NAMES = ("TRANSACTION", "PAYMENT", "PURCHASE", "ORDER", "BILL")
 #: Short forms.
 ABBREVIATIONS = {"txn": "transaction", "ref": "reference", "pymnt": "payment", "pmt": "payment", "rcvd": "received", "wdl": "withdrawal", "dep": "deposit", "chq": "cheque", "ck": "cheque"}
 # Words of the flag features.
@@ -40,6 +47,21 @@ FLAG_WORDS = {
 }
 
 
+def may_match(text: Column, *patterns: str) -> Column:
+    """Whether a text has a word that one of the patterns needs."""
+    return contains_any(F.upper(text), tuple(dict.fromkeys(w for p in patterns for w in NEEDS[p])))
+
+
+def searched(text: Column, pattern: str, group: int = 1) -> Column:
+    """A group of a pattern's first match, else null, of texts that may match."""
+    test = may_match(text, pattern) if pattern in NEEDS else text != F.upper(text)  # the first place pattern needs a small letter
+    return F.when(test, found(text, pattern, group))
+
+
+def first_searched(text: Column, patterns: list[str]) -> Column:
+    return F.coalesce(*[searched(text, p) for p in patterns])
+
+
 def clean_text(text: Column) -> Column:
     """ASCII, single spaces, only word characters and - . / : * @, without runs of those marks."""
     t = F.regexp_replace(collapse(ascii_fold(text)), r"[^\w\s\-./:*@]", "")
@@ -54,7 +76,7 @@ def expand_abbreviations(text: Column) -> Column:
 def channel_of(text: Column) -> Column:
     out = None
     for name, patterns in CHANNELS.items():
-        test = text.rlike("|".join(f"(?:{p})" for p in patterns))
+        test = may_match(text, *patterns) & text.rlike("|".join(f"(?:{p})" for p in patterns))
         out = F.when(test, name) if out is None else out.when(test, name)
     return out
 
@@ -62,9 +84,10 @@ def channel_of(text: Column) -> Column:
 def merchant_of(text: Column, channel: Column, compat: bool = False) -> Column:
     """The merchant a text names. For UPI, IMPS and POS the first matching pattern decides, even where its group is empty."""
     groups = COMPAT_GROUP if compat else NAME_GROUP
-    generic = F.trim(first_found(text, MERCHANTS))
-    rest = F.regexp_replace(F.regexp_replace(text, r"^\W+|\W+$", ""), r"\s+\d{6,}.*$", "")
-    rest = F.trim(F.regexp_replace(rest, r"(?i)\b(transaction|payment|purchase|order|bill)\b", ""))
+    generic = F.trim(first_searched(text, MERCHANTS))
+    edged = F.left(text, F.lit(1)).rlike(r"\W") | F.right(text, F.lit(1)).rlike(r"\W")
+    rest = F.regexp_replace(F.when(edged, F.regexp_replace(text, r"^\W+|\W+$", "")).otherwise(text), r"\s+\d{6,}.*$", "")
+    rest = F.trim(F.when(contains_any(F.upper(text), NO_NAMES), F.regexp_replace(rest, r"(?i)\b(transaction|payment|purchase|order|bill)\b", "")).otherwise(rest))
     other = F.coalesce(generic, F.when(F.length(rest) >= 3, rest))
     out = None
     for name in groups:
@@ -82,13 +105,13 @@ def normalize(df: DataFrame, text: str = "text", amount: str | None = "amount",
     raw = F.coalesce(F.col(text), F.lit(""))
     work = df.withColumn("cleaned_text", clean_text(raw))
     t = F.col("cleaned_text")
-    work = work.withColumn("channel", channel_of(t)).withColumn("reference", first_found(t, REFERENCES)).withColumn("location", first_found(t, LOCATIONS))
+    work = work.withColumn("channel", channel_of(t)).withColumn("reference", first_searched(t, REFERENCES)).withColumn("location", first_searched(t, LOCATIONS))
     work = work.withColumn("pattern_merchant", merchant_of(t, F.col("channel"), compat))
     given = F.col(date).cast("string") if date else F.lit(None).cast("string")
-    amounts = [number(found(raw, p), "decimal(15,2)") for p in AMOUNTS]
+    amounts = [number(searched(raw, p), "decimal(15,2)") for p in AMOUNTS]
     work = work.withColumn("merchant", F.coalesce(F.col(merchant), F.col("pattern_merchant")) if merchant else F.col("pattern_merchant"))
     work = work.withColumn("norm_amount", F.coalesce(*([F.col(amount).cast("decimal(15,2)")] if amount else []), *amounts))
-    work = work.withColumn("norm_date", F.when(given.isNotNull() & (given != ""), parsed_date(given)).otherwise(first_date([found(raw, p) for p in DATES])))
+    work = work.withColumn("norm_date", F.when(given.isNotNull() & (given != ""), parsed_date(given)).otherwise(first_date([searched(raw, p) for p in DATES])))
     mark = lambda name, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{name}:"), F.col(c)))
     return work.withColumn("search_text", F.concat_ws(" ", t, mark("channel", "channel"), mark("merchant", "pattern_merchant"), mark("location", "location")))
 
