@@ -30,13 +30,16 @@ def words_of(text: Column) -> Column:
 
 
 def cooccurrence(texts: DataFrame, text: str = "text", window: int = 4) -> DataFrame:
-    """(word, other, n): how often two words stand at most `window` places apart in a text, both ways, counted over all texts. Equal texts are counted once and weighed."""
-    distinct = texts.groupBy(F.col(text).alias("_x")).agg(F.count("*").alias("_m"))
-    placed = distinct.select("_m", words_of(F.col("_x")).alias("_w"))
+    """(word, other, n): how often two words stand at most `window` places apart in a text, both ways, counted over all texts.
+
+    Texts of equal words, which may differ in their numbers, are counted once and weighed. The counts are written, since
+    totals and values are made of them.
+    """
+    placed = texts.select(words_of(F.col(text)).alias("_w")).groupBy("_w").agg(F.count("*").alias("_m"))
     near = F.flatten(F.transform("_w", lambda w, i: F.transform(F.slice("_w", i + 2, window), lambda o: F.struct(w.alias("word"), o.alias("other")))))
     pairs = placed.where(F.size("_w") > 1).select("_m", F.explode(near).alias("p")).groupBy("p.word", "p.other").agg(F.sum("_m").alias("n"))
     both = pairs.unionByName(pairs.select(F.col("other").alias("word"), F.col("word").alias("other"), "n"))
-    return both.groupBy("word", "other").agg(F.sum("n").alias("n"))
+    return materialise(both.groupBy("word", "other").agg(F.sum("n").alias("n")))
 
 
 def information(pairs: DataFrame, least: int = 1) -> DataFrame:
