@@ -92,8 +92,8 @@ def coded_csv(df: DataFrame, tax: float = TAX_RATE) -> DataFrame:
     return df.select(*[v.alias(c) for v, c in zip(values, CODED_COLUMNS, strict=True)])
 
 
-def nested_json(df: DataFrame, form: str = "standard") -> DataFrame:
-    """(txn_key, json): one document per transaction in one of three forms; fields without value stay."""
+def json_column(df: DataFrame, form: str = "standard") -> Column:
+    """The document of a transaction in one of three forms; fields without value stay."""
     amount = F.abs(F.coalesce(F.col("amount").cast("double"), F.lit(0.0)))
     named = F.struct(F.coalesce("category", F.lit("Other")).alias("name"))
     forms = {
@@ -101,7 +101,12 @@ def nested_json(df: DataFrame, form: str = "standard") -> DataFrame:
         "ledger": F.struct(F.col("date").alias("TxnDate"), amount.alias("Amount"), named.alias("AccountRef"), F.array(F.struct(amount.alias("Amount"), F.lit("AccountBasedExpenseLineDetail").alias("DetailType"), F.struct(named.alias("AccountRef")).alias("AccountBasedExpenseLineDetail"))).alias("Line")),
         "coded": F.struct(F.lit("ACCREC").alias("Type"), F.struct(_merchant(df).alias("Name")).alias("Contact"), F.col("date").alias("Date"), F.array(F.struct(F.col("text").alias("Description"), F.lit(1).alias("Quantity"), amount.alias("UnitAmount"), F.lit("200").alias("AccountCode"))).alias("LineItems")),
     }
-    return df.select("txn_key", F.to_json(forms[form], {"ignoreNullFields": "false"}).alias("json"))
+    return F.to_json(forms[form], {"ignoreNullFields": "false"})
+
+
+def nested_json(df: DataFrame, form: str = "standard") -> DataFrame:
+    """(txn_key, json): one document per transaction in one of three forms (`json_column`)."""
+    return df.select("txn_key", json_column(df, form).alias("json"))
 
 
 def batch_result(df: DataFrame) -> DataFrame:

@@ -67,12 +67,10 @@ def j25_request_cache(spark, sf):
 
 @query("k9_other_forms", with_txn("SELECT txn_key, text, label, round(abs(amount), 2) AS amount, date, 'ACCREC' AS type, text AS described, 1 AS quantity, round(abs(amount), 2) AS unit, '200' AS account FROM txn"))
 def k9_other_forms(spark, sf):
-    """The standard and the coded form, read again from their JSON."""
-    t = txn(spark, sf).withColumn("category", F.col("label")).withColumn("at", F.monotonically_increasing_id())
-    t = materialise(t.select("txn_key", "text", "category", "amount", "date", "at"))
-    standard, coded = (export.nested_json(t.withColumn("txn_key", F.col("at")), form).withColumnRenamed("json", form) for form in ("standard", "coded"))
+    """The standard and the coded form, both made of the row, read again from their JSON."""
+    t = txn(spark, sf).withColumn("category", F.col("label")).select("txn_key", "text", "category", "amount", "date")
     get = lambda form, path: F.get_json_object(form, path)
-    both = t.select("txn_key", "at").join(standard.withColumnRenamed("txn_key", "at"), "at").join(coded.withColumnRenamed("txn_key", "at"), "at")
+    both = t.select("txn_key", export.json_column(t, "standard").alias("standard"), export.json_column(t, "coded").alias("coded"))
     line = "$.LineItems[0]."
     return both.select("txn_key", get("standard", "$.text").alias("text"), get("standard", "$.category").alias("label"), F.round(F.abs(get("standard", "$.amount").cast("double")), 2).alias("amount"), get("coded", "$.Date").alias("date"), get("coded", "$.Type").alias("type"), get("coded", f"{line}Description").alias("described"), get("coded", f"{line}Quantity").cast("int").alias("quantity"), F.round(get("coded", f"{line}UnitAmount").cast("double"), 2).alias("unit"), get("coded", f"{line}AccountCode").alias("account"))
 

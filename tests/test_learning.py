@@ -233,3 +233,24 @@ def test_nearest_centroid_and_its_sql_take_near_ties_and_round_once(spark, tmp_p
     assert got[3][0] == 2  # nearer by 2e-7
     assert got[5][1] == 0.0  # 0.0005 after nine digits, which would round up
     assert got[6][0] == 2  # a tie goes to the smaller label
+
+
+def test_texts_that_differ_in_numbers_are_paired_once(spark):
+    rows = spark.range(2000).select(F.concat(F.lit("pay "), F.col("id").cast("string"), F.lit(" to bob")).alias("text"))
+    counts = embedding.cooccurrence(rows)
+    got = {(r.word, r.other): r.n for r in counts.collect()}
+    words = ["pay", "0", "to", "bob"]
+    assert got == {(a, b): 2000 for a in words for b in words if a != b}
+    assert "Aggregate" not in counts._jdf.queryExecution().optimizedPlan().toString()  # written once
+
+
+def test_forms_are_made_without_a_join(spark):
+    from ledgermint.operators import export
+    from ledgermint.plans import model_queries
+
+    made = model_queries.k9_other_forms(spark, "/root/testdata/sf0.001")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2  # those of the transactions
+    t = spark.createDataFrame([(1, "a", "b", 2.0, "2024-01-02")], "txn_key long, text string, category string, amount double, date string")
+    for form in ("standard", "ledger", "coded"):
+        assert export.nested_json(t, form).first().json == t.select(export.json_column(t, form)).first()[0]
