@@ -24,8 +24,10 @@ MOST_NAMES = 200_000
 
 def clean_merchant(text: Column) -> Column:
     """Upper case without payment suffixes and marks, single spaces."""
-    t = F.regexp_replace(F.upper(F.coalesce(text, F.lit(""))), r"\*PAYMENT|\*PAY|-PAYMENT|-PAY|INTL TRX ", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[*\-/.]+", " "), r"\s+", " "))
+    t = F.upper(F.coalesce(text, F.lit("")))
+    # the pattern is searched only where a word that it needs was found
+    t = F.when(t.contains("PAY") | t.contains("INTL TRX "), F.regexp_replace(t, r"\*PAYMENT|\*PAY|-PAYMENT|-PAY|INTL TRX ", "")).otherwise(t)
+    return F.trim(F.regexp_replace(t, r"[*\-/.\s]+", " "))
 
 
 def listed_names(gazetteer: DataFrame) -> DataFrame:
@@ -46,26 +48,25 @@ def _small(names: DataFrame, n: int) -> DataFrame:
     return F.broadcast(names) if n <= MOST_NAMES else names
 
 
-def _prefixed(names: DataFrame, n: int | None = None) -> DataFrame:
-    """`names` with their columns as m_..., for a join of `n` rows at most; counted where `n` is not given."""
-    return _small(names.select(*[F.col(c).alias(f"m_{c}") for c in names.columns]), names.count() if n is None else n)
-
-
 def exact_and_substring(texts: DataFrame, names: DataFrame, text: str = "clean", n: int | None = None) -> DataFrame:
-    """(text, score, match_type, name columns): the exact name, else the first name of 4+ characters within a word.
+    """(text, score, match_type, name columns) of distinct texts: the exact name, else the first name of 4+ characters within a word.
 
     A name without spaces lies within a word where the text contains it; its first four characters are
-    the key of the join.
+    the key of the join. Whole texts and the four-character runs of their words are looked up together, so that
+    `texts` is derived once and, where it is dealt by text, not dealt again.
     """
-    m = _prefixed(names, n)
+    m = names.select(*[F.col(c).alias(f"m_{c}") for c in names.columns])
     cols = m.columns
-    exact = texts.join(m, texts[text] == F.col("m_alias")).select(text, *cols, F.lit(1.0).alias("score"), F.lit("exact").alias("match_type"))
-    keyed = m.where((F.length("m_alias") >= SHORTEST) & ~F.col("m_alias").contains("*") & ~F.col("m_alias").contains(" ")).withColumn("_gram", F.substring("m_alias", 1, SHORTEST))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (SHORTEST - 1)), lambda i: F.substring(F.col(text), i, F.lit(SHORTEST))))
-    found = texts.where(F.length(text) >= SHORTEST).select(text, F.explode(grams).alias("_gram")).join(keyed, "_gram").where(F.col(text).contains(F.col("m_alias")))
-    firsts = found.groupBy(text).agg(F.min_by(F.struct(*cols), "m_pos").alias("m"))
-    sub = firsts.join(exact.select(text), text, "left_anti").select(text, "m.*", F.lit(SUBSTRING_SCORE).alias("score"), F.lit("substring").alias("match_type"))
-    return exact.unionByName(sub)
+    plain = (F.length("m_alias") >= SHORTEST) & ~F.col("m_alias").contains("*") & ~F.col("m_alias").contains(" ")
+    keys = m.withColumn("_key", F.explode(F.array_compact(F.array(F.struct(F.lit(0).alias("way"), F.col("m_alias").alias("key")), F.when(plain, F.struct(F.lit(1).alias("way"), F.substring("m_alias", 1, SHORTEST).alias("key")))))))
+    keys = _small(keys.select(F.col("_key.key").alias("_gram"), F.col("_key.way").alias("_way"), *cols), names.count() if n is None else n)
+    runs = F.regexp_extract_all(F.col(text), F.lit(f"(?=([^ *]{{{SHORTEST}}}))"), F.lit(1))
+    sought = texts.select(text, F.explode(F.concat(F.array(text), runs)).alias("_gram"))
+    holds = F.when(F.col("_way") == 0, F.col(text) == F.col("m_alias")).otherwise(F.col(text).contains(F.col("m_alias")))
+    first = F.min_by(F.struct("_way", *cols), F.struct("_way", "m_pos")).alias("m")
+    found = sought.join(keys, "_gram").where(holds).groupBy(text).agg(first).select(text, "m.*")
+    exact = F.col("_way") == 0
+    return found.select(text, *cols, F.when(exact, 1.0).otherwise(SUBSTRING_SCORE).alias("score"), F.when(exact, "exact").otherwise("substring").alias("match_type"))
 
 
 def trigram_matches(texts: DataFrame, names: DataFrame, threshold: float, text: str = "clean", n: int | None = None) -> DataFrame:

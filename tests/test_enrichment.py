@@ -212,3 +212,27 @@ def test_texts_without_a_needed_word_match_no_pattern(spark):
     for p in (*normalize.REFERENCES, *normalize.LOCATIONS, *normalize.MERCHANTS):
         assert rows.where(~normalize.searched(t, p).eqNullSafe(T.found(t, p))).count() == 0
     assert rows.select(normalize.clean_text(t)).collect() == rows.select(F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(t, "₹", ""), r"\s+", " ")), r"[^\w\s\-./:*@]", ""), r"[\-./:*@]{2,}", ""))).collect()
+
+
+def test_exact_and_substring_derive_their_texts_once(spark, monkeypatch, tmp_path):
+    listed = [(0, 1, "UBER", "uber,uber trip,ubereats,a*star,été"), (1, 2, "EATS", "eats,😀😀x😀y"), (2, 3, "ABC", "abc")]
+    names = resolve.aliases(spark.createDataFrame([(*r, "c", "s") for r in listed], "row_pos int, merchant_id int, canonical_name string, aliases string, category string, subcategory string"))
+    texts = ["UBER", "UBER TRIP", "MY UBER TRIP", "XUBEREATSY", "EATS AND UBER", "ABC", "ABCD", "UB ER", "ÉTÉ", "AB", "A STAR", "Q😀😀X😀YQ", "UBE", "SEATS\nUBERX", "*UBER*"]
+    spark.createDataFrame([(t,) for t in texts * 3], "clean string").write.parquet(f"{tmp_path}/t")
+    known = [(r.alias, r.m) for r in names.select("alias", F.struct("pos", "canonical_name").alias("m")).collect()]
+    want = {}
+    for t in texts:
+        whole = [m for a, m in known if a == t]
+        within = [m for a, m in known if len(a) >= 4 and not set(a) & {"*", " "} and a in t]
+        if whole or within:
+            want[t] = (min(whole or within).canonical_name, 1.0 if whole else 0.85, "exact" if whole else "substring")
+    distinct = spark.read.parquet(f"{tmp_path}/t").distinct()
+    for most in (resolve.MOST_NAMES, 0):  # broadcast, and joined by shuffle
+        monkeypatch.setattr(resolve, "MOST_NAMES", most)
+        found = resolve.exact_and_substring(distinct, names)
+        rows = found.collect()
+        assert len(rows) == len(want) and {r.clean: (r.m_canonical_name, r.score, r.match_type) for r in rows} == want
+        assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Scan parquet") == 1
+    marks = ["SHOP*PAY -PAYMENT x", "a.-/ *b", "INTL TRX PAY*", None, " \t*-PAY\n", "uber-payments"]
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.upper(F.coalesce("t", F.lit(""))), r"\*PAYMENT|\*PAY|-PAYMENT|-PAY|INTL TRX ", ""), r"[*\-/.]+", " "), r"\s+", " "))
+    assert all(r.a == r.b for r in spark.createDataFrame([(t,) for t in marks], "t string").select(resolve.clean_merchant(F.col("t")).alias("a"), plain.alias("b")).collect())
