@@ -58,8 +58,10 @@ def bound(value: Column, use) -> Column:
 
 def parsed_date(text: Column) -> Column:
     """A date in one of eight forms, year first before day first; two-digit years pivot at 69."""
-    forms = ["yyyy-M-d", "yyyy/M/d", "d-M-yyyy", "d/M/yyyy", "d-M-yy", "d/M/yy", "d MMM yyyy", "d MMMM yyyy"]
-    read = lambda t: F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in forms]).cast("date")
+    # a form that does not fit costs an exception: it is tried only on a text with what the form must hold
+    last = r"[+-]?\d{2}$"
+    forms = {"yyyy-M-d": r"\d{4}-", "yyyy/M/d": r"\d{4}/", "d-M-yyyy": r"-[+-]?\d{4}", "d/M/yyyy": r"/[+-]?\d{4}", "d-M-yy": f"-{last}", "d/M/yy": f"/{last}", "d MMM yyyy": " ", "d MMMM yyyy": " "}
+    read = lambda t: F.coalesce(*[F.when(t.rlike(needs), F.try_to_timestamp(t, F.lit(f))) for f, needs in forms.items()]).cast("date")
     return bound(bound(text, read), lambda day: F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgermint.functions.text import collapse, number, parsed_date
+from ledgermint.functions.text import bound, collapse, contains_any, number, parsed_date
 from ledgermint.operators.learn import numbered
 from ledgermint.operators.preprocess import json_fields
 from ledgermint.operators.rules import Category
@@ -115,7 +115,7 @@ def upload_rows(files: DataFrame, name: str = "name", content: str = "content")
 
 
 def is_statement_noise(line: Column) -> Column:
-    return F.lower(line).rlike("|".join(STATEMENT_NOISE))
+    return bound(F.lower(line), lambda low: contains_any(low, STATEMENT_NOISE))
 
 
 def statement_lines(text: Column) -> Column:
@@ -134,11 +134,17 @@ def statement_rows(docs: DataFrame, id_col: str, text_col: str, amounts: bool =
     Lines with date, text and amount give all three; others, and all without `amounts`, the text without
     leading date and last amount, if it is longer than five characters.
     """
-    lines = docs.select(id_col, F.posexplode(statement_lines(F.col(text_col))).alias("pos", "line"))
-    got = lambda g: F.regexp_extract("line", _WHOLE, g)
-    bare = F.trim(F.regexp_replace(F.regexp_replace("line", _LEADING_DATE, ""), _LAST_AMOUNT, ""))
-    whole = F.lit(amounts) & F.col("line").rlike(_WHOLE)
-    return lines.select(id_col, "pos", F.when(whole, parsed_date(got(1))).alias("date"), F.when(whole, F.trim(got(2))).otherwise(bare).alias("text"), F.when(whole, number(got(3))).alias("amount"), whole.alias("_whole")).where("_whole OR length(text) > 5").drop("_whole")
+
+    def of_line(line: Column, day: Column) -> Column:
+        got = lambda g: F.trim(F.regexp_extract(line, _WHOLE, g))
+        bare = F.trim(F.regexp_replace(F.regexp_replace(line, _LEADING_DATE, ""), _LAST_AMOUNT, ""))
+        whole = F.lit(amounts) & (day != "")
+        return F.struct(F.when(whole, parsed_date(day)).alias("date"), F.when(whole, got(2)).otherwise(bare).alias("text"), F.when(whole, number(got(3))).alias("amount"), whole.alias("whole"))
+
+    # read before the lines become rows: a filter on rows would repeat the patterns
+    read = F.transform(statement_lines(F.col(text_col)), lambda x: bound(F.regexp_extract(x, _WHOLE, 1), lambda day: of_line(x, day)))
+    rows = docs.select(id_col, F.posexplode(read).alias("pos", "_line")).where("_line.whole OR length(_line.text) > 5")
+    return rows.select(id_col, "pos", "_line.date", "_line.text", "_line.amount")
 
 
 #: Header words of the columns of statement tables.

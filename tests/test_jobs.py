@@ -1,5 +1,6 @@
 import datetime as dt
 
+from ledgermint.functions.text import parsed_date
 from ledgermint.operators import dataset, evaluate, export, learn
 from ledgermint.sources import readers
 from ledgermint.streaming import monitor
@@ -234,3 +235,20 @@ def test_totals_of_a_report_judge_each_row_once(spark):
         seen.value = 0
         made(evaluate.class_report(rows)).collect()
         assert seen.value == 6
+
+
+def test_statement_lines_are_read_once_and_dates_by_their_form(spark):
+    text = "STATEMENT OF X\n03/04/2024  SHOP 1,200.50\n  31-12-69 CARD ab 7  \nshort\nSEE 1/2/2024 ROAD\nONLY TEXT HERE 12.5\nTotal Amount 12\n1/2/24 abc 99"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, content string")
+    found = readers.statement_rows(docs, "id", "content")
+    rows = [(r.pos, str(r.date), r.text, r.amount) for r in found.orderBy("pos").collect()]
+    assert rows == [(0, "2024-04-03", "SHOP", 1200.5), (1, "1969-12-31", "CARD ab", 7.0), (2, "None", "SEE 1/2/2024 ROAD", None), (3, "None", "ONLY TEXT HERE", None), (4, "2024-02-01", "abc", 99.0)]
+    assert readers.statement_rows(docs, "id", "content", amounts=False).where("date IS NULL AND amount IS NULL").count() == 3  # two texts are short
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"[\d,]+\.?\d*)\s*$") == 3  # a search for each part of a line
+    texts = ["2024-1-31", "2024/01/31", "31-1-2024", "31/01/2024", "31-01-24", "31/1/69", "31/1/70", "3 Jan 2024", "3 January 2024", "12024-1-2", "+12024-1-2", "0003/1/2024", "1234/5/06", "24-1-1", "2024-1-1 ", " 2024-1-1", "1/2", "", None, "31-02-2024", "2024-13-01", "2024-1/2", "1-2-+2024", "1-2--2024", "1-2-24\n", "१/२/२०२४"]
+    forms = ["yyyy-M-d", "yyyy/M/d", "d-M-yyyy", "d/M/yyyy", "d-M-yy", "d/M/yy", "d MMM yyyy", "d MMMM yyyy"]
+    every = F.coalesce(*[F.try_to_timestamp("t", F.lit(f)) for f in forms]).cast("date")
+    every = F.when(F.year(every) >= 2069, F.add_months(every, -1200)).otherwise(every).cast("string")
+    dates = spark.createDataFrame([(t,) for t in texts], "t string").select("t", every.alias("a"), parsed_date(F.col("t")).cast("string").alias("b")).collect()
+    assert [r for r in dates if r.a != r.b] == [] and sum(r.a is not None for r in dates) >= 12
