@@ -46,23 +46,28 @@ def merge_corrections(base: DataFrame, corrections: DataFrame, text: str = "text
 
     All columns of `base` but `pos` stay. A corrected row takes the label (also as `category`, where there is one) and
     the subcategory of the last correction, if that has one. Texts that `base` lacks are appended with the label
-    and subcategory of their last correction and the text, amount and date of their first.
+    and subcategory of their last correction and the text, amount and date of their first. One join gives both, so
+    that corrections are derived once, and `base` once for the first rows and once for its own.
     """
     key, given = F.lower(F.trim(F.col(text))), set(corrections.columns)
     firsts_of = [c for c in (text, "amount", "date") if c in given]
     sub = F.nullif(F.col("subcategory"), F.lit("")) if "subcategory" in given else F.lit(None).cast("string")
-    keyed = corrections.withColumn("_k", key).withColumn("_s", sub)
-    c = keyed.groupBy("_k").agg(F.max_by(F.struct("label", "_s"), at).alias("_last"), F.min_by(F.struct(*firsts_of), at).alias("_first"))
-    firsts = base.withColumn("_k", key).groupBy("_k").agg(F.min(pos).alias("_pos"))
-    fix = firsts.join(c, "_k").select(F.col("_k").alias("_fk"), "_pos", "_last")
-    fixed = base.withColumn("_k", key).join(fix, (F.col("_k") == F.col("_fk")) & (F.col(pos) == F.col("_pos")), "left")
+    c = corrections.withColumn("_s", sub).groupBy(key.alias("_k")).agg(F.max_by(F.struct("label", "_s"), at).alias("_last"), F.min_by(F.struct(*firsts_of), at).alias("_first"))
+    # always true: it keeps all columns of `base` here, so that a shuffle that made `base` is read again, not done again for fewer columns
+    kept = F.xxhash64(*[n for n, kind in base.dtypes if "map<" not in kind and "variant" not in kind]) >= F.lit(-(2**63))
+    firsts = base.where(kept).groupBy(key.alias("_fk")).agg(F.min(pos).alias("_pos"))
+    fix = c.join(firsts, F.col("_k") == F.col("_fk"), "left").select("_k", F.col("_fk").isNotNull().alias("_known"), "_pos", "_last", "_first")
+    # dealt by place alone, as `base` often is already: texts are compared by their order, as an equality would be a key too; new texts have no place, and are spread by a hash
+    place_of = F.coalesce(F.col("_pos").cast("long"), F.xxhash64("_k"))
+    same = F.col("_known") & (key <= F.col("_k")) & (key >= F.col("_k"))
+    both = base.withColumn("_row", F.lit(True)).join(fix.withColumn("_at", place_of), (F.col(pos).cast("long") == F.col("_at")) & same, "full")
+    old = F.col("_row").isNotNull()
+    both = both.where(old | ~F.col("_known"))  # of a known text whose rows have no place, none is corrected
     taken = {"label": "_last.label", "category": "_last.label", "subcategory": "_last._s"}
-    columns = [n for n in base.columns if n != pos]
-    fixed = fixed.select(*[F.coalesce(taken[n], n).alias(n) if n in taken else F.col(n) for n in columns], F.col("_last").isNotNull().alias("corrected"))
     kinds = dict(base.dtypes)
     made = {n: F.col(f"_first.{n}") for n in firsts_of} | {n: F.col(v) for n, v in taken.items()}
-    new = c.join(firsts, "_k", "left_anti").select(*[made.get(n, F.lit(None)).cast(kinds[n]).alias(n) for n in columns], F.lit(True).alias("corrected"))
-    return fixed.unionByName(new)
+    value = lambda n: F.when(old, F.coalesce(taken[n], n) if n in taken else F.col(n)).otherwise(made.get(n, F.lit(None)).cast(kinds[n])).alias(n)
+    return both.select(*[value(n) for n in base.columns if n != pos], F.when(old, F.col("_last").isNotNull()).otherwise(True).alias("corrected"))
 
 
 def replace_weak(base: DataFrame, improved: DataFrame, weak: list[str], label: str = "label") -> DataFrame:

@@ -252,3 +252,34 @@ def test_statement_lines_are_read_once_and_dates_by_their_form(spark):
     every = F.when(F.year(every) >= 2069, F.add_months(every, -1200)).otherwise(every).cast("string")
     dates = spark.createDataFrame([(t,) for t in texts], "t string").select("t", every.alias("a"), parsed_date(F.col("t")).cast("string").alias("b")).collect()
     assert [r for r in dates if r.a != r.b] == [] and sum(r.a is not None for r in dates) >= 12
+
+
+def test_corrections_are_merged_by_one_join(spark, tmp_path):
+    rows = [(None, "n", 1), ("a", "p", 2), (" A", "q", 1), ("b", "r", 5), ("b", "s", 5), ("c", "t", None), ("C ", "u", None), ("d", "v", 7), ("e", "w", 5), ("", "x", 8), ("f", "y", 9)]
+    fixes = [("A", "1", 1), ("a", "2", 2), ("B", "3", 3), ("c", "4", 4), ("new", "5", 5), ("NEW", "6", 6), (None, "7", 7), ("", "8", 8), ("e", None, 9), ("d", "9", None)]
+    spark.createDataFrame(rows, "text string, label string, pos int").withColumn("extra", F.concat("label", F.lit("!"))).withColumn("m", F.create_map("label", "pos")).write.parquet(f"{tmp_path}/base")
+    spark.createDataFrame(fixes, "text string, label string, pos int").write.parquet(f"{tmp_path}/fixes")
+    key = lambda t: None if t is None else t.strip(" ").lower()
+    last, first, least = {}, {}, {}
+    for t, label, at in fixes:
+        if at is not None:
+            last[key(t)] = label
+            first.setdefault(key(t), t)
+        else:
+            last.setdefault(key(t), "no place")
+    for t, _, pos in rows:
+        least[key(t)] = min((p for p in (least.get(key(t)), pos) if p is not None), default=None)
+    want = []
+    for t, label, pos in rows:
+        hit = t is not None and key(t) in last and last[key(t)] != "no place" and pos is not None and pos == least[key(t)]
+        want.append((t, (last[key(t)] or label) if hit else label, label + "!", hit))
+    want += [(first[k], label, None, True) for k, label in last.items() if k is None or k not in least]
+    base = spark.read.parquet(f"{tmp_path}/base")
+    found = dataset.merge_corrections(base, spark.read.parquet(f"{tmp_path}/fixes"))
+    assert sorted(((r.text, r.label, r.extra, r.corrected) for r in found.collect()), key=str) == sorted(want, key=str)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Scan parquet") == 3  # corrections once, the base for first rows and for its own
+    dealt = base.drop("m").groupBy("pos").agg(*[F.max(n).alias(n) for n in ("text", "label", "extra")])
+    again = dataset.merge_corrections(dealt, spark.read.parquet(f"{tmp_path}/fixes"))
+    again.collect()
+    assert "ReusedExchange" in again._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
