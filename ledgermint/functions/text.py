@@ -110,6 +110,11 @@ def cache_key(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("\x00")) for p in parts]), 256)
 
 
+def cache_digest(*parts: Column) -> Column:
+    """The 32 bytes that `cache_key` writes as digits."""
+    return F.unhex(cache_key(*parts))
+
+
 def embedded_json(text: Column) -> Column:
     """From the first { to the last } of a text."""
     return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgermint.functions.text import cache_key
+from ledgermint.functions.text import cache_digest
 
 
 def with_tenant(df: DataFrame, organisations: DataFrame, key: str = "organization_id") -> DataFrame:
@@ -20,5 +20,13 @@ def of_tenant(df: DataFrame, organisation: int, key: str = "organization_id") ->
 
 
 def with_cached(df: DataFrame, cache: DataFrame, parts: tuple[str, ...] = ("text", "amount_cents", "date", "currency")) -> DataFrame:
-    """`df` with `cache_key` and the cached category of equal requests, if any; the cache is (cache_key, category)."""
-    return df.withColumn("cache_key", cache_key(*[F.col(p) for p in parts])).join(cache.withColumnRenamed("category", "cached_category"), "cache_key", "left")
+    """`df` with `cache_key` and the cached category of equal requests, if any; the cache is (cache_key, category).
+
+    Keys are joined as their 32 bytes, half of what their digits take; a cache may hold them so (`cache_digest`).
+    """
+    given = dict(cache.dtypes)["cache_key"] == "binary"
+    kept = cache if given else cache.where(F.col("cache_key") == F.lower(F.hex(F.unhex("cache_key")))).withColumn("cache_key", F.unhex("cache_key"))
+    kept = kept.withColumnsRenamed({"cache_key": "_cache_digest", "category": "cached_category"})
+    keyed = df.drop("cache_key").withColumn("_digest", cache_digest(*[F.col(p) for p in parts]))
+    both = keyed.join(kept, F.col("_digest") == F.col("_cache_digest"), "left")
+    return both.select(F.lower(F.hex("_digest")).alias("cache_key"), *[F.col(f"`{c}`") for c in both.columns if c not in ("_digest", "_cache_digest")])

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgermint.functions.lineage import materialise
-from ledgermint.functions.text import cache_key
+from ledgermint.functions.text import cache_digest
 from ledgermint.operators import calibration, embedding, evaluate, export, jobs, learn, ml, preprocess, route, tenancy, tuning
 from ledgermint.streaming import monitor
 
@@ -60,7 +60,7 @@ _CENTS = "cast(round(amount * 100) as bigint)"
 def j25_request_cache(spark, sf):
     """Requests looked up by text, amount, date and currency in the cache of returned ones."""
     t = txn(spark, sf).withColumn("amount_cents", F.round(F.col("amount") * 100).cast("long"))
-    key = cache_key(*[F.col(c) for c in ("text", "amount_cents", "date", "currency")])
+    key = cache_digest(*[F.col(c) for c in ("text", "amount_cents", "date", "currency")])
     cache = t.where("flag = 'R'").groupBy(key.alias("cache_key")).agg(F.min("label").alias("category"))
     return tenancy.with_cached(t, cache).select("txn_key", "cache_key", "cached_category")
 

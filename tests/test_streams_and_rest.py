@@ -193,3 +193,20 @@ def test_feedback_is_cached_as_sure(spark):
     rows = spark.createDataFrame([("t", 1.0, "2024-01-01", "food", "sub")], "text string, amount double, date string, correct_category string, correct_subcategory string")
     r = export.confirmed_cache_rows(rows, F.to_timestamp(F.lit("2024-01-01 00:00:00"))).first()
     assert json.loads(r.answer)["method"] == "user_feedback_cached" and len(r.cache_key) == 64 and str(r.expires_at) == "2024-01-01 00:10:00"
+
+
+def test_cached_requests_are_found_by_the_bytes_of_their_keys(spark):
+    from ledgermint.functions.text import cache_digest, cache_key
+    from ledgermint.operators import tenancy
+
+    df = spark.createDataFrame([(1, "a", 5, None, "INR"), (2, "", 5, None, "INR"), (3, None, 5, None, "INR"), (4, "a", 5, None, "INR"), (5, "b", 5, None, "INR")], "k int, text string, amount_cents long, date string, currency string")
+    parts = [F.col(c) for c in ("text", "amount_cents", "date", "currency")]
+    digits = df.where("k IN (1, 2, 5)").select(F.when(F.col("k") == 5, F.upper(cache_key(*parts))).otherwise(cache_key(*parts)).alias("cache_key"), F.col("k").cast("string").alias("category"))
+    digits = digits.unionByName(spark.createDataFrame([("no digits", "x"), (None, "y")], digits.schema))  # keys are compared as they stand
+    as_bytes = df.where("k IN (1, 2)").select(cache_digest(*parts).alias("cache_key"), F.col("k").cast("string").alias("category"))
+    for cache in (digits, as_bytes):
+        found = tenancy.with_cached(df, cache)
+        assert found.columns == ["cache_key", *df.columns, "cached_category"]
+        rows = {r.k: r for r in found.collect()}
+        assert {k: r.cached_category for k, r in rows.items()} == {1: "1", 2: "2", 3: None, 4: "1", 5: None}
+        assert rows[1].cache_key == df.where("k = 1").select(cache_key(*parts)).first()[0]
