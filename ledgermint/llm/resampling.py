@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, small_arrow_batches, small_batches, table
+from .common import materialise, small_arrow_batches, small_batches, table, utf8
 
 BUCKETS, LEAST_WORDS, SHARE = 10_000, 20, 25
 #: What stands between words, once A-Z are lower case: ASCII but digits and letters.
@@ -36,7 +36,10 @@ STEP = 256
 
 def features(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of the words of a batch and the row of each, then buckets of the word pairs and their rows."""
-    lists = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")), pattern=SEPARATORS)
+    # offsets from 0: a cast of a part of a batch keeps those of the whole, with which `ascii_lower` reads other bytes
+    data, offsets = utf8(texts)
+    whole = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(data))
+    lists = pc.split_pattern_regex(pc.ascii_lower(whole), pattern=SEPARATORS)
     words, rows = pc.list_flatten(lists), pc.list_parent_indices(lists)
     full = pc.not_equal(words, "")
     words, rows = words.filter(full), rows.filter(full).to_numpy(zero_copy_only=False)

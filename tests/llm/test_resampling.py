@@ -5,8 +5,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
-from ledgermint.llm.resampling import bucket_gains, importance_resample
+from ledgermint.llm.resampling import bucket_gains, features, importance_resample
 
 UPPER = {i: i + 32 for i in range(65, 91)}
 
@@ -61,3 +63,22 @@ def test_empty_tables(spark):
     assert result(spark, docs, []) == brute(docs, [])
     none = spark.createDataFrame([], "text string")
     assert (bucket_gains(none, none) == np.zeros(10_000)).all()
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_features_of_a_part_of_a_batch_are_those_of_its_texts(kind):
+    texts = ["x0 Y", "a B a", "c d e", "f", "Ünï cödé", "", "z " * 30]
+    for first, n in [(0, 7), (1, 3), (3, 4), (6, 1), (2, 0)]:
+        words, rows, pairs, rows_of_pairs = features(pa.array(texts, kind).slice(first, n))
+        found = [[] for _ in range(n)]
+        for bucket, row in [*zip(words.tolist(), rows.tolist()), *zip(pairs.tolist(), rows_of_pairs.tolist())]:
+            found[row].append(bucket)
+        assert found == [bag(t)[0] for t in texts[first : first + n]]
+
+
+def test_a_batch_of_long_texts_is_judged_in_parts(spark):
+    docs = [(i, " ".join(f"W{(i * j) % 9973} no{j % (i + 2)}" for j in range(12_000))) for i in range(60)]
+    assert sum(len(t) for _, t in docs) > 1.5 * 2**22  # of one task: over the bytes of a part
+    rows = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    found = importance_resample(rows, spark.createDataFrame([("w1 no1 w2",)], "text string")).collect()
+    assert sorted([(r.doc_id, r.n_features, r.weight, r.score, r["rank"]) for r in found], key=str) == brute(docs, ["w1 no1 w2"])
