@@ -39,7 +39,7 @@ def collapse(text: Column) -> Column:
 
 def found(text: Column, pattern: str, group: int = 1) -> Column:
     """A group of the first match; null without a match or where the group is empty."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return bound(F.regexp_extract(text, pattern, group), lambda v: F.when(v != "", v))  # searched once
 
 
 def first_found(text: Column, patterns: list[str], group: int = 1) -> Column:

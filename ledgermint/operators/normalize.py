@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgermint.functions.text import ascii_fold, collapse, contains_any, first_date, found, number, parsed_date, share_of, word_count
+from ledgermint.functions.text import ascii_fold, bound, collapse, contains_any, first_date, found, number, parsed_date, share_of, word_count
 
 # The patterns of each channel, in order; a channel is the first any of whose patterns is found.
 CHANNELS: dict[str, list[str]] = {
@@ -88,13 +88,20 @@ def merchant_of(text: Column, channel: Column, compat: bool = False) -> Column:
     edged = F.left(text, F.lit(1)).rlike(r"\W") | F.right(text, F.lit(1)).rlike(r"\W")
     rest = F.regexp_replace(F.when(edged, F.regexp_replace(text, r"^\W+|\W+$", "")).otherwise(text), r"\s+\d{6,}.*$", "")
     rest = F.trim(F.when(contains_any(F.upper(text), NO_NAMES), F.regexp_replace(rest, r"(?i)\b(transaction|payment|purchase|order|bill)\b", "")).otherwise(rest))
-    other = F.coalesce(generic, F.when(F.length(rest) >= 3, rest))
+    other = F.coalesce(generic, bound(rest, lambda r: F.when(F.length(r) >= 3, r)))
+
+    def decided(tries: list[tuple[str, int]]) -> Column:
+        """An array of what the first matching pattern names, else null; a pattern is searched again only where its group is empty."""
+        if not tries:
+            return F.lit(None).cast("array<string>")
+        (p, g), *more = tries
+        return bound(F.regexp_extract(text, p, g), lambda v: F.when(v != "", F.array(F.trim(v))).when(text.rlike(p), F.array(F.lit(None).cast("string"))).otherwise(decided(more)))
+
     out = None
     for name in groups:
-        for p, g in zip(CHANNELS[name], groups[name], strict=True):
-            test, value = (channel == name) & text.rlike(p), F.trim(found(text, p, g))
-            out = F.when(test, value) if out is None else out.when(test, value)
-    return out.otherwise(other)
+        test, value = channel == name, decided(list(zip(CHANNELS[name], groups[name], strict=True)))
+        out = F.when(test, value) if out is None else out.when(test, value)
+    return bound(out, lambda v: F.when(v.isNull(), other).otherwise(F.get(v, F.lit(0))))
 
 
 def normalize(df: DataFrame, text: str = "text", amount: str | None = "amount", date: str | None = "date", merchant: str | None = None, compat: bool = False) -> DataFrame:

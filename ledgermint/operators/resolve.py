@@ -20,6 +20,8 @@ from .similarity import jaccard_pairs, sequence_pairs
 SUBSTRING_SCORE, SHORTEST = 0.85, 4
 #: Names that may be broadcast.
 MOST_NAMES = 200_000
+#: Keys over which rows without a text are spread.
+SPREAD = 4096
 
 
 def clean_merchant(text: Column) -> Column:
@@ -61,7 +63,7 @@ def exact_and_substring(texts: DataFrame, names: DataFrame, text: str = "clean",
     keys = m.withColumn("_key", F.explode(F.array_compact(F.array(F.struct(F.lit(0).alias("way"), F.col("m_alias").alias("key")), F.when(plain, F.struct(F.lit(1).alias("way"), F.substring("m_alias", 1, SHORTEST).alias("key")))))))
     keys = _small(keys.select(F.col("_key.key").alias("_gram"), F.col("_key.way").alias("_way"), *cols), names.count() if n is None else n)
     runs = F.regexp_extract_all(F.col(text), F.lit(f"(?=([^ *]{{{SHORTEST}}}))"), F.lit(1))
-    sought = texts.select(text, F.explode(F.concat(F.array(text), runs)).alias("_gram"))
+    sought = texts.select(text, F.explode_outer(F.concat(F.array(text), runs)).alias("_gram"))  # `explode` would filter on the runs and so search them twice
     holds = F.when(F.col("_way") == 0, F.col(text) == F.col("m_alias")).otherwise(F.col(text).contains(F.col("m_alias")))
     first = F.min_by(F.struct("_way", *cols), F.struct("_way", "m_pos")).alias("m")
     found = sought.join(keys, "_gram").where(holds).groupBy(text).agg(first).select(text, "m.*")
@@ -124,6 +126,8 @@ def attach_merchant(df: DataFrame, gazetteer: DataFrame, source: str = "merchant
     """`df` with merchant_resolved, merchant_category, merchant_subcategory, merchant_score: the best match of its whole `text` (if given), else of its name in `source`.
 
     Distinct texts and names are resolved once. Rows whose `source` and `text` are null are matched with nothing.
+    The matches, of which there are few where few texts name a merchant, are broadcast after a count; beyond `MOST_NAMES`
+    the join shuffles, and rows without a text or name, which have no match, are spread.
     """
     shown = {"m_canonical_name": "merchant_resolved", "m_category": "merchant_category", "m_subcategory": "merchant_subcategory", "score": "merchant_score"}
     ways = ([("_key0", text, text_threshold)] if text else []) + [("_key1", source, threshold)]
@@ -132,10 +136,13 @@ def attach_merchant(df: DataFrame, gazetteer: DataFrame, source: str = "merchant
     every = keyed.select(F.explode(F.array(*[key for key, _, _ in ways])).alias("clean"))
     found = resolve_clean(every, gazetteer, min(least for _, _, least in ways), 1, fuzzy)
     best = materialise(found.select(F.col("clean").alias("_clean"), F.struct(*[F.col(c).alias(v) for c, v in shown.items()]).alias("_match")))
+    n = best.count()
+    if n > MOST_NAMES:  # no cleaned text begins with a space
+        keyed = keyed.withColumns({key: F.when(F.col(key) == "", F.concat(F.lit(" "), F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("string"))).otherwise(F.col(key)) for key, _, _ in ways})
     out, matches = keyed, []
     for key, _, least in ways:
         own = best.where(F.col("_match.merchant_score") >= least).select(F.col("_clean").alias(f"{key}_clean"), F.col("_match").alias(f"{key}_match"))
-        out = out.join(own, F.col(key) == F.col(f"{key}_clean"), "left")
+        out = out.join(_small(own, n), F.col(key) == F.col(f"{key}_clean"), "left")
         matches.append(F.col(f"{key}_match"))
     match = F.coalesce(*matches)
     return out.select(*df.columns, *[match[v].alias(v) for v in shown.values()])

@@ -42,7 +42,9 @@ def _places(text: Column, width: int) -> Column:
 def _counted(items: Column) -> Column:
     """Each item with how often it has occurred so far, which makes a multiset a set."""
     nth = lambda every, x, i: F.size(F.filter(F.slice(every, 1, i + 1), lambda y: y == x)).cast("string")
-    return bound(items, lambda every: F.transform(every, lambda x, i: F.concat(x, F.lit("\x1f"), nth(every, x, i))))
+    numbered = lambda every: F.transform(every, lambda x, i: F.concat(x, F.lit("\x1f"), nth(every, x, i)))
+    once = lambda every: F.transform(every, lambda x: F.concat(x, F.lit("\x1f1")))
+    return bound(items, lambda every: F.when(F.size(F.array_distinct(every)) == F.size(every), once(every)).otherwise(numbered(every)))
 
 
 def token_counts(names: DataFrame, tokens: Column) -> DataFrame:
@@ -51,40 +53,51 @@ def token_counts(names: DataFrame, tokens: Column) -> DataFrame:
 
 
 def rare_first(rows: DataFrame, keys: list[str], tokens: Column, counts: DataFrame, n: int) -> DataFrame:
-    """(keys, tokens): the tokens of each row, the rarest first; `n` bounds the rows of `counts`.
+    """(keys, size, tokens): how many tokens each row has, and those of them that `counts` lists, the rarest first; `n` bounds the rows of `counts`.
 
-    Rows are dealt by their keys once, over all tasks: they are few bytes, but what follows costs time.
+    Tokens that no name has would come first and match nothing, so they are left out as soon as they are counted; rows
+    without any other are left out too. Rows are dealt by their keys once, over all tasks: they are few bytes, but what follows costs time.
     """
     spark = rows.sparkSession
+    # not `explode`: it would add a filter on the tokens, which are then made anew for it, before the rows are dealt; the join drops nulls
     # twice the usual number, else a deal by the same keys below would stand for this one and small bytes be one task's work
     tasks = 2 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    each = rows.repartition(tasks, *keys).select(*keys, F.explode(tokens).alias("token")).join(small(counts, n), "token", "left")
-    sorted_ = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")))
-    return each.groupBy(*keys).agg(F.transform(sorted_, lambda x: x["token"]).alias("tokens"))
+    each = rows.repartition(tasks, *keys).select(*keys, tokens.alias("_tokens")).select(*keys, F.size("_tokens").alias("size"), F.explode_outer("_tokens").alias("token")).join(small(counts, n), "token")
+    sorted_ = F.array_sort(F.collect_list(F.struct("n", "token")))
+    # the size is no key: filters on keys are moved before the deal too
+    return each.groupBy(*keys).agg(F.max("size").alias("size"), F.transform(sorted_, lambda x: x["token"]).alias("tokens"))
 
 
-def _joined(left: DataFrame, right: DataFrame, n: int) -> DataFrame:
-    """Pairs that share a token of their prefixes, at the first of these; (tokens, prefix) of the left side are named _a, _pa, of the right side _b, _pb."""
-    a = left.withColumnsRenamed({"tokens": "_a", "prefix": "_pa", "chars": "_ca"}).withColumn("_key", F.explode("_pa"))
-    b = right.withColumnsRenamed({"tokens": "_b", "prefix": "_pb", "chars": "_cb"}).withColumn("_key", F.explode("_pb"))
-    return a.join(small(b, n), "_key").where(F.get(F.array_intersect("_pa", "_pb"), F.lit(0)) == F.col("_key"))
+def _joined(left: DataFrame, right: DataFrame, n: int, fits: Column) -> DataFrame:
+    """Pairs that fit and share a token of their prefixes, at the first of these; (tokens, prefix, size) of the left side are named _a, _pa, _na, of the right side _b, _pb, _nb.
+
+    `fits` compares sizes; it is tried first, since it costs least.
+    """
+    a = left.withColumnsRenamed({"tokens": "_a", "prefix": "_pa", "size": "_na"}).withColumn("_key", F.explode_outer("_pa"))
+    b = right.withColumnsRenamed({"tokens": "_b", "prefix": "_pb", "size": "_nb"}).withColumn("_key", F.explode_outer("_pb"))
+    return a.join(small(b, n), "_key").where(fits).where(F.get(F.array_intersect("_pa", "_pb"), F.lit(0)) == F.col("_key"))
 
 
-def _prefix(size: Column, shared: Column) -> Column:
-    return F.slice("tokens", 1, F.greatest(size - shared + 1, F.lit(0)).cast("int"))
+def _with_prefix(ordered: DataFrame, shared: Column) -> DataFrame:
+    """`ordered` with the tokens of which a match that shares `shared` tokens has one; rows with fewer tokens that names have match nothing and go.
+
+    The first `size` - `shared` + 1 of all tokens begin with those that no name has, and these are not listed.
+    """
+    return ordered.where(F.size("tokens") >= shared).withColumn("prefix", F.slice("tokens", 1, (F.size("tokens") - shared + 1).cast("int")))
 
 
 def jaccard_pairs(texts: DataFrame, names: DataFrame, threshold: float, text: str, n: int) -> DataFrame:
     """(text, alias, row_pos, score): pairs whose trigram sets have a Jaccard similarity of `threshold` or more. `names` has `n` rows of (alias, row_pos)."""
     names = names.select("alias", "row_pos").distinct()
     counts = token_counts(names, trigrams(F.col("alias")))
-    prefix = _prefix(F.size("tokens"), F.ceil(F.size("tokens") * threshold - _EPS))
+    shared = F.greatest(F.lit(1), F.ceil(F.col("size") * threshold - _EPS))
     largest = names.agg(F.max(F.size(trigrams(F.col("alias"))))).first()[0] or 0
-    texts = texts.select(text).where(F.size(trigrams(F.col(text))) * threshold <= largest + _EPS)
-    left = rare_first(texts, [text], trigrams(F.col(text)), counts, 20 * n).withColumn("prefix", prefix)
-    right = rare_first(names, ["alias", "row_pos"], trigrams(F.col("alias")), counts, 20 * n).withColumn("prefix", prefix)
-    na, nb = F.size("_a"), F.size("_b")
-    near = _joined(left, right, 20 * n).where(F.least(na, nb) >= threshold * F.greatest(na, nb) - _EPS)
+    # not a filter, which would be moved before the texts are dealt over all tasks
+    fitting = bound(trigrams(F.col(text)), lambda x: F.when(F.size(x) * threshold <= largest + _EPS, x))
+    left = _with_prefix(rare_first(texts.select(text), [text], fitting, counts, 20 * n), shared)
+    right = _with_prefix(rare_first(names, ["alias", "row_pos"], trigrams(F.col("alias")), counts, 20 * n), shared)
+    na, nb = F.col("_na"), F.col("_nb")
+    near = _joined(left, right, 20 * n, F.least(na, nb) >= threshold * F.greatest(na, nb) - _EPS)
     common = F.size(F.array_intersect("_a", "_b"))
     return near.withColumn("score", common / (na + nb - common)).where(F.col("score") >= threshold).select(text, "alias", "row_pos", "score")
 
@@ -104,25 +117,24 @@ def sequence_pairs(texts: DataFrame, names: DataFrame, threshold: float, text: s
             least, most = size * 2 / (2 - t), size * 2 / t  # characters of both texts
             if width == 1:
                 rows = rows.where(least <= paired + _EPS)
-                shared, tokens = F.ceil(size * t / (2 - t) - _EPS), size
+                shared = F.greatest(F.lit(1), F.ceil(size * t / (2 - t) - _EPS))
             else:
                 rows = rows.where(most > paired)
-                shared, tokens = F.greatest(F.lit(1), F.ceil(least * gain - 1 - _EPS)), size - 1
+                shared = F.greatest(F.lit(1), F.ceil(least * gain - 1 - _EPS))
             items = _counted(_places(F.col(column), width))
-            ordered = rare_first(rows, keys, items, counts, 60 * n)
-            ordered = ordered.withColumn("prefix", _prefix(tokens, shared))
-            return ordered.withColumn("chars", _counted(_places(F.col(column), 1))) if width == 2 else ordered
+            return _with_prefix(rare_first(rows, keys, items, counts, 60 * n), shared)
 
         if width == 2 and math.isinf(paired):
             continue
         counts = token_counts(names, _counted(_places(F.col("alias"), width)))
         both = F.length(text) + F.length("alias")
-        near = _joined(side(texts, [text], text), side(names, ["alias", "row_pos"], "alias"), 20 * n).where(2 * F.least(F.length(text), F.length("alias")) >= t * both - _EPS)
+        fits = (2 * F.least(F.length(text), F.length("alias")) >= t * both - _EPS) & ((both <= paired + _EPS) if width == 1 else (both > paired + _EPS))
         least = F.ceil(t * both / 2 - _EPS) if width == 1 else F.ceil(both * gain - 1 - _EPS)
-        near = near.where((both <= paired + _EPS) if width == 1 else (both > paired + _EPS)).where(F.size(F.array_intersect("_a", "_b")) >= least)
+        near = _joined(side(texts, [text], text), side(names, ["alias", "row_pos"], "alias"), 20 * n, fits).where(F.size(F.array_intersect("_a", "_b")) >= least)
         near = near.where(F.levenshtein(text, "alias") <= (1 - t) * both + _EPS)
         if width == 2:  # matched characters are shared ones
-            near = near.where(F.size(F.array_intersect("_ca", "_cb")) >= F.ceil(t * both / 2 - _EPS))
+            chars = lambda column: _counted(_places(F.col(column), 1))
+            near = near.where(F.size(F.array_intersect(chars(text), chars("alias"))) >= F.ceil(t * both / 2 - _EPS))
         near = near.select(text, "alias", "row_pos")
         found = near if found is None else found.unionByName(near)
     return found

@@ -2,7 +2,7 @@ from difflib import SequenceMatcher
 
 import pytest
 from ledgermint.functions import text as T
-from ledgermint.operators import external, learn, merchant_codes, normalize, preprocess, resolve, rules, vote
+from ledgermint.operators import external, learn, merchant_codes, normalize, preprocess, resolve, rules, similarity, vote
 from ledgermint.plans.fixture import TAXONOMY, gazetteer
 from pyspark.sql import functions as F
 
@@ -236,3 +236,42 @@ def test_exact_and_substring_derive_their_texts_once(spark, monkeypatch, tmp_pat
     marks = ["SHOP*PAY -PAYMENT x", "a.-/ *b", "INTL TRX PAY*", None, " \t*-PAY\n", "uber-payments"]
     plain = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.upper(F.coalesce("t", F.lit(""))), r"\*PAYMENT|\*PAY|-PAYMENT|-PAY|INTL TRX ", ""), r"[*\-/.]+", " "), r"\s+", " "))
     assert all(r.a == r.b for r in spark.createDataFrame([(t,) for t in marks], "t string").select(resolve.clean_merchant(F.col("t")).alias("a"), plain.alias("b")).collect())
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_rows_without_a_name_do_not_meet_in_one_task(spark, monkeypatch, most):
+    monkeypatch.setattr(resolve, "MOST_NAMES", most)
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = spark.range(0, 4000, 1, 4).select("id", F.when(F.col("id") % 1000 == 0, "ZOMATO").alias("merchant"), F.when(F.col("id") % 1000 == 1, "MY SWIGGY").alias("text"))
+        out = resolve.attach_merchant(rows, gazetteer(spark), text="text")
+        found = {r["id"]: r.merchant_resolved for r in out.collect()}
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("part")).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert found == {i: {0: "ZOMATO", 1: "SWIGGY"}.get(i % 1000) for i in range(4000)}
+    assert sum(sizes) == 4000 and max(sizes) < 2000
+
+
+def test_tokens_are_made_after_the_texts_are_dealt(spark):
+    texts = spark.createDataFrame([("ZOMATTO",)], "clean string")
+    names = resolve.aliases(gazetteer(spark))
+    pairs = similarity.jaccard_pairs(texts, names, 0.7, "clean", names.count())
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    dealt = [i for i, line in enumerate(plan) if "RepartitionByExpression" in line and "clean" in line]
+    assert dealt and not [line for line in plan[dealt[0] :] if "substring" in line and "Filter" in line and "clean" in line]
+
+
+def test_the_first_matching_pattern_decides_even_where_its_group_is_empty(spark):
+    texts = ["UPI/5/ZOMATO", "IMPS-12-TO-", "IMPS-12-TO VIKAS", "POS 12 SHOP", "POS", "UPI", "A-UPI x", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("channel", normalize.channel_of(F.col("t")))
+    for compat, groups in ((False, normalize.NAME_GROUP), (True, normalize.COMPAT_GROUP)):
+        expected = None
+        for name in groups:
+            for p, g in zip(normalize.CHANNELS[name], groups[name], strict=True):
+                test, value = (F.col("channel") == name) & F.col("t").rlike(p), F.trim(F.nullif(F.regexp_extract("t", p, g), F.lit("")))
+                expected = F.when(test, value) if expected is None else expected.when(test, value)
+        other = normalize.merchant_of(F.col("t"), F.lit(None).cast("string"), compat)
+        got = rows.select(normalize.merchant_of(F.col("t"), F.col("channel"), compat).alias("got"), expected.otherwise(other).alias("want")).collect()
+        assert [r.got for r in got] == [r.want for r in got]
