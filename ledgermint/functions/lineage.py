@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _STEPS = itertools.count(1)
@@ -40,3 +40,14 @@ def spread(scan: DataFrame) -> DataFrame:
     """A plain scan dealt over all cores, where its files are too small to occupy them; a larger one as it is."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def compiled_by_parts(spark: SparkSession) -> None:
+    """Lowers the session's bound on a generated method to 8000 bytes, beyond which HotSpot never compiles one.
+
+    At Spark's own bound, steps with dozens of conditions become one such method, which is interpreted at every row; below it
+    Spark takes the same expressions apart into small ones. A bound that the session has set itself stays.
+    """
+    name = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(name) == "65535":
+        spark.conf.set(name, "8000")

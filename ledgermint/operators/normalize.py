@@ -104,25 +104,40 @@ def merchant_of(text: Column, channel: Column, compat: bool = False) -> Column:
     return bound(out, lambda v: F.when(v.isNull(), other).otherwise(F.get(v, F.lit(0))))
 
 
+#: The columns that `normalize` adds.
+MADE = ("cleaned_text", "channel", "reference", "location", "pattern_merchant", "merchant", "norm_amount", "norm_date", "search_text")
+
+
 def normalize(df: DataFrame, text: str = "text", amount: str | None = "amount", date: str | None = "date", merchant: str | None = None, compat: bool = False) -> DataFrame:
     """`df` with cleaned_text, channel, reference, location, pattern_merchant, merchant, norm_amount, norm_date, search_text.
 
     Null text counts as empty. A given amount or date wins over the text; a given date that cannot be read gives null.
     """
-    raw = F.coalesce(F.col(text), F.lit(""))
-    work = df.withColumn("cleaned_text", clean_text(raw))
+    work = with_values(with_search_text(df, text, merchant, compat), text, amount, date)
+    return work.select(*df.columns, *[c for c in MADE if c not in df.columns])
+
+
+def with_search_text(df: DataFrame, text: str = "text", merchant: str | None = None, compat: bool = False) -> DataFrame:
+    """The columns of `normalize` that its search text is made of, and this."""
     t = F.col("cleaned_text")
-    work = work.withColumn("channel", channel_of(t)).withColumn("reference", first_searched(t, REFERENCES)).withColumn("location", first_searched(t, LOCATIONS))
+    work = df.withColumn("cleaned_text", clean_text(F.coalesce(F.col(text), F.lit(""))))
+    work = work.withColumn("channel", channel_of(t)).withColumn("location", first_searched(t, LOCATIONS))
     work = work.withColumn("pattern_merchant", merchant_of(t, F.col("channel"), compat))
-    given = F.col(date).cast("string") if date else F.lit(None).cast("string")
-    amounts = [number(searched(raw, p), "decimal(15,2)") for p in AMOUNTS]
     work = work.withColumn("merchant", F.coalesce(F.col(merchant), F.col("pattern_merchant")) if merchant else F.col("pattern_merchant"))
-    work = work.withColumn("norm_amount", F.coalesce(*([F.col(amount).cast("decimal(15,2)")] if amount else []), *amounts))
-    work = work.withColumn("norm_date", F.when(given.isNotNull() & (given != ""), parsed_date(given)).otherwise(first_date([searched(raw, p) for p in DATES])))
     mark = lambda name, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{name}:"), F.col(c)))
     return work.withColumn("search_text", F.concat_ws(" ", t, mark("channel", "channel"), mark("merchant", "pattern_merchant"), mark("location", "location")))
 
 
+def with_values(df: DataFrame, text: str = "text", amount: str | None = "amount", date: str | None = "date") -> DataFrame:
+    """The other columns of `normalize`: reference, norm_amount, norm_date. They need the text and `cleaned_text` alone, so that a write between may leave them out."""
+    raw = F.coalesce(F.col(text), F.lit(""))
+    given = F.col(date).cast("string") if date else F.lit(None).cast("string")
+    amounts = [number(searched(raw, p), "decimal(15,2)") for p in AMOUNTS]
+    work = df.withColumn("reference", first_searched(F.col("cleaned_text"), REFERENCES))
+    work = work.withColumn("norm_amount", F.coalesce(*([F.col(amount).cast("decimal(15,2)")] if amount else []), *amounts))
+    return work.withColumn("norm_date", F.when(given.isNotNull() & (given != ""), parsed_date(given)).otherwise(first_date([searched(raw, p) for p in DATES])))
+
+
 def normalize_batch(df: DataFrame, compat: bool = False) -> DataFrame:
     """Rows of texts or of records: `text` else `description`, `date` else `timestamp`, `amount`, `currency` else INR, whichever of these the table has."""
     first = lambda *names: F.coalesce(*[F.col(c).cast("string") for c in names if c in df.columns], F.lit(None).cast("string"))

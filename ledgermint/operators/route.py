@@ -13,7 +13,7 @@ from ledgermint.functions.text import contains_any
 
 from .merchant_codes import category_id, classify_codes, code_in_text
 from .merchant_index import MerchantIndex
-from .normalize import normalize
+from .normalize import with_search_text, with_values
 from .resolve import attach_merchant
 from .rules import Category, categorize_by_rules
 from .vote import METHODS, Config, vote
@@ -22,10 +22,10 @@ from .vote import METHODS, Config, vote
 REFUND_WORDS = ["refund", "return", "reversal", "chargeback"]
 
 
-def _exit_vote(v: Column, category: Column, confidence: Column, method: Column) -> Column:
-    """The vote of a row that left early, in the form of `v`: one method, all agree."""
+def _exit_vote(none: Column, category: Column, confidence: Column, method: Column) -> Column:
+    """The vote of a row that left early: one method, all agree; `none` is an empty list of alternatives."""
     return F.struct(
-        category.alias("category"), confidence.alias("confidence"), method.alias("method"), F.lit(1).alias("agreement"), F.lit(1).alias("methods"), F.filter(v["alternatives"], lambda x: F.lit(False)).alias("alternatives"),
+        category.alias("category"), confidence.alias("confidence"), method.alias("method"), F.lit(1).alias("agreement"), F.lit(1).alias("methods"), none.alias("alternatives"),
         F.lit(0.0).alias("ambiguity"), F.lit(False).alias("requires_review"), F.map_from_arrays(F.array(category), F.array(confidence)).alias("weighted"),
     )
 
@@ -37,24 +37,49 @@ def categorize(df: DataFrame, taxonomy: list[Category], gazetteer: DataFrame | M
     extracted from it; then a sure code. The rest is voted on. External scorers take part through the
     columns ml_category, ml_conf, ml_alternatives, llm_category, llm_conf of `df`, where present.
 
-    The normalised rows, and these with their rules, are written once, since merchants are resolved from
-    the distinct texts of those that no rule settles; only these are voted on. With a `MerchantIndex` in the
+    The rows with their rules are written once, since merchants are resolved from the distinct texts of those that no rule
+    settles; only these are joined with merchants and voted on. References, amounts and dates, which no step needs, are made
+    after the write, and only for a reader who takes them. With a `MerchantIndex` in the
     gazetteer's place (whose own `fuzzy` holds) merchants are found in the row instead: nothing is written, no job
     runs, and `df` may be a stream; its result is then written with `writeStream` as it is.
     """
     w = cfg.weights()
     compiled = isinstance(gazetteer, MerchantIndex)
-    cut = step if compiled else lambda rows, _: materialise(rows)  # either also keeps the generated code of each step within bounds
-    work = cut(normalize(df, compat=compat), "normalised")
+    work = step(with_search_text(df, compat=compat), "normalised")  # either cut also keeps the generated code of each step within bounds
     work = categorize_by_rules(work, taxonomy, amount="amount", date="date", compat=compat)
     rule = F.col("rule_result")
     work = work.withColumn("rule_category", category_id(rule["category"])).withColumn("rule_conf", rule["confidence"])
-    work = cut(work.withColumn("_ruled", F.coalesce(F.lit(w["rule"] > 0) & (F.col("rule_conf") >= cfg.rule_exit), F.lit(False))), "ruled")
-    open_ = lambda c: F.when(~F.col("_ruled"), F.col(c))
-    work = work.withColumn("_name", open_("merchant")).withColumn("_text", open_("text"))
+    work = work.withColumn("_ruled", F.coalesce(F.lit(w["rule"] > 0) & (F.col("rule_conf") >= cfg.rule_exit), F.lit(False)))
     whole = "_text" if text_search else None
-    work = gazetteer.attach(work, "_name", cfg.name_least, whole, cfg.text_least) if compiled else attach_merchant(work, gazetteer, "_name", cfg.name_least, fuzzy, whole, cfg.text_least)
-    work = classify_codes(work.withColumn("_mcc", F.coalesce("mcc", code_in_text(F.col("text")))), codes, "_mcc").withColumn("mcc_category", category_id(F.col("mcc_category")))
+    if compiled:
+        work = with_values(step(work, "ruled"))
+        open_ = lambda c: F.when(~F.col("_ruled"), F.col(c))
+        work = gazetteer.attach(work.withColumn("_name", open_("merchant")).withColumn("_text", open_("text")), "_name", cfg.name_least, whole, cfg.text_least)
+        return _decided(work, codes, cfg, compat)
+    work = with_values(materialise(work))
+    rest = work.where(~F.col("_ruled")).withColumn("_name", F.col("merchant")).withColumn("_text", F.col("text"))
+    rest = _decided(attach_merchant(rest, gazetteer, "_name", cfg.name_least, fuzzy, whole, cfg.text_least), codes, cfg, compat)
+    return _settled(work.where("_ruled"), codes).select(*rest.columns).union(rest)
+
+
+def _with_codes(work: DataFrame, codes: DataFrame) -> DataFrame:
+    work = classify_codes(work.withColumn("_mcc", F.coalesce("mcc", code_in_text(F.col("text")))), codes, "_mcc")
+    return work.withColumn("mcc_category", category_id(F.col("mcc_category"))).drop("_mcc")
+
+
+def _settled(work: DataFrame, codes: DataFrame) -> DataFrame:
+    """The answers of rows that a rule settles, as `_decided` gives them, without a search for merchants or a vote."""
+    rule, way, none = F.col("rule_result"), F.lit("rule_deterministic"), F.lit(None).cast("string")
+    out = _with_codes(work, codes).withColumns({"merchant_resolved": F.col("merchant"), "merchant_category": none, "merchant_subcategory": none, "merchant_score": F.lit(None).cast("double")})
+    out = out.withColumns({"category": F.col("rule_category"), "subcategory": rule["subcategory"], "confidence": F.col("rule_conf"), "method": way})
+    empty = F.array().cast("array<struct<score:double,category:string>>")
+    return out.withColumn("vote", _exit_vote(empty, F.col("category"), F.col("confidence"), way)).withColumn("requires_review", F.col("vote")["requires_review"])
+
+
+def _decided(work: DataFrame, codes: DataFrame, cfg: Config, compat: bool) -> DataFrame:
+    """Rows with their merchants: exits by rule, merchant and code, else the vote."""
+    w, rule = cfg.weights(), F.col("rule_result")
+    work = _with_codes(work, codes)
     refund = contains_any(F.lower(F.coalesce("text", F.lit(""))), REFUND_WORDS)
     by_merchant = F.lit(w["mcc"] + w["rule"] + w["llm"] > 0) & (F.col("merchant_score") >= cfg.merchant_exit) & ~refund
     by_code = F.lit(w["mcc"] > 0) & (F.col("mcc_conf") >= cfg.mcc_exit)
@@ -72,8 +97,8 @@ def categorize(df: DataFrame, taxonomy: list[Category], gazetteer: DataFrame | M
     out = out.withColumn("subcategory", pick(rule["subcategory"], F.col("merchant_subcategory"), none, F.when(v["category"] == F.col("rule_category"), rule["subcategory"])))
     out = out.withColumn("confidence", pick(F.col("rule_conf"), raised, F.col("mcc_conf"), v["confidence"])).withColumn("method", F.coalesce(way, v["method"]))
     out = out.withColumn("merchant_resolved", F.when(F.col("_ruled"), F.col("merchant")).otherwise(F.col("merchant_resolved")))
-    out = out.withColumn("vote", F.when(way.isNotNull(), _exit_vote(v, F.col("category"), F.col("confidence"), way)).otherwise(v))
-    return out.withColumn("requires_review", v["requires_review"]).drop("_way", "_mcc", "_ruled", "_name", "_text", *[f"_own_{c}" for c in voters])
+    out = out.withColumn("vote", F.when(way.isNotNull(), _exit_vote(F.filter(v["alternatives"], lambda x: F.lit(False)), F.col("category"), F.col("confidence"), way)).otherwise(v))
+    return out.withColumn("requires_review", v["requires_review"]).drop("_way", "_ruled", "_name", "_text", *[f"_own_{c}" for c in voters])
 
 
 def stream_categorize(transactions: DataFrame, sink: Callable[[DataFrame, int], None], taxonomy: list[Category], gazetteer: DataFrame, codes: DataFrame, **options) -> DataStreamWriter:

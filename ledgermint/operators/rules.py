@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgermint.functions.lineage import compiled_by_parts
 from ledgermint.functions.predicates import Between, Equals, Finds, Has, Is, Predicate, WordIndex, indexed, searched, with_index
 
 HIGH, MEDIUM, CAP = 0.95, 0.90, 0.98
@@ -183,9 +184,20 @@ def word_indexes() -> dict[str, WordIndex]:
     return _indexes
 
 
-def with_cascade(df: DataFrame, fields: dict[str, Column]) -> tuple[DataFrame, dict]:
-    """`df` with `_rule`, the number of the first rule that holds, `_lists_lower` and `_lists_upper`; and the fields by which more predicates use these."""
-    df, fields = with_index(df, fields, word_indexes())
+def with_cascade(df: DataFrame, fields: dict[str, Column], taxonomy: list[Category] = (), merchant: Column | None = None) -> tuple[DataFrame, dict]:
+    """`df` with `_rule`, the number of the first rule that holds, `_lists_lower` and `_lists_upper`; and the fields by which more predicates use these.
+
+    With a taxonomy, its keywords are looked for in the same pass, and, given a `merchant`, in this too: `_small_merchant` is
+    its name in small letters, `_lists_merchant` the keywords in it (as numbers of `keyword_index`). Small and capital letters are made once, as `_lower` and `_upper`.
+    """
+    compiled_by_parts(df.sparkSession)
+    indexes = word_indexes()
+    if taxonomy:
+        indexes = indexes | {"lower": WordIndex([*indexes["lower"].lists, *keyword_index(taxonomy).lists])}
+    made = {f"_{f}": fields[f] for f in indexes} | ({} if merchant is None else {"_small_merchant": F.lower(merchant)})
+    df, fields = with_index(df.withColumns(made), fields | {f: F.col(f"_{f}") for f in indexes}, indexes)
+    if merchant is not None:
+        df = df.withColumn("_lists_merchant", keyword_index(taxonomy).found(F.col("_small_merchant")))
     return df.withColumn("_rule", cascade_number(fields)), fields
 
 
@@ -237,17 +249,24 @@ def _keywords(taxonomy: list[Category]) -> list[tuple[str, int, str]]:
     return [(k.lower(), i, c.id) for i, c in enumerate(taxonomy) for k in c.keywords]
 
 
+def keyword_index(taxonomy: list[Category]) -> WordIndex:
+    """The index of the keywords, each a list of its own."""
+    return WordIndex([(k,) for k, _, _ in _keywords(taxonomy)])
+
+
+def _keywords_of(numbers: Column, taxonomy: list[Category]) -> Column:
+    """The places, in `_keywords`, of the keywords with those numbers in `keyword_index`."""
+    lists = keyword_index(taxonomy).lists
+    by_list: dict[int, list[int]] = {}
+    for at, (k, _, _) in enumerate(_keywords(taxonomy)):
+        by_list.setdefault(lists[(k,)], []).append(at)
+    places = F.array(*[F.array(*[F.lit(at) for at in by_list[i]]) for i in range(len(lists))])
+    return F.flatten(F.transform(numbers, lambda i: F.get(places, i)))
+
+
 def keywords_in(text: Column, taxonomy: list[Category]) -> Column:
     """The places, in `_keywords`, of the keywords that a lower-case text contains, by one pass over it."""
-    listed = _keywords(taxonomy)
-    if not listed:
-        return F.array().cast("array<int>")
-    index = WordIndex([(k,) for k, _, _ in listed])
-    by_list: dict[int, list[int]] = {}
-    for at, (k, _, _) in enumerate(listed):
-        by_list.setdefault(index.lists[(k,)], []).append(at)
-    places = F.array(*[F.array(*[F.lit(at) for at in by_list[i]]) for i in range(len(index.lists))])
-    return F.flatten(F.transform(index.found(text), lambda i: F.get(places, i)))
+    return _keywords_of(keyword_index(taxonomy).found(text), taxonomy) if _keywords(taxonomy) else F.array().cast("array<int>")
 
 
 def _pattern_test(low: Column, pattern: str) -> Column:
@@ -258,34 +277,56 @@ def _pattern_test(low: Column, pattern: str) -> Column:
     return reduce(lambda a, b: a | b, [low.contains(w) for w in plain[1].split("|")])
 
 
-def keyword_scores(fields: dict[str, Column], taxonomy: list[Category]) -> Column:
-    """array<struct<score, order, category>>, one for each category that scores: 1 for each keyword, 1.2 for each pattern, and the hints.
+def with_hints(df: DataFrame, fields: dict) -> tuple[DataFrame, dict]:
+    """`df` with `_hint0`, `_hint1`, the number of the first hint of each group that holds; and the fields by which `scores` uses these."""
+    for at, group in enumerate(HINTS):
+        df, fields = df.withColumn(f"_hint{at}", _first_hint(fields, group)), fields | {f"hint:{at}": F.col(f"_hint{at}")}
+    return df, fields
+
+
+def _first_hint(fields: dict, group: list[tuple[Predicate, str, float]]) -> Column:
+    out = None
+    for i, (p, _, _) in enumerate(group):
+        out = F.when(p.column(fields), i) if out is None else out.when(p.column(fields), i)
+    return out
+
+
+def scores(fields: dict, taxonomy: list[Category]) -> Column:
+    """array<struct<score, order, category>>, one for each category, 0 where it does not score: 1 for each keyword, 1.2 for each pattern, and the hints.
 
-    Keywords are found in one pass over the text; patterns are literals, so each is compiled once.
+    No lambda stands in it: Spark interprets those, and what is handed to them, row by row.
     """
-    low, pos = fields["lower"], {c.id: i for i, c in enumerate(taxonomy)}
-    point = lambda i, score: F.struct(F.lit(i).alias("pos"), F.lit(score).alias("score"))
-    category_of = F.array(*[F.lit(i) for _, i, _ in _keywords(taxonomy)])
-    words = F.transform(keywords_in(low, taxonomy), lambda k: F.struct(F.get(category_of, k).alias("pos"), F.lit(1.0).alias("score")))
-    always = [point(i, 1.2) for i, c in enumerate(taxonomy) for p in c.patterns if p == ".*"]
-    found = [F.when(_pattern_test(low, searched(p.lower())), point(i, 1.2)) for i, c in enumerate(taxonomy) for p in c.patterns if p != ".*"]
-    for group in HINTS:
-        hint = None
-        for p, category, score in group:
-            value = point(pos[category], score) if category in pos else F.lit(None).cast("struct<pos:int,score:double>")
-            hint = F.when(p.column(fields), value) if hint is None else hint.when(p.column(fields), value)
-        found.append(hint)
-    points = F.concat(words, F.array_compact(F.array(*found, *always)))
-    ids = F.array(*[F.lit(c.id) for c in taxonomy])
-    total = lambda pts, i: F.round(F.aggregate(F.filter(pts, lambda x: x["pos"] == i), F.lit(0.0), lambda s, x: s + x["score"]), 6)
-    per_category = lambda pts: F.transform(F.array_distinct(F.transform(pts, lambda x: x["pos"])), lambda i: F.struct(total(pts, i).alias("score"), (-i).alias("order"), F.element_at(ids, i + 1).alias("category")))
-    return F.get(F.transform(F.array(points), per_category), F.lit(0))  # the array binds the points, so they are computed once
-
-
-def merchant_rule(merchant: Column, taxonomy: list[Category]) -> Column:
-    """struct<keyword, pos, category>: the keyword, first in taxonomy order, that the merchant contains; else null."""
+    last = {c.id: i for i, c in enumerate(taxonomy)}
+    hints = [fields.get(f"hint:{at}", _first_hint(fields, group)) for at, group in enumerate(HINTS)]
+    out = []
+    for i, c in enumerate(taxonomy):
+        score = reduce(lambda a, k: a + F.when(_low(k.lower()).column(fields), 1.0).otherwise(0.0), c.keywords, F.lit(0.0))
+        for p in c.patterns:
+            score = score + (F.lit(1.2) if p == ".*" else F.when(_pattern_test(fields["lower"], searched(p.lower())), 1.2).otherwise(0.0))
+        for hint, group in zip(hints, HINTS, strict=True):
+            for j, (_, category, points) in enumerate(group):
+                if last.get(category) == i:
+                    score = score + F.when(hint == j, points).otherwise(0.0)
+        out.append(F.struct(F.round(score, 6).alias("score"), F.lit(-i).alias("order"), F.lit(c.id).alias("category")))
+    return F.array(*out) if out else F.array().cast("array<struct<score:double,order:int,category:string>>")
+
+
+def keyword_scores(fields: dict, taxonomy: list[Category]) -> Column:
+    """The `scores` of the categories that score."""
+    return F.filter(scores(fields, taxonomy), lambda s: s["score"] > 0)
+
+
+def best_score(df: DataFrame, fields: dict, taxonomy: list[Category], when: Column) -> DataFrame:
+    """`df` with `_best`, the highest of the `keyword_scores` of rows for which `when` holds; of equal ones the first category's."""
+    df, fields = with_hints(df, fields)
+    df = df.withColumn("_most", F.when(when, F.array_max(scores(fields, taxonomy))))
+    return df.withColumn("_best", F.when(F.col("_most.score") > 0, F.col("_most"))).drop("_most", *[f"_hint{at}" for at in range(len(HINTS))])
+
+
+def merchant_rule(numbers: Column, taxonomy: list[Category]) -> Column:
+    """struct<keyword, pos, category>: the keyword, first in taxonomy order, that the merchant contains, of those with these numbers in `keyword_index`; else null."""
     listed = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(i).alias("pos"), F.lit(c).alias("category")) for k, i, c in _keywords(taxonomy)])
-    return F.get(listed, F.array_min(keywords_in(F.lower(merchant), taxonomy)))
+    return F.get(listed, F.array_min(_keywords_of(numbers, taxonomy)))
 
 
 def categorize_by_rules(df: DataFrame, taxonomy: list[Category], text: str = "search_text", merchant: str = "merchant", channel: str = "channel", amount: str = "amount", date: str = "date", compat: bool = False) -> DataFrame:
@@ -294,15 +335,17 @@ def categorize_by_rules(df: DataFrame, taxonomy: list[Category], text: str = "se
     `compat` leaves out the date boost on the merchant branch.
     """
     fields = fields_of(F.col(text), F.col(channel), F.col(amount))
-    work, fields = with_cascade(df, fields)
-    work = work.withColumn("_merchant", F.when(F.col("_rule").isNull(), merchant_rule(F.col(merchant), taxonomy)))
-    work = work.withColumn("_scores", F.when(F.col("_rule").isNull() & F.col("_merchant").isNull(), keyword_scores(fields, taxonomy))).withColumn("_best", F.array_max("_scores"))
-    work = work.withColumn("_hint", temporal_hint(fields, F.col(date).try_cast("date")))
+    listed = bool(_keywords(taxonomy))
+    work, fields = with_cascade(df, fields, taxonomy, F.col(merchant) if listed else None)
+    none = F.lit(None).cast("struct<keyword:string,pos:int,category:string>")
+    work = work.withColumn("_merchant", F.when(F.col("_rule").isNull(), merchant_rule(F.col("_lists_merchant"), taxonomy)) if listed else none)
+    work = best_score(work, fields, taxonomy, F.col("_rule").isNull() & F.col("_merchant").isNull())
+    work = work.withColumn("_day", F.col(date).try_cast("date")).withColumn("_hint", temporal_hint(fields, F.col("_day")))
     m, best, hint = F.col("_merchant"), F.col("_best"), F.col("_hint")
     category = F.coalesce(m["category"], best["category"])
     conf = F.when(m.isNotNull(), HIGH).otherwise(F.least(F.lit(1.0), best["score"] / 3.0))
     raised = F.least(F.lit(CAP), conf + hint["boost"])
     conf = F.when((hint["category"] == category) & (F.lit(not compat) | m.isNull()), raised).otherwise(conf)
-    low = F.lower(F.when(m.isNotNull(), F.col(merchant)).otherwise(F.coalesce(F.col(text), F.lit(""))))
+    low = F.when(m.isNotNull(), F.col("_small_merchant")).otherwise(fields["lower"]) if listed else fields["lower"]
     soft = F.struct(F.when(m.isNotNull(), "merchant").otherwise("scores").alias("rule"), category.alias("category"), subcategory_of(low, category, taxonomy).alias("subcategory"), F.round(conf, 6).alias("confidence"), F.coalesce(F.concat(F.lit("merchant_keyword="), m["keyword"]), F.concat(F.lit("score="), best["category"])).alias("explanation"))
-    return work.withColumn("rule_result", F.when(F.col("_rule").isNotNull(), rule_struct(F.col("_rule"), fields)).when(category.isNotNull(), soft)).drop("_rule", "_merchant", "_scores", "_best", "_hint", "_lists_lower", "_lists_upper")
+    return work.withColumn("rule_result", F.when(F.col("_rule").isNotNull(), rule_struct(F.col("_rule"), fields)).when(category.isNotNull(), soft)).drop("_rule", "_merchant", "_best", "_day", "_hint", "_lower", "_upper", "_small_merchant", "_lists_lower", "_lists_upper", "_lists_merchant")

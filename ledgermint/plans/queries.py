@@ -124,8 +124,8 @@ def _scores_sql() -> str:
 def g1_keyword_scores(spark, sf):
     n = normalize.normalize(txn(spark, sf))
     # no filter on the rule: it would be pushed down, and the texts' expressions with it
-    ruled, fields = rules.with_cascade(n, rules.fields_of(F.col("search_text"), F.col("channel"), F.col("amount")))
-    best = ruled.select(F.when(F.col("_rule").isNull(), F.array_max(rules.keyword_scores(fields, TAXONOMY))).alias("b"))
+    ruled, fields = rules.with_cascade(n, rules.fields_of(F.col("search_text"), F.col("channel"), F.col("amount")), TAXONOMY)
+    best = rules.best_score(ruled, fields, TAXONOMY, F.col("_rule").isNull()).select(F.col("_best").alias("b"))
     return best.groupBy(F.col("b.category"), F.col("b.score")).agg(F.count("*").alias("n"))
 
 

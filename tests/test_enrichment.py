@@ -275,3 +275,51 @@ def test_the_first_matching_pattern_decides_even_where_its_group_is_empty(spark)
         other = normalize.merchant_of(F.col("t"), F.lit(None).cast("string"), compat)
         got = rows.select(normalize.merchant_of(F.col("t"), F.col("channel"), compat).alias("got"), expected.otherwise(other).alias("want")).collect()
         assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_rows_that_a_rule_settles_are_written_once_and_not_searched(spark, monkeypatch):
+    from ledgermint.operators import route
+
+    rows = spark.createDataFrame([(1, "ATM WDL 42 MUMBAI", 500.0, "2024-01-05", None, "INR"), (2, "POS PUR / 5411 / old ring", 90.0, "2024-01-06", None, "INR"), (3, "IMPS-17-TO-VIKAS", 70.0, None, None, "INR")], "txn_key long, text string, amount double, date string, mcc string, currency string")
+    written, searched = [], []
+    write, attach = route.materialise, route.attach_merchant
+    monkeypatch.setattr(route, "materialise", lambda df: (written.append(df.columns), write(df))[1])
+    monkeypatch.setattr(route, "attach_merchant", lambda df, *a: (searched.append(df), attach(df, *a))[1])
+    routed = route.categorize(rows, TAXONOMY, gazetteer(spark), merchant_codes.code_table(spark))
+    assert len(written) == 1 and not {"reference", "norm_amount", "norm_date"} & set(written[0])
+    assert sorted(r.txn_key for r in searched[0].collect()) == [2, 3]
+    got = {r.txn_key: r for r in routed.collect()}
+    assert [got[k].method for k in (1, 2, 3)] == ["rule_deterministic", "mcc_deterministic", "rule"] and str(got[1].norm_date) == "2024-01-05"
+    settled = got[1].vote
+    assert (settled.category, settled.method, settled.agreement, settled.methods, settled.alternatives, settled.requires_review, settled.weighted) == ("atm_cash", "rule_deterministic", 1, 1, [], False, {"atm_cash": 0.95})
+
+
+def test_scores_equal_brute_force_without_lambdas(spark):
+    import random
+    import re
+
+    rng = random.Random(12)
+    twice = [rules.Category("a", keywords=("ring", "ring", "atm")), rules.Category("b", patterns=(".*food.*delivery.*", ".*(hotel|flight).*"))]
+    pieces = [*[k for c in TAXONOMY for k in c.keywords], "food", "delivery", "pharma", "order", "neft", " ", "-", "x"]
+    df = spark.createDataFrame([(" ".join(rng.choice(pieces) for _ in range(rng.randrange(0, 5))),) for _ in range(400)], "t string").select("t", F.lit(None).cast("string").alias("c"), F.lit(None).cast("double").alias("a"))
+    for taxonomy in (TAXONOMY, twice):
+        indexed, fields = rules.with_cascade(df, rules.fields_of(F.col("t"), F.col("c"), F.col("a")), taxonomy)
+        assert "lambda" not in indexed.select(rules.scores(fields, taxonomy))._jdf.queryExecution().optimizedPlan().toString()
+        for r in rules.best_score(indexed, fields, taxonomy, F.lit(True)).select("t", "_best", rules.keyword_scores(fields, taxonomy).alias("all")).collect():
+            want = [(round(sum(k in r.t for k in c.keywords) + 1.2 * sum(bool(re.search(p, r.t)) for p in c.patterns), 6), -i, c.id) for i, c in enumerate(taxonomy)]
+            want = [s for s in want if s[0] > 0]
+            assert [tuple(s) for s in r["all"]] == want and (tuple(r._best) if r._best else None) == max(want, default=None)
+
+
+def test_a_session_keeps_its_own_bound_on_methods(spark):
+    from ledgermint.functions.lineage import compiled_by_parts
+
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    try:
+        for own, kept in (("65535", "8000"), ("4000", "4000")):
+            spark.conf.set(name, own)
+            compiled_by_parts(spark)
+            assert spark.conf.get(name) == kept
+    finally:
+        spark.conf.set(name, before)
