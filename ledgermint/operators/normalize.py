@@ -104,17 +104,12 @@ def merchant_of(text: Column, channel: Column, compat: bool = False) -> Column:
     return bound(out, lambda v: F.when(v.isNull(), other).otherwise(F.get(v, F.lit(0))))
 
 
-#: The columns that `normalize` adds.
-MADE = ("cleaned_text", "channel", "reference", "location", "pattern_merchant", "merchant", "norm_amount", "norm_date", "search_text")
-
-
 def normalize(df: DataFrame, text: str = "text", amount: str | None = "amount", date: str | None = "date", merchant: str | None = None, compat: bool = False) -> DataFrame:
     """`df` with cleaned_text, channel, reference, location, pattern_merchant, merchant, norm_amount, norm_date, search_text.
 
     Null text counts as empty. A given amount or date wins over the text; a given date that cannot be read gives null.
     """
-    work = with_values(with_search_text(df, text, merchant, compat), text, amount, date)
-    return work.select(*df.columns, *[c for c in MADE if c not in df.columns])
+    return with_values(with_search_text(df, text, merchant, compat), text, amount, date)
 
 
 def with_search_text(df: DataFrame, text: str = "text", merchant: str | None = None, compat: bool = False) -> DataFrame:
